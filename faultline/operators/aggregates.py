@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def totals(df: DataFrame, flag: str = "is_significant") -> DataFrame:
@@ -89,9 +90,17 @@ def impute_mean(df: DataFrame, cols: list[str]) -> DataFrame:
 
     The means come from one scalar subquery, evaluated once and inlined as a
     literal into the projection; no join and no trip through the driver.
+    Integral columns keep their type and take the mean rounded half to even.
     """
     means = df.agg(F.struct(*[F.avg(c).alias(c) for c in cols]).alias("m")).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c), means.getField(c)) for c in cols})
+    out = {}
+    for c in cols:
+        dtype = df.schema[c].dataType
+        m = means.getField(c)
+        if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            m = F.rint(m).cast(dtype)
+        out[c] = F.coalesce(F.col(c), m)
+    return df.withColumns(out)
 
 
 def _edge(i: Column, lo: float, hi: float, bins: int) -> Column:

@@ -202,4 +202,172 @@ SELECT Region, count(*) FILTER (WHERE is_significant = 0) AS non_significant,
 FROM clean GROUP BY Region ORDER BY Region""")
     q["magnitude_histogram"] = _histogram(HIST_BINS, None)
     q["magnitude_histogram_by_class"] = _histogram(HIST_BINS, "is_significant")
+    q.update(spatial_sql())
+    return q
+
+
+# ---------------------------------------------------------------------------
+# Sampling, split, features, metrics, spatial
+# ---------------------------------------------------------------------------
+
+SAMPLE_CAP = 5000
+TIGHT_EPS, TIGHT_MIN = 0.055, 20
+
+
+def _eps2(eps: float) -> str:
+    return f"CAST('{eps * eps!r}' AS DOUBLE)"
+
+
+def _d2(a: str, b: str) -> str:
+    return f"({a}.x - {b}.x) * ({a}.x - {b}.x) + ({a}.y - {b}.y) * ({a}.y - {b}.y)"
+
+
+def dbscan_ctes(src: str, eps: float, min_samples: int, p: str) -> list[str]:
+    """Brute-force DBSCAN: all pairs within eps, min-label propagation over core pairs."""
+    return [
+        f"{p}pts AS MATERIALIZED (SELECT quake_id AS k, Latitude AS x, Longitude AS y FROM {src})",
+        f"{p}nb AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM {p}pts a JOIN {p}pts b "
+        f"ON {_d2('a', 'b')} <= {_eps2(eps)})",
+        f"{p}core AS MATERIALIZED (SELECT a AS k FROM {p}nb GROUP BY a HAVING count(*) >= {min_samples})",
+        f"{p}cedge AS MATERIALIZED (SELECT a, b FROM {p}nb WHERE a <> b "
+        f"AND a IN (SELECT k FROM {p}core) AND b IN (SELECT k FROM {p}core))",
+        f"{p}cc(k, lbl) USING KEY (k) AS (SELECT k, k FROM {p}core UNION "
+        f"SELECT e.a, min(c.lbl) FROM {p}cc c JOIN {p}cedge e ON e.b = c.k JOIN recurring.{p}cc r ON r.k = e.a "
+        f"GROUP BY e.a HAVING min(c.lbl) < min(r.lbl))",
+        f"{p}zone AS MATERIALIZED (SELECT k, CAST(dense_rank() OVER (ORDER BY lbl) - 1 AS INTEGER) AS zone "
+        f"FROM {p}cc)",
+        f"{p}border AS MATERIALIZED (SELECT n.a AS k, min(z.zone) AS zone FROM {p}nb n JOIN {p}zone z "
+        f"ON n.b = z.k WHERE n.a NOT IN (SELECT k FROM {p}core) GROUP BY n.a)",
+        f"{p}labels AS MATERIALIZED (SELECT p.k AS quake_id, CAST(coalesce(z.zone, b.zone, -1) AS INTEGER) "
+        f"AS Cluster FROM {p}pts p LEFT JOIN {p}zone z ON z.k = p.k LEFT JOIN {p}border b ON b.k = p.k)",
+    ]
+
+
+def _sample(cap: int, name: str = "samp") -> str:
+    return (f"{name} AS MATERIALIZED (SELECT * FROM clean "
+            f"QUALIFY row_number() OVER (ORDER BY {md5_key('quake_id')}, quake_id) <= {cap})")
+
+
+SPLIT = [
+    "cc AS (SELECT is_significant AS c, count(*) AS n_c FROM clean GROUP BY 1)",
+    "tot AS (SELECT sum(n_c) AS n, CAST(ceil(CAST(0.2 AS DOUBLE) * sum(n_c)) AS BIGINT) AS n_test FROM cc)",
+    "fl AS (SELECT c, n_c, n_c / n * (n - n_test) AS cont, floor(n_c / n * (n - n_test)) AS f, "
+    "n - n_test AS n_train FROM cc, tot)",
+    "rk AS (SELECT *, row_number() OVER (ORDER BY cont - f DESC, c) AS r, n_train - sum(f) OVER () AS need FROM fl)",
+    "sizes AS (SELECT c, CAST(n_c - (f + CASE WHEN r <= need THEN 1 ELSE 0 END) AS BIGINT) AS k FROM rk)",
+    f"split AS MATERIALIZED (SELECT cl.quake_id, cl.is_significant, "
+    f"row_number() OVER (PARTITION BY cl.is_significant ORDER BY {md5_key('cl.quake_id')}, cl.quake_id) <= s.k "
+    f"AS is_test FROM clean cl JOIN sizes s ON s.c = cl.is_significant)",
+]
+
+RULE = "CAST(Region = 'Mindanao' AS INTEGER)"
+EVAL = (f"ev AS MATERIALIZED (SELECT cl.is_significant, {RULE} AS prediction FROM clean cl "
+        f"JOIN split s USING (quake_id) WHERE s.is_test)")
+
+
+def _silhouette_sql(points: str, labels: str, squared: bool, name: str) -> str:
+    dist = "({d2})" if squared else "sqrt({d2})"
+    dist = dist.format(d2=_d2("a", "b"))
+    return f"""
+SELECT round(avg(CASE WHEN n_own <= 1 OR b IS NULL THEN 0
+                      WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS {name},
+       count(*) AS n
+FROM (SELECT d.k, max(CASE WHEN d.lab = d.own THEN d.ds / nullif(z.n - 1, 0) END) AS a,
+             min(CASE WHEN d.lab <> d.own THEN d.ds / z.n END) AS b,
+             max(CASE WHEN d.lab = d.own THEN z.n END) AS n_own
+      FROM (SELECT a.k, a.lab AS own, b.lab, sum({dist}) AS ds
+            FROM sp a, sp b GROUP BY a.k, a.lab, b.lab) d
+      JOIN (SELECT lab, count(*) AS n FROM sp GROUP BY lab) z ON z.lab = d.lab
+      GROUP BY d.k)""", [
+        f"sp AS MATERIALIZED (SELECT p.quake_id AS k, p.Latitude AS x, p.Longitude AS y, l.Cluster AS lab "
+        f"FROM {points} p JOIN {labels} l USING (quake_id))"]
+
+
+def spatial_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["dbscan_labels"] = with_clean("SELECT quake_id, Cluster FROM labels",
+                                    *dbscan_ctes("clean", DBSCAN_EPS, DBSCAN_MIN_SAMPLES, ""), recursive=True)
+    q["dbscan_labels_tight"] = with_clean("SELECT quake_id, Cluster FROM labels",
+                                          *dbscan_ctes("clean", TIGHT_EPS, TIGHT_MIN, ""), recursive=True)
+    q["within_distance_counts"] = with_clean(f"""
+SELECT a.quake_id, count(*) AS n_within FROM clean a JOIN clean b
+ON (a.Latitude - b.Latitude) * (a.Latitude - b.Latitude) + (a.Longitude - b.Longitude) * (a.Longitude - b.Longitude)
+   <= {_eps2(TIGHT_EPS)}
+GROUP BY a.quake_id""")
+    zl = dbscan_ctes("clean", DBSCAN_EPS, DBSCAN_MIN_SAMPLES, "")
+    q["zone_summary"] = with_clean("""
+SELECT count(DISTINCT Cluster) AS n_labels, count(DISTINCT Cluster) FILTER (WHERE Cluster <> -1) AS n_zones,
+       count(*) FILTER (WHERE Cluster = -1) AS n_noise FROM labels""", *zl, recursive=True)
+    q["zone_profile"] = with_clean("""
+SELECT l.Cluster, count(c.Magnitude) AS magnitude_count, round_even(avg(c.Magnitude) * 100, 0) / 100 AS magnitude_mean,
+       round_even(max(c.Magnitude) * 100, 0) / 100 AS magnitude_max,
+       round_even(avg(c.Latitude) * 100, 0) / 100 AS latitude_mean,
+       round_even(avg(c.Longitude) * 100, 0) / 100 AS longitude_mean,
+       coalesce(max(m.General_Location), 'Unknown') AS place_mode
+FROM clean c JOIN labels l USING (quake_id)
+LEFT JOIN (SELECT Cluster, General_Location FROM (
+             SELECT l2.Cluster, c2.General_Location, count(*) AS n FROM clean c2 JOIN labels l2 USING (quake_id)
+             WHERE c2.General_Location IS NOT NULL GROUP BY ALL)
+           QUALIFY row_number() OVER (PARTITION BY Cluster ORDER BY n DESC, General_Location) = 1) m
+  ON m.Cluster = l.Cluster
+GROUP BY l.Cluster ORDER BY l.Cluster""", *zl, recursive=True)
+    q["sample_points"] = with_clean("SELECT quake_id, Longitude, Latitude, Magnitude FROM samp",
+                                    _sample(SAMPLE_CAP))
+    q["depth_magnitude_points"] = with_clean("SELECT quake_id, Depth_In_Km, Magnitude FROM samp",
+                                             _sample(SAMPLE_CAP))
+    q["split_assignment"] = with_clean("SELECT quake_id, is_significant, is_test FROM split", *SPLIT)
+    q["class_counts"] = with_clean(
+        "SELECT is_significant, count(*) AS n FROM split WHERE NOT is_test GROUP BY 1 ORDER BY 1", *SPLIT)
+    q["class_weight"] = with_clean("""
+SELECT is_significant, n,
+       CASE WHEN is_significant = 1 THEN (SELECT count(*) FILTER (WHERE is_significant = 0)
+                                                 / count(*) FILTER (WHERE is_significant = 1)
+                                          FROM split WHERE NOT is_test) ELSE 1.0 END AS weight
+FROM (SELECT is_significant, count(*) AS n FROM split WHERE NOT is_test GROUP BY 1) ORDER BY 1""", *SPLIT)
+    onehot = ", ".join(f"CAST(Region = '{r}' AS INTEGER) AS Region_{r}"
+                       for r in ["Luzon", "Mindanao", "Unknown", "Visayas"])
+    q["one_hot_region"] = with_clean(f"SELECT quake_id, {onehot} FROM clean")
+    q["feature_table"] = with_clean(
+        f"SELECT quake_id, is_significant, Latitude, Longitude, Depth_In_Km, Hour, DayOfWeek, Month, {onehot} "
+        f"FROM clean")
+    q["confusion_matrix"] = with_clean("""
+SELECT g.c AS is_significant, count(*) FILTER (WHERE ev.prediction = 0) AS pred_0,
+       count(*) FILTER (WHERE ev.prediction = 1) AS pred_1
+FROM (VALUES (0), (1)) g(c) LEFT JOIN ev ON ev.is_significant = g.c GROUP BY g.c ORDER BY 1""", *SPLIT, EVAL)
+    q["confusion_cells"] = with_clean("""
+SELECT a AS actual, p AS predicted, count(ev.is_significant) AS n
+FROM (VALUES (0), (1)) ga(a) CROSS JOIN (VALUES (0), (1)) gp(p)
+LEFT JOIN ev ON ev.is_significant = a AND ev.prediction = p GROUP BY a, p ORDER BY 1, 2""", *SPLIT, EVAL)
+    q["classification_report"] = with_clean("""
+SELECT row, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM (
+  SELECT CAST(c AS VARCHAR) AS row, CASE WHEN pred = 0 THEN 0.0 ELSE tp / pred END AS precision,
+         CASE WHEN sup = 0 THEN 0.0 ELSE tp / sup END AS recall,
+         CASE WHEN sup + pred = 0 THEN 0.0 ELSE 2 * tp / (sup + pred) END AS f1, sup AS support FROM pc
+  UNION ALL SELECT 'accuracy', NULL, NULL, sum(tp) / sum(sup), sum(sup) FROM pc
+  UNION ALL SELECT 'macro avg', avg(CASE WHEN pred = 0 THEN 0.0 ELSE tp / pred END),
+                   avg(CASE WHEN sup = 0 THEN 0.0 ELSE tp / sup END),
+                   avg(CASE WHEN sup + pred = 0 THEN 0.0 ELSE 2 * tp / (sup + pred) END), sum(sup) FROM pc
+  UNION ALL SELECT 'weighted avg',
+                   sum(CASE WHEN pred = 0 THEN 0.0 ELSE tp / pred END * sup) / sum(sup),
+                   sum(CASE WHEN sup = 0 THEN 0.0 ELSE tp / sup END * sup) / sum(sup),
+                   sum(CASE WHEN sup + pred = 0 THEN 0.0 ELSE 2 * tp / (sup + pred) END * sup) / sum(sup),
+                   sum(sup) FROM pc)""", *SPLIT, EVAL,
+        """pc AS (SELECT g.c, count(*) FILTER (WHERE ev.is_significant = g.c AND ev.prediction = g.c) AS tp,
+                  count(*) FILTER (WHERE ev.is_significant = g.c) AS sup,
+                  (SELECT count(*) FROM ev WHERE prediction = g.c) AS pred
+           FROM (VALUES (0), (1)) g(c) LEFT JOIN ev ON true GROUP BY g.c)""")
+    q["accuracy"] = with_clean(
+        "SELECT round(avg(CAST(is_significant = prediction AS INTEGER)), 6) AS accuracy, count(*) AS n FROM ev",
+        *SPLIT, EVAL)
+    sl = dbscan_ctes("samp", DBSCAN_EPS, DBSCAN_MIN_SAMPLES, "s_")
+    q["nearest_label"] = with_clean("""
+SELECT c.quake_id, CAST(min((d2, l.k, l.Cluster))[3] AS INTEGER) AS Cluster
+FROM clean c CROSS JOIN (SELECT s.quake_id AS k, s.Latitude AS x, s.Longitude AS y, l.Cluster
+                         FROM samp s JOIN s_labels l USING (quake_id)) l,
+     LATERAL (SELECT (c.Latitude - l.x) * (c.Latitude - l.x) + (c.Longitude - l.y) * (c.Longitude - l.y) AS d2)
+GROUP BY c.quake_id""", _sample(SAMPLE_CAP), *sl, recursive=True)
+    body, extra = _silhouette_sql("samp", "s_labels", False, "silhouette")
+    q["silhouette"] = with_clean(body, _sample(SAMPLE_CAP), *sl, *extra, recursive=True)
+    body, extra = _silhouette_sql("clean", "labels", True, "silhouette_squared")
+    q["silhouette_squared"] = with_clean(body, *zl, *extra, recursive=True)
     return q

@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 
 from faultline.operators import aggregates as A
 from faultline.operators import clean as C
+from faultline.operators import features as M
+from faultline.operators import metrics as E
 from faultline.operators import profile as P
+from faultline.operators import sampling as D
+from faultline.operators import spatial as Z
+from faultline.constants import DBSCAN_EPS, DBSCAN_MIN_SAMPLES
 from faultline.sources.catalog import VIEW_CUTOFF, quake_view
 
 HIST_BINS = 30
@@ -60,5 +65,95 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+SAMPLE_CAP = 5000
+TIGHT_EPS, TIGHT_MIN = 0.055, 20
+
+
+def labelled(spark, sf_dir, eps=DBSCAN_EPS, min_samples=DBSCAN_MIN_SAMPLES):
+    return Z.dbscan(clean(spark, sf_dir), eps=eps, min_samples=min_samples)
+
+
+def split(spark, sf_dir):
+    return D.stratified_split(clean(spark, sf_dir))
+
+
+def rule_prediction(df: DataFrame) -> DataFrame:
+    """Fixed baseline rule used to exercise the metric operators: Mindanao is predicted significant."""
+    return df.withColumn("prediction", (F.col("Region") == "Mindanao").cast("int"))
+
+
+def evaluated(spark, sf_dir):
+    return rule_prediction(split(spark, sf_dir).where("is_test"))
+
+
+def train_rows(spark, sf_dir):
+    return split(spark, sf_dir).where("NOT is_test")
+
+
+def q_zone_profile(spark, sf_dir):
+    from faultline.operators.zones import zone_profile
+    return zone_profile(labelled(spark, sf_dir))
+
+
+def q_class_weight(spark, sf_dir):
+    w = M.class_weight(train_rows(spark, sf_dir))
+    return w.groupBy("is_significant").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight")) \
+        .orderBy("is_significant")
+
+
+def q_report(spark, sf_dir):
+    r = E.classification_report(evaluated(spark, sf_dir))
+    return r.select("row", _r6("precision"), _r6("recall"), _r6("f1"), "support")
+
+
+def q_accuracy(spark, sf_dir):
+    return E.accuracy(evaluated(spark, sf_dir)).select(_r6("accuracy"), "n")
+
+
+def sampled_labels(spark, sf_dir):
+    s = D.sample_exact(clean(spark, sf_dir), SAMPLE_CAP)
+    return Z.dbscan(s)
+
+
+def q_nearest(spark, sf_dir):
+    lab = sampled_labels(spark, sf_dir)
+    return Z.nearest_label(clean(spark, sf_dir).select("quake_id", "Latitude", "Longitude"), lab) \
+        .select("quake_id", "Cluster")
+
+
+def q_silhouette(spark, sf_dir):
+    return Z.silhouette(sampled_labels(spark, sf_dir), max_points=SAMPLE_CAP).select(_r6("silhouette"), "n")
+
+
+def q_silhouette_sq(spark, sf_dir):
+    return Z.silhouette_squared(labelled(spark, sf_dir)).select(_r6("silhouette_squared"), "n")
+
+
+QUERIES.update({
+    "dbscan_labels": lambda s, d: labelled(s, d).select("quake_id", "Cluster"),
+    "dbscan_labels_tight": lambda s, d: labelled(s, d, TIGHT_EPS, TIGHT_MIN).select("quake_id", "Cluster"),
+    "within_distance_counts": lambda s, d: Z.within_distance_counts(clean(s, d), eps=TIGHT_EPS),
+    "zone_summary": lambda s, d: A.zone_summary(labelled(s, d)),
+    "zone_profile": q_zone_profile,
+    "sample_points": lambda s, d: D.sample_exact(clean(s, d), SAMPLE_CAP)
+        .select("quake_id", "Longitude", "Latitude", "Magnitude"),
+    "depth_magnitude_points": lambda s, d: D.sample_exact(clean(s, d), SAMPLE_CAP)
+        .select("quake_id", "Depth_In_Km", "Magnitude"),
+    "split_assignment": lambda s, d: split(s, d).select("quake_id", "is_significant", "is_test"),
+    "class_counts": lambda s, d: A.class_counts(train_rows(s, d)),
+    "class_weight": q_class_weight,
+    "one_hot_region": lambda s, d: M.one_hot(clean(s, d), "Region").select(
+        "quake_id", "Region_Luzon", "Region_Mindanao", "Region_Unknown", "Region_Visayas"),
+    "feature_table": lambda s, d: M.feature_table(clean(s, d))[0],
+    "confusion_matrix": lambda s, d: E.confusion_matrix(evaluated(s, d)),
+    "confusion_cells": lambda s, d: E.confusion_cells(evaluated(s, d)),
+    "classification_report": q_report,
+    "accuracy": q_accuracy,
+    "nearest_label": q_nearest,
+    "silhouette": q_silhouette,
+    "silhouette_squared": q_silhouette_sq,
+})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
