@@ -330,7 +330,8 @@ def silhouette(df: DataFrame, x: str = "Latitude", y: str = "Longitude", label:
            .agg(F.count(F.lit(1)).cast("double").alias("w")))
     blocks = blocks or max(1, spark.sparkContext.defaultParallelism)
     left = pos.withColumn("blk", F.abs(F.xxhash64("px", "py", "lab")) % F.lit(blocks))
-    right = pos.withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    right = pos.select(*[F.col(c).alias(c) for c in ["px", "py", "lab", "w"]],
+                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("blk"))
     scored = (left.groupBy("blk").cogroup(right.groupBy("blk"))
               .applyInPandas(lambda k, l, r: _silhouette_block(k, l, r),
                              "px double, py double, lab long, w double, s double"))
@@ -355,13 +356,15 @@ def silhouette_squared(df: DataFrame, x: str = "Latitude", y: str = "Longitude",
         F.count(F.lit(1)).cast("double").alias("n"), F.sum("u").alias("su"), F.sum("v").alias("sv"),
         F.sum(F.col("u") * F.col("u") + F.col("v") * F.col("v")).alias("q"))
     arr = stats.agg(F.collect_list(F.struct("lab", "n", "su", "sv", "q")).alias("a")).scalar()
+    # the array is projected once as a column; higher-order functions then read it
+    c = c.withColumn("stats", arr)
     nrm = F.col("u") * F.col("u") + F.col("v") * F.col("v")
 
     def total(e):
         return e["n"] * nrm - 2 * (F.col("u") * e["su"] + F.col("v") * e["sv"]) + e["q"]
 
-    own = F.filter(arr, lambda e: e["lab"] == F.col("lab"))[0]
-    others = F.transform(F.filter(arr, lambda e: e["lab"] != F.col("lab")), lambda e: total(e) / e["n"])
+    own = F.filter("stats", lambda e: e["lab"] == F.col("lab"))[0]
+    others = F.transform(F.filter("stats", lambda e: e["lab"] != F.col("lab")), lambda e: total(e) / e["n"])
     a = F.when(own["n"] > 1, total(own) / (own["n"] - 1)).otherwise(F.lit(0.0))
     b = F.array_min(others)
     s = (F.when((own["n"] <= 1) | b.isNull(), F.lit(0.0))
