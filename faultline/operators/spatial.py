@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.constants import DBSCAN_EPS, DBSCAN_MIN_SAMPLES
-from faultline.session import checkpoint_dir
+from faultline.session import checkpoint_dir, materialize
 
 _OFF = 1 << 30
 _MUL = 1 << 31
@@ -84,29 +84,32 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
     """Smallest node id of each node's component: min-label rounds with pointer jumping.
 
     ``nodes(node)``, ``edges(src, dst)`` (either direction is enough).  Each round
-    takes the smallest label among neighbours, then the label of the label; the
-    state is checkpointed to the shared folder every round, so lineage stays short
-    and a lost executor costs at most one round.  Only the change count of a round
-    reaches the driver.
+    takes the smallest label among neighbours, then the label of the label, so the
+    number of rounds grows with the log of the component diameter.  Every round's
+    state is written to the shared checkpoint folder, so lineage stays short and a
+    lost executor costs at most one round; only "any label changed?" reaches the
+    driver.
     """
-    spark: SparkSession = nodes.sparkSession
-    checkpoint_dir(spark)
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = both.where(F.col("src") != F.col("dst")).distinct().checkpoint()
-    labels = nodes.select("node", F.col("node").alias("label")).distinct().checkpoint()
+    both = materialize(both.where(F.col("src") != F.col("dst")).distinct(), "cc-edges")
+    base = nodes.select("node").distinct()
+    if both.isEmpty():
+        return base.select("node", F.col("node").alias("label"))
+    first = both.groupBy("src").agg(F.min("dst").alias("nl"))
+    labels = materialize(base.join(first, base["node"] == first["src"], "left")
+                         .select("node", F.least("node", F.coalesce("nl", "node")).alias("label")), "cc-labels")
     for _ in range(max_rounds):
         nb = (both.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("nl")), "dst")
               .groupBy("src").agg(F.min("nl").alias("nl")))
         step = (labels.join(nb, labels["node"] == nb["src"], "left")
-                .select("node", F.least("label", F.coalesce("nl", "label")).alias("label")))
+                .select("node", F.col("label").alias("old"),
+                        F.least("label", F.coalesce("nl", "label")).alias("label")))
         jump = (step.join(step.select(F.col("node").alias("l2"), F.col("label").alias("ll")),
                           step["label"] == F.col("l2"), "left")
-                .select("node", F.least("label", F.coalesce("ll", "label")).alias("label")))
-        new = jump.checkpoint()
-        changed = (new.join(labels.withColumnRenamed("label", "old"), "node")
-                   .where(F.col("label") != F.col("old")).count())
-        labels = new
-        if changed == 0:
+                .select("node", F.least("label", F.coalesce("ll", "label")).alias("label"), "old"))
+        new = materialize(jump.select("node", "label", (F.col("label") != F.col("old")).alias("chg")), "cc-labels")
+        labels = new.select("node", "label")
+        if new.where("chg").isEmpty():
             return labels
     raise RuntimeError("connected components did not converge")
 
@@ -141,7 +144,7 @@ def dbscan(df: DataFrame, key: str = "quake_id", x: str = "Latitude", y: str = "
     pos = positions(df, x, y, key).withColumns({"cx": _cell(F.col("px"), side), "cy": _cell(F.col("py"), side)})
     cell_w = Window.partitionBy("cx", "cy")
     pos = pos.withColumn("cw", F.sum("w").over(cell_w)).withColumn("node", _node(F.col("cx"), F.col("cy")))
-    pos = pos.checkpoint()
+    pos = materialize(pos, "dbscan-pos")
 
     # Neighbour counts of positions in sparse cells.
     sparse = pos.where(F.col("cw") < F.lit(min_samples))
@@ -154,8 +157,8 @@ def dbscan(df: DataFrame, key: str = "quake_id", x: str = "Latitude", y: str = "
                 .groupBy("px", "py").agg(F.sum("qw").alias("nb")))
     pos = (pos.join(nb_count, ["px", "py"], "left")
            .withColumn("core", (F.col("cw") >= F.lit(min_samples)) | (F.coalesce("nb", F.lit(0)) >= F.lit(min_samples)))
-           .drop("nb")
-           .checkpoint())
+           .drop("nb"))
+    pos = materialize(pos, "dbscan-core")
     core = pos.where("core")
 
     # Core cells with the bounding box of their core positions.
@@ -172,8 +175,8 @@ def dbscan(df: DataFrame, key: str = "quake_id", x: str = "Latitude", y: str = "
     sy = F.greatest(F.col("a_y1"), F.col("b_y1")) - F.least(F.col("a_y0"), F.col("b_y0"))
     pairs = (pairs.select(F.col("a_node").alias("src"), F.col("b_node").alias("dst"),
                           (gx * gx + gy * gy).alias("near2"), (sx * sx + sy * sy).alias("far2"))
-             .where(F.col("near2") <= F.lit(eps2))
-             .checkpoint())
+             .where(F.col("near2") <= F.lit(eps2)))
+    pairs = materialize(pairs, "dbscan-pairs")
     sure = pairs.where(F.col("far2") <= F.lit(eps2)).select("src", "dst")
     open_pairs = pairs.where(F.col("far2") > F.lit(eps2)).select("src", "dst")
 
@@ -188,15 +191,19 @@ def dbscan(df: DataFrame, key: str = "quake_id", x: str = "Latitude", y: str = "
     core_pts = core.select("node", "px", "py")
     left = crossing.join(core_pts.withColumnRenamed("node", "src"), "src")
     right = core_pts.select(F.col("node").alias("dst"), F.col("px").alias("qx"), F.col("py").alias("qy"))
-    linked = (left.join(right, (left["dst"] == right["dst"])
-                        & (_d2(F.col("px"), F.col("py"), F.col("qx"), F.col("qy")) <= F.lit(eps2)), "left_semi")
-              .select("src", "dst").distinct())
-    extra = (linked.join(lab.withColumnRenamed("n", "src").withColumnRenamed("l", "ls"), "src")
-             .join(lab.withColumnRenamed("n", "dst").withColumnRenamed("l", "ld"), "dst")
-             .select(F.col("ls").alias("src"), F.col("ld").alias("dst")))
-    comp2 = connected_components(comp.select(F.col("label").alias("node")).distinct(), extra)
-    comp = (comp.join(comp2.select(F.col("node").alias("label"), F.col("label").alias("root")), "label")
-            .select("node", F.col("root").alias("comp")))
+    linked = materialize(
+        left.join(right, (left["dst"] == right["dst"])
+                  & (_d2(F.col("px"), F.col("py"), F.col("qx"), F.col("qy")) <= F.lit(eps2)), "left_semi")
+        .select("src", "dst").distinct(), "dbscan-linked")
+    if linked.isEmpty():
+        comp = comp.select("node", F.col("label").alias("comp"))
+    else:
+        extra = (linked.join(lab.withColumnRenamed("n", "src").withColumnRenamed("l", "ls"), "src")
+                 .join(lab.withColumnRenamed("n", "dst").withColumnRenamed("l", "ld"), "dst")
+                 .select(F.col("ls").alias("src"), F.col("ld").alias("dst")))
+        comp2 = connected_components(comp.select(F.col("label").alias("node")).distinct(), extra)
+        comp = (comp.join(comp2.select(F.col("node").alias("label"), F.col("label").alias("root")), "label")
+                .select("node", F.col("root").alias("comp")))
 
     # Zone numbers: components ordered by their smallest core key.
     comp_key = cells.join(comp, "node").groupBy("comp").agg(F.min("kmin").alias("ck"))
@@ -241,6 +248,7 @@ def nearest_label(points: DataFrame, labelled: DataFrame, key: str = "quake_id",
     """
     lab = labelled.select(F.col(key).alias("lk"), F.col(x).alias("lx"), F.col(y).alias("ly"),
                           F.col(label).alias("ll")).where(F.col("lx").isNotNull() & F.col("ly").isNotNull())
+    lab = materialize(lab, "nn-labelled")
     st = lab.agg(F.count(F.lit(1)).alias("n"), F.min("lx").alias("x0"), F.max("lx").alias("x1"),
                  F.min("ly").alias("y0"), F.max("ly").alias("y1")).first()
     n_lab = st["n"]
@@ -266,10 +274,10 @@ def nearest_label(points: DataFrame, labelled: DataFrame, key: str = "quake_id",
                 .join(rep, ["cx", "cy"])
                 .withColumn("d2", _d2(F.col("qx"), F.col("qy"), F.col("lx"), F.col("ly")))
                 .groupBy("pk").agg(F.min(F.struct("d2", "lk", "ll")).alias("b")))
-        done = (cand.where(F.col("b.d2") <= F.lit(s_k * s_k))
-                .select("pk", F.col("b.ll").alias(label))).checkpoint()
+        done = materialize(cand.where(F.col("b.d2") <= F.lit(s_k * s_k))
+                           .select("pk", F.col("b.ll").alias(label)), "nn-done")
         found.append(done)
-        todo = todo.join(done.select("pk"), "pk", "left_anti").checkpoint()
+        todo = materialize(todo.join(done.select("pk"), "pk", "left_anti"), "nn-todo")
         if todo.isEmpty():
             break
         k += 1

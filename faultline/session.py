@@ -61,3 +61,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="faultline-ckpt-"))
         return sc.getCheckpointDir()
     raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
+
+
+def materialize(df, name: str = "step"):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts lineage like ``checkpoint()`` but computes the plan once (a reliable
+    checkpoint runs it twice unless cached), and the files survive the loss of
+    any executor.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
