@@ -10,7 +10,7 @@ from __future__ import annotations
 from faultline.constants import (
     DBSCAN_EPS, DBSCAN_MIN_SAMPLES, DEPTH_EDGES, DEPTH_LABELS, NA_TOKENS, REGION_GROUPS, SEED,
 )
-from faultline.functions.columns import INFINITY_PATTERN, NUMBER_PATTERN
+from faultline.functions.columns import NUMBER_PATTERN
 from faultline.sources.catalog import VIEW_CUTOFF, VIEW_PLACES
 
 
@@ -41,7 +41,6 @@ def _depth_band(c: str) -> str:
 
 def _num(c: str) -> str:
     return (f"CASE WHEN regexp_matches(trim({c}), {_q(NUMBER_PATTERN)}) "
-            f"OR regexp_matches(lower(trim({c})), {_q(INFINITY_PATTERN)}) "
             f"THEN TRY_CAST(trim({c}) AS DOUBLE) END")
 
 

@@ -16,6 +16,10 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Generated methods above 8000 bytes of bytecode are never JIT-compiled by
+    # HotSpot; above this limit Spark splits the stage instead of running one
+    # huge interpreted method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
