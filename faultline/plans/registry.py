@@ -155,5 +155,47 @@ QUERIES.update({
 })
 
 
+_MODELS: dict = {}
+
+
+def trained(spark, sf_dir):
+    """Split, features, class weights and the GBT model of one data set (trained once per process)."""
+    from faultline.operators import model as ML
+    from faultline.session import materialize
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        sp = materialize(split(spark, sf_dir), "split")
+        table, names = M.feature_table(sp)
+        table = materialize(table.join(sp.select("quake_id", "is_test"), "quake_id"), "features")
+        train = M.class_weight(table.where("NOT is_test"))
+        model = ML.train_classifier(train, names)
+        _MODELS[key] = (model, names, table)
+    return _MODELS[key]
+
+
+def q_predictions(spark, sf_dir):
+    from faultline.operators import model as ML
+    model, names, table = trained(spark, sf_dir)
+    return ML.predict(model, table.where("is_test"), ["quake_id", "is_significant"])
+
+
+def q_top_features(spark, sf_dir):
+    from faultline.operators import model as ML
+    model, names, _ = trained(spark, sf_dir)
+    return ML.top_features(ML.feature_importance(model, names), 10)
+
+
+def q_model_report(spark, sf_dir):
+    r = E.classification_report(q_predictions(spark, sf_dir))
+    return r.select("row", _r6("precision"), _r6("recall"), _r6("f1"), "support")
+
+
+QUERIES.update({
+    "model_predictions": q_predictions,
+    "top_features": q_top_features,
+    "model_report": q_model_report,
+})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
