@@ -76,7 +76,7 @@ def sample_exact(df: DataFrame, n: int, key: str = "quake_id", seed: int = SEED)
     return picked.where("_in_sample").drop("_in_sample")
 
 
-def test_sizes(class_counts: dict, test_fraction: float) -> dict:
+def split_sizes(class_counts: dict, test_fraction: float) -> dict:
     """Test rows per class of a stratified split (largest remainder, ties by class).
 
     ``ceil(test_fraction * n)`` rows in test overall; the train share of each
@@ -102,7 +102,7 @@ def stratified_split(df: DataFrame, label: str = "is_significant", test_fraction
     Class counts are one small aggregate (a row per class reaches the driver).
     """
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    sizes = test_sizes(counts, test_fraction)
+    sizes = split_sizes(counts, test_fraction)
     spark = df.sparkSession
     label_type = df.schema[label].dataType.simpleString()
     size_df = spark.createDataFrame([(c, k) for c, k in sizes.items()], f"{label} {label_type}, k long")
