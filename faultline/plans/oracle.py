@@ -367,6 +367,37 @@ FROM clean c CROSS JOIN (SELECT s.quake_id AS k, s.Latitude AS x, s.Longitude AS
 GROUP BY c.quake_id""", _sample(SAMPLE_CAP), *sl, recursive=True)
     body, extra = _silhouette_sql("samp", "s_labels", False, "silhouette")
     q["silhouette"] = with_clean(body, _sample(SAMPLE_CAP), *sl, *extra, recursive=True)
+    q["map_points"] = with_clean(
+        "SELECT s.quake_id, s.Longitude, s.Latitude, l.Cluster FROM samp s JOIN labels l USING (quake_id)",
+        *zl, _sample(SAMPLE_CAP), recursive=True)
+    q["summary_report"] = with_clean(REPORT_BODY, *zl, *REPORT_CTES, recursive=True)
     body, extra = _silhouette_sql("clean", "labels", True, "silhouette_squared")
     q["silhouette_squared"] = with_clean(body, *zl, *extra, recursive=True)
     return q
+
+
+REPORT_CTES = [
+    "t AS (SELECT count(*) AS total, CAST(sum(is_significant) AS BIGINT) AS significant, "
+    "avg(is_significant) * 100.0 AS pct FROM clean)",
+    "top AS (SELECT row_number() OVER (ORDER BY n DESC, General_Location) AS rank, General_Location, n FROM "
+    "(SELECT General_Location, count(*) AS n FROM clean WHERE is_significant = 1 AND General_Location IS NOT NULL "
+    "GROUP BY 1) ORDER BY n DESC, General_Location LIMIT 10)",
+    "rb AS (SELECT Region, count(*) AS tq, CAST(sum(is_significant) AS BIGINT) AS sq, "
+    "avg(is_significant) * 100.0 AS rate, row_number() OVER (ORDER BY Region) AS pos FROM clean GROUP BY Region)",
+    "zs AS (SELECT count(DISTINCT Cluster) AS n_labels FROM labels)",
+    """lines AS (
+      SELECT 0 AS section, 0 AS pos, 'Philippine Earthquake Analysis - Summary Report' AS line
+      UNION ALL SELECT 0, 1, repeat('=', 50) UNION ALL SELECT 0, 2, ''
+      UNION ALL SELECT 1, 0, printf('Total Earthquakes Analyzed: %d', total) FROM t
+      UNION ALL SELECT 1, 1, printf('Significant Earthquakes (Magnitude ≥ 4.0): %d', significant) FROM t
+      UNION ALL SELECT 1, 2, printf('Percentage of Significant Earthquakes: %.2f%%', pct) FROM t
+      UNION ALL SELECT 2, 0, '' UNION ALL SELECT 2, 1, 'Top 10 Provinces with Most Significant Earthquakes:'
+      UNION ALL SELECT 3, rank, printf('%d. %s: %d quakes', rank, General_Location, n) FROM top
+      UNION ALL SELECT 6, 0, '' UNION ALL SELECT 6, 1, 'Earthquake Distribution by Region:'
+      UNION ALL SELECT 7, pos, printf('%s: %d total quakes, %d significant quakes, %.2f%% significance rate',
+                                      Region, tq, sq, rate) FROM rb
+      UNION ALL SELECT 8, 0, '' UNION ALL SELECT 8, 1, 'Clustering Results:'
+      UNION ALL SELECT 9, 0, printf('Number of clusters identified: %d', n_labels) FROM zs
+      UNION ALL SELECT 10, 0, 'Major seismic zones identified based on location patterns')""",
+]
+REPORT_BODY = "SELECT CAST(row_number() OVER (ORDER BY section, pos) AS INTEGER) AS line_no, line FROM lines"

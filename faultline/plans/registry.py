@@ -190,7 +190,28 @@ def q_model_report(spark, sf_dir):
     return r.select("row", _r6("precision"), _r6("recall"), _r6("f1"), "support")
 
 
+def q_map_points(spark, sf_dir):
+    from faultline.operators.charts import chart_map
+    return chart_map(labelled(spark, sf_dir), SAMPLE_CAP, "Cluster")
+
+
+def q_summary_report(spark, sf_dir):
+    from faultline.operators.report import report_lines
+    return report_lines(clean(spark, sf_dir), labelled(spark, sf_dir))
+
+
+def q_run_summary(spark, sf_dir):
+    from faultline.operators import model as ML
+    from faultline.operators.report import run_summary
+    model, names, _ = trained(spark, sf_dir)
+    return run_summary(clean(spark, sf_dir), E.accuracy(q_predictions(spark, sf_dir)), labelled(spark, sf_dir),
+                       ML.feature_importance(model, names))
+
+
 QUERIES.update({
+    "map_points": q_map_points,
+    "summary_report": q_summary_report,
+    "run_summary": q_run_summary,
     "model_predictions": q_predictions,
     "top_features": q_top_features,
     "model_report": q_model_report,
