@@ -80,15 +80,18 @@ def within_distance_counts(df: DataFrame, x: str = "Latitude", y: str = "Longitu
 # Connected components
 # ---------------------------------------------------------------------------
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200,
+                         broadcast_nodes: int = 2_000_000) -> DataFrame:
     """Smallest node id of each node's component: min-label rounds with pointer jumping.
 
     ``nodes(node)``, ``edges(src, dst)`` (either direction is enough).  Each round
     takes the smallest label among neighbours, then the label of the label, so the
-    number of rounds grows with the log of the component diameter.  Every round's
-    state is written to the shared checkpoint folder, so lineage stays short and a
-    lost executor costs at most one round; only "any label changed?" reaches the
-    driver.
+    number of rounds grows with the log of the component diameter.  When the
+    counted number of nodes is below ``broadcast_nodes`` the (node, label) table
+    is broadcast into each round's joins, leaving one shuffle per round (the
+    per-node minimum); above it every join shuffles.  Every round's state is
+    written to the shared checkpoint folder, so lineage stays short and a lost
+    executor costs at most one round; only "any label changed?" reaches the driver.
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = materialize(both.where(F.col("src") != F.col("dst")).distinct(), "cc-edges")
@@ -98,13 +101,18 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
     first = both.groupBy("src").agg(F.min("dst").alias("nl"))
     labels = materialize(base.join(first, base["node"] == first["src"], "left")
                          .select("node", F.least("node", F.coalesce("nl", "node")).alias("label")), "cc-labels")
+    small = labels.count() <= broadcast_nodes
+
+    def bc(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
+
     for _ in range(max_rounds):
-        nb = (both.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("nl")), "dst")
+        nb = (both.join(bc(labels.select(F.col("node").alias("dst"), F.col("label").alias("nl"))), "dst")
               .groupBy("src").agg(F.min("nl").alias("nl")))
         step = (labels.join(nb, labels["node"] == nb["src"], "left")
                 .select("node", F.col("label").alias("old"),
                         F.least("label", F.coalesce("nl", "label")).alias("label")))
-        jump = (step.join(step.select(F.col("node").alias("l2"), F.col("label").alias("ll")),
+        jump = (step.join(bc(labels.select(F.col("node").alias("l2"), F.col("label").alias("ll"))),
                           step["label"] == F.col("l2"), "left")
                 .select("node", F.least("label", F.coalesce("ll", "label")).alias("label"), "old"))
         new = materialize(jump.select("node", "label", (F.col("label") != F.col("old")).alias("chg")), "cc-labels")
@@ -256,6 +264,14 @@ def nearest_label(points: DataFrame, labelled: DataFrame, key: str = "quake_id",
         return points.withColumn(label, F.lit(None).cast(labelled.schema[label].dataType))
     area = max((st["x1"] - st["x0"]) * (st["y1"] - st["y0"]), 1e-12)
     side = max(math.sqrt(area * per_cell / n_lab), 1e-9)
+    # Shrink the cells to the dense parts: the occupancy of the cell a typical
+    # labelled point lives in (90th percentile, weighted by points) should be
+    # about ``per_cell``; sparse points simply certify in a later, coarser round.
+    occ = (lab.groupBy(_cell(F.col("lx"), side).alias("cx"), _cell(F.col("ly"), side).alias("cy"))
+           .agg(F.count(F.lit(1)).alias("c"))
+           .agg(F.percentile("c", 0.9, F.col("c")).alias("p")).first()["p"])
+    if occ and occ > per_cell:
+        side = max(side * math.sqrt(per_cell / occ), 1e-9)
     checkpoint_dir(points.sparkSession)
 
     todo = points.select(F.col(key).alias("pk"), F.col(x).alias("qx"), F.col(y).alias("qy")).where(
@@ -270,14 +286,16 @@ def nearest_label(points: DataFrame, labelled: DataFrame, key: str = "quake_id",
             (_cell(F.col("ly"), s_k) + F.col("o.oy")).alias("cy"))
         if n_lab * 9 <= broadcast_rows:
             rep = F.broadcast(rep)
+        d2 = _d2(F.col("qx"), F.col("qy"), F.col("lx"), F.col("ly"))
         cand = (todo.withColumns({"cx": _cell(F.col("qx"), s_k), "cy": _cell(F.col("qy"), s_k)})
-                .join(rep, ["cx", "cy"])
-                .withColumn("d2", _d2(F.col("qx"), F.col("qy"), F.col("lx"), F.col("ly")))
-                .groupBy("pk").agg(F.min(F.struct("d2", "lk", "ll")).alias("b")))
-        done = materialize(cand.where(F.col("b.d2") <= F.lit(s_k * s_k))
-                           .select("pk", F.col("b.ll").alias(label)), "nn-done")
-        found.append(done)
-        todo = materialize(todo.join(done.select("pk"), "pk", "left_anti"), "nn-todo")
+                .join(rep, ["cx", "cy"], "left")
+                .groupBy("pk", "qx", "qy")
+                .agg(F.min(F.when(F.col("lk").isNotNull(), F.struct(d2.alias("d2"), "lk", "ll"))).alias("b")))
+        # one table per round: certified rows are final, the others go to the next, coarser round
+        rnd = materialize(cand.withColumn("ok", F.coalesce(F.col("b.d2") <= F.lit(s_k * s_k), F.lit(False))),
+                          "nn-round")
+        found.append(rnd.where("ok").select("pk", F.col("b.ll").alias(label)))
+        todo = rnd.where(~F.col("ok")).select("pk", "qx", "qy")
         if todo.isEmpty():
             break
         k += 1

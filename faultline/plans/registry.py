@@ -69,12 +69,19 @@ SAMPLE_CAP = 5000
 TIGHT_EPS, TIGHT_MIN = 0.055, 20
 
 
-def labelled(spark, sf_dir, eps=DBSCAN_EPS, min_samples=DBSCAN_MIN_SAMPLES):
-    return Z.dbscan(clean(spark, sf_dir), eps=eps, min_samples=min_samples)
+def clean_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean catalogue written once (shared checkpoint folder) for queries that read it several times."""
+    from faultline.session import materialize
+    return materialize(clean(spark, sf_dir), "clean")
+
+
+def labelled(spark, sf_dir, eps=DBSCAN_EPS, min_samples=DBSCAN_MIN_SAMPLES, base=None):
+    base = base if base is not None else clean_once(spark, sf_dir)
+    return Z.dbscan(base, eps=eps, min_samples=min_samples)
 
 
-def split(spark, sf_dir):
-    return D.stratified_split(clean(spark, sf_dir))
+def split(spark, sf_dir, base=None):
+    return D.stratified_split(base if base is not None else clean_once(spark, sf_dir))
 
 
 def rule_prediction(df: DataFrame) -> DataFrame:
@@ -83,7 +90,8 @@ def rule_prediction(df: DataFrame) -> DataFrame:
 
 
 def evaluated(spark, sf_dir):
-    return rule_prediction(split(spark, sf_dir).where("is_test"))
+    from faultline.session import materialize
+    return materialize(rule_prediction(split(spark, sf_dir).where("is_test")), "evaluated")
 
 
 def train_rows(spark, sf_dir):
@@ -110,14 +118,17 @@ def q_accuracy(spark, sf_dir):
     return E.accuracy(evaluated(spark, sf_dir)).select(_r6("accuracy"), "n")
 
 
-def sampled_labels(spark, sf_dir):
-    s = D.sample_exact(clean(spark, sf_dir), SAMPLE_CAP)
+def sampled_labels(spark, sf_dir, base=None):
+    from faultline.session import materialize
+    base = base if base is not None else clean_once(spark, sf_dir)
+    s = materialize(D.sample_exact(base, SAMPLE_CAP), "sample")
     return Z.dbscan(s)
 
 
 def q_nearest(spark, sf_dir):
-    lab = sampled_labels(spark, sf_dir)
-    return Z.nearest_label(clean(spark, sf_dir).select("quake_id", "Latitude", "Longitude"), lab) \
+    base = clean_once(spark, sf_dir)
+    lab = sampled_labels(spark, sf_dir, base)
+    return Z.nearest_label(base.select("quake_id", "Latitude", "Longitude"), lab) \
         .select("quake_id", "Cluster")
 
 
@@ -135,16 +146,16 @@ QUERIES.update({
     "within_distance_counts": lambda s, d: Z.within_distance_counts(clean(s, d), eps=TIGHT_EPS),
     "zone_summary": lambda s, d: A.zone_summary(labelled(s, d)),
     "zone_profile": q_zone_profile,
-    "sample_points": lambda s, d: D.sample_exact(clean(s, d), SAMPLE_CAP)
+    "sample_points": lambda s, d: D.sample_exact(clean_once(s, d), SAMPLE_CAP)
         .select("quake_id", "Longitude", "Latitude", "Magnitude"),
-    "depth_magnitude_points": lambda s, d: D.sample_exact(clean(s, d), SAMPLE_CAP)
+    "depth_magnitude_points": lambda s, d: D.sample_exact(clean_once(s, d), SAMPLE_CAP)
         .select("quake_id", "Depth_In_Km", "Magnitude"),
     "split_assignment": lambda s, d: split(s, d).select("quake_id", "is_significant", "is_test"),
     "class_counts": lambda s, d: A.class_counts(train_rows(s, d)),
     "class_weight": q_class_weight,
-    "one_hot_region": lambda s, d: M.one_hot(clean(s, d), "Region").select(
+    "one_hot_region": lambda s, d: M.one_hot(clean_once(s, d), "Region").select(
         "quake_id", "Region_Luzon", "Region_Mindanao", "Region_Unknown", "Region_Visayas"),
-    "feature_table": lambda s, d: M.feature_table(clean(s, d))[0],
+    "feature_table": lambda s, d: M.feature_table(clean_once(s, d))[0],
     "confusion_matrix": lambda s, d: E.confusion_matrix(evaluated(s, d)),
     "confusion_cells": lambda s, d: E.confusion_cells(evaluated(s, d)),
     "classification_report": q_report,
@@ -197,14 +208,16 @@ def q_map_points(spark, sf_dir):
 
 def q_summary_report(spark, sf_dir):
     from faultline.operators.report import report_lines
-    return report_lines(clean(spark, sf_dir), labelled(spark, sf_dir))
+    base = clean_once(spark, sf_dir)
+    return report_lines(base, labelled(spark, sf_dir, base=base))
 
 
 def q_run_summary(spark, sf_dir):
     from faultline.operators import model as ML
     from faultline.operators.report import run_summary
     model, names, _ = trained(spark, sf_dir)
-    return run_summary(clean(spark, sf_dir), E.accuracy(q_predictions(spark, sf_dir)), labelled(spark, sf_dir),
+    base = clean_once(spark, sf_dir)
+    return run_summary(base, E.accuracy(q_predictions(spark, sf_dir)), labelled(spark, sf_dir, base=base),
                        ML.feature_importance(model, names))
 
 
