@@ -32,7 +32,7 @@ def con(sf001):
 
 def test_every_query_has_sql():
     missing = set(entry.queries()) - set(entry.oracle_sql())
-    assert missing == {"model_predictions", "top_features", "model_report"}
+    assert missing == {"model_predictions", "top_features", "model_report", "run_summary"}
 
 
 @pytest.mark.parametrize("name", FAST)
