@@ -53,6 +53,19 @@ def positions(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("w"), F.min(key).alias("kmin")))
 
 
+def _attach(df: DataFrame, per_pos: DataFrame, x: str, y: str, n_pos: int,
+            broadcast_rows: int = 2_000_000) -> DataFrame:
+    """Join per-position results back to the rows on the exact coordinates.
+
+    The position table is broadcast when its counted size is below
+    ``broadcast_rows``: rows then stay where they are, so a coordinate shared by a
+    third of all rows costs nothing extra.  Above it, a shuffle join (AQE splits
+    skewed partitions).
+    """
+    side = F.broadcast(per_pos) if n_pos <= broadcast_rows else per_pos
+    return df.join(side, (df[x] == side["px"]) & (df[y] == side["py"]), "left").drop("px", "py")
+
+
 def within_distance_counts(df: DataFrame, x: str = "Latitude", y: str = "Longitude", eps: float = DBSCAN_EPS,
                            key: str = "quake_id") -> DataFrame:
     """Per row, the number of rows within ``eps`` (itself included).
@@ -71,9 +84,8 @@ def within_distance_counts(df: DataFrame, x: str = "Latitude", y: str = "Longitu
     counts = (probe.join(build, ["ncx", "ncy"])
               .where(_d2(F.col("px"), F.col("py"), F.col("qx"), F.col("qy")) <= F.lit(eps2))
               .groupBy("px", "py").agg(F.sum("qw").cast("bigint").alias("n_within")))
-    return (df.select(key, x, y)
-            .join(counts, (F.col(x) == F.col("px")) & (F.col(y) == F.col("py")))
-            .select(key, "n_within"))
+    counts = materialize(counts, "within-counts")
+    return _attach(df.select(key, x, y), counts, x, y, counts.count()).select(key, "n_within")
 
 
 # ---------------------------------------------------------------------------
@@ -231,8 +243,7 @@ def dbscan(df: DataFrame, key: str = "quake_id", x: str = "Latitude", y: str = "
     noise = (noncore.select("px", "py").join(border.select("px", "py"), ["px", "py"], "left_anti")
              .withColumn(label, F.lit(-1)))
     pos_label = core_lab.unionByName(border).unionByName(noise)
-    return (df.join(pos_label, (df[x] == pos_label["px"]) & (df[y] == pos_label["py"]), "left")
-            .drop("px", "py"))
+    return _attach(df, pos_label, x, y, pos.count())
 
 
 # ---------------------------------------------------------------------------
