@@ -17,6 +17,7 @@ import sys
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+os.environ["FAULTLINE_REUSE_MODELS"] = "0"  # always time the training itself
 
 from faultline.plans.registry import QUERIES  # noqa: E402
 from faultline.session import get_spark  # noqa: E402

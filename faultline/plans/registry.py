@@ -169,17 +169,47 @@ QUERIES.update({
 _MODELS: dict = {}
 
 
+def _fingerprint(spark: SparkSession, path: str, extra: str) -> str:
+    """Size and modification time of an input file (any Hadoop file system) plus parameters."""
+    import hashlib
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    st = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+    return hashlib.sha1(f"{path}|{st.getLen()}|{st.getModificationTime()}|{extra}".encode()).hexdigest()[:16]
+
+
 def trained(spark, sf_dir):
-    """Split, features, class weights and the GBT model of one data set (trained once per process)."""
+    """Split, features, class weights and the GBT model of one data set.
+
+    Trained once: kept per process, and saved under the shared checkpoint folder
+    keyed by the input's size, time and the parameters, so later runs load it
+    (``FAULTLINE_REUSE_MODELS=0`` forces training).
+    """
+    import os
+
+    from pyspark.ml import PipelineModel
+
+    from faultline.constants import GBT_PARAMS
     from faultline.operators import model as ML
-    from faultline.session import materialize
+    from faultline.session import materialize, shared_dir
+    reuse = os.environ.get("FAULTLINE_REUSE_MODELS", "1") != "0"
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MODELS:
+    if key not in _MODELS or not reuse:
         sp = materialize(split(spark, sf_dir), "split")
         table, names = M.feature_table(sp)
         table = materialize(table.join(sp.select("quake_id", "is_test"), "quake_id"), "features")
-        train = M.class_weight(table.where("NOT is_test"))
-        model = ML.train_classifier(train, names)
+        fp = _fingerprint(spark, f"{sf_dir}/events.parquet", repr(sorted(GBT_PARAMS.items())) + repr(names))
+        path = f"{shared_dir(spark)}/models/gbt-{fp}"
+        model = None
+        if reuse:
+            try:
+                model = PipelineModel.load(path)
+            except Exception:  # not saved yet
+                model = None
+        if model is None:
+            train = M.class_weight(table.where("NOT is_test"))
+            model = ML.train_classifier(train, names)
+            model.write().overwrite().save(path)
         _MODELS[key] = (model, names, table)
     return _MODELS[key]
 

@@ -67,6 +67,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The configured shared folder itself (``spark.checkpoint.dir``), for files that
+    outlive one application, such as saved models; Spark puts each application's
+    checkpoints in a subfolder of it."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    return checkpoint_dir(spark).rstrip("/")
+
+
 def materialize(df, name: str = "step"):
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
