@@ -21,37 +21,43 @@ from faultline.functions.columns import md5_order
 _G = "_grp"
 
 
-def _bucket_digits(n_rows: int, target: int = 50_000) -> int:
-    # hex digits of the hash used as bucket id: about ``target`` rows per bucket
-    return max(1, min(8, math.ceil(math.log(max(n_rows, 1) / target + 1, 16))))
-
-
 def take_first_k(df: DataFrame, sizes: DataFrame, key: str, seed: int = SEED,
-                 group: str | None = None, flag: str = "_selected", n_rows: int | None = None) -> DataFrame:
+                 group: str | None = None, flag: str = "_selected", digits: int = 4,
+                 max_edge: int = 1_000_000, n_rows: int | None = None, _start: int = 0) -> DataFrame:
     """All rows of ``df`` with a boolean ``flag``: true for the first ``k`` rows of each group.
 
     ``sizes`` holds one row per group: ``(group, k)`` (or just ``k`` without a
-    group); it is tiny and broadcast.  ``n_rows`` sizes the hash buckets.
+    group).  Rows are counted per (group, bucket), a bucket being the next
+    ``digits`` hex digits of the hash, so the count table has at most 16^digits
+    rows per group.  Its running sum finds, per group, the boundary bucket; rows
+    before it are in, rows after it out.  The boundary bucket's rows are ranked
+    directly when there are at most ``max_edge`` of them, otherwise the same
+    step recurses into them on the following digits.  Only the per-group cut
+    rows (one per group) reach the driver.  ``n_rows`` is accepted for callers
+    that know the size; the plan does not need it.
     """
-    grp = F.col(group) if group else F.lit(0)
-    h = md5_order(key, seed)
-    digits = _bucket_digits(n_rows or 1_000_000)
-    hashed = df.withColumns({_G: grp, "_h": h})
-    hashed = hashed.withColumn("_b", F.conv(F.substring("_h", 1, digits), 16, 10).cast("long"))
-    if not group:
-        sizes = sizes.withColumn(_G, F.lit(0))
-    else:
-        sizes = sizes.withColumnRenamed(group, _G)
+    if _start == 0:
+        df = df.withColumns({_G: F.col(group) if group else F.lit(0), "_h": md5_order(key, seed)})
+        sizes = sizes.withColumn(_G, F.lit(0)) if not group else sizes.withColumnRenamed(group, _G)
+    spark = df.sparkSession
+    hashed = df.withColumn("_b", F.conv(F.substring("_h", _start + 1, digits), 16, 10).cast("long"))
 
     per_bucket = hashed.groupBy(_G, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(_G).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     cum = (per_bucket.withColumn("_cum", F.sum("_n").over(w))
+           .withColumn("_tot", F.sum("_n").over(Window.partitionBy(_G)))
            .join(F.broadcast(sizes.select(_G, "k")), _G)
            .withColumn("_before", F.col("_cum") - F.col("_n")))
-    # The boundary bucket of a group: the one where the running count reaches k.
-    cuts = (cum.where((F.col("_before") < F.col("k")) & (F.col("_cum") >= F.col("k")))
-            .select(_G, F.col("_b").alias("_cut_b"), (F.col("k") - F.col("_before")).alias("_need")))
-
+    # Per group: the bucket where the running count reaches k (or "all in" when k >= the group).
+    cut_rows = (cum.where(((F.col("_before") < F.col("k")) & (F.col("_cum") >= F.col("k")))
+                          | ((F.col("_tot") <= F.col("k")) & (F.col("_cum") == F.col("_tot"))))
+                .select(_G, F.when(F.col("_tot") <= F.col("k"), F.lit(16 ** digits)).otherwise(F.col("_b"))
+                        .alias("_cut_b"),
+                        (F.col("k") - F.col("_before")).alias("_need"), F.col("_n").alias("_edge_n"))
+                .collect())
+    gtype = df.schema[_G].dataType.simpleString()
+    cuts = spark.createDataFrame([(r[_G], r["_cut_b"], r["_need"]) for r in cut_rows],
+                                 f"{_G} {gtype}, _cut_b long, _need long")
     tagged = hashed.join(F.broadcast(cuts), _G, "left")
     side = (F.when(F.col("_cut_b").isNull(), F.lit("out"))
             .when(F.col("_b") < F.col("_cut_b"), F.lit("in"))
@@ -59,10 +65,17 @@ def take_first_k(df: DataFrame, sizes: DataFrame, key: str, seed: int = SEED,
             .otherwise(F.lit("edge")))
     tagged = tagged.withColumn("_side", side)
     clear = tagged.where(F.col("_side") != "edge").withColumn(flag, F.col("_side") == "in")
-    rank_w = Window.partitionBy(_G, "_b").orderBy("_h", key)
-    edge = (tagged.where(F.col("_side") == "edge")
-            .withColumn(flag, F.row_number().over(rank_w) <= F.col("_need")))
-    return clear.unionByName(edge).drop(_G, "_h", "_b", "_cut_b", "_need", "_side")
+    edge = tagged.where(F.col("_side") == "edge").drop("_b", "_cut_b", "_side")
+    big = any(r["_edge_n"] > max_edge and r["_cut_b"] < 16 ** digits for r in cut_rows)
+    if big and _start + 2 * digits <= 32:
+        edge_sizes = cuts.select(_G, F.col("_need").alias("k"))
+        ranked = take_first_k(edge.drop("_need"), edge_sizes, key, seed, group, flag, digits, max_edge,
+                              _start=_start + digits)
+    else:
+        rank_w = Window.partitionBy(_G).orderBy("_h", key)
+        ranked = edge.withColumn(flag, F.row_number().over(rank_w) <= F.col("_need")).drop("_need")
+    out = clear.drop("_b", "_cut_b", "_need", "_side").unionByName(ranked)
+    return out.drop(_G, "_h") if _start == 0 else out
 
 
 def sample_exact(df: DataFrame, n: int, key: str = "quake_id", seed: int = SEED) -> DataFrame:

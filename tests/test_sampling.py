@@ -39,3 +39,16 @@ def test_stratified_split(spark):
     sizes = split_sizes({0: 3000 - 231, 1: 231}, 0.2)
     assert counts[(0, True)] == sizes[0] and counts[(1, True)] == sizes[1]
     assert sum(counts.values()) == 3000
+
+
+def test_recursive_boundary_refinement(spark):
+    from faultline.operators.sampling import take_first_k
+    df = spark.range(20000).select(F.col("id").alias("quake_id"), (F.col("id") % 3).alias("g"))
+    sizes = spark.createDataFrame([(0, 1234), (1, 0), (2, 99999)], "g long, k long")
+    out = take_first_k(df, sizes, "quake_id", group="g", flag="sel", digits=1, max_edge=50)
+    got = {r.g: r.n for r in out.where("sel").groupBy("g").agg(F.count("*").alias("n")).collect()}
+    assert got == {0: 1234, 2: 6666}
+    h = F.md5(F.concat_ws("-", F.col("quake_id").cast("string"), F.lit("42")))
+    want = {r[0] for r in df.where("g = 0").orderBy(h, "quake_id").limit(1234).collect()}
+    assert {r[0] for r in out.where("sel AND g = 0").select("quake_id").collect()} == want
+    assert out.count() == 20000
