@@ -62,14 +62,12 @@ def classification_report(df: DataFrame, label: str = "is_significant", pred: st
         _div(2 * F.col("tp"), F.col("support") + F.col("predicted")).alias("f1"),
         F.col("support").cast("bigint").alias("support"),
         F.col("tp"))
-    total = per_class.agg(F.sum("support").alias("t"), F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("k"))
     summary = per_class.agg(
         F.sum("support").alias("t"), F.sum("tp").alias("tp"),
         F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
         F.sum(F.col("precision") * F.col("support")).alias("wp"),
         F.sum(F.col("recall") * F.col("support")).alias("wr"),
         F.sum(F.col("f1") * F.col("support")).alias("wf"))
-    del total
     acc = summary.select(F.lit("accuracy").alias("row"), F.lit(None).cast("double").alias("precision"),
                          F.lit(None).cast("double").alias("recall"), _div(F.col("tp"), F.col("t")).alias("f1"),
                          F.col("t").cast("bigint").alias("support"))

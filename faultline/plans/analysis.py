@@ -16,7 +16,6 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from faultline.constants import DBSCAN_EPS, DBSCAN_MIN_SAMPLES, DEFAULT_CUTOFF, PRESETS, TEST_FRACTION
 from faultline.operators import aggregates as A
