@@ -365,7 +365,9 @@ def silhouette(df: DataFrame, x: str = "Latitude", y: str = "Longitude", label:
     src = sample_exact(df, max_points, key=key)
     pos = (src.groupBy(F.col(x).alias("px"), F.col(y).alias("py"), F.col(label).cast("long").alias("lab"))
            .agg(F.count(F.lit(1)).cast("double").alias("w")))
-    blocks = blocks or max(1, spark.sparkContext.defaultParallelism)
+    # each block task meets a copy of all positions: about 1,000 positions per block,
+    # never more blocks than task slots
+    blocks = blocks or max(1, min(spark.sparkContext.defaultParallelism, math.ceil(max_points / 1000)))
     left = pos.withColumn("blk", F.abs(F.xxhash64("px", "py", "lab")) % F.lit(blocks))
     right = pos.select(*[F.col(c).alias(c) for c in ["px", "py", "lab", "w"]],
                        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("blk"))
