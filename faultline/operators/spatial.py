@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.constants import DBSCAN_EPS, DBSCAN_MIN_SAMPLES
-from faultline.session import checkpoint_dir, materialize
+from faultline.session import checkpoint_dir, materialize, materialize_observed
 
 _OFF = 1 << 30
 _MUL = 1 << 31
@@ -106,14 +106,16 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
     executor costs at most one round; only "any label changed?" reaches the driver.
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = materialize(both.where(F.col("src") != F.col("dst")).distinct(), "cc-edges")
+    both, m = materialize_observed(both.where(F.col("src") != F.col("dst")).distinct(), "cc-edges",
+                                   n=F.count(F.lit(1)))
     base = nodes.select("node").distinct()
-    if both.isEmpty():
+    if m["n"] == 0:
         return base.select("node", F.col("node").alias("label"))
     first = both.groupBy("src").agg(F.min("dst").alias("nl"))
-    labels = materialize(base.join(first, base["node"] == first["src"], "left")
-                         .select("node", F.least("node", F.coalesce("nl", "node")).alias("label")), "cc-labels")
-    small = labels.count() <= broadcast_nodes
+    labels, m = materialize_observed(base.join(first, base["node"] == first["src"], "left")
+                                     .select("node", F.least("node", F.coalesce("nl", "node")).alias("label")),
+                                     "cc-labels", n=F.count(F.lit(1)))
+    small = m["n"] <= broadcast_nodes
 
     def bc(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df
@@ -127,9 +129,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
         jump = (step.join(bc(labels.select(F.col("node").alias("l2"), F.col("label").alias("ll"))),
                           step["label"] == F.col("l2"), "left")
                 .select("node", F.least("label", F.coalesce("ll", "label")).alias("label"), "old"))
-        new = materialize(jump.select("node", "label", (F.col("label") != F.col("old")).alias("chg")), "cc-labels")
-        labels = new.select("node", "label")
-        if new.where("chg").isEmpty():
+        labels, m = materialize_observed(jump, "cc-labels", keep=["node", "label"],
+                                         changed=F.count_if(F.col("label") != F.col("old")))
+        if m["changed"] == 0:
             return labels
     raise RuntimeError("connected components did not converge")
 
@@ -178,7 +180,7 @@ def dbscan(df: DataFrame, key: str = "quake_id", x: str = "Latitude", y: str = "
     pos = (pos.join(nb_count, ["px", "py"], "left")
            .withColumn("core", (F.col("cw") >= F.lit(min_samples)) | (F.coalesce("nb", F.lit(0)) >= F.lit(min_samples)))
            .drop("nb"))
-    pos = materialize(pos, "dbscan-core")
+    pos, pos_m = materialize_observed(pos, "dbscan-core", n=F.count(F.lit(1)))
     core = pos.where("core")
 
     # Core cells with the bounding box of their core positions.
@@ -211,11 +213,11 @@ def dbscan(df: DataFrame, key: str = "quake_id", x: str = "Latitude", y: str = "
     core_pts = core.select("node", "px", "py")
     left = crossing.join(core_pts.withColumnRenamed("node", "src"), "src")
     right = core_pts.select(F.col("node").alias("dst"), F.col("px").alias("qx"), F.col("py").alias("qy"))
-    linked = materialize(
+    linked, m = materialize_observed(
         left.join(right, (left["dst"] == right["dst"])
                   & (_d2(F.col("px"), F.col("py"), F.col("qx"), F.col("qy")) <= F.lit(eps2)), "left_semi")
-        .select("src", "dst").distinct(), "dbscan-linked")
-    if linked.isEmpty():
+        .select("src", "dst").distinct(), "dbscan-linked", n=F.count(F.lit(1)))
+    if m["n"] == 0:
         comp = comp.select("node", F.col("label").alias("comp"))
     else:
         extra = (linked.join(lab.withColumnRenamed("n", "src").withColumnRenamed("l", "ls"), "src")
@@ -243,7 +245,7 @@ def dbscan(df: DataFrame, key: str = "quake_id", x: str = "Latitude", y: str = "
     noise = (noncore.select("px", "py").join(border.select("px", "py"), ["px", "py"], "left_anti")
              .withColumn(label, F.lit(-1)))
     pos_label = core_lab.unionByName(border).unionByName(noise)
-    return _attach(df, pos_label, x, y, pos.count())
+    return _attach(df, pos_label, x, y, pos_m["n"])
 
 
 # ---------------------------------------------------------------------------
@@ -303,11 +305,12 @@ def nearest_label(points: DataFrame, labelled: DataFrame, key: str = "quake_id",
                 .groupBy("pk", "qx", "qy")
                 .agg(F.min(F.when(F.col("lk").isNotNull(), F.struct(d2.alias("d2"), "lk", "ll"))).alias("b")))
         # one table per round: certified rows are final, the others go to the next, coarser round
-        rnd = materialize(cand.withColumn("ok", F.coalesce(F.col("b.d2") <= F.lit(s_k * s_k), F.lit(False))),
-                          "nn-round")
+        rnd, m = materialize_observed(
+            cand.withColumn("ok", F.coalesce(F.col("b.d2") <= F.lit(s_k * s_k), F.lit(False))), "nn-round",
+            open=F.count_if(~F.col("ok")))
         found.append(rnd.where("ok").select("pk", F.col("b.ll").alias(label)))
         todo = rnd.where(~F.col("ok")).select("pk", "qx", "qy")
-        if todo.isEmpty():
+        if m["open"] == 0:
             break
         k += 1
     best = found[0]

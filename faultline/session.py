@@ -91,3 +91,19 @@ def materialize(df, name: str = "step"):
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_observed(df, name: str, keep: list[str] | None = None, **metrics):
+    """:func:`materialize` that also returns aggregate ``metrics`` (name -> Column)
+    computed while writing, via ``DataFrame.observe`` (no extra job).  ``keep``
+    projects the columns to write after the metrics are observed."""
+    import uuid
+
+    from pyspark.sql import Observation
+
+    obs = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
+    observed = df.observe(obs, *[c.alias(k) for k, c in metrics.items()])
+    if keep:
+        observed = observed.select(*keep)
+    out = materialize(observed, name)
+    return out, obs.get
