@@ -365,7 +365,8 @@ def silhouette(df: DataFrame, x: str = "Latitude", y: str = "Longitude", label:
     from faultline.operators.sampling import sample_exact
 
     spark: SparkSession = df.sparkSession
-    src = sample_exact(df, max_points, key=key)
+    # the (bounded) scored rows are read several times: write them once
+    src = materialize(sample_exact(df.select(key, x, y, label), max_points, key=key), "silhouette-rows")
     pos = (src.groupBy(F.col(x).alias("px"), F.col(y).alias("py"), F.col(label).cast("long").alias("lab"))
            .agg(F.count(F.lit(1)).cast("double").alias("w")))
     # each block task meets a copy of all positions: about 1,000 positions per block,
@@ -391,6 +392,8 @@ def silhouette_squared(df: DataFrame, x: str = "Latitude", y: str = "Longitude",
     keep the cancellation small.  The per-label sums are one small aggregate,
     passed to every row as a scalar subquery (an array of one struct per label).
     """
+    # three passes below (centre, per-label sums, scores): write the three columns once
+    df = materialize(df.select(x, y, label), "silhouette-sq-rows")
     means = df.agg(F.struct(F.avg(x).alias("mx"), F.avg(y).alias("my")).alias("m")).first()["m"]
     c = df.select((F.col(x) - F.lit(means["mx"])).alias("u"), (F.col(y) - F.lit(means["my"])).alias("v"),
                   F.col(label).cast("long").alias("lab"))
