@@ -84,8 +84,8 @@ def within_distance_counts(df: DataFrame, x: str = "Latitude", y: str = "Longitu
     counts = (probe.join(build, ["ncx", "ncy"])
               .where(_d2(F.col("px"), F.col("py"), F.col("qx"), F.col("qy")) <= F.lit(eps2))
               .groupBy("px", "py").agg(F.sum("qw").cast("bigint").alias("n_within")))
-    counts = materialize(counts, "within-counts")
-    return _attach(df.select(key, x, y), counts, x, y, counts.count()).select(key, "n_within")
+    counts, m = materialize_observed(counts, "within-counts", n=F.count(F.lit(1)))
+    return _attach(df.select(key, x, y), counts, x, y, m["n"]).select(key, "n_within")
 
 
 # ---------------------------------------------------------------------------
@@ -198,7 +198,7 @@ def dbscan(df: DataFrame, key: str = "quake_id", x: str = "Latitude", y: str = "
     pairs = (pairs.select(F.col("a_node").alias("src"), F.col("b_node").alias("dst"),
                           (gx * gx + gy * gy).alias("near2"), (sx * sx + sy * sy).alias("far2"))
              .where(F.col("near2") <= F.lit(eps2)))
-    pairs = materialize(pairs, "dbscan-pairs")
+    pairs, pm = materialize_observed(pairs, "dbscan-pairs", open=F.count_if(F.col("far2") > F.lit(eps2)))
     sure = pairs.where(F.col("far2") <= F.lit(eps2)).select("src", "dst")
     open_pairs = pairs.where(F.col("far2") > F.lit(eps2)).select("src", "dst")
 
@@ -206,26 +206,29 @@ def dbscan(df: DataFrame, key: str = "quake_id", x: str = "Latitude", y: str = "
     comp = connected_components(nodes, sure)
 
     # Undecided pairs whose cells are not yet in one component: test points.
-    lab = comp.select(F.col("node").alias("n"), F.col("label").alias("l"))
-    crossing = (open_pairs.join(lab.withColumnRenamed("n", "src").withColumnRenamed("l", "ls"), "src")
-                .join(lab.withColumnRenamed("n", "dst").withColumnRenamed("l", "ld"), "dst")
-                .where(F.col("ls") != F.col("ld")).select("src", "dst"))
-    core_pts = core.select("node", "px", "py")
-    left = crossing.join(core_pts.withColumnRenamed("node", "src"), "src")
-    right = core_pts.select(F.col("node").alias("dst"), F.col("px").alias("qx"), F.col("py").alias("qy"))
-    linked, m = materialize_observed(
-        left.join(right, (left["dst"] == right["dst"])
-                  & (_d2(F.col("px"), F.col("py"), F.col("qx"), F.col("qy")) <= F.lit(eps2)), "left_semi")
-        .select("src", "dst").distinct(), "dbscan-linked", n=F.count(F.lit(1)))
-    if m["n"] == 0:
+    if pm["open"] == 0:
         comp = comp.select("node", F.col("label").alias("comp"))
     else:
-        extra = (linked.join(lab.withColumnRenamed("n", "src").withColumnRenamed("l", "ls"), "src")
-                 .join(lab.withColumnRenamed("n", "dst").withColumnRenamed("l", "ld"), "dst")
-                 .select(F.col("ls").alias("src"), F.col("ld").alias("dst")))
-        comp2 = connected_components(comp.select(F.col("label").alias("node")).distinct(), extra)
-        comp = (comp.join(comp2.select(F.col("node").alias("label"), F.col("label").alias("root")), "label")
-                .select("node", F.col("root").alias("comp")))
+        lab = comp.select(F.col("node").alias("n"), F.col("label").alias("l"))
+        crossing = (open_pairs.join(lab.withColumnRenamed("n", "src").withColumnRenamed("l", "ls"), "src")
+                    .join(lab.withColumnRenamed("n", "dst").withColumnRenamed("l", "ld"), "dst")
+                    .where(F.col("ls") != F.col("ld")).select("src", "dst"))
+        core_pts = core.select("node", "px", "py")
+        left = crossing.join(core_pts.withColumnRenamed("node", "src"), "src")
+        right = core_pts.select(F.col("node").alias("dst"), F.col("px").alias("qx"), F.col("py").alias("qy"))
+        linked, m = materialize_observed(
+            left.join(right, (left["dst"] == right["dst"])
+                      & (_d2(F.col("px"), F.col("py"), F.col("qx"), F.col("qy")) <= F.lit(eps2)), "left_semi")
+            .select("src", "dst").distinct(), "dbscan-linked", n=F.count(F.lit(1)))
+        if m["n"] == 0:
+            comp = comp.select("node", F.col("label").alias("comp"))
+        else:
+            extra = (linked.join(lab.withColumnRenamed("n", "src").withColumnRenamed("l", "ls"), "src")
+                     .join(lab.withColumnRenamed("n", "dst").withColumnRenamed("l", "ld"), "dst")
+                     .select(F.col("ls").alias("src"), F.col("ld").alias("dst")))
+            comp2 = connected_components(comp.select(F.col("label").alias("node")).distinct(), extra)
+            comp = (comp.join(comp2.select(F.col("node").alias("label"), F.col("label").alias("root")), "label")
+                    .select("node", F.col("root").alias("comp")))
 
     # Zone numbers: components ordered by their smallest core key.
     comp_key = cells.join(comp, "node").groupBy("comp").agg(F.min("kmin").alias("ck"))
