@@ -198,7 +198,9 @@ def trained(spark, sf_dir):
         sp = materialize(split(spark, sf_dir), "split")
         table, names = M.feature_table(sp)
         table = materialize(table.join(sp.select("quake_id", "is_test"), "quake_id"), "features")
-        fp = _fingerprint(spark, f"{sf_dir}/events.parquet", repr(sorted(GBT_PARAMS.items())) + repr(names))
+        from faultline import __version__
+        fp = _fingerprint(spark, f"{sf_dir}/events.parquet",
+                          __version__ + repr(sorted(GBT_PARAMS.items())) + repr(names))
         path = f"{shared_dir(spark)}/models/gbt-{fp}"
         model = None
         if reuse:
