@@ -161,7 +161,6 @@ def dbscan(df: DataFrame, key: str = "quake_id", x: str = "Latitude", y: str = "
     eps2 = eps * eps
     side = eps / (2 * math.sqrt(2))
     r = math.ceil(eps / side)
-    spark: SparkSession = df.sparkSession
 
     pos = positions(df, x, y, key).withColumns({"cx": _cell(F.col("px"), side), "cy": _cell(F.col("py"), side)})
     cell_w = Window.partitionBy("cx", "cy")
@@ -233,7 +232,8 @@ def dbscan(df: DataFrame, key: str = "quake_id", x: str = "Latitude", y: str = "
     # Zone numbers: components ordered by their smallest core key.
     comp_key = cells.join(comp, "node").groupBy("comp").agg(F.min("kmin").alias("ck"))
     zones = comp_key.select("comp", (F.dense_rank().over(Window.orderBy("ck")) - 1).alias("zone"))
-    cell_zone = comp.join(zones, "comp").select("node", "zone")
+    # one row per core cell, read twice below
+    cell_zone = materialize(comp.join(zones, "comp").select("node", "zone"), "dbscan-zones")
 
     core_lab = core.join(cell_zone, "node").select("px", "py", F.col("zone").cast("int").alias(label))
     # Border positions: the lowest zone among core positions within eps.
@@ -244,10 +244,11 @@ def dbscan(df: DataFrame, key: str = "quake_id", x: str = "Latitude", y: str = "
         F.col("cx").alias("ncx"), F.col("cy").alias("ncy"), F.col("px").alias("qx"), F.col("py").alias("qy"), "zone")
     border = (bprobe.join(cbuild, ["ncx", "ncy"])
               .where(_d2(F.col("px"), F.col("py"), F.col("qx"), F.col("qy")) <= F.lit(eps2))
-              .groupBy("px", "py").agg(F.min("zone").cast("int").alias(label)))
-    noise = (noncore.select("px", "py").join(border.select("px", "py"), ["px", "py"], "left_anti")
-             .withColumn(label, F.lit(-1)))
-    pos_label = core_lab.unionByName(border).unionByName(noise)
+              .groupBy("px", "py").agg(F.min("zone").cast("int").alias("bz")))
+    # non-core positions without a core position within eps are noise
+    rest = (noncore.select("px", "py").join(border, ["px", "py"], "left")
+            .select("px", "py", F.coalesce("bz", F.lit(-1)).alias(label)))
+    pos_label = core_lab.unionByName(rest)
     return _attach(df, pos_label, x, y, pos_m["n"])
 
 
