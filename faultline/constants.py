@@ -106,3 +106,9 @@ PRESETS = {
     "run": dict(cluster_sample=5_000, silhouette=False, spread_labels=False, depth_bands=False,
                 histogram_bins=30, chart_sample=5_000, zone_section=True),
 }
+
+# Parameters of the registered check queries (the quake view over ``events``)
+QUERY_SAMPLE_CAP = 5_000          # sample cap of the run/simple presets
+QUERY_TIGHT_EPS = 0.055           # no distance on the view's 0.01 grid equals it (no float ties)
+QUERY_TIGHT_MIN_SAMPLES = 20
+QUERY_HIST_BINS = 30

@@ -8,7 +8,8 @@ two engines share no code.  Column names and types follow the Spark results.
 from __future__ import annotations
 
 from faultline.constants import (
-    DBSCAN_EPS, DBSCAN_MIN_SAMPLES, DEPTH_EDGES, DEPTH_LABELS, NA_TOKENS, REGION_GROUPS, SEED,
+    DBSCAN_EPS, DBSCAN_MIN_SAMPLES, DEPTH_EDGES, DEPTH_LABELS, NA_TOKENS, QUERY_HIST_BINS, QUERY_SAMPLE_CAP,
+    QUERY_TIGHT_EPS, QUERY_TIGHT_MIN_SAMPLES, REGION_GROUPS, SEED,
 )
 from faultline.functions.columns import NUMBER_PATTERN
 from faultline.sources.catalog import VIEW_CUTOFF, VIEW_PLACES
@@ -108,7 +109,7 @@ def md5_key(key: str, seed: int = SEED) -> str:
 CLEAN_COLUMNS = ("quake_id, Date_Time_PH, Latitude, Longitude, Depth_In_Km, Magnitude, Location, "
                  "General_Location, is_significant, Region, Hour, DayOfWeek, Month, Depth_Category")
 
-HIST_BINS = 30
+HIST_BINS = QUERY_HIST_BINS
 
 
 def _histogram(bins: int, by: str | None) -> str:
@@ -209,8 +210,8 @@ FROM clean GROUP BY Region ORDER BY Region""")
 # Sampling, split, features, metrics, spatial
 # ---------------------------------------------------------------------------
 
-SAMPLE_CAP = 5000
-TIGHT_EPS, TIGHT_MIN = 0.055, 20
+SAMPLE_CAP = QUERY_SAMPLE_CAP
+TIGHT_EPS, TIGHT_MIN = QUERY_TIGHT_EPS, QUERY_TIGHT_MIN_SAMPLES
 
 
 def _eps2(eps: float) -> str:

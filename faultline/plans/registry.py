@@ -12,17 +12,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.constants import (
+    DBSCAN_EPS, DBSCAN_MIN_SAMPLES, QUERY_HIST_BINS, QUERY_SAMPLE_CAP, QUERY_TIGHT_EPS,
+    QUERY_TIGHT_MIN_SAMPLES,
+)
 from faultline.operators import aggregates as A
 from faultline.operators import clean as C
 from faultline.operators import features as M
 from faultline.operators import metrics as E
+from faultline.operators import model as ML
 from faultline.operators import profile as P
 from faultline.operators import sampling as D
 from faultline.operators import spatial as Z
-from faultline.constants import DBSCAN_EPS, DBSCAN_MIN_SAMPLES
+from faultline.operators.charts import chart_map
+from faultline.operators.report import report_lines, run_summary
+from faultline.operators.zones import zone_profile
+from faultline.session import materialize, shared_dir
 from faultline.sources.catalog import VIEW_CUTOFF, quake_view
 
-HIST_BINS = 30
+HIST_BINS = QUERY_HIST_BINS
+SAMPLE_CAP = QUERY_SAMPLE_CAP
+TIGHT_EPS, TIGHT_MIN = QUERY_TIGHT_EPS, QUERY_TIGHT_MIN_SAMPLES
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,13 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-SAMPLE_CAP = 5000
-TIGHT_EPS, TIGHT_MIN = 0.055, 20
-
 
 def clean_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clean catalogue written once (shared checkpoint folder) for queries that read it several times."""
-    from faultline.session import materialize
     return materialize(clean(spark, sf_dir), "clean")
 
 
@@ -90,7 +96,6 @@ def rule_prediction(df: DataFrame) -> DataFrame:
 
 
 def evaluated(spark, sf_dir):
-    from faultline.session import materialize
     return materialize(rule_prediction(split(spark, sf_dir).where("is_test")), "evaluated")
 
 
@@ -99,7 +104,6 @@ def train_rows(spark, sf_dir):
 
 
 def q_zone_profile(spark, sf_dir):
-    from faultline.operators.zones import zone_profile
     return zone_profile(labelled(spark, sf_dir))
 
 
@@ -119,7 +123,6 @@ def q_accuracy(spark, sf_dir):
 
 
 def sampled_labels(spark, sf_dir, base=None):
-    from faultline.session import materialize
     base = base if base is not None else clean_once(spark, sf_dir)
     s = materialize(D.sample_exact(base, SAMPLE_CAP), "sample")
     return Z.dbscan(s)
@@ -190,8 +193,6 @@ def trained(spark, sf_dir):
     from pyspark.ml import PipelineModel
 
     from faultline.constants import GBT_PARAMS
-    from faultline.operators import model as ML
-    from faultline.session import materialize, shared_dir
     reuse = os.environ.get("FAULTLINE_REUSE_MODELS", "1") != "0"
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS or not reuse:
@@ -217,13 +218,11 @@ def trained(spark, sf_dir):
 
 
 def q_predictions(spark, sf_dir):
-    from faultline.operators import model as ML
     model, names, table = trained(spark, sf_dir)
     return ML.predict(model, table.where("is_test"), ["quake_id", "is_significant"])
 
 
 def q_top_features(spark, sf_dir):
-    from faultline.operators import model as ML
     model, names, _ = trained(spark, sf_dir)
     return ML.top_features(ML.feature_importance(model, names), 10)
 
@@ -234,19 +233,15 @@ def q_model_report(spark, sf_dir):
 
 
 def q_map_points(spark, sf_dir):
-    from faultline.operators.charts import chart_map
     return chart_map(labelled(spark, sf_dir), SAMPLE_CAP, "Cluster")
 
 
 def q_summary_report(spark, sf_dir):
-    from faultline.operators.report import report_lines
     base = clean_once(spark, sf_dir)
     return report_lines(base, labelled(spark, sf_dir, base=base))
 
 
 def q_run_summary(spark, sf_dir):
-    from faultline.operators import model as ML
-    from faultline.operators.report import run_summary
     model, names, _ = trained(spark, sf_dir)
     base = clean_once(spark, sf_dir)
     return run_summary(base, E.accuracy(q_predictions(spark, sf_dir)), labelled(spark, sf_dir, base=base),
