@@ -63,7 +63,10 @@ def quake_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Integer arithmetic on the event key and user, then a single division, so that
     every engine produces the same values.  Numeric columns arrive as DOUBLE,
-    depth and time as text (with malformed values), place names as text.
+    depth and time as text (with malformed values), place names as text.  The
+    ``event_id % n`` rules only decide which *values* are malformed or missing
+    (as a real catalogue has them); every event becomes one catalogue row, and
+    nothing here selects or drops rows.
     """
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id")
     cores = spark.sparkContext.defaultParallelism
