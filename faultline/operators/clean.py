@@ -73,12 +73,15 @@ def add_regions(df: DataFrame, raw: DataFrame, col: str = "General_Location", re
                 default: str = REGION_DEFAULT, broadcast_limit: int = 1_000_000) -> DataFrame:
     """Attach ``Region`` by joining the distinct-name table; NULL names take ``default``.
 
-    The name table is broadcast only when its counted size is below
-    ``broadcast_limit``; above it both sides shuffle on the name.
+    The name table is written once (its row count observed during the write) and
+    broadcast only when that count is below ``broadcast_limit``; above it both
+    sides shuffle on the name.
     """
-    regions = place_regions(raw, col, region_groups, default)
-    n = regions.count()
-    small = F.broadcast(regions) if n <= broadcast_limit else regions
+    from faultline.session import materialize_observed
+
+    regions, m = materialize_observed(place_regions(raw, col, region_groups, default), "place-regions",
+                                      n=F.count(F.lit(1)))
+    small = F.broadcast(regions) if m["n"] <= broadcast_limit else regions
     out = df.join(small, col, "left")
     return out.withColumn("Region", F.coalesce(F.col("Region"), F.lit(default)))
 
