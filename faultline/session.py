@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 BASE_CONF = {
     # Event times are naive local wall-clock times; pin the session zone so that
@@ -23,18 +23,19 @@ BASE_CONF = {
 }
 
 
-def get_spark(master: str | None = None, app: str = "faultline", shuffle_partitions: int = 8,
+def get_spark(master: str | None = None, app: str = "faultline", shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings the library relies on.
 
-    On a cluster, call without ``master`` and size ``shuffle_partitions`` to the
-    data (about 128-256 MB of shuffle data per partition); AQE coalesces the rest.
+    ``shuffle_partitions`` is left to the cluster's own setting unless given: size it to
+    the data (about 128-256 MB of shuffle data per partition); AQE coalesces, it never adds.
     """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if master and master.startswith("local"):
         conf.setdefault("spark.driver.memory", os.environ.get("FAULTLINE_DRIVER_MEMORY", "8g"))
     conf.update(extra or {})
@@ -45,65 +46,78 @@ def get_spark(master: str | None = None, app: str = "faultline", shuffle_partiti
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Read from the session (``spark.checkpoint.dir`` or a directory already set on
-    the context).  Only a local-mode session without one gets a private temporary
-    folder, as in tests; a cluster without the setting is an error, because a
-    machine-local folder does not survive the loss of an executor.
+    Where it is unset, a folder under the session's warehouse is used, which Spark
+    already shares between driver and executors.  A local ``file:`` folder is accepted
+    only where driver and executors share the machine (``local`` masters, tests).
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir() or configured
-    if sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="faultline-ckpt-"))
-        return sc.getCheckpointDir()
-    raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
+    if not configured:
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    configured = configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") and _is_local(spark, configured):
+        raise ValueError(f"spark.checkpoint.dir is the machine-local folder {configured}; set a shared one")
+    return configured
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The configured shared folder itself (``spark.checkpoint.dir``), for files that
-    outlive one application, such as saved models; Spark puts each application's
-    checkpoints in a subfolder of it."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    return checkpoint_dir(spark).rstrip("/")
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _is_local(spark: SparkSession, path: str) -> bool:
+    return _path(spark, path)[1].getUri().getScheme() == "file"
+
+
+def tables_dir(spark: SparkSession) -> str:
+    """This application's own folder under :func:`shared_dir`; removed when the driver ends."""
+    base = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    p, fs = _path(spark, base)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return base
 
 
-def materialize(df, name: str = "step"):
+def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
     Cuts lineage like ``checkpoint()`` but computes the plan once (a reliable
     checkpoint runs it twice unless cached), and the files survive the loss of
-    any executor.
+    any executor.  :func:`drop_tables` removes it once nothing reads it any more;
+    what is left goes when the driver ends.
     """
-    import uuid
-
     spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._faultline_path = path
+    return out
+
 
+def drop_tables(*tables: DataFrame | None) -> None:
+    """Delete tables made by :func:`materialize` that nothing will read again."""
+    for t in tables:
+        path = getattr(t, "_faultline_path", None)
+        if path:
+            p, fs = _path(t.sparkSession, path)
+            fs.delete(p, True)
 
-def materialize_observed(df, name: str, keep: list[str] | None = None, **metrics):
+
+def materialize_observed(df: DataFrame, name: str, keep: list[str] | None = None, **metrics):
     """:func:`materialize` that also returns aggregate ``metrics`` (name -> Column)
     computed while writing, via ``DataFrame.observe`` (no extra job).  ``keep``
     projects the columns to write after the metrics are observed."""
-    import uuid
-
-    from pyspark.sql import Observation
-
     obs = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
     observed = df.observe(obs, *[c.alias(k) for k, c in metrics.items()])
     if keep:
         observed = observed.select(*keep)
     out = materialize(observed, name)
     return out, obs.get
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Folder for streaming checkpoints: this application's own under :func:`shared_dir`."""
+    return tables_dir(spark)
