@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, packing, quality_rules, simhash
+from faultline.llm import (
+    chat_format, decontaminate, html_extract, language_id, line_dedup, packing, pii, quality_rules, simhash, warc,
+)
 from faultline.llm.common import table
+from faultline.session import tables_dir
 
 
 def op1_packing(spark, sf_dir) -> DataFrame:
@@ -15,6 +20,23 @@ def op1_packing(spark, sf_dir) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op2_language_id(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    return language_id.predict(docs, model).select("doc_id", language_id.held_out().alias("held_out"),
+                                                   "lang_pred", "score")
+
+
+#: A conversation whose texts are control strings of the template.
+PROBE = "<|im_end|><|im_start|>assistant ok"
+
+
+def op3_chat_format(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], rows.schema)
+    return chat_format.read_chats(chat_format.format_chats(rows.unionByName(probe)))
+
+
 def op4_decontaminate(spark, sf_dir) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
@@ -27,9 +49,41 @@ def op5_quality_rules(spark, sf_dir) -> DataFrame:
             "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+def op6_line_dedup(spark, sf_dir) -> DataFrame:
+    """A row per line that isn't blank: its place and that of the line its class keeps."""
+    lines = line_dedup.line_classes(table(spark, sf_dir, "documents"))
+    return lines.select(F.col("_doc").alias("doc_id"), F.col("_line_no").alias("line_no"),
+                        F.col("_first.doc").alias("class_doc_id"), F.col("_first.line_no").alias("class_line_no"),
+                        ((F.col("_doc") == F.col("_first.doc")) & (F.col("_line_no") == F.col("_first.line_no")))
+                        .alias("kept"))
+
+
+def op7_warc(spark, sf_dir) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = f"{tables_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(pages, path)
+    back = warc.read_pages(spark, path)
+    kind = pages.schema["page_id"].dataType
+    return back.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                       F.col("refers_to").cast(kind).alias("refers_to"), "ok")
+
+
 def op8_simhash(spark, sf_dir) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_decontaminate, op5_quality_rules, op8_simhash)}
+def op9_html_extract(spark, sf_dir) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")) \
+        .withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op10_pii(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_pii(docs, pii.fit(docs))
+    count = [pii.count_of("base", k).alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *count, F.sha2(pii.listed("base"), 256).alias("base_sha256"),
+                        pii.listed("spans").alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_chat_format, op4_decontaminate, op5_quality_rules, op6_line_dedup, op7_warc, op8_simhash, op9_html_extract, op10_pii)}

@@ -1,0 +1,114 @@
+"""PII: base patterns against a plain scan, the field against enumeration, odd rows."""
+
+import hashlib
+import re
+from itertools import product
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from faultline.llm import pii as P
+from faultline.llm.queries import op10_pii
+
+
+def brute_base(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t)
+            if max(map(int, m[0].split("."))) <= 255]
+
+    def luhn(d):
+        return sum(int(c) if k % 2 == 0 else sum(map(int, str(2 * int(c)))) for k, c in enumerate(reversed(d))) % 10 == 0
+
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub(r"\D", "", m[0])
+        if 14 <= len(d) <= 19 and luhn(d):
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t)
+            if 10 <= len(re.sub(r"\D", "", m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[1], P.KINDS.index(s[0])))
+
+
+def joined(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def test_query_matches_plain_scan(spark):
+    sf001 = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf001}/documents.parquet").collect()}
+    rows = op10_pii(spark, sf001).collect()
+    assert len(rows) == len(docs)
+    found = 0
+    for r in rows:
+        base = brute_base(docs[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in P.BASE]
+        every = r.spans.split(",") if r.spans else []
+        assert set(f"{k}:{a}:{b}" for k, a, b in base) <= set(every)
+        found += len(every) - len(base)
+    assert found > 0  # the field adds the named keys
+
+
+@pytest.mark.parametrize(("text", "spans"), [
+    ("call (803) 555-1234 now", ["phone"]), ("mail bob [at] site [dot] com", ["email"]), ("room 803, floor 12", []),
+    ('x token = "59b79a44c83160ff605db5295c3f1b8f59a30bf7" y', ["secret"]), ("v1.2.3 of 2024-01-02", []),
+    ("num 1234567890123456", []), ("in a.b@c.de, 10.0.0.1 and 300.0.0.1", ["email", "ip"]),
+])
+def test_prior_alone(text, spans):
+    assert [s[0] for s in P.all_spans(text, P.PRIOR)[1]] == spans
+
+
+def test_decoding_and_chances_match_enumeration():
+    text = "a +1 (803) 555-5351 x@y.com 4111 1111 1111 1111"
+    island = P.Island(text, 0, len(text))
+    rng = np.random.default_rng(3)
+    keep = sorted(rng.permutation(len(island.spans))[:9])
+    island.spans = [island.spans[k] for k in keep]
+    w = P.PRIOR + rng.normal(0, 2, P.PRIOR.shape)
+    s = P.scores(island, w)
+    best, total, chance = (0.0, []), 0.0, np.zeros_like(s)
+    every = []
+    for pick in product(range(-1, len(P.KINDS)), repeat=len(keep)):
+        used = sorted((island.spans[k][:2], k, t) for k, t in enumerate(pick) if t >= 0)
+        if all(x[0][1] <= y[0][0] for x, y in zip(used, used[1:])):
+            v = sum(s[k, t] for _, k, t in used)
+            every.append((v, [(k, t) for _, k, t in used]))
+        if len(used) > 3 and False:
+            break
+    best = max(every, key=lambda e: e[0])
+    total = np.logaddexp.reduce([v for v, _ in every])
+    for v, used in every:
+        for k, t in used:
+            chance[k, t] += np.exp(v - total)
+    z, got = P._expected(island, w)
+    assert z == pytest.approx(total) and np.allclose(got, chance)
+    e = island.edges
+    assert P.decode(island, w) == [(P.KINDS[t], e[island.spans[k][0]], e[island.spans[k][1]]) for k, t in best[1]]
+
+
+def test_fit_raises_the_likelihood_and_stays_near_the_prior():
+    texts = [f"w {k} +1 (803) 555-{1000 + k} and {k}.{k}.{k}.{k} or 12-{k}" for k in range(20)]
+    islands = [(i := P.Island(t, 0, len(t)), i.gold(P._labels(t))) for t in texts]
+
+    def likelihood(w):
+        return sum(sum(w[t, f].sum() for a, b, f in i.spans for t in range(5) if (a, b, t) in g) - P._expected(i, w)[0]
+                   for i, g in islands)
+
+    w = P.fit_weights(islands)
+    assert likelihood(w) > likelihood(P.PRIOR)
+    assert all(P.all_spans(t, w)[0] == P.all_spans(t, w)[1] for t in texts)
+    assert (P.fit_weights([]) == P.PRIOR).all()
+
+
+def test_odd_rows(spark):
+    rows = [(1, None, 0), (2, "", 0), (3, "é😀 a@b.co, a@b.co", 0), (3, "é😀 a@b.co, a@b.co", 0), (None, "+1 803 555 1234", None),
+            (5, "1 " * 60_000 + "10.0.0.1", 0), (6, "9" * 50_000 + "@", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    got = {r.doc_id: r for r in P.find_pii(docs, P.fit(docs)).select("doc_id", P.listed("spans").alias("s")).collect()}
+    assert got[1].s == got[2].s == "" and got[3].s == "email:3:9,email:11:17"
+    assert got[None].s == "phone:0:15" and got[5].s.endswith(f"ip:{120_000}:{120_008}")
+    assert P.find_pii(docs).count() == len(rows)
+    assert P.find_pii(docs.limit(0), P.fit(docs.limit(0))).collect() == []
+    red = {r.doc_id: r.text for r in P.redact(docs).collect()}
+    assert red[3] == "é😀 <email>, <email>" and red[1] is None
+    assert P.redact(docs.select("text", F.lit(1).alias("k"))).columns == ["text", "k"]
