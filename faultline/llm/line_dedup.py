@@ -320,7 +320,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         .where("_n > 1").drop("_n"), "line-firsts")
     own = F.struct(F.col("_doc").alias("doc"), F.col("_line_no").alias("line_no"))
     return every.join(first, "_class", "left").select(
-        "_doc", "_line_no", F.coalesce(F.struct("_first.doc", "_first.line_no"), own).alias("_first"),
+        "_doc", "_line_no",
+        F.when(F.col("_first").isNull(), own).otherwise(F.struct("_first.doc", "_first.line_no")).alias("_first"),
         F.col("_first").isNotNull().alias("_many"))
 
 
