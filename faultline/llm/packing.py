@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_right
+from collections import OrderedDict
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -34,8 +36,8 @@ PERIOD_WINDOWS = 64
 #: More sources than this share queues by a hash of their names.
 MAX_QUEUES = 4096
 END_ID = 0
-#: Words kept with their ids in a task; then the table is begun anew.
-_CACHED_WORDS = 1 << 18
+#: Periods whose services a task keeps; queues drift apart by some.
+_CACHED_PERIODS = 512
 #: Documents in one output batch.
 _OUT_ROWS = 1024
 
@@ -59,33 +61,13 @@ def _ranks(path: str) -> dict[bytes, int]:
     return {bytes(byte[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
 
 
-class Encoder:
+@lru_cache(maxsize=2)
+def encoder(path: str):
     """Ids of a text as uint32 bytes, as the file's own library gives them without special
-    tokens.  A text without doubled spaces falls into words at its spaces, each of which
-    always begins a split of the pattern, so ids of words seen before are looked up."""
-
-    def __init__(self, path: str):
-        import tiktoken
-        self._encode = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=_ranks(path),
-                                         special_tokens={}).encode_ordinary
-        self._seen: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self._encode(text), "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        words = text.split(" ")
-        if "" in words:
-            return self._ids(text)
-        out = list(map(self._seen.get, words))
-        out[0] = self._ids(words[0])
-        if None in out:
-            if len(self._seen) > _CACHED_WORDS:
-                self._seen.clear()
-            for k, v in enumerate(out):
-                if v is None:
-                    out[k] = self._seen[words[k]] = self._ids(" " + words[k])
-        return b"".join(out)
+    tokens.  Made once for each worker process."""
+    import tiktoken
+    encode = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
+    return lambda text: encode.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 class Schedule:
@@ -126,7 +108,7 @@ class Schedule:
         self.first_period = [0]
         for _, _, _, length in self.phases:
             self.first_period.append(self.first_period[-1] + -(-length // self.step))
-        self._services: dict[int, list] = {}
+        self._services: OrderedDict[int, dict] = OrderedDict()
 
     def served(self, period: int) -> list[int]:
         """Tokens that each queue has served before a period."""
@@ -148,16 +130,17 @@ class Schedule:
             lo, hi = (mid, hi) if self.served_of(k, mid) <= at else (lo, mid)
         return lo
 
-    def services(self, period: int) -> list[list[tuple[int, int, int]]]:
+    def services(self, period: int) -> dict[int, list[tuple[int, int, int]]]:
         """For each queue its services in a period: (place in the queue, tokens, place among
         all tokens), in order.  No service crosses the end of a window."""
         if period in self._services:
+            self._services.move_to_end(period)
             return self._services[period]
         start, end = self.served(period), self.served(period + 1)
         quota = [b - a for a, b in zip(start, end)]
         total, place = sum(quota), sum(start)
-        served, out = [0] * len(quota), [[] for _ in quota]
         active = [k for k, n in enumerate(quota) if n]
+        served, out = [0] * len(quota), {k: [] for k in active}
         turn, done = 0, 0
 
         def serve(k: int, n: int) -> None:
@@ -188,8 +171,8 @@ class Schedule:
                 n = min(room, quota[k] - served[k])
                 if n > 0:
                     serve(k, n)
-        if len(self._services) > 64:
-            self._services.clear()
+        if len(self._services) >= _CACHED_PERIODS:
+            self._services.popitem(last=False)
         self._services[period] = out
         return out
 
@@ -199,7 +182,7 @@ class Schedule:
         k, end, first = self.number[queue], at + n, at
         period = self.period_of(k, at)
         while at < end:
-            own = self.services(period)[k]
+            own = self.services(period).get(k, ())
             i = max(0, bisect_right(own, (at, 1 << 62, 0)) - 1)
             while i < len(own) and at < end:
                 a, m, place = own[i]
@@ -223,7 +206,7 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q
 
     def setup():
         from pyspark import TaskContext
-        return Encoder(path), {}, TaskContext.get().partitionId()
+        return encoder(path), {}, TaskContext.get().partitionId()
 
     def rows(state, ids, texts, queues):
         encode, totals, task = state
