@@ -5,12 +5,13 @@ id; the others are ``revisit`` records that refer to it.  A payload is framed in
 and a record block longer than ``segment_bytes`` is cut into segments: the first is the
 record itself, the rest are ``continuation`` records that name the origin record, their
 number, and on the last one the total length.  Spark's text writer puts the records out, one
-row each, with the record end ``CRLF CRLF`` as its line end, through its commit protocol.
+row each, with the record end ``CRLF CRLF`` as its line end, through its commit protocol; a
+file gets at most ``file_records`` records, so its size has a bound.
 
-Reading: Spark's text reader splits the files before each version line, so one archive of
-any size is read by many tasks.  The writer never lets the version string occur inside a
-block (it ends a chunk inside it).  Segments are grouped by origin, ordered by
-number, checked against the total length, and only then is the chunk framing undone.
+Reading: each archive is one row of Spark's binary-file source and is walked by the stated
+content lengths, so blocks may hold anything, also what looks like a record.  Segments are
+grouped by origin, ordered by number, checked against the total length, and only then is
+the chunk framing undone.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import arrow_map
+from faultline.session import drop_tables, materialize
 
 VERSION = b"WARC/1.1"
 CRLF = b"\r\n"
-#: The end of a record and what begins the next one: what the reader splits at.
+#: The end of a header, and of a record.
 RECORD_END = CRLF + CRLF
-MARK = RECORD_END + VERSION + CRLF
 CHUNK_BYTES = 16_384
 SEGMENT_BYTES = 65_536
+#: Records in a file: with segments, at most 128 MB and what the headers take.
+FILE_RECORDS = 2048
 
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
@@ -41,16 +44,9 @@ def payload_digest(payload: bytes) -> str:
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
-    """HTTP chunk framing; a chunk also ends inside each version string of the payload, so
-    that no block, nor any part of one, holds it."""
-    cuts = {0, len(payload), *range(size, len(payload), size)}
-    at = payload.find(VERSION)
-    while at >= 0:
-        cuts.add(at + 4)
-        at = payload.find(VERSION, at + 4)
-    edges = sorted(cuts)
-    out = [b"%x\r\n%b\r\n" % (b - a, payload[a:b]) for a, b in zip(edges, edges[1:])]
-    return b"".join([*out, b"0\r\n\r\n"])
+    """HTTP chunk framing."""
+    parts = (payload[a:a + size] for a in range(0, len(payload), size))
+    return b"".join([*(b"%x\r\n%b\r\n" % (len(p), p) for p in parts), b"0\r\n\r\n"])
 
 
 def unchunked(data: bytes) -> bytes | None:
@@ -76,7 +72,7 @@ def _clean(value: str) -> bytes:
 
 
 def _record(headers: list[tuple[bytes, bytes]], block: bytes) -> bytes:
-    """A record without its end mark and version line's own line end shared with the reader."""
+    """A record without its end mark."""
     lines = [VERSION, *(k + b": " + v for k, v in headers), b"Content-Length: %d" % len(block)]
     return CRLF.join(lines) + CRLF + CRLF + block
 
@@ -125,13 +121,15 @@ def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-          min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES, segment_bytes: int = SEGMENT_BYTES) -> None:
+          min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES, segment_bytes: int = SEGMENT_BYTES,
+          file_records: int = FILE_RECORDS) -> None:
     """Write one record for each row under ``path`` (its payload the html in UTF-8; null is empty).
 
     Of pages with equal payloads of at least ``min_bytes`` that with the smallest id is the
     response, the others are revisits; rows that repeat an id are what that id is.  Ids and
-    urls are written as text, a null as nothing.  Only the ids of revisits are joined."""
-    first = revisits(pages, id_col, html_col, min_bytes)
+    urls are written as text, a null as nothing.  Only the ids of revisits are joined, a
+    table written first, so that its size is known and a small one is broadcast."""
+    first = materialize(revisits(pages, id_col, html_col, min_bytes), "warc-revisits")
     d = pages.select(F.col(id_col).alias("_page"), F.col(url_col).cast("string").alias("_url"),
                      F.col(html_col).cast("string").alias("_html")) \
         .join(first.withColumnRenamed("_page", "_copy"), F.col("_page").eqNullSafe(F.col("_copy")), "left") \
@@ -146,47 +144,58 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
     made = arrow_map(d, rows, "record binary")
     made.select(F.col("record").cast("string").alias("value")) \
-        .write.option("lineSep", RECORD_END.decode()).text(path)
+        .write.option("lineSep", RECORD_END.decode()).option("maxRecordsPerFile", file_records).text(path)
+    drop_tables(first)
 
 
 def read_records(spark, path: str) -> DataFrame:
     """Every record under ``path``: ``type, record_id, url, digest, refers_to, segment, origin,
-    total_length, length, block, whole``; ``whole`` says that the block has its stated length.
-
-    A row is what stands between two version lines, which other headers and blocks mustn't
-    hold; a record from elsewhere that does shows as one that isn't whole."""
-    raw = spark.read.option("lineSep", MARK.decode()).text(path).select(F.col("value").cast("binary").alias("b"))
-
-    def rows(parts):
-        for lo in range(0, len(parts), 64):
-            got = [parse(b) for b in parts[lo:lo + 64]]
-            yield tuple(map(list, zip(*got)))
-
-    return arrow_map(raw.where(F.octet_length("b") > 0), rows,
-                     "type string, record_id string, url string, digest string, refers_to string, segment int, "
-                     "origin string, total_length long, length long, block binary, whole boolean")
-
-
-def parse(data: bytes) -> tuple:
-    """The fields of :func:`read_records` of one record, with or without its version line
-    (a file's first record has it, and a file's last one its end mark)."""
-    head, _, rest = data.partition(RECORD_END)
-    named = {}
-    for line in head.split(CRLF):
-        k, colon, v = line.partition(b":")
-        if colon:
-            named[k.strip().lower()] = v.strip().decode("utf-8", "replace")
-
-    def number(name: bytes) -> int | None:
-        v = named.get(name, "")
-        return int(v) if v.isascii() and v.isdigit() else None
-
-    length = number(b"content-length")
-    block = rest[:length] if length is not None else rest
-    digest = named.get(b"warc-payload-digest", "").removeprefix("sha1:") or None
-    return (named.get(b"warc-type"), named.get(b"warc-record-id"), named.get(b"warc-target-uri"), digest,
-            named.get(b"warc-refers-to"), number(b"warc-segment-number"), named.get(b"warc-segment-origin-id"),
-            number(b"warc-segment-total-length"), length, block, length is not None and len(block) == length)
+    total_length, block, whole``; ``whole`` says that the block has its stated length.
+
+    What stands between records and isn't one is passed over to the next version line; a
+    record without a length reaches to the end of its file and isn't whole."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def rows(contents):
+        for data in contents:
+            part, size = [], 0
+            for r in walk(data):
+                part.append(r)
+                size += len(r[8])
+                if size > 1 << 22:
+                    yield tuple(map(list, zip(*part)))
+                    part, size = [], 0
+            if part:
+                yield tuple(map(list, zip(*part)))
+
+    return arrow_map(files, rows, "type string, record_id string, url string, digest string, refers_to string, "
+                                  "segment int, origin string, total_length long, block binary, whole boolean")
+
+
+def walk(data: bytes):
+    """The fields of :func:`read_records` of each record of an archive."""
+    at = data.find(VERSION)
+    while at >= 0:
+        end = data.find(RECORD_END, at)
+        if end < 0:
+            return
+        named = {}
+        for line in data[at:end].split(CRLF):
+            k, colon, v = line.partition(b":")
+            if colon:
+                named[k.strip().lower()] = v.strip().decode("utf-8", "replace")
+
+        def number(name: bytes) -> int | None:
+            v = named.get(name, "")
+            return int(v) if v.isascii() and v.isdigit() else None
+
+        length, start = number(b"content-length"), end + len(RECORD_END)
+        block = data[start:] if length is None else data[start:start + length]
+        digest = named.get(b"warc-payload-digest", "").removeprefix("sha1:") or None
+        yield (named.get(b"warc-type"), named.get(b"warc-record-id"), named.get(b"warc-target-uri"), digest,
+               named.get(b"warc-refers-to"), number(b"warc-segment-number"), named.get(b"warc-segment-origin-id"),
+               number(b"warc-segment-total-length"), block, length is not None and len(block) == length)
+        at = data.find(VERSION, start + len(block))
 
 
 def read_pages(spark, path: str) -> DataFrame:

@@ -34,17 +34,17 @@ def test_query_round_trip(spark, sf001):
 @given(st.binary(max_size=300), st.integers(1, 50))
 def test_chunks_round_trip(data, size):
     framed = W.chunked(data, size)
-    assert W.unchunked(framed) == data and W.MARK not in framed
+    assert W.unchunked(framed) == data
 
 
 @given(st.lists(st.sampled_from([b"\r\n", b"\r", b"WARC/1.1", b"W", b"\r\n\r\nWARC/1.1\r\n", b"x"]), max_size=30).map(b"".join),
        st.integers(20, 90))
-def test_no_segment_holds_the_mark(data, segment):
+def test_records_are_walked_whatever_they_hold(data, segment):
     records = W.records_of("1", "u", data, None, 1 << 20, segment)
     stream = b"".join(r + W.RECORD_END for r in records)
-    parts = stream.split(W.MARK)
-    assert len(parts) == len(records)
-    assert b"".join(W.parse(p)[9] for p in parts) == W._HTTP + W.chunked(data, 1 << 20)
+    got = list(W.walk(stream))
+    assert len(got) == len(records) and all(r[9] for r in got)
+    assert b"".join(r[8] for r in got) == W._HTTP + W.chunked(data, 1 << 20)
 
 
 @pytest.mark.parametrize("broken", [b"", b"5\r\nabc\r\n0\r\n\r\n", b"zz\r\n", b"3\r\nabc\r\n", b"-1\r\n", b"3\r\nabcde0\r\n\r\n"])
@@ -88,5 +88,6 @@ def test_lost_segment_is_told(spark):
     records[3][0] = records[3][0].replace(b"sha1:", b"sha1:A")
     flat = [(r.decode(),) for rs in records for r in reversed(rs)]
     spark.createDataFrame(flat, "value string").repartition(3).write.option("lineSep", "\r\n\r\n").text(path)
+    assert [r[9] for r in W.walk(b"junk" + records[0][0][:-5])] == [False]
     got = {r.page: (r.ok, r.payload is None) for r in W.read_pages(spark, path).collect()}
     assert got == {"0": (True, False), "1": (False, True), "2": (False, True), "3": (False, False)}
