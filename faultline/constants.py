@@ -98,17 +98,17 @@ TEST_FRACTION = 0.2
 GBT_PARAMS = dict(maxIter=100, maxDepth=6, stepSize=0.1, seed=SEED)
 
 PRESETS = {
-    # name: (cluster sample cap, silhouette, label spread, depth bands, histogram bins, chart sample cap, zone section)
-    "full": dict(cluster_sample=10_000, silhouette=True, spread_labels=True, depth_bands=True,
-                 histogram_bins=50, chart_sample=10_000, zone_section=False),
-    "simple": dict(cluster_sample=5_000, silhouette=True, spread_labels=False, depth_bands=True,
-                   histogram_bins=None, chart_sample=None, zone_section=True),
-    "run": dict(cluster_sample=5_000, silhouette=False, spread_labels=False, depth_bands=False,
-                histogram_bins=30, chart_sample=5_000, zone_section=True),
+    # the published variants; all cluster and chart every row
+    "full": dict(silhouette=True, spread_labels=True, depth_bands=True, histogram_bins=50, point_charts=True,
+                 zone_section=False),
+    "simple": dict(silhouette=True, spread_labels=False, depth_bands=True, histogram_bins=None, point_charts=False,
+                   zone_section=True),
+    "run": dict(silhouette=False, spread_labels=False, depth_bands=False, histogram_bins=30, point_charts=True,
+                zone_section=True),
 }
 
 # Parameters of the registered check queries (the quake view over ``events``)
-QUERY_SAMPLE_CAP = 5_000          # sample cap of the run/simple presets
+QUERY_SAMPLE_ROWS = 5_000         # rows of the sample operator's query
 QUERY_TIGHT_EPS = 0.055           # no distance on the view's 0.01 grid equals it (no float ties)
 QUERY_TIGHT_MIN_SAMPLES = 20
 QUERY_HIST_BINS = 30

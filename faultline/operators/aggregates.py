@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def totals(df: DataFrame, flag: str = "is_significant") -> DataFrame:
@@ -30,13 +29,15 @@ def region_breakdown(df: DataFrame, key: str = "Region", flag: str = "is_signifi
             .orderBy(key))
 
 
-def modal(c, default: str = "Unknown") -> Column:
-    """Most frequent non-NULL value, smallest on ties, ``default`` if none (A4).
+def modal(df: DataFrame, by: str, col: str, name: str = "mode", default: str = "Unknown") -> DataFrame:
+    """``(by, name)``: per group the most frequent non-NULL value, smallest on ties,
+    ``default`` if there is none (A4).
 
-    The aggregation buffer is a map of the distinct values of the group, so it is
-    bounded by the value domain (place names), not by the number of rows.
+    Values are counted per (group, value) first, so no task holds the values of a group.
     """
-    return F.coalesce(F.mode(c, deterministic=True), F.lit(default))
+    counted = df.groupBy(by, col).agg(F.count(F.lit(1)).alias("n"))
+    order = F.when(F.col(col).isNotNull(), F.struct((-F.col("n")).alias("n"), F.col(col).alias("v")))
+    return counted.groupBy(by).agg(F.coalesce(F.min(order)["v"], F.lit(default)).alias(name))
 
 
 def value_counts(df: DataFrame, col: str, name: str = "n") -> DataFrame:
@@ -86,21 +87,13 @@ def zone_summary(df: DataFrame, label: str = "Cluster", noise: int = -1) -> Data
 
 
 def impute_mean(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Replace NULLs by the column mean.
+    """Numeric columns as DOUBLE with NULLs replaced by the column mean.
 
     The means come from one scalar subquery, evaluated once and inlined as a
     literal into the projection; no join and no trip through the driver.
-    Integral columns keep their type and take the mean rounded half to even.
     """
     means = df.agg(F.struct(*[F.avg(c).alias(c) for c in cols]).alias("m")).scalar()
-    out = {}
-    for c in cols:
-        dtype = df.schema[c].dataType
-        m = means.getField(c)
-        if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-            m = F.rint(m).cast(dtype)
-        out[c] = F.coalesce(F.col(c), m)
-    return df.withColumns(out)
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), means.getField(c)) for c in cols})
 
 
 def _edge(i: Column, lo: float, hi: float, bins: int) -> Column:

@@ -1,8 +1,7 @@
 """Chart data: the rows behind each published figure (V1-V9).
 
-Drawing is left to the caller; these are DataFrames.  Aggregated sets run on
-all rows; point sets keep an exact seeded sample, since a scatter plot of more
-points than pixels shows nothing more.
+Drawing is left to the caller; these are DataFrames over all rows.  A caller that draws
+fewer points samples them (:func:`faultline.operators.sampling.sample_exact`).
 """
 
 from __future__ import annotations
@@ -13,7 +12,6 @@ from pyspark.sql import functions as F
 from faultline.operators import aggregates as A
 from faultline.operators import metrics as E
 from faultline.operators.model import top_features
-from faultline.operators.sampling import sample_exact
 
 
 def chart_magnitude(df: DataFrame, bins: int = 30) -> DataFrame:
@@ -31,23 +29,22 @@ def chart_region_significance(df: DataFrame) -> DataFrame:
     return A.crosstab(df, "Region", "is_significant", [0, 1], ["non_significant", "significant"])
 
 
-def chart_map(df: DataFrame, n: int = 5000, colour: str = "Magnitude", key: str = "quake_id") -> DataFrame:
+def chart_map(df: DataFrame, colour: str = "Magnitude", key: str = "quake_id") -> DataFrame:
     """Map points (longitude, latitude) with a colour column (V4, V5).
 
     Coloured by zone only when there is more than one zone label; otherwise the
     colour column is NULL (plain points), as in the published figure.
     """
-    pts = sample_exact(df, n, key=key)
     if colour == "Cluster":
         n_labels = df.select("Cluster").distinct().limit(2).count()
         col = F.col("Cluster") if n_labels > 1 else F.lit(None).cast("int")
-        return pts.select(key, "Longitude", "Latitude", col.alias("Cluster"))
-    return pts.select(key, "Longitude", "Latitude", colour)
+        return df.select(key, "Longitude", "Latitude", col.alias("Cluster"))
+    return df.select(key, "Longitude", "Latitude", colour)
 
 
-def chart_depth_magnitude(df: DataFrame, n: int = 5000, key: str = "quake_id") -> DataFrame:
+def chart_depth_magnitude(df: DataFrame, key: str = "quake_id") -> DataFrame:
     """Depth against magnitude points (V6)."""
-    return sample_exact(df, n, key=key).select(key, "Depth_In_Km", "Magnitude")
+    return df.select(key, "Depth_In_Km", "Magnitude")
 
 
 def chart_magnitude_by_class(df: DataFrame, bins: int = 30) -> DataFrame:

@@ -16,6 +16,7 @@ from faultline.functions.columns import (
 )
 from faultline.sources.catalog import null_tokens
 
+COORDINATES = ["Latitude", "Longitude"]
 TEXT_COLUMNS = ["Date_Time_PH", "Location", "General_Location"]
 
 
@@ -70,22 +71,22 @@ def place_regions(raw: DataFrame, col: str = "General_Location", region_groups=R
 
 
 def add_regions(df: DataFrame, raw: DataFrame, col: str = "General_Location", region_groups=REGION_GROUPS,
-                default: str = REGION_DEFAULT, broadcast_limit: int = 1_000_000) -> DataFrame:
+                default: str = REGION_DEFAULT) -> DataFrame:
     """Attach ``Region`` by joining the distinct-name table; NULL names take ``default``.
 
-    The name table is written once (its row count observed during the write) and
-    broadcast only when that count is below ``broadcast_limit``; above it both
-    sides shuffle on the name.
+    The join is lazy; Spark broadcasts the name table or shuffles both sides by its size.
     """
-    from faultline.session import materialize_observed
-
-    regions, m = materialize_observed(place_regions(raw, col, region_groups, default), "place-regions",
-                                      n=F.count(F.lit(1)))
-    small = F.broadcast(regions) if m["n"] <= broadcast_limit else regions
-    out = df.join(small, col, "left")
+    out = df.join(place_regions(raw, col, region_groups, default), col, "left")
     return out.withColumn("Region", F.coalesce(F.col("Region"), F.lit(default)))
 
 
+def drop_not_finite(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Drop rows with an infinite coordinate, which no distance can use."""
+    for c in cols:
+        df = df.where(F.abs(F.col(c)) < F.lit(float("inf")))
+    return df
+
+
 def clean_catalog(raw: DataFrame, cutoff: str = DEFAULT_CUTOFF,
                   formats: list[str] = DEFAULT_TIME_FORMATS,
                   threshold: float = SIGNIFICANT_MAGNITUDE,
@@ -94,12 +95,12 @@ def clean_catalog(raw: DataFrame, cutoff: str = DEFAULT_CUTOFF,
     """The clean catalogue: coerced, filtered, flagged, classified, with features.
 
     A narrow plan (scan, project, filter) fused into one code-generated stage;
-    with ``regions_by_name`` the region comes from a broadcast hash join against
-    the classified distinct names instead of a per-row keyword search.
+    with ``regions_by_name`` the region comes from a join with the classified
+    distinct names instead of a per-row keyword search.
     """
     df = coerce(raw, formats)
     df = drop_after(df, "Date_Time_PH", cutoff)
-    df = require(df, REQUIRED_COLUMNS)
+    df = drop_not_finite(require(df, REQUIRED_COLUMNS), COORDINATES)
     df = df.withColumn("is_significant", threshold_flag("Magnitude", threshold))
     if regions_by_name:
         cols = df.columns
@@ -114,7 +115,7 @@ def clean_catalog(raw: DataFrame, cutoff: str = DEFAULT_CUTOFF,
 
 AUDIT_RULES = [
     "raw_rows", "bad_or_null_time", "after_cutoff", "latitude_null", "longitude_null",
-    "magnitude_null", "depth_not_number", "location_null", "clean_rows",
+    "magnitude_null", "depth_not_number", "location_null", "coordinate_not_finite", "clean_rows",
 ]
 
 
@@ -131,6 +132,10 @@ def cleaning_audit(raw: DataFrame, cutoff: str = DEFAULT_CUTOFF,
     keep = (ts <= cut_ts)
     for c in REQUIRED_COLUMNS:
         keep = keep & F.col(c).isNotNull()
+    infinite = F.lit(False)
+    for c in COORDINATES:
+        infinite = infinite | F.coalesce(F.abs(F.col(c)) == F.lit(float("inf")), F.lit(False))
+    keep = keep & ~infinite
     agg = df.agg(
         F.count(F.lit(1)).alias("raw_rows"),
         F.count_if(ts.isNull()).alias("bad_or_null_time"),
@@ -140,6 +145,7 @@ def cleaning_audit(raw: DataFrame, cutoff: str = DEFAULT_CUTOFF,
         F.count_if(F.col("Magnitude").isNull()).alias("magnitude_null"),
         F.count_if(F.col("Depth_In_Km").isNull()).alias("depth_not_number"),
         F.count_if(F.col("General_Location").isNull()).alias("location_null"),
+        F.count_if(infinite).alias("coordinate_not_finite"),
         F.count_if(keep).alias("clean_rows"),
     )
     pairs = ", ".join(f"'{r}', `{r}`" for r in AUDIT_RULES)

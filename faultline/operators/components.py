@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.session import drop_tables, materialize, materialize_observed
+from faultline.session import drop_tables, materialize_observed
 
 
-def _mins(edges: DataFrame) -> DataFrame:
-    """The smallest neighbour of every node; pre-aggregated per task, so hubs are cheap.
+def _mins(edges: DataFrame):
+    """The smallest neighbour of every node, and how many nodes there are; pre-aggregated per task, so hubs are cheap.
 
     Written as a table so that the join back to the edges reads two plain shuffles,
     which adaptive execution can split at a hub."""
-    return materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "cc-min")
+    return materialize_observed(edges.groupBy("u").agg(F.min("v").alias("m")), "cc-min", n=F.count(F.lit(1)))
 
 
 def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
@@ -25,24 +25,29 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> Da
     to the node's smallest neighbour (large star), then every smaller neighbour and the node
     itself to the smallest (small star).  That needs O(log^2 n) rounds at most, few in
     practice, whatever the shape (paths, arches, hubs), so there is no limit on the rounds.
+    It is done when the large star moves nothing and each node has one smaller neighbour.
     Every round is a written table: a lost executor costs part of a round.
     """
     start = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")) \
         .where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
-    mark = {"n": F.count(F.lit(1)), "h": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
-    e, seen = materialize_observed(start.distinct(), "cc-edges", **mark)
+    size = {"n": F.count(F.lit(1))}
+    e, seen = materialize_observed(start.distinct(), "cc-edges", **size)
     while seen["n"]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = _mins(both)
-        large = materialize(
+        m, _ = _mins(both)
+        centred, moved = materialize_observed(
             both.where("v > u").join(m, "u")
-            .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "cc-large")
-        m2 = _mins(large)
+            .select(F.col("v").alias("u"), F.least("u", "m").alias("v"), (F.col("m") < F.col("u")).alias("moved")),
+            "cc-large", keep=["u", "v"], n=F.count_if("moved"))
+        large = centred.distinct() if moved["n"] else centred
+        m2, nodes = _mins(large)
+        if not moved["n"] and nodes["n"] == seen["n"]:
+            drop_tables(m, m2, e)
+            e = centred
+            break
         small = large.join(m2, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .unionByName(m2.select("u", F.col("m").alias("v")))
-        after, now = materialize_observed(small.distinct(), "cc-edges", **mark)
-        drop_tables(e, m, large, m2)
-        e, seen, before = after, now, seen
-        if now == before:
-            break
+        after, seen = materialize_observed(small.distinct(), "cc-edges", **size)
+        drop_tables(e, m, centred, m2)
+        e = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

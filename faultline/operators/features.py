@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.constants import FEATURE_COLUMNS
+from faultline.constants import FEATURE_COLUMNS, REGIONS
 from faultline.operators.aggregates import impute_mean
 
 
-def category_values(df: DataFrame, col: str) -> list:
-    """Sorted distinct non-NULL values of a categorical column (one small aggregate)."""
-    return sorted(r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().collect())
+#: Most values of a categorical column that one-hot encoding looks up by itself.
+MAX_CATEGORIES = 1000
+
+
+def category_values(df: DataFrame, col: str, limit: int = MAX_CATEGORIES) -> list:
+    """Sorted distinct non-NULL values of a categorical column; more than ``limit`` is an error,
+    as each becomes a column."""
+    values = [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().limit(limit + 1).collect()]
+    if len(values) > limit:
+        raise ValueError(f"{col} has more than {limit} distinct values")
+    return sorted(values)
 
 
 def one_hot(df: DataFrame, col: str, prefix: str | None = None, values: list | None = None,
@@ -40,8 +48,10 @@ def feature_columns(df: DataFrame, wanted: list[str] = FEATURE_COLUMNS,
 
 
 def feature_table(clean: DataFrame, key: str = "quake_id", label: str = "is_significant",
-                  regions: list | None = None) -> tuple[DataFrame, list[str]]:
-    """Key, label and numeric features with mean-imputed gaps."""
+                  regions: list | None = REGIONS) -> tuple[DataFrame, list[str]]:
+    """Key, label and features as DOUBLE with mean-imputed gaps.
+
+    ``regions``: the values that get a column; None looks them up in the data."""
     encoded = one_hot(clean, "Region", "Region", regions, drop=False)
     names = feature_columns(encoded)
     table = impute_mean(encoded.select(key, label, *names), names)

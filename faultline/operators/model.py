@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.constants import GBT_PARAMS
-from faultline.session import checkpoint_dir
+from faultline.session import tables_dir
 
 
 def train_classifier(train: DataFrame, features: list[str], label: str = "is_significant",
@@ -25,7 +25,9 @@ def train_classifier(train: DataFrame, features: list[str], label: str = "is_sig
     The boosting state is checkpointed every 10 trees to the shared folder, so a
     lost executor never replays more than 10 trees.
     """
-    checkpoint_dir(train.sparkSession)
+    sc = train.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(tables_dir(train.sparkSession))
     p = dict(GBT_PARAMS)
     p.update(params)
     gbt = GBTClassifier(featuresCol="features", labelCol=label, lossType="logistic",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultline.session import materialize
+
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
 
@@ -40,41 +42,59 @@ def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ("quake_id",)) ->
             if isinstance(f.dataType, NUMERIC_TYPES) and f.name not in exclude]
 
 
+def _quartiles(df: DataFrame, cols: list[str], sizes: DataFrame) -> DataFrame:
+    """``(column_name, p25, p50, p75)`` by linear interpolation, exact.
+
+    Rows are counted per (column, distinct value), value ranges are spread over tasks, and
+    running counts within a range plus the totals of the ranges before place every value, so
+    no task sees a whole column.  ``sizes``: ``(column_name, n)``."""
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x"))
+                                 for c in cols])).alias("v")
+    counts = df.select(values).select("v.*").where("x IS NOT NULL").groupBy("column_name", "x") \
+        .agg(F.count(F.lit(1)).alias("c"))
+    counts = materialize(counts.repartitionByRange("column_name", "x")
+                         .withColumn("part", F.spark_partition_id()), "quartile-counts")
+    before = Window.partitionBy("column_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("column_name", "part").agg(F.sum("c").alias("c")) \
+        .select("column_name", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    own = Window.partitionBy("column_name", "part").orderBy("x")
+    placed = counts.join(parts, ["column_name", "part"]) \
+        .withColumn("upto", F.col("start") + F.sum("c").over(own)).join(sizes, "column_name")
+
+    def at(rank):
+        return F.max(F.when((rank >= F.col("upto") - F.col("c")) & (rank < F.col("upto")), F.col("x")))
+
+    aggs = []
+    for q, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")):
+        h = (F.col("n") - 1) * F.lit(q)
+        lo, hi = at(F.floor(h)), at(F.ceil(h))
+        part = F.max(h - F.floor(h))
+        aggs.append((lo + (hi - lo) * part).alias(name))
+    return placed.groupBy("column_name").agg(*aggs)
+
+
 def describe_numeric(df: DataFrame, cols: list[str] | None = None, approx: bool = False,
                      accuracy: int = 100_000) -> DataFrame:
     """count, mean, sample std, min, quartiles (linear interpolation), max per column (P5).
 
-    One scan computes every statistic of every column.  Exact quartiles use
-    ``percentile``, whose buffer is a map of distinct values: it is pre-combined in
-    each task and bounded by the resolution of the column, not by the row count.
-    ``approx=True`` switches to ``percentile_approx`` (a fixed-size sketch) for
-    columns of unbounded cardinality.
+    One scan computes the moments of every column, a second one exact quartiles
+    (:func:`_quartiles`); ``approx=True`` takes them from a fixed-size sketch instead.
     """
     cols = cols or numeric_columns(df)
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        q = (F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy) if approx
-             else F.percentile(x, [0.25, 0.5, 0.75]))
+        q = F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy) if approx else F.lit(None)
         aggs.append(F.struct(
-            F.lit(c).alias("column_name"),
-            F.count(x).alias("n"),
-            F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"),
-            F.min(x).alias("min"),
-            q.alias("q"),
-            F.max(x).alias("max"),
+            F.lit(c).alias("column_name"), F.count(x).cast("bigint").alias("n"), F.avg(x).alias("mean"),
+            F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q.alias("q"), F.max(x).alias("max"),
         ).alias(f"s{i}"))
-    one = df.agg(*aggs)
-    stacked = one.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(cols))])).alias("s"))
-    return stacked.select(
-        F.col("s.column_name").alias("column_name"),
-        F.col("s.n").cast("bigint").alias("n"),
-        F.col("s.mean").alias("mean"),
-        F.col("s.std").alias("std"),
-        F.col("s.min").alias("min"),
-        F.col("s.q")[0].alias("p25"),
-        F.col("s.q")[1].alias("p50"),
-        F.col("s.q")[2].alias("p75"),
-        F.col("s.max").alias("max"),
-    )
+    stacked = df.agg(*aggs).select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(cols))])).alias("s")) \
+        .select("s.*")
+    if approx:
+        quartiles = [F.col("q")[k].alias(n) for k, n in enumerate(("p25", "p50", "p75"))]
+        return stacked.select("column_name", "n", "mean", "std", "min", *quartiles, "max")
+    stacked = materialize(stacked.drop("q"), "moments")
+    quartiles = _quartiles(df, cols, stacked.select("column_name", "n"))
+    return stacked.join(quartiles, "column_name", "left") \
+        .select("column_name", "n", "mean", "std", "min", "p25", "p50", "p75", "max")

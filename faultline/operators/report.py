@@ -12,20 +12,22 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from faultline.functions.columns import fixed_text
 from faultline.operators import aggregates as A
+from faultline.session import materialize
 
 # The report's wording.
 TITLE = "Philippine Earthquake Analysis - Summary Report"
 RULE = "=" * 50
 TOTAL_FMT = "Total Earthquakes Analyzed: %d"
 SIGNIFICANT_FMT = "Significant Earthquakes (Magnitude ≥ 4.0): %d"
-PERCENT_FMT = "Percentage of Significant Earthquakes: %.2f%%"
+PERCENT_FMT = "Percentage of Significant Earthquakes: %s%%"
 PLACES_TITLE = "Top 10 Provinces with Most Significant Earthquakes:"
 PLACE_FMT = "%d. %s: %d quakes"
 FEATURES_TITLE = "Top 5 Features for Predicting Significant Earthquakes:"
-FEATURE_FMT = "%d. %s: %.4f"
+FEATURE_FMT = "%d. %s: %s"
 REGIONS_TITLE = "Earthquake Distribution by Region:"
-REGION_FMT = "%s: %d total quakes, %d significant quakes, %.2f%% significance rate"
+REGION_FMT = "%s: %d total quakes, %d significant quakes, %s%% significance rate"
 ZONES_TITLE = "Clustering Results:"
 ZONES_FMT = "Number of clusters identified: %d"
 ZONES_NOTE = "Major seismic zones identified based on location patterns"
@@ -51,21 +53,24 @@ def report_lines(clean: DataFrame, zones: DataFrame | None = None, importance: D
 
     spark = clean.sparkSession
     parts = [_fixed(spark, 0, [TITLE, RULE, ""])]
-    t = A.totals(clean)
-    parts.append(_rows(t, 1, F.lit(0), F.format_string(TOTAL_FMT, "total")))
-    parts.append(_rows(t, 1, F.lit(1), F.format_string(SIGNIFICANT_FMT, "significant")))
-    parts.append(_rows(t, 1, F.lit(2), F.format_string(PERCENT_FMT, "pct")))
+    # totals and regions are read by several lines: one scan of the catalogue for both
+    regions = materialize(A.region_breakdown(clean), "report-regions")
+    t = regions.agg(F.sum("Total_Quakes").alias("total"), F.sum("Significant_Quakes").alias("significant"))
+    t = t.withColumn("pct", F.col("significant") / F.col("total") * F.lit(100.0))
+    lines = F.array(F.format_string(TOTAL_FMT, "total"), F.format_string(SIGNIFICANT_FMT, "significant"),
+                    F.format_string(PERCENT_FMT, fixed_text("pct")))
+    parts.append(t.select(F.posexplode(lines).alias("pos", "line")).select(F.lit(1).alias("section"), "pos", "line"))
     parts.append(_fixed(spark, 2, ["", PLACES_TITLE]))
     top = A.top_values(clean.where("is_significant = 1"), "General_Location", places)
     parts.append(_rows(top, 3, F.col("rank"), F.format_string(PLACE_FMT, "rank", "General_Location", "n")))
     if importance is not None:
         parts.append(_fixed(spark, 4, ["", FEATURES_TITLE]))
         tf = top_features(importance, features)
-        parts.append(_rows(tf, 5, F.col("rank"), F.format_string(FEATURE_FMT, "rank", "feature", "importance")))
+        parts.append(_rows(tf, 5, F.col("rank"), F.format_string(FEATURE_FMT, "rank", "feature", fixed_text("importance", 4))))
     parts.append(_fixed(spark, 6, ["", REGIONS_TITLE]))
-    rb = A.region_breakdown(clean).withColumn("pos", F.row_number().over(Window.orderBy("Region")))
+    rb = regions.withColumn("pos", F.row_number().over(Window.orderBy("Region")))
     parts.append(_rows(rb, 7, F.col("pos"), F.format_string(
-        REGION_FMT, "Region", "Total_Quakes", "Significant_Quakes", "Significance_Rate")))
+        REGION_FMT, "Region", "Total_Quakes", "Significant_Quakes", fixed_text("Significance_Rate"))))
     if zones is not None:
         parts.append(_fixed(spark, 8, ["", ZONES_TITLE]))
         zs = A.zone_summary(zones)
@@ -87,7 +92,7 @@ def run_summary(clean: DataFrame, accuracy: DataFrame | None = None, zones: Data
     ]
     if accuracy is not None:
         parts.append(accuracy.select(F.lit("accuracy").alias("metric"),
-                                     F.format_string("%.2f", "accuracy").alias("value")))
+                                     fixed_text("accuracy").alias("value")))
     if zones is not None:
         parts.append(A.zone_summary(zones).select(F.lit("clusters_identified").alias("metric"),
                                                   F.col("n_labels").cast("string").alias("value")))

@@ -23,7 +23,7 @@ _G = "_grp"
 
 def take_first_k(df: DataFrame, sizes: DataFrame, key: str, seed: int = SEED,
                  group: str | None = None, flag: str = "_selected", digits: int = 4,
-                 max_edge: int = 1_000_000, n_rows: int | None = None, _start: int = 0) -> DataFrame:
+                 max_edge: int = 1_000_000, _start: int = 0) -> DataFrame:
     """All rows of ``df`` with a boolean ``flag``: true for the first ``k`` rows of each group.
 
     ``sizes`` holds one row per group: ``(group, k)`` (or just ``k`` without a
@@ -33,8 +33,7 @@ def take_first_k(df: DataFrame, sizes: DataFrame, key: str, seed: int = SEED,
     before it are in, rows after it out.  The boundary bucket's rows are ranked
     directly when there are at most ``max_edge`` of them, otherwise the same
     step recurses into them on the following digits.  Only the per-group cut
-    rows (one per group) reach the driver.  ``n_rows`` is accepted for callers
-    that know the size; the plan does not need it.
+    rows (one per group) reach the driver.
     """
     if _start == 0:
         df = df.withColumns({_G: F.col(group) if group else F.lit(0), "_h": md5_order(key, seed)})
@@ -46,7 +45,7 @@ def take_first_k(df: DataFrame, sizes: DataFrame, key: str, seed: int = SEED,
     w = Window.partitionBy(_G).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     cum = (per_bucket.withColumn("_cum", F.sum("_n").over(w))
            .withColumn("_tot", F.sum("_n").over(Window.partitionBy(_G)))
-           .join(F.broadcast(sizes.select(_G, "k")), _G)
+           .join(sizes.select(_G, "k"), _G)
            .withColumn("_before", F.col("_cum") - F.col("_n")))
     # Per group: the bucket where the running count reaches k (or "all in" when k >= the group).
     cut_rows = (cum.where(((F.col("_before") < F.col("k")) & (F.col("_cum") >= F.col("k")))
@@ -58,7 +57,11 @@ def take_first_k(df: DataFrame, sizes: DataFrame, key: str, seed: int = SEED,
     gtype = df.schema[_G].dataType.simpleString()
     cuts = spark.createDataFrame([(r[_G], r["_cut_b"], r["_need"]) for r in cut_rows],
                                  f"{_G} {gtype}, _cut_b long, _need long")
-    tagged = hashed.join(F.broadcast(cuts), _G, "left")
+    if group:
+        tagged = hashed.join(cuts, _G, "left")
+    else:  # one cut for all rows
+        cut = cut_rows[0] if cut_rows else {"_cut_b": None, "_need": None}
+        tagged = hashed.withColumns({c: F.lit(cut[c]).cast("long") for c in ("_cut_b", "_need")})
     side = (F.when(F.col("_cut_b").isNull(), F.lit("out"))
             .when(F.col("_b") < F.col("_cut_b"), F.lit("in"))
             .when(F.col("_b") > F.col("_cut_b"), F.lit("out"))
@@ -80,12 +83,8 @@ def take_first_k(df: DataFrame, sizes: DataFrame, key: str, seed: int = SEED,
 
 def sample_exact(df: DataFrame, n: int, key: str = "quake_id", seed: int = SEED) -> DataFrame:
     """``min(n, rows)`` rows without replacement, the same rows on every run."""
-    total = df.count()
-    if n >= total:
-        return df
-    spark = df.sparkSession
-    sizes = spark.createDataFrame([(n,)], "k long")
-    picked = take_first_k(df, sizes, key, seed, n_rows=total, flag="_in_sample")
+    sizes = df.sparkSession.createDataFrame([(n,)], "k long")
+    picked = take_first_k(df, sizes, key, seed, flag="_in_sample")
     return picked.where("_in_sample").drop("_in_sample")
 
 
@@ -119,4 +118,4 @@ def stratified_split(df: DataFrame, label: str = "is_significant", test_fraction
     spark = df.sparkSession
     label_type = df.schema[label].dataType.simpleString()
     size_df = spark.createDataFrame([(c, k) for c, k in sizes.items()], f"{label} {label_type}, k long")
-    return take_first_k(df, size_df, key, seed, group=label, flag=flag, n_rows=sum(counts.values()))
+    return take_first_k(df, size_df, key, seed, group=label, flag=flag)

@@ -1,26 +1,24 @@
 """Spatial operators: within-distance join (J3), DBSCAN (Z1), nearest label (J1),
-silhouette scores (Z2, Z3).
+squared silhouette (Z3).
 
 Distances are planar Euclidean on two columns, compared as
 ``dx*dx + dy*dy <= eps*eps`` everywhere (one formula, so ties behave the same in
 every step).  Distance joins are equi-joins on grid cells plus a residual
-predicate; Catalyst would otherwise plan a nested-loop join.  Rows with equal
-coordinates are first collapsed into one weighted position, so the joins work on
-distinct positions, whose number per cell is bounded by the coordinate
-resolution however many rows share them.
+predicate.  Rows with equal coordinates are first collapsed into one weighted
+position, so no join ever sees a repeated coordinate; a cell that lies wholly
+within the distance counts by its weight, without its positions.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.constants import DBSCAN_EPS, DBSCAN_MIN_SAMPLES
-from faultline.session import checkpoint_dir, materialize, materialize_observed
+from faultline.operators.components import connected_components
+from faultline.session import drop_tables, materialize, materialize_observed
 
 _OFF = 1 << 30
 _MUL = 1 << 31
@@ -47,93 +45,69 @@ def _offsets(r: int) -> Column:
 
 
 def positions(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """Distinct coordinates with their row count ``w`` and smallest key ``kmin``."""
-    return (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    """Distinct finite coordinates with their row count ``w`` and smallest key ``kmin``."""
+    return (df.where((F.abs(F.col(x)) < F.lit(math.inf)) & (F.abs(F.col(y)) < F.lit(math.inf)))
             .groupBy(F.col(x).alias("px"), F.col(y).alias("py"))
             .agg(F.count(F.lit(1)).alias("w"), F.min(key).alias("kmin")))
 
 
-def _attach(df: DataFrame, per_pos: DataFrame, x: str, y: str, n_pos: int,
-            broadcast_rows: int = 2_000_000) -> DataFrame:
+def _attach(df: DataFrame, per_pos: DataFrame, x: str, y: str) -> DataFrame:
     """Join per-position results back to the rows on the exact coordinates.
 
-    The position table is broadcast when its counted size is below
-    ``broadcast_rows``: rows then stay where they are, so a coordinate shared by a
-    third of all rows costs nothing extra.  Above it, a shuffle join (AQE splits
-    skewed partitions).
-    """
-    side = F.broadcast(per_pos) if n_pos <= broadcast_rows else per_pos
-    return df.join(side, (df[x] == side["px"]) & (df[y] == side["py"]), "left").drop("px", "py")
+    Broadcast or shuffled as the written table's size says; in a shuffle AQE splits
+    the rows of a coordinate that many share."""
+    return df.join(per_pos, (df[x] == per_pos["px"]) & (df[y] == per_pos["py"]), "left").drop("px", "py")
+
+
+def _neighbour_weight(probe: DataFrame, pos: DataFrame, eps: float, r: int) -> DataFrame:
+    """``(px, py, nb)``: rows within ``eps`` of each probe position.
+
+    ``pos`` and ``probe`` carry ``cx, cy`` of a grid of side ``eps / r`` or so.  Positions
+    meet the bounding boxes of the ``(2r + 1)^2`` cells around; a box wholly within ``eps``
+    adds its cell's weight, one beyond it nothing, and only what the circle cuts is
+    compared position by position."""
+    eps2 = F.lit(eps * eps)
+    cells = pos.groupBy("cx", "cy").agg(
+        F.sum("w").alias("cell_w"), F.min("px").alias("x0"), F.max("px").alias("x1"),
+        F.min("py").alias("y0"), F.max("py").alias("y1"))
+    around = probe.select("px", "py", "cx", "cy", _offsets(r).alias("o")).select(
+        "px", "py", (F.col("cx") + F.col("o.ox")).alias("cx"), (F.col("cy") + F.col("o.oy")).alias("cy"))
+    met = around.join(cells, ["cx", "cy"])
+    near = _d2(F.col("px"), F.col("py"), F.least(F.greatest("px", "x0"), "x1"), F.least(F.greatest("py", "y0"), "y1"))
+    far = _d2(F.col("px"), F.col("py"), F.when(F.col("px") - F.col("x0") > F.col("x1") - F.col("px"), F.col("x0"))
+              .otherwise(F.col("x1")), F.when(F.col("py") - F.col("y0") > F.col("y1") - F.col("py"), F.col("y0"))
+              .otherwise(F.col("y1")))
+    met = met.where(near <= eps2).withColumn("whole", far <= eps2)
+    by_cell = met.where("whole").select("px", "py", F.col("cell_w").alias("nb"))
+    other = pos.select("cx", "cy", F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("w").alias("nb"))
+    by_position = met.where("NOT whole").select("px", "py", "cx", "cy").join(other, ["cx", "cy"]) \
+        .where(_d2(F.col("px"), F.col("py"), F.col("qx"), F.col("qy")) <= eps2).select("px", "py", "nb")
+    return by_cell.unionByName(by_position).groupBy("px", "py").agg(F.sum("nb").cast("bigint").alias("nb"))
 
 
 def within_distance_counts(df: DataFrame, x: str = "Latitude", y: str = "Longitude", eps: float = DBSCAN_EPS,
                            key: str = "quake_id") -> DataFrame:
-    """Per row, the number of rows within ``eps`` (itself included).
-
-    Positions are joined to the positions of the (2r+1)^2 surrounding cells of
-    side ``eps / r``; the count per position is joined back to the rows.
-    """
-    r = 2
+    """Per row, the number of rows within ``eps`` (itself included)."""
+    r = 4
     side = eps / r
-    eps2 = eps * eps
     pos = positions(df, x, y, key).withColumns({"cx": _cell(F.col("px"), side), "cy": _cell(F.col("py"), side)})
-    probe = pos.select("px", "py", "cx", "cy", _offsets(r).alias("o")).select(
-        "px", "py", (F.col("cx") + F.col("o.ox")).alias("ncx"), (F.col("cy") + F.col("o.oy")).alias("ncy"))
-    build = pos.select(F.col("cx").alias("ncx"), F.col("cy").alias("ncy"),
-                       F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("w").alias("qw"))
-    counts = (probe.join(build, ["ncx", "ncy"])
-              .where(_d2(F.col("px"), F.col("py"), F.col("qx"), F.col("qy")) <= F.lit(eps2))
-              .groupBy("px", "py").agg(F.sum("qw").cast("bigint").alias("n_within")))
-    counts, m = materialize_observed(counts, "within-counts", n=F.count(F.lit(1)))
-    return _attach(df.select(key, x, y), counts, x, y, m["n"]).select(key, "n_within")
+    pos = materialize(pos, "within-pos")
+    counts = materialize(_neighbour_weight(pos, pos, eps, r), "within-counts")
+    return _attach(df.select(key, x, y), counts, x, y).select(key, F.col("nb").alias("n_within"))
 
 
-# ---------------------------------------------------------------------------
-# Connected components
-# ---------------------------------------------------------------------------
-
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200,
-                         broadcast_nodes: int = 2_000_000) -> DataFrame:
-    """Smallest node id of each node's component: min-label rounds with pointer jumping.
-
-    ``nodes(node)``, ``edges(src, dst)`` (either direction is enough).  Each round
-    takes the smallest label among neighbours, then the label of the label, so the
-    number of rounds grows with the log of the component diameter.  When the
-    counted number of nodes is below ``broadcast_nodes`` the (node, label) table
-    is broadcast into each round's joins, leaving one shuffle per round (the
-    per-node minimum); above it every join shuffles.  Every round's state is
-    written to the shared checkpoint folder, so lineage stays short and a lost
-    executor costs at most one round; only "any label changed?" reaches the driver.
-    """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both, m = materialize_observed(both.where(F.col("src") != F.col("dst")).distinct(), "cc-edges",
-                                   n=F.count(F.lit(1)))
-    base = nodes.select("node").distinct()
-    if m["n"] == 0:
-        return base.select("node", F.col("node").alias("label"))
-    first = both.groupBy("src").agg(F.min("dst").alias("nl"))
-    labels, m = materialize_observed(base.join(first, base["node"] == first["src"], "left")
-                                     .select("node", F.least("node", F.coalesce("nl", "node")).alias("label")),
-                                     "cc-labels", n=F.count(F.lit(1)))
-    small = m["n"] <= broadcast_nodes
-
-    def bc(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if small else df
-
-    for _ in range(max_rounds):
-        nb = (both.join(bc(labels.select(F.col("node").alias("dst"), F.col("label").alias("nl"))), "dst")
-              .groupBy("src").agg(F.min("nl").alias("nl")))
-        step = (labels.join(nb, labels["node"] == nb["src"], "left")
-                .select("node", F.col("label").alias("old"),
-                        F.least("label", F.coalesce("nl", "label")).alias("label")))
-        jump = (step.join(bc(labels.select(F.col("node").alias("l2"), F.col("label").alias("ll"))),
-                          step["label"] == F.col("l2"), "left")
-                .select("node", F.least("label", F.coalesce("ll", "label")).alias("label"), "old"))
-        labels, m = materialize_observed(jump, "cc-labels", keep=["node", "label"],
-                                         changed=F.count_if(F.col("label") != F.col("old")))
-        if m["changed"] == 0:
-            return labels
-    raise RuntimeError("connected components did not converge")
+def number_in_order(df: DataFrame, by: str, name: str) -> DataFrame:
+    """``name``: 0, 1, 2, ... by ``by`` ascending, without sorting in one task: ranges are
+    numbered each by itself, then shifted by the rows of the ranges before."""
+    placed = materialize(
+        df.repartitionByRange(by).sortWithinPartitions(by)
+        .withColumns({"_range": F.spark_partition_id(),
+                      "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(sizes, "_range").withColumn(name, F.col("_before") + F.col("_at")) \
+        .drop("_range", "_at", "_before")
 
 
 # ---------------------------------------------------------------------------
@@ -155,37 +129,29 @@ def dbscan(df: DataFrame, key: str = "quake_id", x: str = "Latitude", y: str = "
     join); sparse positions count neighbours in the 7 x 7 surrounding cells; the
     cell graph of core cells is decided by bounding boxes where possible,
     components of the sure edges are found first, and only undecided cell pairs
-    that still cross components are tested point by point (semi join, stops at
-    the first pair within ``eps``).
+    that still cross components are tested point by point, with the points that
+    are within ``eps`` of the other cell's box (semi join, stops at the first pair).
     """
-    eps2 = eps * eps
+    eps2 = F.lit(eps * eps)
     side = eps / (2 * math.sqrt(2))
     r = math.ceil(eps / side)
 
-    pos = positions(df, x, y, key).withColumns({"cx": _cell(F.col("px"), side), "cy": _cell(F.col("py"), side)})
-    cell_w = Window.partitionBy("cx", "cy")
-    pos = pos.withColumn("cw", F.sum("w").over(cell_w)).withColumn("node", _node(F.col("cx"), F.col("cy")))
-    pos = materialize(pos, "dbscan-pos")
+    pos = materialize(positions(df, x, y, key).withColumns(
+        {"cx": _cell(F.col("px"), side), "cy": _cell(F.col("py"), side)}), "dbscan-positions")
+    weight = materialize(pos.groupBy("cx", "cy").agg(F.sum("w").alias("cw")), "dbscan-cells")
+    weighed = materialize(pos.join(weight, ["cx", "cy"]).withColumn("node", _node(F.col("cx"), F.col("cy"))), "dbscan-pos")
 
     # Neighbour counts of positions in sparse cells.
-    sparse = pos.where(F.col("cw") < F.lit(min_samples))
-    probe = sparse.select("px", "py", "cx", "cy", _offsets(r).alias("o")).select(
-        "px", "py", (F.col("cx") + F.col("o.ox")).alias("ncx"), (F.col("cy") + F.col("o.oy")).alias("ncy"))
-    build = pos.select(F.col("cx").alias("ncx"), F.col("cy").alias("ncy"),
-                       F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("w").alias("qw"))
-    nb_count = (probe.join(build, ["ncx", "ncy"])
-                .where(_d2(F.col("px"), F.col("py"), F.col("qx"), F.col("qy")) <= F.lit(eps2))
-                .groupBy("px", "py").agg(F.sum("qw").alias("nb")))
-    pos = (pos.join(nb_count, ["px", "py"], "left")
-           .withColumn("core", (F.col("cw") >= F.lit(min_samples)) | (F.coalesce("nb", F.lit(0)) >= F.lit(min_samples)))
-           .drop("nb"))
-    pos, pos_m = materialize_observed(pos, "dbscan-core", n=F.count(F.lit(1)))
+    nb_count = _neighbour_weight(weighed.where(F.col("cw") < F.lit(min_samples)), weighed, eps, r)
+    dense = (F.col("cw") >= F.lit(min_samples)) | (F.coalesce("nb", F.lit(0)) >= F.lit(min_samples))
+    pos = materialize(weighed.join(nb_count, ["px", "py"], "left").withColumn("core", dense).drop("nb"), "dbscan-core")
     core = pos.where("core")
 
     # Core cells with the bounding box of their core positions.
-    cells = core.groupBy("node", "cx", "cy").agg(
+    box = ["x0", "x1", "y0", "y1"]
+    cells = materialize(core.groupBy("node", "cx", "cy").agg(
         F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1"),
-        F.min("kmin").alias("kmin"))
+        F.min("kmin").alias("kmin")), "dbscan-core-cells")
     a = cells.select(_offsets(r).alias("o"), *[F.col(c).alias("a_" + c) for c in cells.columns]).select(
         "*", (F.col("a_cx") + F.col("o.ox")).alias("b_cx"), (F.col("a_cy") + F.col("o.oy")).alias("b_cy")).drop("o")
     b = cells.select(*[F.col(c).alias("b_" + c) for c in cells.columns])
@@ -194,228 +160,175 @@ def dbscan(df: DataFrame, key: str = "quake_id", x: str = "Latitude", y: str = "
     gy = F.greatest(F.col("a_y0") - F.col("b_y1"), F.col("b_y0") - F.col("a_y1"), F.lit(0.0))
     sx = F.greatest(F.col("a_x1"), F.col("b_x1")) - F.least(F.col("a_x0"), F.col("b_x0"))
     sy = F.greatest(F.col("a_y1"), F.col("b_y1")) - F.least(F.col("a_y0"), F.col("b_y0"))
-    pairs = (pairs.select(F.col("a_node").alias("src"), F.col("b_node").alias("dst"),
-                          (gx * gx + gy * gy).alias("near2"), (sx * sx + sy * sy).alias("far2"))
-             .where(F.col("near2") <= F.lit(eps2)))
-    pairs, pm = materialize_observed(pairs, "dbscan-pairs", open=F.count_if(F.col("far2") > F.lit(eps2)))
-    sure = pairs.where(F.col("far2") <= F.lit(eps2)).select("src", "dst")
-    open_pairs = pairs.where(F.col("far2") > F.lit(eps2)).select("src", "dst")
-
-    nodes = cells.select("node")
-    comp = connected_components(nodes, sure)
+    pairs = pairs.where(gx * gx + gy * gy <= eps2).select(
+        F.col("a_node").alias("u"), F.col("b_node").alias("v"), (sx * sx + sy * sy <= eps2).alias("sure"),
+        *[F.col(f"{s}_{c}") for s in "ab" for c in box])
+    pairs, met = materialize_observed(pairs, "dbscan-pairs", open=F.count_if(~F.col("sure")))
+    sure = pairs.where("sure").select("u", "v")
+    zone_of = connected_components(sure)
 
     # Undecided pairs whose cells are not yet in one component: test points.
-    if pm["open"] == 0:
-        comp = comp.select("node", F.col("label").alias("comp"))
-    else:
-        lab = comp.select(F.col("node").alias("n"), F.col("label").alias("l"))
-        crossing = (open_pairs.join(lab.withColumnRenamed("n", "src").withColumnRenamed("l", "ls"), "src")
-                    .join(lab.withColumnRenamed("n", "dst").withColumnRenamed("l", "ld"), "dst")
-                    .where(F.col("ls") != F.col("ld")).select("src", "dst"))
-        core_pts = core.select("node", "px", "py")
-        left = crossing.join(core_pts.withColumnRenamed("node", "src"), "src")
-        right = core_pts.select(F.col("node").alias("dst"), F.col("px").alias("qx"), F.col("py").alias("qy"))
-        linked, m = materialize_observed(
-            left.join(right, (left["dst"] == right["dst"])
-                      & (_d2(F.col("px"), F.col("py"), F.col("qx"), F.col("qy")) <= F.lit(eps2)), "left_semi")
-            .select("src", "dst").distinct(), "dbscan-linked", n=F.count(F.lit(1)))
-        if m["n"] == 0:
-            comp = comp.select("node", F.col("label").alias("comp"))
-        else:
-            extra = (linked.join(lab.withColumnRenamed("n", "src").withColumnRenamed("l", "ls"), "src")
-                     .join(lab.withColumnRenamed("n", "dst").withColumnRenamed("l", "ld"), "dst")
-                     .select(F.col("ls").alias("src"), F.col("ld").alias("dst")))
-            comp2 = connected_components(comp.select(F.col("label").alias("node")).distinct(), extra)
-            comp = (comp.join(comp2.select(F.col("node").alias("label"), F.col("label").alias("root")), "label")
-                    .select("node", F.col("root").alias("comp")))
-
-    # Zone numbers: components ordered by their smallest core key.
-    comp_key = cells.join(comp, "node").groupBy("comp").agg(F.min("kmin").alias("ck"))
-    zones = comp_key.select("comp", (F.dense_rank().over(Window.orderBy("ck")) - 1).alias("zone"))
-    # one row per core cell, read twice below
-    cell_zone = materialize(comp.join(zones, "comp").select("node", "zone"), "dbscan-zones")
-
-    core_lab = core.join(cell_zone, "node").select("px", "py", F.col("zone").cast("int").alias(label))
+    if met["open"]:
+        crossing = pairs.where("NOT sure") \
+            .join(zone_of.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left") \
+            .join(zone_of.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left") \
+            .where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).drop("cu", "cv", "sure")
+        crossing = materialize(crossing, "dbscan-open")
+
+        def facing(node: str, other: str, names: list[str]) -> DataFrame:
+            """Core positions of one cell of each pair that are within eps of the other's box."""
+            pts = core.select(F.col("node").alias(node), "px", "py")
+            o = {c: F.col(f"{other}_{c}") for c in box}
+            near = _d2(F.col("px"), F.col("py"), F.least(F.greatest(F.col("px"), o["x0"]), o["x1"]),
+                       F.least(F.greatest(F.col("py"), o["y0"]), o["y1"]))
+            return crossing.join(pts, node).where(near <= eps2).select(
+                "u", "v", F.col("px").alias(names[0]), F.col("py").alias(names[1]))
+
+        left, right = facing("u", "b", ["px", "py"]), facing("v", "a", ["qx", "qy"])
+        linked = left.join(right, (left["u"] == right["u"]) & (left["v"] == right["v"])
+                           & (_d2(F.col("px"), F.col("py"), F.col("qx"), F.col("qy")) <= eps2), "left_semi")
+        linked, found = materialize_observed(linked.select("u", "v").distinct(), "dbscan-linked", n=F.count(F.lit(1)))
+        if found["n"]:
+            zone_of = connected_components(sure.unionByName(linked))
+        drop_tables(crossing)
+
+    # Zone numbers: components in the order of their smallest core key.
+    comp = cells.join(zone_of, "node", "left").select("node", "kmin", F.coalesce("component", "node").alias("comp"))
+    zones = number_in_order(comp.groupBy("comp").agg(F.min("kmin").alias("ck")), "ck", "zone")
+    cell_zone = materialize(comp.join(zones, "comp").select("node", F.col("zone").cast("int").alias("zone")),
+                            "dbscan-zones")
+
+    zoned = core.join(cell_zone, "node")
     # Border positions: the lowest zone among core positions within eps.
     noncore = pos.where(~F.col("core")).select("px", "py", "cx", "cy")
-    bprobe = noncore.select("px", "py", _offsets(r).alias("o"), "cx", "cy").select(
-        "px", "py", (F.col("cx") + F.col("o.ox")).alias("ncx"), (F.col("cy") + F.col("o.oy")).alias("ncy"))
-    cbuild = core.join(cell_zone, "node").select(
-        F.col("cx").alias("ncx"), F.col("cy").alias("ncy"), F.col("px").alias("qx"), F.col("py").alias("qy"), "zone")
-    border = (bprobe.join(cbuild, ["ncx", "ncy"])
-              .where(_d2(F.col("px"), F.col("py"), F.col("qx"), F.col("qy")) <= F.lit(eps2))
-              .groupBy("px", "py").agg(F.min("zone").cast("int").alias("bz")))
+    probe = noncore.select("px", "py", _offsets(r).alias("o"), "cx", "cy").select(
+        "px", "py", (F.col("cx") + F.col("o.ox")).alias("cx"), (F.col("cy") + F.col("o.oy")).alias("cy"))
+    build = zoned.select("cx", "cy", F.col("px").alias("qx"), F.col("py").alias("qy"), "zone")
+    border = (probe.join(build, ["cx", "cy"])
+              .where(_d2(F.col("px"), F.col("py"), F.col("qx"), F.col("qy")) <= eps2)
+              .groupBy("px", "py").agg(F.min("zone").alias("zone")))
     # non-core positions without a core position within eps are noise
-    rest = (noncore.select("px", "py").join(border, ["px", "py"], "left")
-            .select("px", "py", F.coalesce("bz", F.lit(-1)).alias(label)))
-    pos_label = core_lab.unionByName(rest)
-    return _attach(df, pos_label, x, y, pos_m["n"])
+    rest = noncore.select("px", "py").join(border, ["px", "py"], "left") \
+        .select("px", "py", F.coalesce("zone", F.lit(-1)).alias(label))
+    pos_label = materialize(zoned.select("px", "py", F.col("zone").alias(label)).unionByName(rest), "dbscan-labels")
+    drop_tables(weight, weighed, pos, cells, pairs, cell_zone)
+    return _attach(df, pos_label, x, y)
 
 
 # ---------------------------------------------------------------------------
-# Nearest labelled point
+# Nearest sites
 # ---------------------------------------------------------------------------
 
-def nearest_label(points: DataFrame, labelled: DataFrame, key: str = "quake_id", x: str = "Latitude",
-                  y: str = "Longitude", label: str = "Cluster", per_cell: float = 4.0,
-                  broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Each point takes the label of its nearest labelled point; ties by smaller key.
-
-    Round ``k`` puts the labelled points on a grid of side ``s * 2^k`` (``s`` sized
-    for about ``per_cell`` labelled points per cell) and compares every open point
-    with the labelled points of the 3 x 3 cells around its own.  That block holds
-    every labelled point within ``s * 2^k`` of the point, so a best candidate at
-    most that far is final; the others go to the next, twice coarser round.  Each
-    block contains the previous one, so no candidate is lost and the rounds end
-    once the grid is as coarse as the largest nearest distance.  The replicated
-    labelled side (9 rows per labelled point) is broadcast only when its counted
-    size is below ``broadcast_rows``; otherwise both sides shuffle on the cell.
-    """
-    lab = labelled.select(F.col(key).alias("lk"), F.col(x).alias("lx"), F.col(y).alias("ly"),
-                          F.col(label).alias("ll")).where(F.col("lx").isNotNull() & F.col("ly").isNotNull())
-    lab = materialize(lab, "nn-labelled")
-    st = lab.agg(F.count(F.lit(1)).alias("n"), F.min("lx").alias("x0"), F.max("lx").alias("x1"),
-                 F.min("ly").alias("y0"), F.max("ly").alias("y1")).first()
-    n_lab = st["n"]
-    if n_lab == 0:
-        return points.withColumn(label, F.lit(None).cast(labelled.schema[label].dataType))
-    area = max((st["x1"] - st["x0"]) * (st["y1"] - st["y0"]), 1e-12)
-    side = max(math.sqrt(area * per_cell / n_lab), 1e-9)
-    # Shrink the cells to the dense parts: the occupancy of the cell a typical
-    # labelled point lives in (90th percentile, weighted by points) should be
-    # about ``per_cell``; sparse points simply certify in a later, coarser round.
-    occ = (lab.groupBy(_cell(F.col("lx"), side).alias("cx"), _cell(F.col("ly"), side).alias("cy"))
-           .agg(F.count(F.lit(1)).alias("c"))
-           .agg(F.percentile("c", 0.9, F.col("c")).alias("p")).first()["p"])
-    if occ and occ > per_cell:
-        side = max(side * math.sqrt(per_cell / occ), 1e-9)
-    checkpoint_dir(points.sparkSession)
-
-    todo = points.select(F.col(key).alias("pk"), F.col(x).alias("qx"), F.col(y).alias("qy")).where(
-        F.col("qx").isNotNull() & F.col("qy").isNotNull())
-    found = []
-    k = 0
+def _nearest_site(queries: DataFrame, sites: DataFrame, other_than: bool = False, per_cell: float = 4.0) -> DataFrame:
+    """For each query ``(qx, qy[, own])`` the best site ``(sx, sy, extra, rank, pay)``: that of the
+    smallest ``(distance^2 + extra, rank)``, as a struct ``best`` of ``(cost, rank, pay)``.
+
+    With ``other_than`` sites whose ``pay`` equals the query's ``own`` don't count.  Round
+    ``k`` puts the sites on a grid of side ``s * 2^k`` and compares every open query with
+    the sites of the 3 x 3 cells around its own.  A site outside them is farther than
+    ``s * 2^k``, so a best cost of at most its square is final; the other queries go to the
+    next, twice coarser round.  Both tables hold distinct places, so a repeated coordinate
+    costs nothing extra.  Queries must be able to meet some site."""
+    st = sites.agg(F.count(F.lit(1)).alias("n"), F.min("sx").alias("x0"), F.max("sx").alias("x1"),
+                   F.min("sy").alias("y0"), F.max("sy").alias("y1")).first()
+    wide, high = st["x1"] - st["x0"], st["y1"] - st["y0"]
+    # on a line the cells follow its length; a single place takes any side
+    side = math.sqrt(wide * high * per_cell / st["n"]) or max(wide, high) * per_cell / st["n"] or 1.0
+    # Shrink the cells to the dense parts: the occupancy of the cell a typical site lives
+    # in should be about ``per_cell``; sparse queries certify in a later, coarser round.
+    occ = sites.groupBy(_cell(F.col("sx"), side).alias("cx"), _cell(F.col("sy"), side).alias("cy")) \
+        .agg(F.count(F.lit(1)).alias("c")).agg((F.sum(F.col("c") * F.col("c")) / F.sum("c")).alias("p")).first()["p"]
+    if occ > per_cell:
+        side *= math.sqrt(per_cell / occ)
+    # cell numbers must stay below 2^31
+    reach = max(abs(v) for v in (st["x0"], st["x1"], st["y0"], st["y1"]))
+    side = max(side, reach / (1 << 30), 1e-12)
+
+    keys = queries.columns
+    todo, found, k = queries, [], 0
     while True:
-        s_k = side * (2 ** k)
-        rep = lab.select("lk", "lx", "ly", "ll", _offsets(1).alias("o")).select(
-            "lk", "lx", "ly", "ll",
-            (_cell(F.col("lx"), s_k) + F.col("o.ox")).alias("cx"),
-            (_cell(F.col("ly"), s_k) + F.col("o.oy")).alias("cy"))
-        if n_lab * 9 <= broadcast_rows:
-            rep = F.broadcast(rep)
-        d2 = _d2(F.col("qx"), F.col("qy"), F.col("lx"), F.col("ly"))
-        cand = (todo.withColumns({"cx": _cell(F.col("qx"), s_k), "cy": _cell(F.col("qy"), s_k)})
-                .join(rep, ["cx", "cy"], "left")
-                .groupBy("pk", "qx", "qy")
-                .agg(F.min(F.when(F.col("lk").isNotNull(), F.struct(d2.alias("d2"), "lk", "ll"))).alias("b")))
-        # one table per round: certified rows are final, the others go to the next, coarser round
-        rnd, m = materialize_observed(
-            cand.withColumn("ok", F.coalesce(F.col("b.d2") <= F.lit(s_k * s_k), F.lit(False))), "nn-round",
-            open=F.count_if(~F.col("ok")))
-        found.append(rnd.where("ok").select("pk", F.col("b.ll").alias(label)))
-        todo = rnd.where(~F.col("ok")).select("pk", "qx", "qy")
+        s_k = side * 2 ** k
+        rep = sites.select("*", _offsets(1).alias("o")).select(
+            *sites.columns, (_cell(F.col("sx"), s_k) + F.col("o.ox")).alias("cx"),
+            (_cell(F.col("sy"), s_k) + F.col("o.oy")).alias("cy"))
+        cost = _d2(F.col("qx"), F.col("qy"), F.col("sx"), F.col("sy")) + F.col("extra")
+        usable = F.col("sx").isNotNull()
+        if other_than:
+            usable = usable & ~F.col("pay").eqNullSafe(F.col("own"))
+        cand = todo.withColumns({"cx": _cell(F.col("qx"), s_k), "cy": _cell(F.col("qy"), s_k)}) \
+            .join(rep, ["cx", "cy"], "left").groupBy(*keys) \
+            .agg(F.min(F.when(usable, F.struct(cost.alias("cost"), "rank", "pay"))).alias("best"))
+        done = F.coalesce(F.col("best.cost") <= F.lit(s_k * s_k), F.lit(False))
+        rnd, m = materialize_observed(cand.withColumn("ok", done), "nearest-round", open=F.count_if(~F.col("ok")))
+        found.append(rnd.where("ok").drop("ok"))
+        todo = rnd.where("NOT ok").select(*keys)
         if m["open"] == 0:
             break
         k += 1
     best = found[0]
     for d in found[1:]:
         best = best.unionByName(d)
-    return points.join(best.withColumnRenamed("pk", key), key, "left")
+    return best
 
 
-# ---------------------------------------------------------------------------
-# Silhouette scores
-# ---------------------------------------------------------------------------
+def nearest_label(points: DataFrame, labelled: DataFrame, key: str = "quake_id", x: str = "Latitude",
+                  y: str = "Longitude", label: str = "Cluster", per_cell: float = 4.0) -> DataFrame:
+    """Each point takes the label of its nearest labelled point; ties by smaller key.
 
-def _silhouette_block(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Per left position: a = mean distance to its own label, b = smallest mean to another label."""
-    if left.empty:
-        return pd.DataFrame({"px": [], "py": [], "lab": [], "w": [], "s": []})
-    labels, codes = np.unique(right["lab"].to_numpy(), return_inverse=True)
-    rw = right["w"].to_numpy(dtype=np.float64)
-    sizes = np.bincount(codes, weights=rw)
-    rx, ry = right["px"].to_numpy(np.float64), right["py"].to_numpy(np.float64)
-    lx, ly = left["px"].to_numpy(np.float64), left["py"].to_numpy(np.float64)
-    own = np.searchsorted(labels, left["lab"].to_numpy())
-    out = np.empty(len(left))
-    onehot = np.zeros((len(right), len(labels)))
-    onehot[np.arange(len(right)), codes] = rw
-    for start in range(0, len(left), 1024):
-        sl = slice(start, start + 1024)
-        d = np.sqrt((lx[sl, None] - rx[None, :]) ** 2 + (ly[sl, None] - ry[None, :]) ** 2)
-        sums = d @ onehot                      # distance sums per label
-        o = own[sl]
-        n_own = sizes[o]
-        a = np.where(n_own > 1, sums[np.arange(len(o)), o] / np.maximum(n_own - 1, 1), 0.0)
-        means = sums / sizes[None, :]
-        means[np.arange(len(o)), o] = np.inf
-        b = means.min(axis=1) if len(labels) > 1 else np.zeros(len(o))
-        denom = np.maximum(a, b)
-        s = np.where(denom > 0, (b - a) / np.where(denom > 0, denom, 1.0), 0.0)
-        out[sl] = np.where(n_own > 1, s, 0.0)
-    return pd.DataFrame({"px": lx, "py": ly, "lab": left["lab"].to_numpy(), "w": left["w"].to_numpy(), "s": out})
-
-
-def silhouette(df: DataFrame, x: str = "Latitude", y: str = "Longitude", label: str = "Cluster",
-               max_points: int = 10_000, blocks: int | None = None, key: str = "quake_id") -> DataFrame:
-    """Mean silhouette with Euclidean distances, every label (noise too) a cluster.
-
-    Quadratic by definition, so it is computed on at most ``max_points`` rows (the
-    exact seeded sample of :func:`sample_exact` above the cap).  Positions are
-    split into blocks; each block is cogrouped with a copy of all (at most
-    ``max_points``) positions and scored with NumPy in its own task, so the work
-    spreads over ``blocks`` tasks and no pair table is materialised.
-    """
-    from faultline.operators.sampling import sample_exact
-
-    spark: SparkSession = df.sparkSession
-    # the (bounded) scored rows are read several times: write them once
-    src = materialize(sample_exact(df.select(key, x, y, label), max_points, key=key), "silhouette-rows")
-    pos = (src.groupBy(F.col(x).alias("px"), F.col(y).alias("py"), F.col(label).cast("long").alias("lab"))
-           .agg(F.count(F.lit(1)).cast("double").alias("w")))
-    # each block task meets a copy of all positions: about 1,000 positions per block,
-    # never more blocks than task slots
-    blocks = blocks or max(1, min(spark.sparkContext.defaultParallelism, math.ceil(max_points / 1000)))
-    left = pos.withColumn("blk", F.abs(F.xxhash64("px", "py", "lab")) % F.lit(blocks))
-    right = pos.select(*[F.col(c).alias(c) for c in ["px", "py", "lab", "w"]],
-                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("blk"))
-    scored = (left.groupBy("blk").cogroup(right.groupBy("blk"))
-              .applyInPandas(lambda k, l, r: _silhouette_block(k, l, r),
-                             "px double, py double, lab long, w double, s double"))
-    return scored.agg((F.sum(F.col("s") * F.col("w")) / F.sum("w")).alias("silhouette"),
-                      F.sum("w").cast("bigint").alias("n"))
+    Both sides are collapsed to distinct positions (a labelled one keeps the label of its
+    smallest key), joined by :func:`_nearest_site`, and the labels are joined back to the
+    rows.  Points without finite coordinates, and all points if nothing is labelled, get NULL."""
+    def finite(df: DataFrame) -> DataFrame:
+        return df.where((F.abs(F.col(x)) < F.lit(math.inf)) & (F.abs(F.col(y)) < F.lit(math.inf)))
 
+    sites = finite(labelled).groupBy(F.col(x).alias("sx"), F.col(y).alias("sy")) \
+        .agg(F.min(F.struct(F.col(key).alias("rank"), F.col(label).alias("pay"))).alias("m")) \
+        .select("sx", "sy", F.lit(0.0).alias("extra"), "m.rank", "m.pay")
+    sites, m = materialize_observed(sites, "nearest-sites", n=F.count(F.lit(1)))
+    if m["n"] == 0:
+        return points.withColumn(label, F.lit(None).cast(labelled.schema[label].dataType))
+    queries = finite(points).select(F.col(x).alias("qx"), F.col(y).alias("qy")).distinct()
+    best = _nearest_site(materialize(queries, "nearest-queries"), sites, per_cell=per_cell)
+    best = best.select(F.col("qx").alias("px"), F.col("qy").alias("py"), F.col("best.pay").alias(label))
+    return _attach(points, best, x, y)
+
+
+# ---------------------------------------------------------------------------
+# Squared silhouette
+# ---------------------------------------------------------------------------
 
 def silhouette_squared(df: DataFrame, x: str = "Latitude", y: str = "Longitude",
                        label: str = "Cluster") -> DataFrame:
-    """Mean silhouette with squared Euclidean distances, on all rows, in linear time (Z3).
-
-    Mean squared distance from a point p to a label C is
-    ``(n_C |p|^2 - 2 p . S_C + Q_C) / n_C`` with the label's count, vector sum and
-    sum of squared norms.  Coordinates are centred on the global mean first to
-    keep the cancellation small.  The per-label sums are one small aggregate,
-    passed to every row as a scalar subquery (an array of one struct per label).
+    """Mean silhouette with squared Euclidean distances, on all rows, every label (noise too)
+    a cluster (Z3).
+
+    The mean squared distance from p to a label is ``|p - c|^2 + v`` with the label's
+    centre ``c`` and mean squared distance ``v`` to it, so the nearest other label is the
+    nearest site of that cost: a grid search over the centres, not a table of rows x labels.
+    Each distinct (position, label) is scored once with its weight.  Coordinates are centred
+    on the global mean first to keep the cancellation small.
     """
-    # three passes below (centre, per-label sums, scores): write the three columns once
-    df = materialize(df.select(x, y, label), "silhouette-sq-rows")
-    means = df.agg(F.struct(F.avg(x).alias("mx"), F.avg(y).alias("my")).alias("m")).first()["m"]
-    c = df.select((F.col(x) - F.lit(means["mx"])).alias("u"), (F.col(y) - F.lit(means["my"])).alias("v"),
-                  F.col(label).cast("long").alias("lab"))
-    stats = c.groupBy("lab").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum("u").alias("su"), F.sum("v").alias("sv"),
-        F.sum(F.col("u") * F.col("u") + F.col("v") * F.col("v")).alias("q"))
-    arr = stats.agg(F.collect_list(F.struct("lab", "n", "su", "sv", "q")).alias("a")).scalar()
-    # the array is projected once as a column; higher-order functions then read it
-    c = c.withColumn("stats", arr)
-    nrm = F.col("u") * F.col("u") + F.col("v") * F.col("v")
-
-    def total(e):
-        return e["n"] * nrm - 2 * (F.col("u") * e["su"] + F.col("v") * e["sv"]) + e["q"]
-
-    own = F.filter("stats", lambda e: e["lab"] == F.col("lab"))[0]
-    others = F.transform(F.filter("stats", lambda e: e["lab"] != F.col("lab")), lambda e: total(e) / e["n"])
-    a = F.when(own["n"] > 1, total(own) / (own["n"] - 1)).otherwise(F.lit(0.0))
-    b = F.array_min(others)
-    s = (F.when((own["n"] <= 1) | b.isNull(), F.lit(0.0))
-         .when(F.greatest(a, b) > 0, (b - a) / F.greatest(a, b)).otherwise(F.lit(0.0)))
-    return c.select(s.alias("s")).agg(F.avg("s").alias("silhouette_squared"), F.count(F.lit(1)).alias("n"))
+    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pos = materialize(df.groupBy(F.col(x).alias("x"), F.col(y).alias("y"), F.col(label).cast("long").alias("own"))
+                      .agg(F.count(F.lit(1)).alias("w")), "silhouette-positions")
+    w = F.col("w")
+    mean = pos.agg((F.sum(F.col("x") * w) / F.sum(w)).alias("x"), (F.sum(F.col("y") * w) / F.sum(w)).alias("y")).first()
+    c = pos.select((F.col("x") - F.lit(mean["x"])).alias("qx"), (F.col("y") - F.lit(mean["y"])).alias("qy"), "own", "w")
+    nrm = F.col("qx") * F.col("qx") + F.col("qy") * F.col("qy")
+    stats = c.groupBy("own").agg(
+        F.sum(w).alias("n"), (F.sum(F.col("qx") * w) / F.sum(w)).alias("sx"),
+        (F.sum(F.col("qy") * w) / F.sum(w)).alias("sy"), (F.sum(nrm * w) / F.sum(w)).alias("q"))
+    stats = stats.withColumn("extra", F.greatest(F.lit(0.0), F.col("q") - F.col("sx") * F.col("sx")
+                                                 - F.col("sy") * F.col("sy")))
+    stats, m = materialize_observed(stats, "silhouette-labels", n=F.count(F.lit(1)))
+    if m["n"] < 2:  # no other label: every row scores 0
+        return c.agg(F.when(F.sum(w) > 0, F.lit(0.0)).alias("silhouette_squared"),
+                     F.coalesce(F.sum(w), F.lit(0)).cast("bigint").alias("n"))
+    sites = stats.select("sx", "sy", "extra", F.col("own").alias("rank"), F.col("own").alias("pay"))
+    best = _nearest_site(c, sites, other_than=True)
+    own = _d2(F.col("qx"), F.col("qy"), F.col("sx"), F.col("sy")) + F.col("extra")
+    scored = best.join(stats, "own").select("w", F.col("best.cost").alias("b"), F.when(
+        F.col("n") > 1, own * F.col("n") / (F.col("n") - 1)).alias("a"))
+    s = F.when(F.col("a").isNull() | (F.greatest("a", "b") <= 0), F.lit(0.0)) \
+        .otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return scored.agg((F.sum(s * w) / F.sum(w)).alias("silhouette_squared"), F.sum(w).cast("bigint").alias("n"))

@@ -12,8 +12,8 @@ from faultline.operators.aggregates import modal
 def zone_profile(df: DataFrame, label: str = "Cluster", digits: int = 2) -> DataFrame:
     """Magnitude count/mean/max, mean latitude and longitude, modal place per zone, rounded (A3).
 
-    One hash aggregate keyed by the zone label; the zone holding most rows is
-    pre-combined in every task before the shuffle.
+    Hash aggregates keyed by the zone label and by (zone, place); the zone holding most
+    rows is pre-combined in every task before the shuffle.
     """
     agg = df.groupBy(label).agg(
         F.count("Magnitude").alias("magnitude_count"),
@@ -21,8 +21,8 @@ def zone_profile(df: DataFrame, label: str = "Cluster", digits: int = 2) -> Data
         F.max("Magnitude").alias("magnitude_max"),
         F.avg("Latitude").alias("latitude_mean"),
         F.avg("Longitude").alias("longitude_mean"),
-        modal("General_Location").alias("place_mode"),
-    )
+    ).join(modal(df, label, "General_Location", "place_mode").withColumnRenamed(label, "_zone"),
+           F.col(label).eqNullSafe(F.col("_zone")))
     return agg.select(
         label, "magnitude_count",
         *[round_half_even(c, digits).alias(c)

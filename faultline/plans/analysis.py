@@ -3,9 +3,9 @@
     python -m faultline.plans.analysis --input quakes.csv --out /shared/run1 --preset run
     python -m faultline.plans.analysis --events-dir /root/testdata/sf0.01 --out /tmp/x --preset full
 
-Steps: clean (written once as Parquet) -> zones (DBSCAN on all rows, or on the
-preset's seeded sample as published) -> zone profile and silhouette -> label
-spread by nearest neighbour -> stratified split, features, class weights ->
+Steps: clean (written once as Parquet) -> zones (DBSCAN on all rows) -> zone profile
+and squared silhouette -> labels of the significant rows spread by nearest
+neighbour -> stratified split, features, class weights ->
 GBT -> evaluation -> chart data and report.  Every intermediate that is read
 more than once is written to the output folder (a shared file system on a
 cluster), which also cuts lineage: a lost executor recomputes one step.
@@ -17,7 +17,7 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.constants import DBSCAN_EPS, DBSCAN_MIN_SAMPLES, DEFAULT_CUTOFF, PRESETS, TEST_FRACTION
+from faultline.constants import DBSCAN_EPS, DBSCAN_MIN_SAMPLES, DEFAULT_CUTOFF, DEFAULT_TIME_FORMATS, PRESETS, TEST_FRACTION
 from faultline.operators import aggregates as A
 from faultline.operators import charts as V
 from faultline.operators import features as M
@@ -40,7 +40,7 @@ def _save(df: DataFrame, out: str, name: str) -> DataFrame:
 
 
 def run_analysis(spark: SparkSession, raw: DataFrame, out: str, preset: str = "run",
-                 cutoff: str = DEFAULT_CUTOFF, cluster_all_rows: bool = False,
+                 cutoff: str = DEFAULT_CUTOFF, formats: list[str] = DEFAULT_TIME_FORMATS,
                  eps: float = DBSCAN_EPS, min_samples: int = DBSCAN_MIN_SAMPLES,
                  gbt_params: dict | None = None) -> dict[str, DataFrame]:
     """Run the whole analysis; returns the result tables (also written under ``out``)."""
@@ -49,28 +49,24 @@ def run_analysis(spark: SparkSession, raw: DataFrame, out: str, preset: str = "r
     res["raw_shape"] = table_shape(raw)
     res["raw_columns"] = column_info(raw)
     res["raw_describe"] = describe_numeric(raw, numeric_columns(raw))
-    res["cleaning_audit"] = cleaning_audit(raw, cutoff)
+    res["cleaning_audit"] = cleaning_audit(raw, cutoff, formats)
 
-    clean = _save(clean_catalog(raw, cutoff, depth_bands=p["depth_bands"]), out, "clean")
+    clean = _save(clean_catalog(raw, cutoff, formats, depth_bands=p["depth_bands"]), out, "clean")
     res["clean"] = clean
     res["totals"] = A.totals(clean)
     res["region_breakdown"] = A.region_breakdown(clean)
 
-    # Zones: all rows (no cap needed on Spark) or the preset's exact seeded sample.
-    cap = None if cluster_all_rows else p["cluster_sample"]
-    base = D.sample_exact(clean, cap) if cap else clean
-    zones = _save(Z.dbscan(base, eps=eps, min_samples=min_samples), out, "zones")
+    zones = _save(Z.dbscan(clean, eps=eps, min_samples=min_samples), out, "zones")
     res["zones"] = zones
     res["zone_summary"] = A.zone_summary(zones)
     res["zone_profile"] = zone_profile(zones)
     if p["silhouette"]:
         n_zones = res["zone_summary"].first()["n_zones"]
         if n_zones > 1:
-            res["silhouette"] = Z.silhouette(zones, max_points=p["cluster_sample"] or 10_000)
             res["silhouette_squared"] = Z.silhouette_squared(zones)
-    labelled = clean
+    labelled = zones
     if p["spread_labels"]:
-        labelled = _save(Z.nearest_label(clean, zones.select("quake_id", "Latitude", "Longitude", "Cluster")),
+        labelled = _save(Z.nearest_label(clean, zones.where("is_significant = 1")),
                          out, "clean_labelled")
         res["clean_labelled"] = labelled
 
@@ -95,14 +91,12 @@ def run_analysis(spark: SparkSession, raw: DataFrame, out: str, preset: str = "r
     charts["region_significance"] = V.chart_region_significance(clean)
     charts["confusion"] = V.chart_confusion(pred)
     charts["importance"] = V.chart_importance(importance)
-    if p["chart_sample"]:
-        n = p["chart_sample"]
+    if p["point_charts"]:
         charts["regions"] = V.chart_regions(clean)
-        charts["map_magnitude"] = V.chart_map(clean, n, "Magnitude")
-        charts["depth_magnitude"] = V.chart_depth_magnitude(clean, n)
+        charts["map_magnitude"] = V.chart_map(clean, "Magnitude")
+        charts["depth_magnitude"] = V.chart_depth_magnitude(clean)
         charts["magnitude_by_class"] = V.chart_magnitude_by_class(clean, p["histogram_bins"] or 30)
-        if "Cluster" in labelled.columns:
-            charts["map_zones"] = V.chart_map(labelled, n, "Cluster")
+        charts["map_zones"] = V.chart_map(labelled, "Cluster")
     write_chart_data(charts, f"{out.rstrip('/')}/charts")
     res.update({f"chart_{k}": v for k, v in charts.items()})
 
@@ -124,16 +118,20 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--preset", default="run", choices=sorted(PRESETS))
     ap.add_argument("--cutoff", default=None)
-    ap.add_argument("--all-rows", action="store_true", help="cluster all rows instead of the preset sample")
+    ap.add_argument("--time-format", action="append", help="layout of the event time; may be given several times")
+    ap.add_argument("--single-line", action="store_true", help="no line breaks inside CSV fields: split large files")
+    ap.add_argument("--shuffle-partitions", type=int, default=None)
+    ap.add_argument("--checkpoint-dir", default=None, help="shared folder for intermediate tables")
     ap.add_argument("--trees", type=int, default=None)
     ap.add_argument("--master", default=None)
     a = ap.parse_args(argv)
-    spark = get_spark(a.master)
+    spark = get_spark(a.master, shuffle_partitions=a.shuffle_partitions,
+                      extra={"spark.checkpoint.dir": a.checkpoint_dir} if a.checkpoint_dir else None)
     if a.events_dir:
         raw, cutoff = quake_view(spark, a.events_dir), a.cutoff or VIEW_CUTOFF
     else:
-        raw, cutoff = read_catalog(spark, a.input, a.format), a.cutoff or DEFAULT_CUTOFF
-    res = run_analysis(spark, raw, a.out, a.preset, cutoff, a.all_rows,
+        raw, cutoff = read_catalog(spark, a.input, a.format, multi_line=not a.single_line), a.cutoff or DEFAULT_CUTOFF
+    res = run_analysis(spark, raw, a.out, a.preset, cutoff, a.time_format or DEFAULT_TIME_FORMATS,
                        gbt_params={"maxIter": a.trees} if a.trees else None)
     for row in res["report"].orderBy("line_no").collect():
         print(row.line)

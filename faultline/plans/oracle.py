@@ -8,7 +8,7 @@ two engines share no code.  Column names and types follow the Spark results.
 from __future__ import annotations
 
 from faultline.constants import (
-    DBSCAN_EPS, DBSCAN_MIN_SAMPLES, DEPTH_EDGES, DEPTH_LABELS, NA_TOKENS, QUERY_HIST_BINS, QUERY_SAMPLE_CAP,
+    DBSCAN_EPS, DBSCAN_MIN_SAMPLES, DEPTH_EDGES, DEPTH_LABELS, NA_TOKENS, QUERY_HIST_BINS, QUERY_SAMPLE_ROWS,
     QUERY_TIGHT_EPS, QUERY_TIGHT_MIN_SAMPLES, REGION_GROUPS, SEED,
 )
 from faultline.functions.columns import NUMBER_PATTERN
@@ -155,12 +155,14 @@ SELECT rule, n FROM (
     count(*) FILTER (WHERE Magnitude IS NULL) AS magnitude_null,
     count(*) FILTER (WHERE Depth_In_Km IS NULL) AS depth_not_number,
     count(*) FILTER (WHERE General_Location IS NULL) AS location_null,
+    count(*) FILTER (WHERE isinf(Latitude) OR isinf(Longitude)) AS coordinate_not_finite,
     count(*) FILTER (WHERE Date_Time_PH <= TIMESTAMP '{VIEW_CUTOFF}' AND Latitude IS NOT NULL
                      AND Longitude IS NOT NULL AND Magnitude IS NOT NULL
                      AND Depth_In_Km IS NOT NULL) AS clean_rows
   FROM coerced
 ) UNPIVOT (n FOR rule IN (raw_rows, bad_or_null_time, after_cutoff, latitude_null, longitude_null,
-                          magnitude_null, depth_not_number, location_null, clean_rows))""")
+                          magnitude_null, depth_not_number, location_null, coordinate_not_finite,
+                          clean_rows))""")
     q["table_shape"] = with_clean("SELECT count(*) AS n_rows, CAST(14 AS BIGINT) AS n_cols FROM clean")
     types = [("quake_id", "bigint"), ("Date_Time_PH", "timestamp_ntz"), ("Latitude", "double"),
              ("Longitude", "double"), ("Depth_In_Km", "double"), ("Magnitude", "double"),
@@ -210,7 +212,6 @@ FROM clean GROUP BY Region ORDER BY Region""")
 # Sampling, split, features, metrics, spatial
 # ---------------------------------------------------------------------------
 
-SAMPLE_CAP = QUERY_SAMPLE_CAP
 TIGHT_EPS, TIGHT_MIN = QUERY_TIGHT_EPS, QUERY_TIGHT_MIN_SAMPLES
 
 
@@ -265,9 +266,7 @@ EVAL = (f"ev AS MATERIALIZED (SELECT cl.is_significant, {RULE} AS prediction FRO
         f"JOIN split s USING (quake_id) WHERE s.is_test)")
 
 
-def _silhouette_sql(points: str, labels: str, squared: bool, name: str) -> str:
-    dist = "({d2})" if squared else "sqrt({d2})"
-    dist = dist.format(d2=_d2("a", "b"))
+def _silhouette_sql(points: str, labels: str, name: str) -> tuple[str, list[str]]:
     return f"""
 SELECT round(avg(CASE WHEN n_own <= 1 OR b IS NULL THEN 0
                       WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS {name},
@@ -275,7 +274,7 @@ SELECT round(avg(CASE WHEN n_own <= 1 OR b IS NULL THEN 0
 FROM (SELECT d.k, max(CASE WHEN d.lab = d.own THEN d.ds / nullif(z.n - 1, 0) END) AS a,
              min(CASE WHEN d.lab <> d.own THEN d.ds / z.n END) AS b,
              max(CASE WHEN d.lab = d.own THEN z.n END) AS n_own
-      FROM (SELECT a.k, a.lab AS own, b.lab, sum({dist}) AS ds
+      FROM (SELECT a.k, a.lab AS own, b.lab, sum({_d2("a", "b")}) AS ds
             FROM sp a, sp b GROUP BY a.k, a.lab, b.lab) d
       JOIN (SELECT lab, count(*) AS n FROM sp GROUP BY lab) z ON z.lab = d.lab
       GROUP BY d.k)""", [
@@ -283,6 +282,15 @@ FROM (SELECT d.k, max(CASE WHEN d.lab = d.own THEN d.ds / nullif(z.n - 1, 0) END
         f"FROM {points} p JOIN {labels} l USING (quake_id))"]
 
 
+# The view's coordinates at full precision, and with every third event at one place.
+PRECISE = """precise AS MATERIALIZED (
+  SELECT * REPLACE (Latitude + (quake_id * 7919 % 100003) / 10000019.0 AS Latitude,
+                    Longitude + (quake_id * 104729 % 100019) / 10000079.0 AS Longitude) FROM clean)"""
+HOT = """hot AS MATERIALIZED (
+  SELECT * REPLACE (CASE WHEN quake_id % 3 = 0 THEN 9.25 ELSE Latitude END AS Latitude,
+                    CASE WHEN quake_id % 3 = 0 THEN 122.125 ELSE Longitude END AS Longitude) FROM precise)"""
+
+
 def spatial_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["dbscan_labels"] = with_clean("SELECT quake_id, Cluster FROM labels",
@@ -312,9 +320,8 @@ LEFT JOIN (SELECT Cluster, General_Location FROM (
   ON m.Cluster = l.Cluster
 GROUP BY l.Cluster ORDER BY l.Cluster""", *zl, recursive=True)
     q["sample_points"] = with_clean("SELECT quake_id, Longitude, Latitude, Magnitude FROM samp",
-                                    _sample(SAMPLE_CAP))
-    q["depth_magnitude_points"] = with_clean("SELECT quake_id, Depth_In_Km, Magnitude FROM samp",
-                                             _sample(SAMPLE_CAP))
+                                    _sample(QUERY_SAMPLE_ROWS))
+    q["depth_magnitude_points"] = with_clean("SELECT quake_id, Depth_In_Km, Magnitude FROM clean")
     q["split_assignment"] = with_clean("SELECT quake_id, is_significant, is_test FROM split", *SPLIT)
     q["class_counts"] = with_clean(
         "SELECT is_significant, count(*) AS n FROM split WHERE NOT is_test GROUP BY 1 ORDER BY 1", *SPLIT)
@@ -328,7 +335,8 @@ FROM (SELECT is_significant, count(*) AS n FROM split WHERE NOT is_test GROUP BY
                        for r in ["Luzon", "Mindanao", "Unknown", "Visayas"])
     q["one_hot_region"] = with_clean(f"SELECT quake_id, {onehot} FROM clean")
     q["feature_table"] = with_clean(
-        f"SELECT quake_id, is_significant, Latitude, Longitude, Depth_In_Km, Hour, DayOfWeek, Month, {onehot} "
+        f"SELECT quake_id, is_significant, Latitude, Longitude, Depth_In_Km, CAST(Hour AS DOUBLE) AS Hour, "
+        f"CAST(DayOfWeek AS DOUBLE) AS DayOfWeek, CAST(Month AS DOUBLE) AS Month, {onehot.replace('INTEGER', 'DOUBLE')} "
         f"FROM clean")
     q["confusion_matrix"] = with_clean("""
 SELECT g.c AS is_significant, count(*) FILTER (WHERE ev.prediction = 0) AS pred_0,
@@ -359,20 +367,51 @@ SELECT row, round(precision, 6) AS precision, round(recall, 6) AS recall, round(
     q["accuracy"] = with_clean(
         "SELECT round(avg(CAST(is_significant = prediction AS INTEGER)), 6) AS accuracy, count(*) AS n FROM ev",
         *SPLIT, EVAL)
-    sl = dbscan_ctes("samp", DBSCAN_EPS, DBSCAN_MIN_SAMPLES, "s_")
-    q["nearest_label"] = with_clean("""
-SELECT c.quake_id, CAST(min((d2, l.k, l.Cluster))[3] AS INTEGER) AS Cluster
-FROM clean c CROSS JOIN (SELECT s.quake_id AS k, s.Latitude AS x, s.Longitude AS y, l.Cluster
-                         FROM samp s JOIN s_labels l USING (quake_id)) l,
+    nearest = """
+SELECT c.quake_id, (min((d2, l.k, l.lab)))[3] AS {name}
+FROM {points} c CROSS JOIN sites l,
      LATERAL (SELECT (c.Latitude - l.x) * (c.Latitude - l.x) + (c.Longitude - l.y) * (c.Longitude - l.y) AS d2)
-GROUP BY c.quake_id""", _sample(SAMPLE_CAP), *sl, recursive=True)
-    body, extra = _silhouette_sql("samp", "s_labels", False, "silhouette")
-    q["silhouette"] = with_clean(body, _sample(SAMPLE_CAP), *sl, *extra, recursive=True)
+GROUP BY c.quake_id"""
+    q["nearest_label"] = with_clean(
+        nearest.format(name="Cluster", points="clean"), *zl,
+        "sites AS MATERIALIZED (SELECT quake_id AS k, Latitude AS x, Longitude AS y, Cluster AS lab "
+        "FROM clean JOIN labels USING (quake_id) WHERE is_significant = 1)", recursive=True)
+    q["nearest_label_hot"] = with_clean(
+        nearest.format(name="Region", points="hot"), PRECISE, HOT,
+        "sites AS MATERIALIZED (SELECT quake_id AS k, Latitude AS x, Longitude AS y, Region AS lab "
+        "FROM hot WHERE is_significant = 1)")
     q["map_points"] = with_clean(
-        "SELECT s.quake_id, s.Longitude, s.Latitude, l.Cluster FROM samp s JOIN labels l USING (quake_id)",
-        *zl, _sample(SAMPLE_CAP), recursive=True)
+        "SELECT c.quake_id, c.Longitude, c.Latitude, l.Cluster FROM clean c JOIN labels l USING (quake_id)",
+        *zl, recursive=True)
+    within = """
+SELECT a.quake_id, count(*) AS n_within FROM {points} a JOIN {points} b
+ON (a.Latitude - b.Latitude) * (a.Latitude - b.Latitude) + (a.Longitude - b.Longitude) * (a.Longitude - b.Longitude)
+   <= {eps2}
+GROUP BY a.quake_id"""
+    q["within_distance_precise"] = with_clean(within.format(points="precise", eps2=_eps2(TIGHT_EPS)), PRECISE)
+    q["within_distance_hot"] = with_clean(within.format(points="hot", eps2=_eps2(TIGHT_EPS)), PRECISE, HOT)
+    q["dbscan_precise"] = with_clean("SELECT quake_id, Cluster FROM labels", PRECISE,
+                                     *dbscan_ctes("precise", TIGHT_EPS, TIGHT_MIN, ""), recursive=True)
+    q["impute_mean"] = with_clean("""
+SELECT quake_id, round(coalesce(Latitude, avg(Latitude) OVER ()), 6) AS Latitude,
+       round(coalesce(Magnitude, avg(Magnitude) OVER ()), 6) AS Magnitude,
+       round(coalesce(CAST(d AS DOUBLE), avg(d) OVER ()), 6) AS Depth
+FROM (SELECT *, TRY_CAST(Depth_In_Km AS INTEGER) AS d FROM quakes)""")
+    q["csv_round_trip"] = with_clean("""
+SELECT c.quake_id, c.Date_Time_PH, c.Latitude, c.Longitude, c.Depth_In_Km, c.Magnitude,
+       '012 km "N" of ' || coalesce(q.General_Location, '?') || ', day 2' || chr(10) || 'felt' AS Location,
+       c.General_Location
+FROM coerced c JOIN quakes q USING (quake_id)""")
+    bands = ", ".join(f"CAST(coalesce(Depth_Category = {_q(v)}, false) AS INTEGER) AS Depth_{v.replace(' ', '_')}"
+                      for v in DEPTH_LABELS)
+    q["one_hot_depth"] = with_clean(f"SELECT quake_id, {bands} FROM clean")
+    q["model_test_rows"] = with_clean("SELECT quake_id, is_significant FROM split WHERE is_test", *SPLIT)
+    facts = ["probabilities are in [0, 1]", "prediction is probability above one half", "importances sum to 1",
+             "importances are named in feature order", "top features descend", "summary has its lines",
+             "report has its features"]
+    q["model_checks"] = "SELECT * FROM (VALUES " + ", ".join(f"({_q(f)}, true)" for f in facts) + ") t(fact, holds)"
     q["summary_report"] = with_clean(REPORT_BODY, *zl, *REPORT_CTES, recursive=True)
-    body, extra = _silhouette_sql("clean", "labels", True, "silhouette_squared")
+    body, extra = _silhouette_sql("clean", "labels", "silhouette_squared")
     q["silhouette_squared"] = with_clean(body, *zl, *extra, recursive=True)
     return q
 

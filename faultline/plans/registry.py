@@ -7,14 +7,15 @@ statement in :mod:`faultline.plans.oracle` does.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.constants import (
-    DBSCAN_EPS, DBSCAN_MIN_SAMPLES, QUERY_HIST_BINS, QUERY_SAMPLE_CAP, QUERY_TIGHT_EPS,
-    QUERY_TIGHT_MIN_SAMPLES,
+    DBSCAN_EPS, DBSCAN_MIN_SAMPLES, DEPTH_LABELS, QUERY_HIST_BINS,
+    QUERY_SAMPLE_ROWS, QUERY_TIGHT_EPS, QUERY_TIGHT_MIN_SAMPLES, REGIONS,
 )
 from faultline.operators import aggregates as A
 from faultline.operators import clean as C
@@ -24,14 +25,13 @@ from faultline.operators import model as ML
 from faultline.operators import profile as P
 from faultline.operators import sampling as D
 from faultline.operators import spatial as Z
-from faultline.operators.charts import chart_map
+from faultline.operators.charts import chart_depth_magnitude, chart_map
 from faultline.operators.report import report_lines, run_summary
 from faultline.operators.zones import zone_profile
-from faultline.session import materialize, shared_dir
-from faultline.sources.catalog import VIEW_CUTOFF, quake_view
+from faultline.session import materialize, tables_dir
+from faultline.sources.catalog import VIEW_CUTOFF, hot_view, precise_view, quake_view, quoted_view, read_catalog
 
 HIST_BINS = QUERY_HIST_BINS
-SAMPLE_CAP = QUERY_SAMPLE_CAP
 TIGHT_EPS, TIGHT_MIN = QUERY_TIGHT_EPS, QUERY_TIGHT_MIN_SAMPLES
 
 
@@ -122,21 +122,35 @@ def q_accuracy(spark, sf_dir):
     return E.accuracy(evaluated(spark, sf_dir)).select(_r6("accuracy"), "n")
 
 
-def sampled_labels(spark, sf_dir, base=None):
-    base = base if base is not None else clean_once(spark, sf_dir)
-    s = materialize(D.sample_exact(base, SAMPLE_CAP), "sample")
-    return Z.dbscan(s)
-
-
 def q_nearest(spark, sf_dir):
+    """Every event takes the zone of its nearest significant event."""
     base = clean_once(spark, sf_dir)
-    lab = sampled_labels(spark, sf_dir, base)
-    return Z.nearest_label(base.select("quake_id", "Latitude", "Longitude"), lab) \
-        .select("quake_id", "Cluster")
+    lab = labelled(spark, sf_dir, base=base).where("is_significant = 1")
+    return Z.nearest_label(base.select("quake_id", "Latitude", "Longitude"), lab).select("quake_id", "Cluster")
+
 
+def q_nearest_hot(spark, sf_dir):
+    """As nearest_label with regions as labels, a third of all events at one place."""
+    hot = materialize(hot_view(clean(spark, sf_dir)), "hot")
+    lab = hot.where("is_significant = 1")
+    return Z.nearest_label(hot.select("quake_id", "Latitude", "Longitude"), lab, label="Region") \
+        .select("quake_id", "Region")
 
-def q_silhouette(spark, sf_dir):
-    return Z.silhouette(sampled_labels(spark, sf_dir), max_points=SAMPLE_CAP).select(_r6("silhouette"), "n")
+
+def q_impute(spark, sf_dir):
+    """Gaps of double columns and of an integral one."""
+    r = raw(spark, sf_dir).withColumn("Depth", F.col("Depth_In_Km").try_cast("int"))
+    out = A.impute_mean(r, ["Latitude", "Magnitude", "Depth"])
+    return out.select("quake_id", *[_r6(c) for c in ("Latitude", "Magnitude", "Depth")])
+
+
+def q_csv(spark, sf_dir):
+    """The raw view through a CSV file and back, then coerced."""
+    path = f"{tables_dir(spark)}/csv-{uuid.uuid4().hex}"
+    quoted_view(raw(spark, sf_dir)).write.options(header=True, quote='"', escape='"').csv(path)
+    return C.coerce(read_catalog(spark, path)).select(
+        F.col("quake_id").cast("bigint").alias("quake_id"), "Date_Time_PH", "Latitude", "Longitude", "Depth_In_Km",
+        "Magnitude", "Location", "General_Location")
 
 
 def q_silhouette_sq(spark, sf_dir):
@@ -149,14 +163,22 @@ QUERIES.update({
     "within_distance_counts": lambda s, d: Z.within_distance_counts(clean(s, d), eps=TIGHT_EPS),
     "zone_summary": lambda s, d: A.zone_summary(labelled(s, d)),
     "zone_profile": q_zone_profile,
-    "sample_points": lambda s, d: D.sample_exact(clean_once(s, d), SAMPLE_CAP)
+    "sample_points": lambda s, d: D.sample_exact(clean_once(s, d), QUERY_SAMPLE_ROWS)
         .select("quake_id", "Longitude", "Latitude", "Magnitude"),
-    "depth_magnitude_points": lambda s, d: D.sample_exact(clean_once(s, d), SAMPLE_CAP)
-        .select("quake_id", "Depth_In_Km", "Magnitude"),
+    "depth_magnitude_points": lambda s, d: chart_depth_magnitude(clean(s, d)),
+    "impute_mean": q_impute,
+    "csv_round_trip": q_csv,
+    "one_hot_depth": lambda s, d: M.one_hot(clean(s, d), "Depth_Category", values=DEPTH_LABELS).select(
+        "quake_id", *[F.col(f"Depth_Category_{v}").alias("Depth_" + v.replace(" ", "_")) for v in DEPTH_LABELS]),
+    "within_distance_precise": lambda s, d: Z.within_distance_counts(precise_view(clean(s, d)), eps=TIGHT_EPS),
+    "within_distance_hot": lambda s, d: Z.within_distance_counts(hot_view(clean(s, d)), eps=TIGHT_EPS),
+    "dbscan_precise": lambda s, d: Z.dbscan(materialize(precise_view(clean(s, d)), "precise"), eps=TIGHT_EPS,
+                                            min_samples=TIGHT_MIN).select("quake_id", "Cluster"),
+    "nearest_label_hot": q_nearest_hot,
     "split_assignment": lambda s, d: split(s, d).select("quake_id", "is_significant", "is_test"),
     "class_counts": lambda s, d: A.class_counts(train_rows(s, d)),
     "class_weight": q_class_weight,
-    "one_hot_region": lambda s, d: M.one_hot(clean_once(s, d), "Region").select(
+    "one_hot_region": lambda s, d: M.one_hot(clean(s, d), "Region", values=REGIONS).select(
         "quake_id", "Region_Luzon", "Region_Mindanao", "Region_Unknown", "Region_Visayas"),
     "feature_table": lambda s, d: M.feature_table(clean_once(s, d))[0],
     "confusion_matrix": lambda s, d: E.confusion_matrix(evaluated(s, d)),
@@ -164,62 +186,62 @@ QUERIES.update({
     "classification_report": q_report,
     "accuracy": q_accuracy,
     "nearest_label": q_nearest,
-    "silhouette": q_silhouette,
     "silhouette_squared": q_silhouette_sq,
 })
 
 
-_MODELS: dict = {}
+def trained(spark, sf_dir):
+    """The classifier of one data set, trained here: model, feature names, feature table."""
+    sp = materialize(split(spark, sf_dir), "split")
+    table, names = M.feature_table(sp)
+    table = materialize(table.join(sp.select("quake_id", "is_test"), "quake_id"), "features")
+    model = ML.train_classifier(M.class_weight(table.where("NOT is_test")), names)
+    return model, names, table
 
 
-def _fingerprint(spark: SparkSession, path: str, extra: str) -> str:
-    """Size and modification time of an input file (any Hadoop file system) plus parameters."""
-    import hashlib
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    st = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
-    return hashlib.sha1(f"{path}|{st.getLen()}|{st.getModificationTime()}|{extra}".encode()).hexdigest()[:16]
+def scored(model, table) -> DataFrame:
+    return materialize(ML.predict(model, table.where("is_test"), ["quake_id", "is_significant"]), "predictions")
 
 
-def trained(spark, sf_dir):
-    """Split, features, class weights and the GBT model of one data set.
-
-    Trained once: kept per process, and saved under the shared checkpoint folder
-    keyed by the input's size, time and the parameters, so later runs load it
-    (``FAULTLINE_REUSE_MODELS=0`` forces training).
-    """
-    import os
-
-    from pyspark.ml import PipelineModel
-
-    from faultline.constants import GBT_PARAMS
-    reuse = os.environ.get("FAULTLINE_REUSE_MODELS", "1") != "0"
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MODELS or not reuse:
-        sp = materialize(split(spark, sf_dir), "split")
-        table, names = M.feature_table(sp)
-        table = materialize(table.join(sp.select("quake_id", "is_test"), "quake_id"), "features")
-        from faultline import __version__
-        fp = _fingerprint(spark, f"{sf_dir}/events.parquet",
-                          __version__ + repr(sorted(GBT_PARAMS.items())) + repr(names))
-        path = f"{shared_dir(spark)}/models/gbt-{fp}"
-        model = None
-        if reuse:
-            try:
-                model = PipelineModel.load(path)
-            except Exception:  # not saved yet
-                model = None
-        if model is None:
-            train = M.class_weight(table.where("NOT is_test"))
-            model = ML.train_classifier(train, names)
-            model.write().overwrite().save(path)
-        _MODELS[key] = (model, names, table)
-    return _MODELS[key]
+def q_predictions(spark, sf_dir):
+    model, _, table = trained(spark, sf_dir)
+    return scored(model, table)
 
 
-def q_predictions(spark, sf_dir):
+def q_test_rows(spark, sf_dir):
+    """What the classifier scores: keys and labels, whatever the trees say."""
+    return q_predictions(spark, sf_dir).where("prediction IS NOT NULL AND probability IS NOT NULL") \
+        .select("quake_id", "is_significant")
+
+
+def q_model_checks(spark, sf_dir):
+    """Facts of any right model, of its importances and of the summary made from it."""
     model, names, table = trained(spark, sf_dir)
-    return ML.predict(model, table.where("is_test"), ["quake_id", "is_significant"])
+    pred = scored(model, table)
+    importance = materialize(ML.feature_importance(model, names), "importance")
+    top = ML.top_features(importance, 10)
+    order = Window.orderBy("rank")
+    facts = [
+        ("probabilities are in [0, 1]", pred.agg(F.bool_and(F.col("probability").between(0, 1)).alias("ok"))),
+        ("prediction is probability above one half",
+         pred.agg(F.bool_and(F.col("prediction") == (F.col("probability") > 0.5).cast("int")).alias("ok"))),
+        ("importances sum to 1", importance.agg((F.abs(F.sum("importance") - 1) < 1e-9).alias("ok"))),
+        ("importances are named in feature order",
+         importance.agg((F.array_sort(F.collect_list("feature")) == F.array(*[F.lit(n) for n in sorted(names)])).alias("ok"))),
+        ("top features descend", top.withColumn("next", F.lead("importance").over(order))
+         .agg((F.bool_and(F.coalesce(F.col("next") <= F.col("importance"), F.lit(True)))
+               & (F.count(F.lit(1)) == min(10, len(names)))).alias("ok"))),
+        ("summary has its lines", run_summary(clean(spark, sf_dir), E.accuracy(pred), None, importance)
+         .agg((F.array_sort(F.collect_list("metric")) == F.array(*[F.lit(m) for m in (
+             "accuracy", "significant_earthquakes", "top_features", "total_earthquakes")])).alias("ok"))),
+        ("report has its features", report_lines(clean(spark, sf_dir), importance=importance)
+         .where(F.col("line").rlike(r"^[1-5]\. [A-Za-z_]+: 0\.[0-9]{4}$")).agg((F.count(F.lit(1)) == 5).alias("ok"))),
+    ]
+    out = None
+    for name, df in facts:
+        row = df.select(F.lit(name).alias("fact"), F.coalesce("ok", F.lit(False)).alias("holds"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def q_top_features(spark, sf_dir):
@@ -233,7 +255,7 @@ def q_model_report(spark, sf_dir):
 
 
 def q_map_points(spark, sf_dir):
-    return chart_map(labelled(spark, sf_dir), SAMPLE_CAP, "Cluster")
+    return chart_map(labelled(spark, sf_dir), "Cluster")
 
 
 def q_summary_report(spark, sf_dir):
@@ -242,9 +264,9 @@ def q_summary_report(spark, sf_dir):
 
 
 def q_run_summary(spark, sf_dir):
-    model, names, _ = trained(spark, sf_dir)
+    model, names, table = trained(spark, sf_dir)
     base = clean_once(spark, sf_dir)
-    return run_summary(base, E.accuracy(q_predictions(spark, sf_dir)), labelled(spark, sf_dir, base=base),
+    return run_summary(base, E.accuracy(scored(model, table)), labelled(spark, sf_dir, base=base),
                        ML.feature_importance(model, names))
 
 
@@ -253,6 +275,8 @@ QUERIES.update({
     "summary_report": q_summary_report,
     "run_summary": q_run_summary,
     "model_predictions": q_predictions,
+    "model_test_rows": q_test_rows,
+    "model_checks": q_model_checks,
     "top_features": q_top_features,
     "model_report": q_model_report,
 })

@@ -116,8 +116,3 @@ def materialize_observed(df: DataFrame, name: str, keep: list[str] | None = None
         observed = observed.select(*keep)
     out = materialize(observed, name)
     return out, obs.get
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for streaming checkpoints: this application's own under :func:`shared_dir`."""
-    return tables_dir(spark)

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.constants import NA_TOKENS, RAW_COLUMNS
-
-# Raw catalogue schema: everything is text until it is coerced explicitly.
-RAW_SCHEMA = T.StructType(
-    [T.StructField("quake_id", T.LongType(), True)]
-    + [T.StructField(c, T.StringType(), True) for c in RAW_COLUMNS]
-)
+from faultline.constants import NA_TOKENS
 
 # Fixed values of the quake-shaped view over ``events``: place names picked by
 # ``user_id % 20`` (entry 17 is an empty string).
@@ -30,17 +22,20 @@ VIEW_PLACES = [
 VIEW_CUTOFF = "2024-01-28 00:00:00"
 
 
-def read_catalog(spark: SparkSession, path: str, fmt: str = "csv", with_key: bool = True) -> DataFrame:
+def read_catalog(spark: SparkSession, path: str, fmt: str = "csv", with_key: bool = True,
+                 multi_line: bool = True) -> DataFrame:
     """Scan a raw catalogue.
 
-    CSV is read with a header and an all-text schema (no inference pass over the
-    data).  A file without ``quake_id`` gets one: ``monotonically_increasing_id``
-    is unique but depends on the input split, so store the keyed table once and
-    read it back for repeatable runs.
+    CSV is read with a header, an all-text schema (no inference pass over the data), and
+    quoting as pandas has it: a quote inside a quoted field is doubled.  ``multi_line``
+    allows line breaks inside quoted fields; Spark then reads each file in one task, so turn
+    it off for large files that have none.  A file without ``quake_id`` gets one:
+    ``monotonically_increasing_id`` is unique but depends on the input split, so store the
+    keyed table once and read it back for repeatable runs.
     """
     if fmt == "csv":
-        reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-        header = reader.csv(path).columns  # reads only the header line
+        reader = spark.read.options(header=True, mode="PERMISSIVE", quote='"', escape='"', multiLine=multi_line)
+        header = reader.option("enforceSchema", False).csv(path).columns  # reads only the header line
         schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
         df = reader.schema(schema).csv(path)
     else:
@@ -69,10 +64,6 @@ def quake_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     nothing here selects or drops rows.
     """
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id")
-    cores = spark.sparkContext.defaultParallelism
-    if ev.rdd.getNumPartitions() < cores:
-        # a small single-file table: spread the per-row derivation over all cores
-        ev = ev.repartition(cores)
     e = F.col("event_id")
     z = F.col("user_id") % 7
 
@@ -108,6 +99,24 @@ def quake_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def union_catalogs(dfs: list[DataFrame]) -> DataFrame:
-    """Stack several catalogue extracts with the same columns."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
+def precise_view(quakes: DataFrame) -> DataFrame:
+    """The clean view with coordinates of full precision: nearly every row a place of its own."""
+    e = F.col("quake_id")
+    return quakes.withColumns({
+        "Latitude": F.col("Latitude") + (e * 7919 % 100_003) / F.lit(10_000_019.0),
+        "Longitude": F.col("Longitude") + (e * 104_729 % 100_019) / F.lit(10_000_079.0),
+    })
+
+
+def hot_view(quakes: DataFrame) -> DataFrame:
+    """The precise view with every third event at one place, as a network's default location."""
+    p = precise_view(quakes)
+    hot = F.col("quake_id") % 3 == 0
+    return p.withColumns({"Latitude": F.when(hot, F.lit(9.25)).otherwise(F.col("Latitude")),
+                          "Longitude": F.when(hot, F.lit(122.125)).otherwise(F.col("Longitude"))})
+
+
+def quoted_view(quakes: DataFrame) -> DataFrame:
+    """The raw view with quotes, a comma and a line break in every location."""
+    return quakes.withColumn("Location", F.concat(
+        F.lit('012 km "N" of '), F.coalesce("General_Location", F.lit("?")), F.lit(", day 2\nfelt")))

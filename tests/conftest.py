@@ -11,8 +11,9 @@ SF001 = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = get_spark("local[4]", app="faultline-tests", shuffle_partitions=4)
+def spark(tmp_path_factory):
+    s = get_spark("local[4]", app="faultline-tests", shuffle_partitions=4,
+                  extra={"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     yield s
 
 

@@ -7,7 +7,7 @@ from faultline.operators import aggregates as A
 
 def test_modal_smallest_on_ties_and_default(spark):
     df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (1, "a"), (1, None), (2, None)], "g int, v string")
-    got = {r.g: r.m for r in df.groupBy("g").agg(A.modal("v").alias("m")).collect()}
+    got = {r.g: r.m for r in A.modal(df, "g", "v", "m").collect()}
     assert got == {1: "a", 2: "Unknown"}
 
 

@@ -47,13 +47,41 @@ def test_cleaning_audit(spark, sf001):
     assert got["clean_rows"] == 810
 
 
-def test_csv_source_reads_text(spark, tmp_path):
+def test_csv_source_reads_as_pandas(spark, tmp_path):
+    """Quotes, commas and line breaks inside fields, missing tokens, malformed numbers."""
+    import pandas as pd
+
+    from faultline.constants import RAW_COLUMNS
     from faultline.sources.catalog import read_catalog
     p = tmp_path / "cat.csv"
     p.write_text("Date_Time_PH,Latitude,Longitude,Depth_In_Km,Magnitude,Location,General_Location\n"
-                 "2025-01-02 03:04:05,10.5,125.1,<001,4.2,x,Davao Oriental\n"
-                 "2025-01-02 03:04:06,NA,125.1,12,3.1,x,\n")
+                 '2025-01-02 03:04:05,10.5,125.1,<001,4.2,"012 km ""N"" of X, Y",Cebu\n'
+                 "2025-01-02 03:04:06,NA,125.1,12,3.1,x,\n"
+                 '2025-01-03 03:04:07, 9.5 ,inf,12,3.1,"two\nlines \\ of ""text""",Davao Oriental\n'
+                 "not a date,9.5,125.0,7,4.0,None,Leyte\n"
+                 "2025-01-04 03:04:08,9.5,125.0,7,4.0,n/a,Leyte\n")
     raw = read_catalog(spark, str(p))
     assert all(t == "string" for c, t in raw.dtypes if c != "quake_id")
-    clean = C.clean_catalog(raw, cutoff="2025-10-15 00:00:00")
-    assert clean.count() == 0  # '<001' is not a number and 'NA' is missing
+    got = C.coerce(raw).orderBy("quake_id").toPandas()
+    want = pd.read_csv(p)
+    want["Date_Time_PH"] = pd.to_datetime(want["Date_Time_PH"], errors="coerce")
+    for c in ("Latitude", "Longitude", "Depth_In_Km", "Magnitude"):
+        want[c] = pd.to_numeric(want[c], errors="coerce")
+    for c in RAW_COLUMNS:
+        for a, b in zip(got[c], want[c]):
+            assert (pd.isna(a) and pd.isna(b)) or a == b, (c, a, b)
+    clean = C.clean_catalog(raw, cutoff="2025-10-15 00:00:00").collect()
+    assert [(r.General_Location, r.Region) for r in clean] == [("Leyte", "Visayas")]  # inf is no place
+    audit = {r.rule: r.n for r in C.cleaning_audit(raw, cutoff="2025-10-15 00:00:00").collect()}
+    assert audit["coordinate_not_finite"] == 1 and audit["clean_rows"] == 1
+    single = read_catalog(spark, str(p), multi_line=False)
+    assert single.columns == raw.columns
+
+
+def test_other_time_formats(spark):
+    raw = spark.createDataFrame([(1, "02/01/2025 03:04", "7.0", "125.0", "5", "4.5", None, "Leyte")],
+                                "quake_id long, Date_Time_PH string, Latitude string, Longitude string, "
+                                "Depth_In_Km string, Magnitude string, Location string, General_Location string")
+    assert C.clean_catalog(raw).count() == 0
+    row = C.clean_catalog(raw, formats=["yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm"]).first()
+    assert (row.Month, row.Hour) == (1, 3)

@@ -56,3 +56,16 @@ def test_depth_bands(spark):
 
 def test_round_half_even(spark):
     assert col_values(spark, [2.345, 2.675], "double", lambda c: round_half_even(c, 2)) == [2.35, 2.68]
+
+
+def test_fixed_text_rounds_the_binary_value(spark):
+    import random
+
+    from faultline.functions.columns import fixed_text
+    rng = random.Random(1)
+    xs = [0.125, 2.675, 1.005, 1.115, 0.285, 0.0, 99.995, 0.375, 12.5, -2.675, 100.0, 1e-9, 33.335, 0.045, 0.995]
+    xs += [rng.uniform(0, 100) for _ in range(300)] + [k / 1000 for k in range(0, 3000, 5)] + [k / 32 for k in range(100)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for d in (2, 4):
+        got = [r.t for r in df.select(fixed_text("x", d).alias("t")).collect()]
+        assert got == [f"{x:.{d}f}" for x in xs]

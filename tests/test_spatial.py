@@ -1,8 +1,9 @@
-"""DBSCAN, within-distance counts, nearest label and silhouettes."""
+"""DBSCAN, components, within-distance counts, nearest label and squared silhouette."""
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from faultline.operators import components
 from faultline.operators import spatial as Z
 from faultline.operators.clean import clean_catalog
 from faultline.sources.catalog import VIEW_CUTOFF, quake_view
@@ -101,11 +102,9 @@ def test_nearest_label_matches_brute_force(spark):
     assert got == want
 
 
-def brute_silhouette(xy, lab, squared=False):
+def brute_silhouette(xy, lab):
     xy, lab = np.asarray(xy), np.asarray(lab)
     d = ((xy[:, None, :] - xy[None, :, :]) ** 2).sum(-1)
-    if not squared:
-        d = np.sqrt(d)
     s = []
     for i in range(len(xy)):
         own = lab == lab[i]
@@ -118,17 +117,128 @@ def brute_silhouette(xy, lab, squared=False):
     return float(np.mean(s))
 
 
-def test_silhouettes_match_brute_force(spark):
+def labelled_points(spark, xy, lab):
+    return spark.createDataFrame([(i, float(x), float(y), int(c)) for i, ((x, y), c) in enumerate(zip(xy, lab))],
+                                 "quake_id long, Latitude double, Longitude double, Cluster int")
+
+
+def test_silhouette_matches_brute_force(spark):
     rng = np.random.default_rng(5)
-    xy = np.vstack([rng.normal(0, 1, (60, 2)), rng.normal(6, 1, (50, 2)), [[20.0, 20.0]]])
-    lab = [0] * 60 + [1] * 50 + [-1]
-    df = spark.createDataFrame([(i, float(x), float(y), int(c)) for i, ((x, y), c) in enumerate(zip(xy, lab))],
-                               "quake_id long, Latitude double, Longitude double, Cluster int")
-    assert abs(Z.silhouette(df).first()["silhouette"] - brute_silhouette(xy, lab)) < 1e-9
-    assert abs(Z.silhouette_squared(df).first()["silhouette_squared"] - brute_silhouette(xy, lab, True)) < 1e-9
-
-
-def test_silhouette_two_far_pairs_near_one(spark):
-    df = spark.createDataFrame([(0, 0.0, 0.0, 0), (1, 0.0, 0.01, 0), (2, 9.0, 9.0, 1), (3, 9.0, 9.01, 1)],
-                               "quake_id long, Latitude double, Longitude double, Cluster int")
-    assert Z.silhouette(df).first()["silhouette"] > 0.99
+    xy = np.vstack([rng.normal(0, 1, (60, 2)), rng.normal(6, 1, (50, 2)), [[20.0, 20.0]], rng.normal(3, 4, (40, 2))])
+    lab = [0] * 60 + [1] * 50 + [-1] + [2] * 40
+    got = Z.silhouette_squared(labelled_points(spark, xy, lab)).first()
+    assert abs(got["silhouette_squared"] - brute_silhouette(xy, lab)) < 1e-9 and got["n"] == len(lab)
+
+
+def test_silhouette_of_one_label_and_of_none(spark):
+    df = labelled_points(spark, [(0, 0), (1, 1)], [3, 3])
+    assert tuple(Z.silhouette_squared(df).first()) == (0.0, 2)
+    assert tuple(Z.silhouette_squared(df.limit(0)).first()) == (None, 0)
+    pairs = labelled_points(spark, [(0, 0), (0, 0.01), (9, 9), (9, 9.01)], [0, 0, 1, 1])
+    assert Z.silhouette_squared(pairs).first()["silhouette_squared"] > 0.99
+
+
+def test_arched_path_converges_in_few_rounds(spark, monkeypatch):
+    """Ids that rise and then fall along a path."""
+    n = 2000
+    ids = [*range(0, n, 2), *range(n - 1, 0, -2)]
+    rounds = []
+    write = components.materialize_observed
+    monkeypatch.setattr(components, "materialize_observed", lambda *a, **k: rounds.append(a[1]) or write(*a, **k))
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "u long, v long")
+    got = {r.node: r.component for r in components.connected_components(edges).collect()}
+    assert got == dict.fromkeys(range(1, n), 0)
+    assert rounds.count("cc-edges") < 20
+
+
+def test_components_match_union_find(spark):
+    rng = np.random.default_rng(1)
+    pairs = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 300, (180, 2))] + [("n0", f"n{k}") for k in range(100, 160)]
+    p = {}
+
+    def find(x):
+        while p.setdefault(x, x) != x:
+            x = p[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        p[max(a, b)] = min(a, b)
+    edges = spark.createDataFrame([*pairs, (None, "n1"), ("n7", "n7")], "src string, dst string")
+    got = {r.node: r.component for r in components.connected_components(edges, "src", "dst").collect()}
+    assert got == {x: find(x) for x in p if find(x) != x}
+    assert components.connected_components(edges.limit(0), "src", "dst").count() == 0
+
+
+def test_arched_chain_is_one_zone(spark):
+    """A chain of cells whose numbers rise and fall, linked by sure and by tested pairs."""
+    t = np.linspace(0, np.pi, 160)
+    rows = [(i, float(4 * np.sin(a)), float(4 * np.cos(a))) for i, a in enumerate(t)]
+    got = labels_of(Z.dbscan(pts(spark, rows), eps=0.1, min_samples=2))
+    assert set(got.values()) == {0}
+
+
+def hot_points(n, seed):
+    rng = np.random.default_rng(seed)
+    return [(i, 1.5, 2.5) if i % 3 == 0 else (i, *map(float, rng.uniform(0, 4, 2))) for i in range(n)]
+
+
+def test_nearest_label_on_a_hot_coordinate(spark, monkeypatch):
+    """A third of both sides at one place: the join meets positions, not rows."""
+    lab = [(i, x, y, i % 5) for i, x, y in hot_points(300, 1)]
+    q = [(1000 + i, x, y) for i, x, y in hot_points(600, 2)]
+    sizes = []
+    write = Z.materialize_observed
+
+    def watched(df, name, **k):
+        sizes.append((name, df.count()))
+        return write(df, name, **k)
+
+    monkeypatch.setattr(Z, "materialize_observed", watched)
+    got = labels_of(Z.nearest_label(pts(spark, q), labelled_points(spark, [r[1:3] for r in lab], [r[3] for r in lab])))
+    xy = np.array([r[1:3] for r in lab])
+    want = {i: lab[int(np.argmin(((xy - (x, y)) ** 2).sum(1)))][3] for i, x, y in q}
+    assert got == want
+    assert max(n for _, n in sizes) <= 401  # distinct positions
+
+
+def test_nearest_label_on_one_meridian(spark, monkeypatch):
+    rounds = []
+    write = Z.materialize_observed
+    monkeypatch.setattr(Z, "materialize_observed", lambda *a, **k: rounds.append(a[1]) or write(*a, **k))
+    lab = labelled_points(spark, [(k / 100, 125.0) for k in range(400)], range(400))
+    q = pts(spark, [(k, k / 50 + 0.001, 125.0 + (k % 3) / 10) for k in range(200)])
+    got = labels_of(Z.nearest_label(q, lab))
+    assert got == {k: min(399, 2 * k) for k in range(200)}
+    assert rounds.count("nearest-round") <= 10
+
+
+def test_one_place_and_infinite_coordinates(spark):
+    inf = float("inf")
+    lab = labelled_points(spark, [(1.0, 1.0), (1.0, 1.0), (inf, 0.0)], [4, 5, 6])
+    q = pts(spark, [(1, 50.0, -50.0), (2, inf, 0.0), (3, None, 1.0), (4, 1.0, 1.0)])
+    assert labels_of(Z.nearest_label(q, lab)) == {1: 4, 2: None, 3: None, 4: 4}
+    assert labels_of(Z.dbscan(q, eps=0.5, min_samples=1)) == {1: 0, 2: None, 3: None, 4: 1}
+    assert labels_of(Z.nearest_label(q, lab.limit(0))) == {1: None, 2: None, 3: None, 4: None}
+
+
+def test_written_steps_are_equi_joins(spark, monkeypatch):
+    """The plan of every table written on the way, not only of the result."""
+    plans = []
+
+    def planned(module, name):
+        write = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda df, *a, **k: plans.append(
+            df._jdf.queryExecution().executedPlan().toString()) or write(df, *a, **k))
+
+    planned(Z, "materialize")
+    planned(Z, "materialize_observed")
+    planned(components, "materialize_observed")
+    rng = np.random.default_rng(3)
+    df = pts(spark, [(i, *map(float, rng.uniform(0, 3, 2))) for i in range(250)])
+    lab = Z.dbscan(df, eps=0.25, min_samples=4)
+    Z.within_distance_counts(df, eps=0.25).count()
+    Z.nearest_label(df, lab).count()
+    Z.silhouette_squared(lab).count()
+    assert len(plans) > 15 and any("Join" in p for p in plans)
+    assert not any(bad in p for p in plans for bad in ("CartesianProduct", "BroadcastNestedLoopJoin"))
