@@ -44,20 +44,24 @@ _SEEN = 1 << 17
 _HASH_CHUNK = 1 << 16
 _SLICE = 1 << 21
 _COLUMNS = 4096
+#: Up to so many lines are compared as Python sets of shingles, which is quicker.
+_FEW = 4
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_MULTIPLIERS = (np.arange(BANDS * ROWS, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)
-                + np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))
+#: Odd factors and masks of the MinHash permutations of 32-bit values.
+_FACTORS = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D) >> np.uint64(32)
+            ).astype(np.uint32) | np.uint32(1)
+_MASKS = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32)
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(_doc, _line_no, _line, _id, _key)`` of every line that isn't blank: its number in the
-    text from 0, a 64-bit hash for candidates, and a 128-bit one as its identity."""
+    """``(_doc, _line_no, _line, _id, _id2)`` of every line that isn't blank: its number in the
+    text from 0, and two 64-bit hashes of different seeds, together its identity."""
     d = docs.select(F.col(id_col).alias("_doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n"))
                     .alias("_line_no", "_raw"))
-    line = F.regexp_replace("_raw", f"^[{SPACES}]+|[{SPACES}]+$", "")
+    line = F.btrim("_raw", F.lit(" \t\n\x0b\x0c\r"))
     d = d.select("_doc", F.col("_line_no").cast("long"), line.alias("_line")).where("_line <> ''")
-    return d.select("*", F.xxhash64("_line").alias("_id"), F.unhex(F.md5("_line")).alias("_key"))
+    return d.select("*", F.xxhash64("_line").alias("_id"), F.xxhash64(F.lit(1), "_line").alias("_id2"))
 
 
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,12 +89,15 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def signatures(lines: list[str]) -> np.ndarray:
     """Band hashes by (line, band), as signed longs."""
     h, starts = shingle_hashes(lines)
+    h = (h >> np.uint64(32)).astype(np.uint32)
+    moved = np.empty_like(h)
     out = np.empty((len(lines), BANDS), np.uint64)
     for band in range(BANDS):
         mixed = np.full(len(lines), band + 1, np.uint64)
-        for m in _MULTIPLIERS[band * ROWS:(band + 1) * ROWS]:
-            low = np.minimum.reduceat(h * m ^ (h >> np.uint64(31)), starts)
-            mixed = (mixed ^ low) * _BASE
+        for row in range(band * ROWS, (band + 1) * ROWS):
+            np.bitwise_xor(h, _MASKS[row], out=moved)
+            np.multiply(moved, _FACTORS[row], out=moved)
+            mixed = (mixed ^ np.minimum.reduceat(moved, starts)) * _BASE
             mixed ^= mixed >> np.uint64(32)
         out[:, band] = mixed
     return out.view(np.int64)
@@ -175,9 +182,14 @@ def bloom(values: DataFrame, n: int) -> Filter:
 def similar_pairs(lines: list[str], threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places of lines whose shingle sets have at least that Jaccard similarity.
 
-    Intersections come from a product of 0/1 matrices over the shingles that two lines or
+    A few lines are compared as sets of strings.  Else intersections come from a product of 0/1 matrices over the shingles that two lines or
     more share; hash ranges are worked on one after the other, which bounds memory."""
     n = len(lines)
+    if n <= _FEW and max(map(len, lines)) < _SLICE:
+        sets = [{x[k:k + SHINGLE] for k in range(max(1, len(x) - SHINGLE + 1))} for x in lines]
+        links = [(a, b) for a in range(n) for b in range(a + 1, n)
+                 if (both := len(sets[a] & sets[b])) >= threshold * (len(sets[a]) + len(sets[b]) - both) - 1e-9]
+        return np.array([a for a, _ in links], np.int64), np.array([b for _, b in links], np.int64)
     shared = np.zeros((n, n), np.float64)
     size = np.zeros(n, np.int64)
     total = sum(map(len, lines))
@@ -216,25 +228,27 @@ def similar_pairs(lines: list[str], threshold: float = THRESHOLD) -> tuple[np.nd
 
 
 def _verified(tasks: DataFrame, threshold: float) -> DataFrame:
-    """``(u, v)`` links of keys from rows of ``members``, arrays of (key, line)."""
+    """``(u, v)`` links of lines, each a struct of its two hashes, from rows of ``members``,
+    arrays of (id, id2, line)."""
     def rows(groups):
         for members in groups:
-            by_key = {m["key"]: m["line"] for m in members}
+            by_key = {(m["id"], m["id2"]): m["line"] for m in members}
             if len(by_key) < 2:
                 continue
             keys = list(by_key)
             x, y = similar_pairs(list(by_key.values()), threshold)
             node, root = spanning_forest(len(keys), x, y)
             if len(node):
-                yield [keys[k] for k in node], [keys[k] for k in root]
+                yield tuple([{"id": keys[k][0], "id2": keys[k][1]} for k in side] for side in (node, root))
 
-    return arrow_map(tasks.select("members"), rows, "u binary, v binary")
+    key = "struct<id:long,id2:long>"
+    return arrow_map(tasks.select("members"), rows, f"u {key}, v {key}")
 
 
 def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """``(node, component)`` by key, for lines that are like another and not the smallest key
-    of their component."""
+    """``(node, component)``, structs of a line's two hashes, for lines that are like another
+    and not the smallest of their component."""
     lines = lines_of(docs, id_col, text_col)
     sigs = materialize(band_table(lines), "line-bands")
     shared, seen = materialize_observed(
@@ -255,15 +269,15 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     drop_tables(sigs, shared)
     wanted = docs.sparkSession.sparkContext.broadcast(bloom(members.select("id").distinct(), seen["n"]))
 
-    def again(seen, ids, keys, texts):
+    def again(seen, ids, ids2, texts):
         hit = np.flatnonzero(wanted.value(np.array(ids, np.int64)))
         if len(seen) > _SEEN:
             seen.clear()
-        new = [k for k in hit.tolist() if not (keys[k] in seen or seen.add(keys[k]))]
-        yield [ids[k] for k in new], [keys[k] for k in new], [texts[k] for k in new]
+        new = [k for k in hit.tolist() if not ((ids[k], ids2[k]) in seen or seen.add((ids[k], ids2[k])))]
+        yield [ids[k] for k in new], [ids2[k] for k in new], [texts[k] for k in new]
 
-    found = arrow_map(lines.select("_id", "_key", "_line"), again, "id long, key binary, line string", setup=set)
-    texts = materialize(found.repartition("id").dropDuplicates(["id", "key"]), "line-texts")
+    found = arrow_map(lines.select("_id", "_id2", "_line"), again, "id long, id2 long, line string", setup=set)
+    texts = materialize(found.repartition("id").dropDuplicates(["id", "id2"]), "line-texts")
 
     # the first blocks: each with its group's pivot
     split = F.ceil(F.count(F.lit(1)) / block).cast("int")
@@ -272,36 +286,41 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = members.join(size, "pivot").select(
         "pivot", "id", F.explode(F.when(F.col("id") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1))
                                  .otherwise(F.array(F.pmod(F.xxhash64("id"), "blocks").cast("int")))).alias("block"))
-    member = F.struct("key", "line")
+    member = F.struct("id", "id2", "line")
     tasks = placed.join(texts, "id").groupBy("pivot", "block").agg(F.collect_list(member).alias("members"))
     links = materialize(_verified(tasks, threshold), "line-links")
     label = connected_components(links)
     if cut["n"]:
-        more = _rest(members.join(size.where("blocks > 1"), "pivot"), texts, label, threshold, block)
-        links = links.unionByName(more)
-        label = connected_components(links)
+        more, found = _rest(members.join(size.where("blocks > 1"), "pivot"), texts, label, threshold, block)
+        if found["n"]:
+            stars = label.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            label = connected_components(stars.unionByName(more))
     drop_tables(texts, members)
     return label
 
 
-def _rest(members: DataFrame, texts: DataFrame, label: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Links of the lines of cut groups outside their pivot's component with all of the group."""
-    known = members.join(texts.select("id", "key"), "id") \
-        .join(label.withColumnRenamed("node", "key"), "key", "left") \
-        .select("pivot", "id", "key", "blocks", F.coalesce("component", "key").alias("component"))
+def _rest(members: DataFrame, texts: DataFrame, label: DataFrame, threshold: float, block: int):
+    """Links of the lines of cut groups outside their pivot's component with all of the group,
+    and their number."""
+    key = F.struct("id", "id2")
+    known = members.join(texts.select("id", "id2"), "id").withColumn("node", key) \
+        .join(label, "node", "left") \
+        .select("pivot", "id", "id2", "blocks", F.coalesce("component", "node").alias("component"))
     known = materialize(known, "line-known")
     centre = known.where("id = pivot").groupBy("pivot").agg(F.min("component").alias("centre"))
-    rest = materialize(known.join(centre, "pivot").where("component <> centre").select("pivot", "id", "key"), "line-rest")
+    rest = materialize(known.join(centre, "pivot").where("component <> centre").select("pivot", "id", "id2", "blocks"),
+                       "line-rest")
     size = rest.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("rests"))
-    every = known.join(size, "pivot").select("pivot", "key", "id", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))
-                                             .alias("r"), F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("b"))
-    blocks = known.groupBy("pivot").agg(F.max("blocks").alias("blocks"))
-    alone = rest.join(size, "pivot").join(blocks, "pivot").select(
-        "pivot", "key", "id", F.pmod(F.xxhash64("key"), "rests").cast("int").alias("r"),
+    own = F.xxhash64("id", "id2")
+    every = known.join(size, "pivot").select(
+        "pivot", "id", "id2", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("r"),
+        F.pmod(own, "blocks").cast("int").alias("b"))
+    alone = rest.join(size, "pivot").select(
+        "pivot", "id", "id2", F.pmod(own, "rests").cast("int").alias("r"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
-    tasks = every.unionByName(alone).join(texts.select("key", "line"), "key") \
-        .groupBy("pivot", "r", "b").agg(F.collect_list(F.struct("key", "line")).alias("members"))
-    return materialize(_verified(tasks, threshold), "line-links")
+    tasks = every.unionByName(alone).join(texts, ["id", "id2"]) \
+        .groupBy("pivot", "r", "b").agg(F.collect_list(F.struct("id", "id2", "line")).alias("members"))
+    return materialize_observed(_verified(tasks, threshold), "line-links", n=F.count(F.lit(1)))
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -310,16 +329,18 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (doc, line_no) of the line that its component keeps, and whether the component has
     another line.  The same place is a line's own if it is kept."""
     label = similar_lines(docs, id_col, text_col, threshold, block)
-    every = lines_of(docs, id_col, text_col).select("_doc", "_line_no", "_key")
-    every = every.join(label.withColumnRenamed("node", "_key"), "_key", "left") \
-        .select("_doc", "_line_no", F.coalesce("component", "_key").alias("_class"))
+    label = label.select(F.col("node.id").alias("_id"), F.col("node.id2").alias("_id2"),
+                         F.col("component.id").alias("_c"), F.col("component.id2").alias("_c2"))
+    every = lines_of(docs, id_col, text_col).select("_doc", "_line_no", "_id", "_id2")
+    every = every.join(label, ["_id", "_id2"], "left") \
+        .select("_doc", "_line_no", F.coalesce("_c", "_id").alias("_c"), F.coalesce("_c2", "_id2").alias("_c2"))
     every = materialize(every, "line-classes")
     # null ids come last
     place = F.struct(F.col("_doc").isNull().alias("none"), F.col("_doc").alias("doc"), F.col("_line_no").alias("line_no"))
-    first = materialize(every.groupBy("_class").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    first = materialize(every.groupBy("_c", "_c2").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
                         .where("_n > 1").drop("_n"), "line-firsts")
     own = F.struct(F.col("_doc").alias("doc"), F.col("_line_no").alias("line_no"))
-    return every.join(first, "_class", "left").select(
+    return every.join(first, ["_c", "_c2"], "left").select(
         "_doc", "_line_no",
         F.when(F.col("_first").isNull(), own).otherwise(F.struct("_first.doc", "_first.line_no")).alias("_first"),
         F.col("_first").isNotNull().alias("_many"))

@@ -85,7 +85,9 @@ def test_cut_groups_lose_no_link(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab c", min_size=1, max_size=30), min_size=2, max_size=8, unique=True), st.sampled_from([0.5, 0.8]))
 def test_pairs_are_exact(lines, threshold):
+    few, L._FEW = L._FEW, len(lines) % 2 * 9  # both ways
     x, y = L.similar_pairs(lines, threshold)
+    L._FEW = few
     want = [(a, b) for b in range(len(lines)) for a in range(b)
             if len(shingles(lines[a]) & shingles(lines[b])) >= threshold * len(shingles(lines[a]) | shingles(lines[b])) - 1e-9]
     assert sorted(zip(x.tolist(), y.tolist())) == sorted(want)
