@@ -53,6 +53,8 @@ sidebar signup skip social sponsor sponsored subscribe toolbar widget
 """.split())
 HEADER_NAMES = frozenset(["header", "masthead", "topbar"])
 COMMENT_NAMES = frozenset(["comment", "comments", "discussion", "disqus", "replies", "reply", "respond"])
+#: What makes an article or main element itself boilerplate.
+BAD_ARTICLE_NAMES = COMMENT_NAMES | frozenset(["ad", "ads", "advert", "promo", "related", "sponsored", "teaser"])
 MAIN_NAMES = frozenset(["article", "content", "entry", "main", "post", "story"])
 
 _TAG = re.compile(
@@ -64,6 +66,8 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=)|display\s*:\s*none", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
+#: Layout names such as with-sidebar say what a page has, not what an element is.
+_LAYOUT = re.compile(r"\b(?:has|with|no|without)[-_][a-z0-9]+")
 
 NEUTRAL, MAIN, BAD = 0, 1, 2
 
@@ -86,12 +90,14 @@ def _region(tag: str, attributes: str, inside: int, in_comments: bool) -> tuple[
         if key.lower() == "role":
             role = value
         else:
-            names.update(_NAME.findall(value))
+            names.update(_NAME.findall(_LAYOUT.sub(" ", value)))
+    if tag in ("html", "body"):
+        return inside, in_comments
     comments = in_comments or bool(names & COMMENT_NAMES)
+    if tag in ("article", "main") or role == "main":
+        return (BAD if comments or names & BAD_ARTICLE_NAMES else MAIN), comments
     if comments or tag in BAD_TAGS or role in BAD_ROLES or names & BAD_NAMES or _HIDDEN.search(attributes):
         return BAD, comments
-    if tag in ("article", "main") or role == "main":
-        return MAIN, comments
     if (tag == "header" or names & HEADER_NAMES) and inside != MAIN:
         return BAD, comments
     if names & MAIN_NAMES and inside != BAD:
@@ -154,9 +160,12 @@ def blocks_of(html: str) -> list[Block]:
                         groups += 1
                         group = groups
                     stack.append((tag, region, comments, group))
-            elif not closing and "=" in (m[4] or m[7] or ""):
-                # a paragraph or item can be boilerplate by its own name
-                if _region(tag, m[4] or m[7] or "", stack[-1][1], stack[-1][2])[0] == BAD:
+            elif not closing:
+                if len(stack) > 1 and stack[-1][0] in ("p", tag):
+                    stack.pop()  # a paragraph or item ends where the next begins
+                # it can be boilerplate by its own name
+                attributes = m[4] or m[7] or ""
+                if "=" in attributes and _region(tag, attributes, stack[-1][1], stack[-1][2])[0] == BAD:
                     stack.append((tag, BAD, stack[-1][2], 0))
             elif closing and len(stack) > 1 and stack[-1][0] == tag:
                 stack.pop()

@@ -39,6 +39,8 @@ def test_query_gives_the_articles(spark, sf001):
     ("<div class='ad'>never closed<article><p>Still the article.</p></article>", "Still the article."),
     ("<article><p>a<script>var t='</p><p>no</p>'</script>b</p><!-- <p>no</p> --><style>p{}</style></article>", "ab"),
     ("<article><p>x<br>y<b>z</b></p><p>cut off in a <b", "x yz\ncut off in a <b"),
+    ("<body class='no-sidebar'><main class='content with-sidebar'><p class=ad>Buy.<p>The text.<li class=share>x<li>Item</main>",
+     "The text.\nItem"),
     ("", ""), ("<p></p>", ""), ("<<<>>><", ""),
 ])
 def test_rules(page, text):
