@@ -145,28 +145,34 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_kept: float = MIN
     each by itself, an empty table gives no rows, other columns pass through unread (one
     called ``_quality`` is replaced).  One narrow pass: no shuffle, whole texts.
     """
-    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    d = docs.withColumn("_quality", F.struct(t.alias("t"), _words(t).alias("w"), F.split(t, "\n").alias("l")))
     q = F.col("_quality")
-    d = d.withColumn("_quality", F.struct(
-        q["t"].alias("t"), q["w"].alias("w"),
-        F.filter(q["l"], lambda x: F.rlike(x, F.lit(f"[^{SPACES}]"))).alias("l"),
-        F.transform(q["l"], lambda x: F.struct(x.alias("line"), line_failure(x).alias("failure"))).alias("j")))
-    n = F.size(q["w"])
-    good = F.filter(q["j"], lambda x: x["failure"] == "")
-    d = d.withColumn("_quality", F.struct(
-        n.cast("long").alias("n_words"),
-        F.aggregate(q["w"], F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
-        _count(q["t"], SYMBOLS).cast("long").alias("n_symbols"),
-        (F.size(q["l"]) - F.size(F.array_distinct(q["l"]))).cast("long").alias("n_dup_lines"),
-        _repeated_words(q["w"]).cast("long").alias("n_repeat_words"),
-        F.size(q["l"]).cast("long").alias("n_lines"),
-        (F.size(q["j"]) - F.size(good)).cast("long").alias("n_failed_lines"),
-        F.when(F.col(text_col).isNotNull(), F.concat_ws("\n", F.transform(good, lambda x: x["line"])))
-        .alias("clean_text")))
-    kept_words = F.size(_words(F.coalesce(q["clean_text"], F.lit("")))).cast("long")
+
+    def bound(d: DataFrame, **fields: Column) -> DataFrame:
+        """Fields worked out once: what follows a generator isn't merged into what feeds it."""
+        s = F.explode(F.array(F.struct(*[v.alias(k) for k, v in fields.items()])))
+        return d.withColumn("__quality_next", s).drop("_quality").withColumnRenamed("__quality_next", "_quality")
+
+    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    d = bound(docs.drop("_quality"), t=t, w=_words(t), l=F.split(t, "\n"))
+    d = bound(d, t=q["t"], w=q["w"], l=F.filter(q["l"], lambda x: F.rlike(x, F.lit(f"[^{SPACES}]"))),
+              j=F.transform(q["l"], lambda x: F.struct(x.alias("line"), line_failure(x).alias("failure"))))
+    d = bound(
+        d,
+        n_words=F.size(q["w"]).cast("long"),
+        word_chars=F.aggregate(q["w"], F.lit(0).cast("long"), lambda a, x: a + F.length(x)),
+        n_symbols=_count(q["t"], SYMBOLS).cast("long"),
+        n_dup_lines=(F.size(q["l"]) - F.size(F.array_distinct(q["l"]))).cast("long"),
+        n_repeat_words=_repeated_words(q["w"]).cast("long"),
+        n_lines=F.size(q["l"]).cast("long"),
+        n_all=F.size(q["j"]),
+        good=F.transform(F.filter(q["j"], lambda x: x["failure"] == ""), lambda x: x["line"]))
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEATED_PERCENT * q["n_words"])
-    d = d.withColumn("_quality", q.withField("kept_words", kept_words).withField("base_failed", failed))
+    d = bound(
+        d, **{c: q[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")},
+        n_failed_lines=(q["n_all"] - F.size(q["good"])).cast("long"),
+        clean_text=F.when(F.col(text_col).isNotNull(), F.concat_ws("\n", q["good"])),
+        kept_words=F.aggregate(q["good"], F.lit(0).cast("long"), lambda a, x: a + F.size(_words(x))),
+        base_failed=failed)
     return d.withColumn("_quality", q.withField(
         "kept", ~q["base_failed"] & (q["kept_words"] >= min_kept * q["n_words"])))
 
