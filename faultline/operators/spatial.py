@@ -189,7 +189,8 @@ def dbscan(df: DataFrame, key: str = "quake_id", x: str = "Latitude", y: str = "
                            & (_d2(F.col("px"), F.col("py"), F.col("qx"), F.col("qy")) <= eps2), "left_semi")
         linked, found = materialize_observed(linked.select("u", "v").distinct(), "dbscan-linked", n=F.count(F.lit(1)))
         if found["n"]:
-            zone_of = connected_components(sure.unionByName(linked))
+            stars = zone_of.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            zone_of = connected_components(stars.unionByName(linked))
         drop_tables(crossing)
 
     # Zone numbers: components in the order of their smallest core key.

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -49,13 +51,17 @@ def get_spark(master: str | None = None, app: str = "faultline", shuffle_partiti
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset, a folder under the session's warehouse is used, which Spark
-    already shares between driver and executors.  A local ``file:`` folder is accepted
-    only where driver and executors share the machine (``local`` masters, tests).
+    Where it is unset, a ``local[...]`` session, which is one process, takes a temporary
+    folder; any other takes one under the session's warehouse, which Spark already shares
+    between driver and executors.  A ``file:`` folder is accepted only where driver and
+    executors share the machine (``local`` masters, tests).
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            configured = f"{tempfile.gettempdir()}/faultline-shared"
+        else:
+            configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     configured = configured.rstrip("/")
     master = spark.sparkContext.master
     if not master.startswith("local") and _is_local(spark, configured):
