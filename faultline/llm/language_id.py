@@ -8,7 +8,8 @@ language.  A language whose bits fill a part ``f`` of the slots answers falsely
 be real; the language with the most real hits is the text's.
 
 An n-gram is held for a language if it is frequent there: at least ``MIN_SHARE`` of the
-language's n-grams.  The counts come from the labelled rows, summed by Spark.
+language's n-grams, so there are fewer than ``1 / MIN_SHARE`` a language, which bounds what
+the driver gathers.  The counts come from the labelled rows, summed by Spark.
 """
 
 from __future__ import annotations
@@ -27,9 +28,6 @@ MIN_SHARE = 1e-5
 #: hash of their id.  A documented bound of the fit only; predictions cover every text.
 FIT_DOCUMENTS = 4000
 MAX_LANGUAGES = 64
-#: Most n-grams a language: the most frequent ones.  With MIN_SHARE there are fewer than
-#: 1 / MIN_SHARE anyway; this bounds what the driver gathers.
-MAX_GRAMS = 100_000
 UNKNOWN = "und"
 #: Code points of text worked on at once in a task.
 _CHUNK = 1 << 20
@@ -159,8 +157,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     Of each language the ``fit_documents`` rows with the smallest hash of their id are used
     (a count per hash bucket finds the bound, so nothing is sorted in one task).  Languages
-    beyond MAX_LANGUAGES, the rarest, aren't learned.  The driver gathers at most MAX_GRAMS
-    n-grams a language, and the filter has a fixed size."""
+    beyond MAX_LANGUAGES, the rarest, aren't learned.  The driver gathers fewer than
+    1 / MIN_SHARE n-grams a language, and the filter has a fixed size."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"),
         F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 16)).alias("b"))
