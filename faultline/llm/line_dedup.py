@@ -364,7 +364,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.filter(F.transform(F.split(text, "\n"), lambda x, k: F.struct(x.alias("x"), k.cast("long").alias("k"))),
                     lambda s: ~F.array_contains("_dedup_lost", s["k"]))
     new = F.when(F.col("_dedup_lost").isNull(), text).otherwise(F.concat_ws("\n", F.transform(kept, lambda s: s["x"])))
-    out = docs.join(lost, docs[id_col] == lost["_dedup_id"], "left").withColumn("_dedup_text", new) \
+    # the lost lines grow with the documents, so they are never broadcast
+    out = docs.join(lost.hint("merge"), docs[id_col] == lost["_dedup_id"], "left").withColumn("_dedup_text", new) \
         .where(F.col("_dedup_lost").isNull() | F.rlike("_dedup_text", F.lit(f"[^{SPACES}]")))
     columns = {text_col: F.col("_dedup_text")}
     if length_col:

@@ -228,11 +228,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """The documents with the smallest id of their component, with the columns of ``docs``.
 
     An id names one document: of rows that share one, one stays.  Rows are told by a
-    left-semi join with the ids that stay; a text is compared with none but its fingerprint."""
+    left-semi join with the ids that stay, which grow with the documents and so are never
+    broadcast; a text is compared with none but its fingerprint."""
     found = materialize(near_duplicates(docs, id_col, text_col, shingle, max_bits), "simhash-found")
     first = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).count()
     first = materialize(first.select(F.col(id_col).alias("_simhash_id"), F.col("count").alias("_simhash_rows")), "simhash-first")
     same = F.col(id_col).eqNullSafe(F.col("_simhash_id"))
-    once = docs.join(first.where("_simhash_rows = 1").select("_simhash_id"), same, "left_semi")
+    once = docs.join(first.where("_simhash_rows = 1").select("_simhash_id").hint("merge"), same, "left_semi")
     more = docs.join(first.where("_simhash_rows > 1").select("_simhash_id"), same, "left_semi").dropDuplicates([id_col])
     return once.unionByName(more)
