@@ -1,11 +1,14 @@
 """HTML main text by two-pass block rules.
 
-A page is cut into blocks at its block-level tags.  Pass one decides what a block's own
-density of stop words, length and density of links decide, given where the markup puts it:
-in a boilerplate container (menus, headers, footers, sidebars, notices, adverts, forms,
-comments), in the article, or in neither.  Pass two gives each undecided short block the
+A page is cut into blocks at its block-level tags.  Blocks in a boilerplate container (menus,
+headers, footers, sidebars, notices, adverts, forms, comments) are boilerplate.  Pass one
+decides what any other block's own density of stop words, length and density of links decide.
+That the markup calls a region the article is one feature more: a longer block with few stop
+words is kept there if its nearest judged neighbour in the region, on either side, is prose,
+and its short blocks look to their own region.  Pass two gives each undecided short block the
 label of its nearest decided neighbours; where they differ it is boilerplate, unless the
-good one is the nearer.
+good one is the nearer.  A main region without a good block counts for nothing on a page
+that has good blocks elsewhere.
 """
 
 from __future__ import annotations
@@ -25,6 +28,9 @@ LONG = 200
 STOP_LOW = 0.15
 STOP_HIGH = 0.30
 MAX_LINKS = 0.5
+#: Stop words tell prose where blocks of at least STOP_LOW hold this part of the page's longer
+#: text; below it the page's language isn't among the lists, and length and links decide.
+KNOWN_SHARE = 0.1
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset("""
@@ -183,11 +189,13 @@ def _stop_density(text: str) -> float:
 def classify(blocks: list[Block]) -> list[Block]:
     """Both passes; every block's label becomes ``good`` or ``bad``."""
     density = [_stop_density(b.text) for b in blocks]
-    known = any(d >= STOP_LOW and len(b.text) >= SHORT for b, d in zip(blocks, density))
-    article = any(b.region == MAIN for b in blocks)
+    judged = [(len(b.text), d) for b, d in zip(blocks, density)
+              if b.region != BAD and b.links <= MAX_LINKS and len(b.text) >= SHORT]
+    dense = sum(n for n, d in judged if d >= STOP_LOW)
+    known = dense > 0 and dense >= KNOWN_SHARE * sum(n for n, _ in judged)
     for b, stop in zip(blocks, density):
         n = len(b.text)
-        if b.region == BAD or b.region == NEUTRAL and article:
+        if b.region == BAD:
             b.label = "bad"
         elif b.links > MAX_LINKS and not (b.region == MAIN and b.heading):
             b.label = "bad"
@@ -195,34 +203,56 @@ def classify(blocks: list[Block]) -> list[Block]:
             b.label = "short"
         elif stop >= STOP_HIGH or not known:
             b.label = "good" if n > LONG else "near"
-        elif stop >= STOP_LOW or b.region == MAIN:
+        elif stop >= STOP_LOW:
             b.label = "near"
         else:
-            b.label = "bad"
+            b.label = "weak" if b.region == MAIN else "bad"
     _inherit(blocks)
     return blocks
 
 
-def _inherit(blocks: list[Block]) -> None:
-    decided = [b.label in ("good", "bad") for b in blocks]
+def _nearest(blocks: list[Block], labels: tuple[str, ...], same=lambda b, x: True):
+    """For each block the nearest ones before and after it of those labels, as (distance, label);
+    the search ends there, also where ``same(block, other)`` says that it doesn't count."""
     n = len(blocks)
     before, after = [-1] * n, [-1] * n
     for k in range(1, n):
-        before[k] = k - 1 if decided[k - 1] else before[k - 1]
+        before[k] = k - 1 if blocks[k - 1].label in labels else before[k - 1]
     for k in range(n - 2, -1, -1):
-        after[k] = k + 1 if decided[k + 1] else after[k + 1]
+        after[k] = k + 1 if blocks[k + 1].label in labels else after[k + 1]
+    return [[(abs(k - x), blocks[x].label) for x in (before[k], after[k]) if x >= 0 and same(b, blocks[x])]
+            for k, b in enumerate(blocks)]
+
+
+def _inherit(blocks: list[Block]) -> None:
+    own = lambda b, x: b.region == x.region == MAIN and b.group == x.group
+    given = {}
+    if any(b.label in ("near", "weak") for b in blocks):
+        decided = _nearest(blocks, ("good", "bad"), lambda b, x: b.region != MAIN or own(b, x))
+        fit = _nearest(blocks, ("good", "near", "bad"), own)
+        for k, b in enumerate(blocks):
+            if b.label == "near":
+                alone = len(decided[k]) == 2 and {x for _, x in decided[k]} == {"bad"}
+                given[k] = "bad" if b.region != MAIN and alone and len(b.text) < LONG / 2 else "good"
+            elif b.label == "weak":  # few stop words: it stays beside the prose of its own article
+                given[k] = "good" if any(x != "bad" for _, x in fit[k]) else "bad"
+    for k, label in given.items():
+        blocks[k].label = label
+
+    # a main region is the article if it holds a good block, or if nothing else on the page does
+    articles = {b.group for b in blocks if b.region == MAIN and b.label == "good"}
+    if not any(b.label == "good" for b in blocks):
+        articles = {b.group for b in blocks if b.region == MAIN}
+    in_article = lambda b: b.region == MAIN and b.group in articles
     given = {}
-    for k, b in enumerate(blocks):
-        if decided[k]:
+    for k, near in enumerate(_nearest(blocks, ("good", "bad"),
+                                      lambda b, x: own(b, x) if in_article(b) else not in_article(x))):
+        b, labels = blocks[k], {x for _, x in near}
+        if b.label != "short":
             continue
-        near = [(abs(k - x), blocks[x].label) for x in (before[k], after[k]) if x >= 0
-                and (b.region != MAIN or blocks[x].region == MAIN and blocks[x].group == b.group)]
-        labels = {x for _, x in near}
-        if b.region == MAIN:
+        if in_article(b):
             # the article keeps what its own neighbours don't make boilerplate on both sides
-            given[k] = "bad" if labels == {"bad"} and b.label == "short" and len(near) == 2 else "good"
-        elif b.label == "near":
-            given[k] = "bad" if labels == {"bad"} and len(near) == 2 and len(b.text) < LONG / 2 else "good"
+            given[k] = "bad" if labels == {"bad"} and len(near) == 2 else "good"
         elif len(labels) == 1:
             given[k] = labels.pop()
         else:

@@ -55,3 +55,29 @@ def test_odd_rows(spark):
     assert got[:5] == [(1, ""), (2, ""), (None, "x"), (4, "x"), (4, "x")]
     assert got[5][1] == (LONG * 100).strip()
     assert H.extract(pages.limit(0)).collect() == []
+
+
+TAGS = "Berlin Paris Oslo Madrid Vienna Prague Warsaw Lisbon Athens Dublin Helsinki Zagreb Sofia Riga Tallinn"
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<div class='post-meta'>May 3</div><div class='text'><p>{LONG}</p><p>{LONG}</p></div>", f"May 3\n{LONG.strip()}\n{LONG.strip()}"),
+    (f"<div class='text'><h1>Head</h1><p>{LONG}</p></div><div class='content'><p>{TAGS}</p></div>", f"Head\n{LONG.strip()}"),
+    (f"<div class='main-image'>A photo</div><p>{TAGS}</p><p>{LONG}</p><p>{TAGS}</p>", LONG.strip()),
+    (f"<div>About us</div><article><h1>Head</h1><p>{LONG}</p><p>{TAGS}</p></article><div>Contact</div>",
+     f"Head\n{LONG.strip()}\n{TAGS}"),
+    (f"<article><h1>Head</h1><p>{TAGS * 12}</p></article><div class=x>{LONG[:80]}</div><footer>c</footer>",
+     f"Head\n{TAGS * 12}\n{LONG[:80].strip()}"),
+])
+def test_density_decides_and_main_names_only_help(page, text):
+    assert H.main_text(page) == text
+
+
+def test_fixture_articles_without_their_tag(spark, sf001):
+    """Without <article> stop words, length and links find nearly all of the same text."""
+    same = total = 0
+    for r in spark.read.parquet(f"{sf001}/pages.parquet").collect():
+        got = set(H.main_text(re.sub(r"</?article>", "", r.html)).split("\n"))
+        for line in article(r.html).split("\n"):
+            same, total = same + len(line) * (line in got), total + len(line)
+    assert same > 0.8 * total
