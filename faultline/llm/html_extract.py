@@ -41,7 +41,11 @@ el los las y una en por con para su del lo como más al o pero sus no
 """.split())
 
 # Elements by how they are read.
-RAW = "script|style|title|textarea|iframe|noscript|template|svg|math|select|button|noframes|object|canvas|video|audio"
+RAW = "script|style"
+#: Dropped with what they hold up to their own end tag; without one only the tag is.
+SKIPPED = frozenset("""
+title textarea iframe noscript template svg select button noframes object canvas video audio annotation annotation-xml
+""".split())
 BLOCKS = frozenset("""
 address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody
@@ -65,10 +69,15 @@ MAIN_NAMES = frozenset(["article", "content", "entry", "main", "post", "story"])
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
     r"|<[!?/][^>]*>", re.S | re.I)
+_SKIPPED = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    rf"|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)({'|'.join(sorted(SKIPPED, key=len, reverse=True))})(?=[\s/>])"
+    r"((?:[^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*>)|[^>]*>)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=)|display\s*:\s*none", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
@@ -111,6 +120,20 @@ def _region(tag: str, attributes: str, inside: int, in_comments: bool) -> tuple[
     return inside, comments
 
 
+def _skipped(html: str) -> dict[int, int]:
+    """Where elements whose content isn't read begin, and where their own end tags end."""
+    opened: dict[str, list[int]] = {}
+    out = {}
+    for m in _SKIPPED.finditer(html):
+        if name := (m[3] or "").lower():
+            if m[2]:
+                if opened.get(name):
+                    out[opened[name].pop()] = m.end()
+            elif not (name == "svg" and m[4].endswith("/>")):
+                opened.setdefault(name, []).append(m.start())
+    return out
+
+
 def blocks_of(html: str) -> list[Block]:
     """The page's blocks with text, in order."""
     out: list[Block] = []
@@ -134,18 +157,21 @@ def blocks_of(html: str) -> list[Block]:
         if in_link:
             linked += len(" ".join(text.split()))
 
+    ends = _skipped(html)
     last = 0
-    for m in _TAG.finditer(html):
+    while m := _TAG.search(html, last):
         if m.start() > last:
             add(html[last:m.start()])
         last = m.end()
         tag = (m[3] or m[6] or "").lower()
         if not tag:
-            if m[1] and m[1].lower() in ("iframe", "object", "video", "audio", "canvas", "textarea", "select"):
-                parts.append(" ")
             continue
         closing = bool(m[2] or m[5])
-        if tag == "br":
+        if tag in SKIPPED:
+            last = max(last, ends.get(m.start(), 0))
+            if tag in ("iframe", "object", "video", "audio", "canvas", "textarea", "select"):
+                parts.append(" ")
+        elif tag == "br":
             parts.append(" ")
         elif tag == "a":
             in_link = 0 if closing else 1

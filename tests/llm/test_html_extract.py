@@ -81,3 +81,16 @@ def test_fixture_articles_without_their_tag(spark, sf001):
         for line in article(r.html).split("\n"):
             same, total = same + len(line) * (line in got), total + len(line)
     assert same > 0.8 * total
+
+
+@pytest.mark.parametrize(("body", "text"), [
+    ("<p>A <svg class=i/> rest of the article</p>", "A rest of the article"),
+    ("<p>A <svg><title>t</title><svg>x</svg>y</svg>rest</p>", "A rest"),
+    ("<p>A <video-player a=1></video-player>b <button-group>c</button-group> <select-box/>d</p>", "A b c d"),
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=tex>x=2</annotation></math> be.</p>", "Let x=2 be."),
+    ("<p><button>Open <p>Two <svg><path/></svg>three<p><button>no</button>four", "Open\nTwo three\nfour"),
+    ("<p>x<object>open</p><p>y<object><object>a</object>b</object>z</p>", "x open\ny z"),
+    ("<p>x<textarea><p>no</p></textarea>y<script-like>z</script-like>", "x yz"),
+])
+def test_elements_are_skipped_only_to_their_own_end(body, text):
+    assert H.main_text(f"<article>{body}</article>") == text
