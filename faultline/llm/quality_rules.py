@@ -7,7 +7,8 @@ Every line is judged by itself, all with Spark's own functions (no Python on the
   number a large part of its words, all its letters are capitals, or a few words make up
   nearly all of it;
 * punctuation: it has several words and no sentence end (``.!?:;"'`` or a closing bracket
-  or their kin) anywhere.
+  or their kin, or the sentence end of any script) anywhere, and none of its letters are of
+  a script written without sentence marks.
 
 Lines that fail are removed.  A document is kept if it passes the base rules (at least
 50 words; at most half of them in repeated 3-word windows) and the lines that stay hold
@@ -40,6 +41,22 @@ MIN_DISTINCT_SHARE = 0.25
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|»•·"
 ENDS = ".!?:;…。！？\"'”’)]"
+#: Unicode's sentence terminals beyond these (Armenian, Arabic, Indic, Ethiopic, Khmer, full-width
+#: and others), Tibetan shads, and the stops, colons and closing brackets of the scripts that have their own.
+STOPS = (
+    "\\u0589\\u055C\\u055E\\u037E\\u061B\\u061D-\\u061F\\u06D4\\u0700-\\u0702\\u07F9\\u0837\\u0839\\u083D\\u083E\\u0964\\u0965"
+    "\\u0DF4\\u0F0D-\\u0F12\\u104A\\u104B\\u1362-\\u1368\\u166E\\u1735\\u1736\\u17D4-\\u17D6\\u1803\\u1809\\u1944\\u1945"
+    "\\u1AA8-\\u1AAB\\u1B4E\\u1B4F\\u1B5A\\u1B5B\\u1B5E\\u1B5F\\u1B7D-\\u1B7F\\u1C3B\\u1C3C\\u1C7E\\u1C7F\\u2024\\u203C\\u203D"
+    "\\u2047-\\u2049\\u2CF9-\\u2CFB\\u2E2E\\u2E3C\\u2E53\\u2E54\\u300D\\u300F\\uA4FF\\uA60E\\uA60F\\uA6F3\\uA6F7\\uA876\\uA877"
+    "\\uA8CE\\uA8CF\\uA92F\\uA9C8\\uA9C9\\uAA5D-\\uAA5F\\uAAF0\\uAAF1\\uABEB\\uFE12\\uFE15\\uFE16\\uFE52\\uFE56\\uFE57"
+    "\\uFF09\\uFF0E\\uFF1A\\uFF1B\\uFF61"
+    "\\x{10A56}\\x{10A57}\\x{10F55}-\\x{10F59}\\x{10F86}-\\x{10F89}\\x{11047}\\x{11048}\\x{110BE}-\\x{110C1}"
+    "\\x{11141}-\\x{11143}\\x{111C5}\\x{111C6}\\x{111CD}\\x{111DE}\\x{111DF}\\x{11238}\\x{11239}\\x{1123B}\\x{1123C}"
+    "\\x{112A9}\\x{1144B}\\x{1144C}\\x{115C2}\\x{115C3}\\x{115C9}-\\x{115D7}\\x{11641}\\x{11642}\\x{1173C}-\\x{1173E}"
+    "\\x{11944}\\x{11946}\\x{11A42}\\x{11A43}\\x{11A9B}\\x{11A9C}\\x{11C41}\\x{11C42}\\x{11EF7}\\x{11EF8}\\x{11F43}\\x{11F44}"
+    "\\x{16A6E}\\x{16A6F}\\x{16AF5}\\x{16B37}\\x{16B38}\\x{16B44}\\x{16E98}\\x{1BC9F}\\x{1DA88}")
+#: Scripts whose prose has blanks where others have stops.
+UNMARKED = "\\p{IsThai}\\p{IsLao}\\p{IsTai_Le}\\p{IsNew_Tai_Lue}\\p{IsTai_Viet}"
 PHRASES = [
     "all rights reserved",
     "privacy policy",
@@ -92,7 +109,9 @@ def _says_phrase(line: Column) -> Column:
             found = found | F.contains(low, F.lit(p))
         return found
 
-    return _let(F.lower(line), any_of)
+    # substrings first, which is cheap; few lines hold one
+    whole = r"(?<![\p{L}\p{M}\p{N}])(?:" + "|".join(PHRASES) + r")(?![\p{L}\p{M}\p{N}])"
+    return _let(F.lower(line), lambda low: any_of(low) & F.rlike(low, F.lit(whole)))
 
 
 def _shares(line: Column, words: Column, n: Column) -> Column:
@@ -107,7 +126,7 @@ def _shares(line: Column, words: Column, n: Column) -> Column:
         .when(shouts > MAX_SHOUTS_PER_WORD * n, "boilerplate")
         .when((F.upper(line) == line) & (F.lower(line) != line), "boilerplate")
         .when((n >= 4 * SHARE_MIN_WORDS) & (F.size(F.array_distinct(words)) < MIN_DISTINCT_SHARE * n), "boilerplate")
-        .when(~has(ENDS), "punctuation")
+        .when(~(has(ENDS) | F.rlike(line, F.lit(f"[{STOPS}{UNMARKED}]"))), "punctuation")
         .otherwise("")
     )
 

@@ -68,3 +68,20 @@ def test_odd_rows(spark):
 def test_native_plan_without_shuffle(spark, sf001):
     plan = Q.quality_rules(spark.read.parquet(f"{sf001}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize(("line", "failure"), [
+    ("यह एक साफ हिंदी वाक्य है।", ""), ("یہ ایک صاف اردو جملہ ہے۔", ""), ("هل هذا سؤال واضح جدا؟", ""),
+    ("Սա մաքուր հայերեն նախադասություն է։", ""), ("ይህ ንጹህ የአማርኛ ዓረፍተ ነገር ነው።", ""), ("នេះ ជា ប្រយោគ ខ្មែរ ។", ""),
+    ("นี่คือ ประโยค ภาษาไทย ที่ สะอาด", ""), ("ນີ້ ແມ່ນ ປະໂຫຍກ ພາສາລາວ", ""), ("यह एक वाक्य नहीं", "punctuation"),
+    ("𑀅 𑀆 𑀇 𑀈𑁇", ""), ("The design in the house was resign in name.", ""), ("Spread more of the butter on it.", ""),
+    ("Please sign in to go on.", "boilerplate"), ("(Read more)", "boilerplate"), ("read more: design in it.", "boilerplate"),
+])
+def test_line_rules_of_other_scripts_and_whole_phrases(spark, line, failure):
+    assert spark.range(1).select(Q.line_failure(F.lit(line)).alias("f")).first().f == failure
+
+
+def test_clean_hindi_is_kept(spark):
+    text = "\n".join(" ".join(f"शब्द{chr(0x915 + 8 * k + j)}" for j in range(8)) + "।" for k in range(8))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert Q.quality_filter(docs).first().text == text
