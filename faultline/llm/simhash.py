@@ -211,6 +211,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component of null ids only has a null ``component_id``.  Repeated rows give a row each.
     An empty table gives no rows.  Other columns are not read.
     """
+    return _components(docs, id_col, text_col, shingle, max_bits).select(id_col, "fp", "component_id")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
+    """:func:`near_duplicates` with ``component``, a fingerprint that names it also where ids are null."""
     own = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
     nodes, seen = materialize_observed(
         own.groupBy("fp").agg(F.min(id_col).alias("first")), "simhash-nodes", n=F.count(F.lit(1)))
@@ -219,21 +224,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = nodes.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     nodes = materialize(nodes, "simhash-nodes")
     ids = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
-    return own.join(nodes.join(ids, "component").select("fp", "component_id"), "fp") \
-        .select(id_col, "fp", "component_id")
+    return own.join(nodes.join(ids, "component").select("fp", "component", "component_id"), "fp") \
+        .select(id_col, "fp", "component", "component_id")
+
+
+def _with_fingerprints(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """``docs`` with ``_simhash_fp``."""
+    d = docs.withColumn("_simhash_fp", utf8(text_col))
+    schema = docs.withColumn("_simhash_fp", F.lit(0).cast("long")).schema
+
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(batch.num_columns - 1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64), pa.int64())],
+                                             names=batch.schema.names)
+
+    return d.mapInArrow(run, schema)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
              max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents with the smallest id of their component, with the columns of ``docs``.
-
-    An id names one document: of rows that share one, one stays.  Rows are told by a
-    left-semi join with the ids that stay, which grow with the documents and so are never
-    broadcast; a text is compared with none but its fingerprint."""
-    found = materialize(near_duplicates(docs, id_col, text_col, shingle, max_bits), "simhash-found")
-    first = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).count()
-    first = materialize(first.select(F.col(id_col).alias("_simhash_id"), F.col("count").alias("_simhash_rows")), "simhash-first")
-    same = F.col(id_col).eqNullSafe(F.col("_simhash_id"))
-    once = docs.join(first.where("_simhash_rows = 1").select("_simhash_id").hint("merge"), same, "left_semi")
-    more = docs.join(first.where("_simhash_rows > 1").select("_simhash_id"), same, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(more)
+    """One document of each component, with the columns of ``docs``: that of the smallest id
+    (a null one only where there is no other) and of its rows that of the smallest
+    fingerprint; of rows equal in both any one.
+
+    Rows are told by a left-semi join with the ids that stay, which grow with the documents
+    and so are never broadcast.  Only where several rows share an id (or have none) are
+    those rows' fingerprints worked out again to tell them apart."""
+    found = materialize(_components(docs, id_col, text_col, shingle, max_bits), "simhash-found")
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("i"), "fp"))
+                                          .alias("k"))
+    kept = materialize(kept.select(F.col("k.i").alias("_simhash_id"), F.col("k.fp").alias("_simhash_fp")), "simhash-kept")
+    clash, seen = materialize_observed(
+        found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_simhash_clash")).count().where("count > 1")
+        .select("_simhash_clash"), "simhash-clash", n=F.count(F.lit(1)))
+    ids = kept.where("_simhash_id IS NOT NULL")
+    nulls = kept.where("_simhash_id IS NULL").limit(1).count()
+    if seen["n"]:
+        ids = ids.join(clash, F.col("_simhash_id") == F.col("_simhash_clash"), "left_anti")
+    out = docs.join(ids.select("_simhash_id").hint("merge"), F.col(id_col) == F.col("_simhash_id"), "left_semi")
+    more = []
+    if seen["n"]:
+        more.append(docs.join(clash, F.col(id_col) == F.col("_simhash_clash"), "left_semi"))
+    if nulls:
+        more.append(docs.where(F.col(id_col).isNull()))
+    for d in more:
+        d = _with_fingerprints(d, text_col, shingle).withColumnRenamed("_simhash_fp", "_simhash_own")
+        same = (F.col("_simhash_own") == F.col("_simhash_fp")) & F.col(id_col).eqNullSafe(F.col("_simhash_id"))
+        d = d.join(kept.hint("merge"), same, "left_semi").dropDuplicates([id_col, "_simhash_own"])
+        out = out.unionByName(d.drop("_simhash_own"))
+    return out

@@ -99,3 +99,18 @@ def test_odd_rows(spark):
     assert S.near_duplicates(docs.limit(0)).collect() == [] and S.keep_one(docs.limit(0)).collect() == []
     same = S.near_duplicates(docs.select("doc_id", "text", F.lit(1).alias("component_id")))
     assert same.count() == len(rows)
+
+
+def test_keep_one_leaves_a_row_of_each_component(spark):
+    """Null and shared ids: clean documents of different text stay, near copies go."""
+    text = {k: " ".join(f"{k}{j}" for j in range(60)) for k in "abcdefg"}
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["b"]), (None, text["c"]), (4, text["c"]),
+            (1, text["d"]), (1, text["e"]), (2, text["f"]), (3, text["f"]), (3, text["g"]), (1, text["g"]), (5, None)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, row int")
+    got = S.keep_one(docs)
+    assert got.columns == docs.columns
+    want = [(None, text["a"]), (None, text["b"]), (4, text["c"]), (1, text["d"]), (1, text["e"]), (2, text["f"]),
+            (1, text["g"]), (5, None)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    one = spark.createDataFrame([(None, text["a"], 0), (7, text["b"], 1), (7, text["a"], 2)], docs.schema)
+    assert sorted((r.doc_id, r.row) for r in S.keep_one(one).collect()) == [(7, 1), (7, 2)]
