@@ -33,7 +33,7 @@ from faultline.session import materialize
 SEQ_LEN = 1024
 MIN_PIECE = 128
 PERIOD_WINDOWS = 64
-#: More sources than this share queues by a hash of their names.
+#: Beyond so many sources, those without a target of their own share queues by a hash of their names.
 MAX_QUEUES = 4096
 END_ID = 0
 #: Periods whose services a task keeps; queues drift apart by some.
@@ -195,13 +195,21 @@ class Schedule:
 
 
 def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source",
-              tokenizer: str | None = None, end_id: int = END_ID, max_queues: int = MAX_QUEUES) -> DataFrame:
+              tokenizer: str | None = None, end_id: int = END_ID, max_queues: int = MAX_QUEUES,
+              targets: dict[str, float] | None = None) -> DataFrame:
     """``(id_col, queue, task, at, n, ids)``, written once: ids as little-endian uint32 with
-    the end id, and the tokens of the same queue before it in its task."""
+    the end id, and the tokens of the same queue before it in its task.
+
+    A source named in ``targets`` always is a queue of its own; of more than ``max_queues``
+    sources the others share that many."""
     path = tokenizer or default_tokenizer()
     name = F.coalesce(F.col(queue_col).cast("string"), F.lit(""))
     if docs.select(name.alias("q")).distinct().limit(max_queues + 1).count() > max_queues:
-        name = F.pmod(F.xxhash64(name), F.lit(max_queues)).cast("string")
+        shared = "#"  # no target's name begins like a shared queue's
+        while any(t.startswith(shared) for t in targets or ()):
+            shared += "#"
+        bucket = F.concat(F.lit(shared), F.pmod(F.xxhash64(name), F.lit(max_queues)).cast("string"))
+        name = F.when(name.isin(list(targets)), name).otherwise(bucket) if targets else bucket
     end = np.array([end_id], "<u4").tobytes()
 
     def setup():
@@ -227,23 +235,24 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source",
          targets: dict[str, float] | None = None, tokenizer: str | None = None, seq_len: int = SEQ_LEN,
-         min_piece: int = MIN_PIECE, end_id: int = END_ID) -> DataFrame:
+         min_piece: int = MIN_PIECE, end_id: int = END_ID, max_queues: int = MAX_QUEUES) -> DataFrame:
     """Pieces of all documents: ``id_col, start, length, ids`` (little-endian uint32),
     ``doc_tokens, sequence_id, offset, queue``.
 
     Every token, with one end id a document, lies in one piece; offsets of a sequence have
     no gap and every sequence but the last holds ``seq_len`` tokens.  ``targets`` gives the
-    token proportions by queue (default: the corpus's own).  A null text is empty (its end
+    token proportions by source (default: the corpus's own); sources without one follow when
+    those run dry.  Beyond ``max_queues`` sources, those without a target share queues.  A null text is empty (its end
     id is packed), a null source is the queue ``''``; repeated rows are packed each; an empty
     table gives no rows; other columns are not read.  Proportions: at the end of any window
     a queue is within ``min_piece`` tokens and a few of its target, however many tasks.
     """
-    tokens = tokenized(docs, id_col, text_col, queue_col, tokenizer, end_id)
+    tokens = tokenized(docs, id_col, text_col, queue_col, tokenizer, end_id, max_queues, targets)
     by_task = tokens.groupBy("queue", "task").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = materialize(by_task.select("queue", "task", "n", F.coalesce(F.sum("n").over(before), F.lit(0))
                                       .alias("base")), "packing-bases")
-    # one number a queue, of which there are at most MAX_QUEUES
+    # one number a queue, of which there are at most max_queues besides the targets
     totals = {r["queue"]: r["n"] for r in base.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     placed = tokens.join(base.drop("n"), ["queue", "task"]) \
         .select(id_col, "queue", (F.col("at") + F.col("base")).alias("at"), "n", "ids")

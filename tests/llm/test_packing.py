@@ -95,3 +95,30 @@ def test_many_sources_share_queues(spark):
                                   F.col("id").cast("string").alias("source"))
     t = packing.tokenized(docs, max_queues=8)
     assert t.select("queue").distinct().count() <= 8 and t.count() == 40
+
+
+def test_targets_hold_with_more_sources_than_queues(spark):
+    """Named sources keep queues of their own, also with the default smallest piece."""
+    named = {"0": 3, "1": 1, "#2": 2}
+    docs = spark.range(4000).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("ab cd "), 60).alias("text"),
+        F.expr("CASE id % 8 WHEN 0 THEN '0' WHEN 1 THEN '1' WHEN 2 THEN '#2' ELSE concat('s', id % 40) END").alias("source"))
+    rows = packing.pack(docs, targets=named, max_queues=4).groupBy("queue", "sequence_id") \
+        .agg(F.sum("length").alias("n")).collect()
+    total = {q: sum(r.n for r in rows if r.queue == q) for q in named}
+    assert len(set(total.values())) == 1 and len({r.queue for r in rows}) <= 7
+    for s in range(int(total["0"] / 3 * 6 // 1024) - 1):
+        done = {q: sum(r.n for r in rows if r.queue == q and r.sequence_id <= s) for q in named}
+        for q, w in named.items():
+            assert abs(done[q] - 1024 * (s + 1) * w / 6) <= 2 * packing.MIN_PIECE + 2
+
+
+def test_production_piece_follows_the_corpus(spark, sf001):
+    rows = packing.pack(spark.read.parquet(f"{sf001}/documents.parquet")).groupBy("queue", "sequence_id") \
+        .agg(F.sum("length").alias("n")).collect()
+    whole, last = sum(r.n for r in rows), max(r.sequence_id for r in rows)
+    for q in {r.queue for r in rows}:
+        n = sum(r.n for r in rows if r.queue == q)
+        for s in range(last):
+            got = sum(r.n for r in rows if r.queue == q and r.sequence_id <= s)
+            assert abs(got - n * 1024 * (s + 1) / whole) <= 2 * packing.MIN_PIECE + 2
