@@ -50,24 +50,26 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _ranks(path: str) -> dict[bytes, int]:
-    """Token bytes and ids of a byte-level BPE file: printable stand-ins back to bytes."""
+def _ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Token bytes and ids of a byte-level BPE file, printable stand-ins back to bytes; and its added tokens."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     byte = {chr(b): b for b in plain}
     byte |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-    special = {t["content"] for t in model.get("added_tokens", [])}
-    return {bytes(byte[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
+    added = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
+    return {bytes(byte[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in added}, added
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """Ids of a text as uint32 bytes, as the file's own library gives them without special
-    tokens.  Made once for each worker process."""
+    """Ids of a text as uint32 bytes, as the file's own library gives them with
+    ``add_special_tokens=False``: none is put in, but an added token's name in the text is
+    that token.  Made once for each worker process."""
     import tiktoken
-    encode = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
-    return lambda text: encode.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+    ranks, added = _ranks(path)
+    encode = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: encode.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
 
 class Schedule:

@@ -122,3 +122,10 @@ def test_production_piece_follows_the_corpus(spark, sf001):
         for s in range(last):
             got = sum(r.n for r in rows if r.queue == q and r.sequence_id <= s)
             assert abs(got - n * 1024 * (s + 1) / whole) <= 2 * packing.MIN_PIECE + 2
+
+
+@pytest.mark.parametrize("text", ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "<|endoftext|", "<|EndOfText|> é"])
+def test_ids_are_the_library_call_also_for_added_tokens(text):
+    from tokenizers import Tokenizer
+    want = Tokenizer.from_file(packing.default_tokenizer()).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.encoder(packing.default_tokenizer())(text), "<u4").tolist() == want
