@@ -1,6 +1,6 @@
 """Language ID: one bit-sliced Bloom filter that answers with a mask of languages.
 
-A slot of the filter holds a bit for each language.  An n-gram sets its language's bit in
+A slot of the filter holds a bit for each language, in as many 64-bit words as that takes.  An n-gram sets its language's bit in
 ``HASHES`` slots; looked up, the AND of those slots is the mask of all languages that hold
 it.  Every n-gram of a text is looked up at once, and the masks' set bits are counted per
 language.  A language whose bits fill a part ``f`` of the slots answers falsely with chance
@@ -27,7 +27,6 @@ MIN_SHARE = 1e-5
 #: Most labelled documents a language that the filter is fitted on: those of the smallest
 #: hash of their id.  A documented bound of the fit only; predictions cover every text.
 FIT_DOCUMENTS = 4000
-MAX_LANGUAGES = 64
 UNKNOWN = "und"
 #: Code points of text worked on at once in a task.
 _CHUNK = 1 << 20
@@ -88,27 +87,32 @@ def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 class Model:
-    """The filter and its false-positive rates."""
-
-    def __init__(self, grams: dict[str, np.ndarray]):
-        self.languages = list(grams)
-        self.table = np.zeros(SLOTS, np.uint64)
-        for k, lang in enumerate(self.languages):
-            for s in _slots(grams[lang].astype(np.int64).view(np.uint64)):
-                self.table[s] |= np.uint64(1 << k)
-        self.false = np.array([np.mean(self.table >> np.uint64(k) & np.uint64(1)) ** HASHES
+    """The filter and its false-positive rates; ``grams`` gives (language, n-grams) pairs or
+    a dictionary, of which one language is held at a time.  ``languages`` is their order."""
+
+    def __init__(self, grams, languages: list[str] | None = None):
+        self.languages = list(grams if languages is None else languages)
+        number = {lang: k for k, lang in enumerate(self.languages)}
+        self.table = np.zeros((SLOTS, max(1, -(-len(number) // 64))), np.uint64)
+        for lang, own in grams.items() if isinstance(grams, dict) else grams:
+            word, bit = divmod(number[lang], 64)
+            for s in _slots(np.asarray(own, np.int64).view(np.uint64)):
+                self.table[s, word] |= np.uint64(1 << bit)
+        self.false = np.array([np.mean(self.table[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)) ** HASHES
                                for k in range(len(self.languages))])
 
     def counts(self, texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """N-grams of each text, and hits by (text, language)."""
         owner, grams = gram_hashes(texts, letters)
-        a, *rest = _slots(grams)
-        mask = self.table[a]
-        for s in rest:
-            mask &= self.table[s]
         n = np.bincount(owner, minlength=len(texts))
-        hits = np.stack([np.bincount(owner, (mask >> np.uint64(k)) & np.uint64(1), len(texts))
-                         for k in range(len(self.languages))], 1) if self.languages else np.zeros((len(texts), 0))
+        hits = np.zeros((len(texts), len(self.languages)))
+        a, *rest = _slots(grams)
+        for word in range(self.table.shape[1]):
+            mask = self.table[a, word]
+            for s in rest:
+                mask &= self.table[s, word]
+            for k in range(64 * word, min(64 * word + 64, len(self.languages))):
+                hits[:, k] = np.bincount(owner, (mask >> np.uint64(k % 64)) & np.uint64(1), len(texts))
         return n, hits
 
     def predict(self, texts: list[str], letters: np.ndarray) -> tuple[list[str], list[float]]:
@@ -156,26 +160,24 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Learn from the rows that have a text and a language.
 
     Of each language the ``fit_documents`` rows with the smallest hash of their id are used
-    (a count per hash bucket finds the bound, so nothing is sorted in one task).  Languages
-    beyond MAX_LANGUAGES, the rarest, aren't learned.  The driver gathers fewer than
-    1 / MIN_SHARE n-grams a language, and the filter has a fixed size."""
+    (a count per hash bucket finds the bound, so nothing is sorted in one task).  Every
+    language is learned.  The driver takes the n-grams of one part of the languages after the
+    other, fewer than 1 / MIN_SHARE each; the filter has 8 MB for each 64 languages."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"),
         F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 16)).alias("b"))
-    size = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    size = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not size:
         return Model({})
     # rows are spread evenly over the buckets, so a language's bound is a share of them
-    share = F.create_map(*[F.lit(v) for r in size
-                           for v in (r["lang"], min(1 << 16, -(-(fit_documents << 16) // r["count"])))])
-    used = rows.where(F.col("b") < share[F.col("lang")])
+    share = labelled.sparkSession.createDataFrame(
+        [(r["lang"], min(1 << 16, -(-(fit_documents << 16) // r["count"]))) for r in size], "lang string, share long")
+    used = rows.join(F.broadcast(share), "lang").where("b < share")
     counts = gram_counts(used, "text", "lang")
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     frequent = counts.join(F.broadcast(total), "lang").where(F.col("n") >= MIN_SHARE * F.col("total"))
-    grams: dict[str, list[int]] = {r["lang"]: [] for r in size}
-    for r in frequent.select("lang", "gram").collect():  # fewer than 1 / MIN_SHARE a language
-        grams.setdefault(r["lang"], []).append(r["gram"])
-    return Model({k: np.array(v, np.int64) for k, v in grams.items()})
+    grams = frequent.groupBy("lang").agg(F.collect_list("gram").alias("grams"))  # fewer than 1 / MIN_SHARE a language
+    return Model(((r["lang"], r["grams"]) for r in grams.toLocalIterator()), [r["lang"] for r in size])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -56,3 +56,14 @@ def test_odd_rows(spark):
     assert L.predict(empty, m).collect() == []
     assert {r.lang_pred for r in L.predict(docs, L.fit(empty)).collect()} == {"und"}
     assert L.predict(docs.withColumn("lang_pred", F.lit(1)), m).count() == len(rows)
+
+
+def test_more_languages_than_bits_of_a_word(spark):
+    """Each of 130 labels has words of its own; all are learned, the rarest too."""
+    letters = [chr(0x4E00 + k) for k in range(130)]
+    rows = [(k * 10 + j, f"{c}{c}ab{c} {c}a{c}b{c}", f"l{k:03}") for k, c in enumerate(letters) for j in range(1 + (k < 70))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = L.fit(docs)
+    assert m.table.shape == (L.SLOTS, 3) and m.languages[0] == "l000" and m.languages[-1] == "l129"
+    got = {r.doc_id: r.lang_pred for r in L.predict(docs, m).collect()}
+    assert got == {i: lang for i, _, lang in rows}
