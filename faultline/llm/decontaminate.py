@@ -140,17 +140,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     d = docs.select(F.col(id_col), utf8(text_col).alias("_t"))
     blocks = _item_blocks(benchmark, item_col, item_text_col, block_bytes)
-    first = spark.sparkContext.broadcast(next(blocks))
-    rest = [spark.sparkContext.broadcast(b) for b in blocks]
-    if not rest:
-        found = scanned(d, first)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        found = scanned(d, spark.sparkContext.broadcast(block))
     else:
-        from faultline.session import materialize
-        d = materialize(d.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
-        parts = [scanned(d, b, ", _row long") for b in (first, *rest)]
-        found = parts[0]
-        for p in parts[1:]:
-            found = found.unionByName(p)
+        from faultline.session import drop_tables, materialize
+        d, found = materialize(d.withColumn("_row", F.monotonically_increasing_id()), "decontaminate"), None
+        while block is not None:  # one block's broadcast at a time: its scan is written before the next
+            held = spark.sparkContext.broadcast(block)
+            part = materialize(scanned(d, held, ", _row long"), "decontaminate-found")
+            held.destroy()
+            found = part if found is None else found.unionByName(part)
+            block, following = following, next(blocks, None)
+        drop_tables(d)
         found = found.groupBy("_row").agg(
             F.first(id_col).alias(id_col), F.max("n_words").alias("n_words"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -196,14 +198,17 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, mode: str = "doc
     """The documents without the benchmark, with the same columns.
 
     ``mode="documents"`` drops each document with a hit; ``"spans"`` keeps every document
-    and cuts the hit words out of its text.  One narrow pass per block of items: no shuffle.
+    and cuts the hit words out of its text.  One narrow pass per block of items: no shuffle;
+    of several blocks each pass is written before the next block is broadcast.
     A null text stays as it is.
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode is 'documents' or 'spans', not {mode!r}")
     spark, out = docs.sparkSession, docs
     k = docs.columns.index(text_col)
-    for block in _item_blocks(benchmark, item_col, item_text_col, block_bytes):
+    blocks = _item_blocks(benchmark, item_col, item_text_col, block_bytes)
+    block, following, before = next(blocks), next(blocks, None), None
+    while block is not None:
         held = spark.sparkContext.broadcast(block)
 
         def run(batches, held=held):
@@ -218,4 +223,11 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, mode: str = "doc
                     yield batch.set_column(k, batch.schema.field(k), new)
 
         out = out.mapInArrow(run, out.schema)
+        block, following = following, next(blocks, None)
+        if block is not None or before is not None:  # one broadcast at a time, one table kept
+            from faultline.session import drop_tables, materialize
+            out = materialize(out, "decontaminate")
+            held.destroy()
+            drop_tables(before)
+            before = out
     return out

@@ -158,14 +158,16 @@ class Island:
         self.spans: list[tuple[int, int, list[int]]] = []
         e, n = self.edges, len(self.edges) - 1
         can = [not text[e[k]].isspace() for k in range(n)]
-        # digits and at-signs so far: a span with neither enough is no candidate
+        # digits and at-signs so far: a span with neither enough is no candidate, but for a long mixed run
         marks = np.cumsum([0, *(sum("0" <= c <= "9" for c in text[e[k]:e[k + 1]]) + 8 * ("@" in text[e[k]:e[k + 1]])
                                 for k in range(n))]).tolist()
         spelled = bool(_SPELLED.search(text, start, end))
         for i in range(n):
             if can[i]:
                 for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
-                    if can[j - 1] and (marks[j] - marks[i] >= 4 or spelled) and (f := span_features(text, e[i], e[j])):
+                    m = marks[j] - marks[i]
+                    if can[j - 1] and (m >= 4 or spelled or m and _LONG.fullmatch(text, e[i], e[j])) \
+                            and (f := span_features(text, e[i], e[j])):
                         self.spans.append((i, j, f))
 
     def gold(self, spans: list[tuple[str, int, int]]) -> set[tuple[int, int, int]] | None:

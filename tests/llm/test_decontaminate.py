@@ -66,3 +66,26 @@ def test_removal(spark):
     assert "one" not in cut[7]  # the cut joins a window, which is cut as well
     with pytest.raises(ValueError, match="mode"):
         D.remove_contamination(docs, bench, mode="other")
+
+
+@pytest.mark.parametrize("mode", ["documents", "spans"])
+def test_removal_in_blocks_releases_each_broadcast(spark, monkeypatch, mode):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string, items string")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    held, put, most = [], type(spark.sparkContext).broadcast, []
+
+    def counted(context, value):
+        b = put(context, value)
+        destroy = b.destroy
+        held.append(b)
+        most.append(len(held))
+        b.destroy = lambda *a: (held.remove(b), destroy(*a))
+        return b
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", counted)
+    got = D.remove_contamination(docs, bench, mode=mode, block_bytes=1).collect()
+    assert max(most) == 1 and len(most) > 2
+    D.find_contamination(docs, bench, block_bytes=1).collect()
+    assert max(most) == 1
+    monkeypatch.undo()
+    assert sorted(got, key=str) == sorted(D.remove_contamination(docs, bench, mode=mode).collect(), key=str)
