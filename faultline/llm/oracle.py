@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import string
 
+from faultline.llm import fill_in_middle as FIM
 from faultline.llm import quality_rules as Q
 from faultline.llm.chat_format import CHATML
 from faultline.llm.queries import PROBE
@@ -118,9 +119,30 @@ SELECT page_id, strlen(b) AS payload_bytes, {digest} AS payload_digest,
 FROM r"""
 
 
+def _fill_in_middle() -> str:
+    p, s, m = (_q(x) for x in (FIM.PREFIX, FIM.SUFFIX, FIM.MIDDLE))
+    h = ", ".join(f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT) AS h{k + 1}" for k in range(4))
+    return rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{FIM.LINE}') AS u,
+             sha256('{FIM.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, {h} FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, {p}) OR contains(t, {s}) OR contains(t, {m})
+                       OR h3 % 100 >= {FIM.FIM_PERCENT} THEN 'plain'
+                  WHEN h4 % 100 < {FIM.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM r),
+x AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid,
+             array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN {p} || pre || {s} || suf || {m} || mid
+                        ELSE {s} || suf || {p} || pre || {m} || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM x"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": _chat(),
     "op4_decontaminate": _decontaminate(),
     "op5_quality_rules": _quality(),
     "op7_warc": _warc(),
+    "op12_fill_in_middle": _fill_in_middle(),
 }

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm import (
-    chat_format, decontaminate, html_extract, language_id, line_dedup, packing, pii, quality_rules, simhash, warc,
+    chat_format, decontaminate, fill_in_middle, html_extract, language_id, line_dedup, packing, pii, quality_rules,
+    simhash, warc,
 )
 from faultline.llm.common import table
 from faultline.session import tables_dir
@@ -86,4 +87,15 @@ def op10_pii(spark, sf_dir) -> DataFrame:
                         pii.listed("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_chat_format, op4_decontaminate, op5_quality_rules, op6_line_dedup, op7_warc, op8_simhash, op9_html_extract, op10_pii)}
+def op12_fill_in_middle(spark, sf_dir) -> DataFrame:
+    d = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    output, form = F.col("fim_output"), F.col("fim_form")
+    prefix, middle = fill_in_middle.part_chars(output, form)
+    return d.select("doc_id", F.col("fim_n").alias("n"), form.alias("form"), prefix.alias("prefix_chars"),
+                    middle.alias("middle_chars"), F.sha2(output, 256).alias("output_sha256"),
+                    F.sha2(fill_in_middle.restored(output, form), 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op2_language_id, op3_chat_format, op4_decontaminate, op5_quality_rules, op6_line_dedup, op7_warc,
+    op8_simhash, op9_html_extract, op10_pii, op12_fill_in_middle)}
