@@ -10,6 +10,7 @@ from __future__ import annotations
 import string
 
 from faultline.llm import fill_in_middle as FIM
+from faultline.llm import mixing as MIX
 from faultline.llm import quality_rules as Q
 from faultline.llm.chat_format import CHATML
 from faultline.llm.queries import PROBE
@@ -139,10 +140,34 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix
 FROM x"""
 
 
+def _mixing() -> str:
+    epochs, share = MIX.MAX_EPOCHS, f"CAST({MIX.SHARE} AS DOUBLE)"
+    taken = " + ".join(f"greatest(0, least(size, quota - {e} * source_size - start))" for e in range(epochs))
+    return rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^{_SPACE}]+')) AS BIGINT) AS size,
+             md5('{MIX.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS size FROM d GROUP BY source),
+w AS (SELECT *, CAST({list(MIX.WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(MIX.WEIGHTS)} + 1]
+             AS DOUBLE) AS weight FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY size / weight, source) AS r FROM w),
+c AS (SELECT *, {share} * sum(size) OVER () - {epochs} * coalesce(
+               sum(size) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+             sum(weight) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS shares FROM o),
+f AS (SELECT * FROM c WHERE weight * rest / shares <= {epochs} * size ORDER BY r LIMIT 1),
+t AS (SELECT c.source, CAST(c.size AS BIGINT) AS source_size,
+             CASE WHEN c.r < f.r THEN {epochs} * c.size ELSE c.weight * f.rest / f.shares END AS target FROM c CROSS JOIN f),
+p AS (SELECT d.*, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS quota,
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY key, doc_id
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST({taken} AS BIGINT) AS taken FROM p"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": _chat(),
     "op4_decontaminate": _decontaminate(),
     "op5_quality_rules": _quality(),
     "op7_warc": _warc(),
     "op12_fill_in_middle": _fill_in_middle(),
+    "op13_mixing": _mixing(),
 }

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm import (
-    chat_format, decontaminate, fill_in_middle, html_extract, language_id, line_dedup, packing, pii, quality_rules,
-    simhash, warc,
+    chat_format, decontaminate, fill_in_middle, html_extract, language_id, line_dedup, mixing, packing, pii,
+    quality_rules, simhash, warc,
 )
 from faultline.llm.common import table
 from faultline.session import tables_dir
@@ -96,6 +96,11 @@ def op12_fill_in_middle(spark, sf_dir) -> DataFrame:
                     F.sha2(fill_in_middle.restored(output, form), 256).alias("restored_sha256"))
 
 
+def op13_mixing(spark, sf_dir) -> DataFrame:
+    mix = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    return mixing.taken_words(mix).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_language_id, op3_chat_format, op4_decontaminate, op5_quality_rules, op6_line_dedup, op7_warc,
-    op8_simhash, op9_html_extract, op10_pii, op12_fill_in_middle)}
+    op8_simhash, op9_html_extract, op10_pii, op12_fill_in_middle, op13_mixing)}
