@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm import (
     chat_format, decontaminate, fill_in_middle, html_extract, language_id, line_dedup, mixing, packing, pii,
-    quality_rules, simhash, warc,
+    quality_rules, simhash, warc, whitening,
 )
 from faultline.llm.common import table
 from faultline.session import tables_dir
@@ -87,6 +87,11 @@ def op10_pii(spark, sf_dir) -> DataFrame:
                         pii.listed("spans").alias("spans"))
 
 
+def op11_whitening(spark, sf_dir) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")) \
+        .select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 def op12_fill_in_middle(spark, sf_dir) -> DataFrame:
     d = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     output, form = F.col("fim_output"), F.col("fim_form")
@@ -103,4 +108,4 @@ def op13_mixing(spark, sf_dir) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_language_id, op3_chat_format, op4_decontaminate, op5_quality_rules, op6_line_dedup, op7_warc,
-    op8_simhash, op9_html_extract, op10_pii, op12_fill_in_middle, op13_mixing)}
+    op8_simhash, op9_html_extract, op10_pii, op11_whitening, op12_fill_in_middle, op13_mixing)}
