@@ -38,8 +38,8 @@ SHARE = 1.5
 MAX_EPOCHS = 2
 BLOCK_WORDS = 512
 SEED = 13
-#: Documents of one bucket (on average), slots of one stretch (at most) and copies of one step (at most).
-BUCKET_ROWS, STRETCH, COPIES = 1 << 14, 1 << 16, 1 << 12
+#: Documents of one bucket (on average, at most), slots of one stretch and copies of one step (at most).
+BUCKET_ROWS, STRETCH, COPIES = 1 << 10, 1 << 16, 1 << 12
 #: Rows that one task makes where rows are generated, beyond the session's number of partitions.
 TASK_ROWS = 1 << 20
 
@@ -116,7 +116,8 @@ def _slots(sources: DataFrame, n: int) -> DataFrame:
     first = counts.select("number", "stretch", F.coalesce(
         F.sum("c").over(_before(["number"], "stretch")), F.lit(0)).alias("first"))
     rank = F.row_number().over(Window.partitionBy("number", "stretch").orderBy("turn"))
-    return turns.withColumn("rank", rank).join(first, ["number", "stretch"]) \
+    # Generated rows look as few as their seeds to the planner: no join of theirs may broadcast.
+    return turns.withColumn("rank", rank).join(first.hint("merge"), ["number", "stretch"]) \
         .select("turn", "number", (F.col("first") + F.col("rank") - 1).alias("block"))
 
 
@@ -159,12 +160,12 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] | DataFrame = WEIGHTS, shar
     sources = materialize(_running_total(sources, F.col("number"), F.col("blocks"), "first_slot"), "mix-sources")
     n = sources.agg(F.coalesce(F.sum("blocks"), F.lit(0)).alias("n")).first()["n"]
 
-    # A source's documents by key: buckets of the key's first digits, numbered each by itself.
-    digits = max(0, math.ceil(math.log(max(1, seen["n"]) / BUCKET_ROWS, 16)))
+    # A source's documents by key: buckets of the key's first bits, numbered each by itself.
+    bits = max(0, math.ceil(math.log2(max(1, seen["n"]) / BUCKET_ROWS)))
     words = F.col("size") * F.col("copies")
     known = sources.select(F.col("source").alias("_source"), "number", "source_size", "target", "quota")
     d = distinct.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source") \
-        .withColumn("bucket", F.substring("key", 1, digits))
+        .withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 10), 16, 10).cast("long"), 40 - min(bits, 40)))
     totals = d.groupBy("number", "bucket").agg(F.sum(words).alias("_total"))
     first = totals.select("number", "bucket", F.coalesce(
         F.sum("_total").over(_before(["number"], "bucket")), F.lit(0)).alias("_first"))
@@ -177,7 +178,7 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] | DataFrame = WEIGHTS, shar
         "id", "source", "key", "copy", "size", "number", "source_size", "target", "quota",
         (F.col("_first") + F.col("_at") + F.col("copy") * F.col("size")).alias("start")), "mix-placed")
     drop_tables(distinct)
-    return Mix(sources, documents, _slots(sources, n), block_words, max_epochs)
+    return Mix(sources, documents, materialize(_slots(sources, n), "mix-slots"), block_words, max_epochs)
 
 
 def pieces(mix: Mix) -> DataFrame:
@@ -191,7 +192,7 @@ def pieces(mix: Mix) -> DataFrame:
         .withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("quota"))).where("lo < hi")
     d = d.withColumn("block", F.expr(f"explode(sequence(lo div {b}, (hi - 1) div {b}))"))
     begin, end = F.greatest(F.col("block") * b, F.col("lo")), F.least((F.col("block") + 1) * b, F.col("hi"))
-    return d.join(mix.slots, ["number", "block"]).select(
+    return d.join(mix.slots.hint("merge"), ["number", "block"]).select(
         "turn", (begin - F.col("block") * b).alias("at"), "source", "id", "key", "copy", "epoch",
         (begin - F.col("lo")).alias("from_word"), (end - begin).alias("n_words"))
 
