@@ -390,6 +390,11 @@ ON (a.Latitude - b.Latitude) * (a.Latitude - b.Latitude) + (a.Longitude - b.Long
 GROUP BY a.quake_id"""
     q["within_distance_precise"] = with_clean(within.format(points="precise", eps2=_eps2(TIGHT_EPS)), PRECISE)
     q["within_distance_hot"] = with_clean(within.format(points="hot", eps2=_eps2(TIGHT_EPS)), PRECISE, HOT)
+    q["within_distance_between"] = with_clean(f"""
+SELECT a.quake_id, count(b.quake_id) AS n_within FROM hot a LEFT JOIN hot b
+ON b.is_significant = 0 AND (a.Latitude - b.Latitude) * (a.Latitude - b.Latitude)
+   + (a.Longitude - b.Longitude) * (a.Longitude - b.Longitude) <= {_eps2(TIGHT_EPS)}
+WHERE a.is_significant = 1 GROUP BY a.quake_id""", PRECISE, HOT)
     q["dbscan_precise"] = with_clean("SELECT quake_id, Cluster FROM labels", PRECISE,
                                      *dbscan_ctes("precise", TIGHT_EPS, TIGHT_MIN, ""), recursive=True)
     q["impute_mean"] = with_clean("""

@@ -137,6 +137,12 @@ def q_nearest_hot(spark, sf_dir):
         .select("quake_id", "Region")
 
 
+def q_within_between(spark, sf_dir):
+    """Per significant event, the other events within eps, a third of all events at one place."""
+    hot = materialize(hot_view(clean(spark, sf_dir)), "hot")
+    return Z.within_distance_between(hot.where("is_significant = 1"), hot.where("is_significant = 0"), eps=TIGHT_EPS)
+
+
 def q_impute(spark, sf_dir):
     """Gaps of double columns and of an integral one."""
     r = raw(spark, sf_dir).withColumn("Depth", F.col("Depth_In_Km").try_cast("int"))
@@ -174,6 +180,7 @@ QUERIES.update({
     "within_distance_hot": lambda s, d: Z.within_distance_counts(hot_view(clean(s, d)), eps=TIGHT_EPS),
     "dbscan_precise": lambda s, d: Z.dbscan(materialize(precise_view(clean(s, d)), "precise"), eps=TIGHT_EPS,
                                             min_samples=TIGHT_MIN).select("quake_id", "Cluster"),
+    "within_distance_between": q_within_between,
     "nearest_label_hot": q_nearest_hot,
     "split_assignment": lambda s, d: split(s, d).select("quake_id", "is_significant", "is_test"),
     "class_counts": lambda s, d: A.class_counts(train_rows(s, d)),

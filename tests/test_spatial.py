@@ -1,8 +1,10 @@
 """DBSCAN, components, within-distance counts, nearest label and squared silhouette."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from faultline.operators import boxes as B
 from faultline.operators import components
 from faultline.operators import spatial as Z
 from faultline.operators.clean import clean_catalog
@@ -210,7 +212,7 @@ def test_nearest_label_on_one_meridian(spark, monkeypatch):
     q = pts(spark, [(k, k / 50 + 0.001, 125.0 + (k % 3) / 10) for k in range(200)])
     got = labels_of(Z.nearest_label(q, lab))
     assert got == {k: min(399, 2 * k) for k in range(200)}
-    assert rounds.count("nearest-round") <= 10
+    assert rounds.count("nearest-home") == 1 and len(rounds) <= 3
 
 
 def test_one_place_and_infinite_coordinates(spark):
@@ -240,5 +242,138 @@ def test_written_steps_are_equi_joins(spark, monkeypatch):
     Z.within_distance_counts(df, eps=0.25).count()
     Z.nearest_label(df, lab).count()
     Z.silhouette_squared(lab).count()
-    assert len(plans) > 15 and any("Join" in p for p in plans)
+    assert len(plans) > 12 and any("Join" in p for p in plans)
     assert not any(bad in p for p in plans for bad in ("CartesianProduct", "BroadcastNestedLoopJoin"))
+
+
+def watch_metrics(monkeypatch):
+    """What each observed write says, by name."""
+    seen = []
+    write = Z.materialize_observed
+
+    def watched(df, name, *a, **k):
+        out = write(df, name, *a, **k)
+        seen.append((name, out[1]))
+        return out
+
+    monkeypatch.setattr(Z, "materialize_observed", watched)
+    return seen
+
+
+@pytest.fixture()
+def small_leaves(monkeypatch):
+    """Boxes of two positions, so that every split is taken."""
+    monkeypatch.setattr(Z, "LEAF", 2)
+    monkeypatch.setattr(Z, "PAIR_LEAF", 4)
+
+
+def test_far_queries_meet_few_sites_of_a_dense_cluster(spark):
+    """Sixty degrees away, a query meets a bounded number of sites, however many there are."""
+    rng = np.random.default_rng(4)
+    for n in (1000, 16000):
+        xy = rng.normal(0, 0.05, (n, 2))
+        far = rng.uniform(-5, 5, (100, 2)) + [60, 60]
+        sites = spark.createDataFrame([(float(x), float(y), 0.0, k, k) for k, (x, y) in enumerate(xy)],
+                                      "sx double, sy double, extra double, rank int, pay int")
+        queries = spark.createDataFrame([(float(x), float(y)) for x, y in far], "qx double, qy double")
+        side, fx, fy, top = Z._site_grid(sites, 4.0)
+        at = sites.withColumns({"cx": B.cell(F.col("sx"), side) - fx, "cy": B.cell(F.col("sy"), side) - fy})
+        none = F.lit(None).cast("struct<cost:double,rank:int,pay:int>").alias("best")
+        met = Z._meet_sites(queries.select("*", none), ["qx", "qy"], at, top, False).groupBy("qx", "qy").count().collect()
+        assert len(met) == 100 and max(r["count"] for r in met) < 100
+        got = {(r.qx, r.qy): r.best.pay for r in Z._nearest_site(queries, sites).collect()}
+        d = ((far[:, None, :] - xy[None, :, :]) ** 2).sum(-1)
+        assert got == {(float(x), float(y)): int(np.argmin(r)) for (x, y), r in zip(far, d)}
+
+
+def test_nearest_of_mixed_densities_and_ties(spark):
+    rng = np.random.default_rng(8)
+    lab_xy = np.vstack([rng.normal(0, 0.01, (300, 2)), rng.uniform(-50, 50, (60, 2)), np.round(rng.uniform(5, 9, (200, 2)))])
+    q_xy = np.vstack([rng.uniform(-60, 60, (300, 2)), np.round(rng.uniform(4, 10, (100, 2)) * 2) / 2, lab_xy[::9]])
+    lab = labelled_points(spark, lab_xy, [k % 11 for k in range(len(lab_xy))])
+    got = labels_of(Z.nearest_label(pts(spark, [(k, float(x), float(y)) for k, (x, y) in enumerate(q_xy)]), lab))
+    d = ((q_xy[:, None, :] - lab_xy[None, :, :]) ** 2).sum(-1)
+    assert got == {k: int(np.argmin(r) % 11) for k, r in enumerate(d)}
+
+
+def test_silhouette_of_many_labels(spark):
+    rng = np.random.default_rng(2)
+    xy, lab = rng.uniform(0, 30, (400, 2)), rng.integers(0, 120, 400).tolist()
+    got = Z.silhouette_squared(labelled_points(spark, xy, lab)).first()
+    assert abs(got["silhouette_squared"] - brute_silhouette(xy, lab)) < 1e-9
+
+
+@pytest.mark.parametrize("leaf", [2, 32])
+def test_within_distance_between_two_tables(spark, monkeypatch, leaf):
+    monkeypatch.setattr(Z, "LEAF", leaf)
+    rng = np.random.default_rng(6)
+    b = np.vstack([rng.normal(1, 0.02, (400, 2)), rng.uniform(0, 2, (150, 2)), np.tile([[1.5, 1.5]], (50, 1))])
+    a = np.vstack([rng.uniform(-0.5, 2.5, (200, 2)), b[::20]])
+    rows = [(k, float(x), float(y)) for k, (x, y) in enumerate(a)] + [(900, None, 1.0), (901, float("inf"), 1.0)]
+    got = {r.quake_id: r.n_within for r in Z.within_distance_between(
+        pts(spark, rows), pts(spark, [(7, None, None), *((k, float(x), float(y)) for k, (x, y) in enumerate(b))]),
+        eps=0.1).collect()}
+    dx, dy = a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1]
+    want = dict(enumerate((dx * dx + dy * dy <= 0.1 * 0.1).sum(1).tolist()))
+    assert got == {**want, 900: None, 901: None} and 0 in got.values()
+    none = Z.within_distance_between(pts(spark, rows[:3]), pts(spark, rows[:0]), eps=0.1)
+    assert [r.n_within for r in none.collect()] == [0, 0, 0]
+
+
+def test_a_dense_cell_costs_what_the_edge_cuts(spark, monkeypatch):
+    """Boxes met for each position grow with the circle's edge, not with the cell's content."""
+    cut = []
+    for n in (4000, 16000):
+        seen = watch_metrics(monkeypatch)
+        rng = np.random.default_rng(n)
+        df = pts(spark, [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(0, 0.1, (n, 2)))])
+        assert Z.within_distance_counts(df, eps=0.1).count() == n
+        cut.append(sum(m["n"] for name, m in seen if name == "within-cut") / n)
+        monkeypatch.undo()
+    assert cut[1] < 2.5 * cut[0]  # four times the positions
+
+
+def test_dbscan_by_splits_matches_brute_force(spark, sf001, small_leaves):
+    clean = clean_catalog(quake_view(spark, sf001), cutoff=VIEW_CUTOFF)
+    rows = clean.select("quake_id", "Latitude", "Longitude").collect()
+    want = brute_dbscan([r[0] for r in rows], [(r[1], r[2]) for r in rows], 0.055, 6)
+    assert labels_of(Z.dbscan(clean, eps=0.055, min_samples=6)) == want
+    rng = np.random.default_rng(12)
+    xy = np.vstack([rng.uniform(0, 3, (250, 2)), rng.normal(1, 0.05, (150, 2))])
+    got = labels_of(Z.dbscan(pts(spark, [(k, float(x), float(y)) for k, (x, y) in enumerate(xy)]), eps=0.2, min_samples=3))
+    assert got == brute_dbscan(list(range(len(xy))), xy, 0.2, 3)
+
+
+def test_dense_unlinked_cells_compare_in_proportion(spark, monkeypatch):
+    """Two dense cells whose boxes are near and whose points, in facing triangles, are just
+    farther apart than eps: the compared pairs grow with the points."""
+    eps, compared = 0.5, []
+    for n in (6000, 50000):
+        seen = watch_metrics(monkeypatch)
+        rng = np.random.default_rng(n)
+        a, b = rng.uniform(0, 0.17, (2, n, 2))
+        a = np.where(a.sum(1, keepdims=True) > 0.17, 0.17 - a, a)
+        b = np.where(b.sum(1, keepdims=True) < 0.17, 0.17 - b, b) + 0.3538
+        df = pts(spark, [(k, float(x), float(y)) for k, (x, y) in enumerate(np.vstack([a, b]))])
+        got = labels_of(Z.dbscan(df, eps=eps, min_samples=10))
+        assert {got[0], got[n]} == {0, 1} and set(got.values()) == {0, 1}
+        compared.append(sum(m["compared"] or 0 for name, m in seen if name == "dbscan-open") / n)
+        assert any(name == "dbscan-split" for name, _ in seen)
+        monkeypatch.undo()
+    assert compared[1] < 4 * max(compared[0], 100)
+
+
+def test_dense_linked_cells_end_early(spark):
+    rng = np.random.default_rng(9)
+    xy = np.vstack([rng.uniform(0, 0.17, (5000, 2)), rng.uniform(0, 0.17, (5000, 2)) + [0.5, 0]])
+    got = labels_of(Z.dbscan(pts(spark, [(k, float(x), float(y)) for k, (x, y) in enumerate(xy)]), eps=0.5, min_samples=10))
+    assert set(got.values()) == {0}
+
+
+def test_local_stars_match_union_find(spark):
+    rng = np.random.default_rng(21)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 900, (700, 2))]
+    df = spark.createDataFrame([*edges, (None, 3), (5, 5)], "u long, v long").repartition(6)
+    plain = {r.node: r.component for r in components.connected_components(df).collect()}
+    assert plain == {r.node: r.component for r in components.connected_components(df, local=True).collect()}
+    assert components.connected_components(df.limit(0), local=True).count() == 0
