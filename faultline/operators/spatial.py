@@ -276,7 +276,7 @@ def dbscan(df: DataFrame, key: str = "quake_id", x: str = "Latitude", y: str = "
 # Nearest sites
 # ---------------------------------------------------------------------------
 
-def _site_grid(sites: DataFrame, per_cell: float) -> tuple[float, float, float, int]:
+def site_grid(sites: DataFrame, per_cell: float) -> tuple[float, float, float, int]:
     """Side of the cells, the first cell's numbers, and the number of halvings by four that
     put all cells into one.
 
@@ -299,13 +299,14 @@ def _site_grid(sites: DataFrame, per_cell: float) -> tuple[float, float, float,
     return side, *first, -(-last.bit_length() // 2)
 
 
-def _meet_sites(todo: DataFrame, keys: list[str], at: DataFrame, top: int, other_than: bool) -> DataFrame:
+def meet_sites(todo: DataFrame, keys: list[str], at: DataFrame, top: int, other_than: bool,
+               improve: bool = True) -> DataFrame:
     """Rows ``(*keys, best, sx, sy, extra, rank, pay)`` of each query with the sites it must be compared with.
 
     Branch and bound on a pyramid of boxes, each level's cells four by four of the next:
     every box has a site of its own, whose cost bounds the best from above, and its nearest
     place bounds its sites' costs from below.  A query goes down only into boxes whose lower
-    bound is at most its best cost so far."""
+    bound is at most its best cost so far; without ``improve`` that cost stays as given."""
     leaf, seen = materialize_observed(at.groupBy("cx", "cy").agg(
         *B.bounds("sx", "sy"), F.min("extra").alias("e0"),
         F.min(F.struct("pay", "rank", "sx", "sy", "extra")).alias("lo"),
@@ -330,23 +331,25 @@ def _meet_sites(todo: DataFrame, keys: list[str], at: DataFrame, top: int, other
         if min(seen["n"], (1 << 2 * (top - level)) ** 2) <= BROADCAST_BOXES:
             boxes = F.broadcast(boxes)
         todo = todo.join(boxes, ["ux", "uy"]).where(may_win & ~mine).withColumn("rep", rep)
-        best = F.least(F.col("best"), F.min(cost).over(Window.partitionBy(*keys)))
-        todo = todo.withColumn("best", best).where(may_win) \
+        if improve:
+            best = F.least(F.col("best"), F.min(cost).over(Window.partitionBy(*keys)))
+            todo = todo.withColumn("best", best).where(may_win)
+        todo = todo \
             .select(*keys, "best", F.col("cx").alias("ux"), F.col("cy").alias("uy"))
     return todo.join(at.withColumnsRenamed({"cx": "ux", "cy": "uy"}), ["ux", "uy"]).drop("ux", "uy")
 
 
-def _nearest_site(queries: DataFrame, sites: DataFrame, other_than: bool = False, per_cell: float = 4.0) -> DataFrame:
+def nearest_site(queries: DataFrame, sites: DataFrame, other_than: bool = False, per_cell: float = 4.0) -> DataFrame:
     """For each query ``(qx, qy[, own])`` the best site ``(sx, sy, extra, rank, pay)``: that of the
     smallest ``(distance^2 + extra, rank)``, as a struct ``best`` of ``(cost, rank, pay)``.
 
     With ``other_than`` sites whose ``pay`` equals the query's ``own`` don't count.  First
     every query meets the sites of the 3 x 3 cells around its own: a site outside them is
     farther than a cell's side, so a best cost of at most its square is final.  The other
-    queries go down a pyramid of boxes (:func:`_meet_sites`) with what they have found.
+    queries go down a pyramid of boxes (:func:`meet_sites`) with what they have found.
     Both tables hold distinct places, so a repeated coordinate costs nothing extra.
     Queries must be able to meet some site."""
-    side, first_x, first_y, top = _site_grid(sites, per_cell)
+    side, first_x, first_y, top = site_grid(sites, per_cell)
 
     def cells(x: str, y: str) -> dict[str, Column]:
         return {"cx": B.cell(F.col(x), side) - F.lit(first_x), "cy": B.cell(F.col(y), side) - F.lit(first_y)}
@@ -365,7 +368,7 @@ def _nearest_site(queries: DataFrame, sites: DataFrame, other_than: bool = False
     found = home.where("ok").drop("ok")
     if not m["open"]:
         return found
-    met = _meet_sites(home.where("NOT ok").drop("ok"), keys, at, top, other_than)
+    met = meet_sites(home.where("NOT ok").drop("ok"), keys, at, top, other_than)
     return found.unionByName(met.groupBy(*keys).agg(F.min(F.least(F.col("best"), cost)).alias("best")))
 
 
@@ -374,7 +377,7 @@ def nearest_label(points: DataFrame, labelled: DataFrame, key: str = "quake_id",
     """Each point takes the label of its nearest labelled point; ties by smaller key.
 
     Both sides are collapsed to distinct positions (a labelled one keeps the label of its
-    smallest key), joined by :func:`_nearest_site`, and the labels are joined back to the
+    smallest key), joined by :func:`nearest_site`, and the labels are joined back to the
     rows.  Points without finite coordinates, and all points if nothing is labelled, get NULL."""
     def finite(df: DataFrame) -> DataFrame:
         return df.where((F.abs(F.col(x)) < F.lit(math.inf)) & (F.abs(F.col(y)) < F.lit(math.inf)))
@@ -386,7 +389,7 @@ def nearest_label(points: DataFrame, labelled: DataFrame, key: str = "quake_id",
     if m["n"] == 0:
         return points.withColumn(label, F.lit(None).cast(labelled.schema[label].dataType))
     queries = finite(points).select(F.col(x).alias("qx"), F.col(y).alias("qy")).distinct()
-    best = _nearest_site(materialize(queries, "nearest-queries"), sites, per_cell=per_cell)
+    best = nearest_site(materialize(queries, "nearest-queries"), sites, per_cell=per_cell)
     best = best.select(F.col("qx").alias("px"), F.col("qy").alias("py"), F.col("best.pay").alias(label))
     return _attach(points, best, x, y)
 
@@ -423,7 +426,7 @@ def silhouette_squared(df: DataFrame, x: str = "Latitude", y: str = "Longitude",
         return c.agg(F.when(F.sum(w) > 0, F.lit(0.0)).alias("silhouette_squared"),
                      F.coalesce(F.sum(w), F.lit(0)).cast("bigint").alias("n"))
     sites = stats.select("sx", "sy", "extra", F.col("own").alias("rank"), F.col("own").alias("pay"))
-    best = _nearest_site(c, sites, other_than=True)
+    best = nearest_site(c, sites, other_than=True)
     own = _d2(F.col("qx"), F.col("qy"), F.col("sx"), F.col("sy")) + F.col("extra")
     scored = best.join(stats, "own").select("w", F.col("best.cost").alias("b"), F.when(
         F.col("n") > 1, own * F.col("n") / (F.col("n") - 1)).alias("a"))

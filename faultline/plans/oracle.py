@@ -418,6 +418,10 @@ FROM coerced c JOIN quakes q USING (quake_id)""")
     q["summary_report"] = with_clean(REPORT_BODY, *zl, *REPORT_CTES, recursive=True)
     body, extra = _silhouette_sql("clean", "labels", "silhouette_squared")
     q["silhouette_squared"] = with_clean(body, *zl, *extra, recursive=True)
+    q["silhouette_score"] = with_clean(
+        body.replace(f"sum({_d2('a', 'b')})", f"sum(sqrt({_d2('a', 'b')}))").replace(", 6) AS silhouette_squared",
+                                                                               ", 1) AS silhouette"),
+        *zl, *extra, recursive=True)
     return q
 
 

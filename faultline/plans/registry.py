@@ -24,6 +24,7 @@ from faultline.operators import metrics as E
 from faultline.operators import model as ML
 from faultline.operators import profile as P
 from faultline.operators import sampling as D
+from faultline.operators import silhouette as S
 from faultline.operators import spatial as Z
 from faultline.operators.charts import chart_depth_magnitude, chart_map
 from faultline.operators.report import report_lines, run_summary
@@ -163,7 +164,19 @@ def q_silhouette_sq(spark, sf_dir):
     return Z.silhouette_squared(labelled(spark, sf_dir)).select(_r6("silhouette_squared"), "n")
 
 
+def q_silhouette_bounds(spark, sf_dir):
+    """Bounds of the Euclidean silhouette, at most 0.02 apart."""
+    return S.silhouette_bounds(labelled(spark, sf_dir), 0.02)
+
+
+def q_silhouette_score(spark, sf_dir):
+    """The Euclidean silhouette to a certified decimal (each further one costs about three times as much)."""
+    return S.silhouette_score(labelled(spark, sf_dir), 1)
+
+
 QUERIES.update({
+    "silhouette_bounds": q_silhouette_bounds,
+    "silhouette_score": q_silhouette_score,
     "dbscan_labels": lambda s, d: labelled(s, d).select("quake_id", "Cluster"),
     "dbscan_labels_tight": lambda s, d: labelled(s, d, TIGHT_EPS, TIGHT_MIN).select("quake_id", "Cluster"),
     "within_distance_counts": lambda s, d: Z.within_distance_counts(clean(s, d), eps=TIGHT_EPS),

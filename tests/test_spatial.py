@@ -276,12 +276,12 @@ def test_far_queries_meet_few_sites_of_a_dense_cluster(spark):
         sites = spark.createDataFrame([(float(x), float(y), 0.0, k, k) for k, (x, y) in enumerate(xy)],
                                       "sx double, sy double, extra double, rank int, pay int")
         queries = spark.createDataFrame([(float(x), float(y)) for x, y in far], "qx double, qy double")
-        side, fx, fy, top = Z._site_grid(sites, 4.0)
+        side, fx, fy, top = Z.site_grid(sites, 4.0)
         at = sites.withColumns({"cx": B.cell(F.col("sx"), side) - fx, "cy": B.cell(F.col("sy"), side) - fy})
         none = F.lit(None).cast("struct<cost:double,rank:int,pay:int>").alias("best")
-        met = Z._meet_sites(queries.select("*", none), ["qx", "qy"], at, top, False).groupBy("qx", "qy").count().collect()
+        met = Z.meet_sites(queries.select("*", none), ["qx", "qy"], at, top, False).groupBy("qx", "qy").count().collect()
         assert len(met) == 100 and max(r["count"] for r in met) < 100
-        got = {(r.qx, r.qy): r.best.pay for r in Z._nearest_site(queries, sites).collect()}
+        got = {(r.qx, r.qy): r.best.pay for r in Z.nearest_site(queries, sites).collect()}
         d = ((far[:, None, :] - xy[None, :, :]) ** 2).sum(-1)
         assert got == {(float(x), float(y)): int(np.argmin(r)) for (x, y), r in zip(far, d)}
 
