@@ -14,6 +14,7 @@ from faultline.functions.columns import (
     classify_by_keywords, cut, nan_to_null, text_to_double_or_null, threshold_flag,
     to_timestamp_or_null,
 )
+from faultline.operators.rules import classify_by_rules
 from faultline.sources.catalog import null_tokens
 
 COORDINATES = ["Latitude", "Longitude"]
@@ -67,7 +68,7 @@ def place_regions(raw: DataFrame, col: str = "General_Location", region_groups=R
     distinct names, however many rows repeat them.
     """
     names = null_tokens(raw.select(col), [col]).where(F.col(col).isNotNull()).distinct()
-    return names.withColumn("Region", classify_by_keywords(col, region_groups, default))
+    return classify_by_rules(names, col, region_groups, default)
 
 
 def add_regions(df: DataFrame, raw: DataFrame, col: str = "General_Location", region_groups=REGION_GROUPS,

@@ -397,6 +397,15 @@ ON b.is_significant = 0 AND (a.Latitude - b.Latitude) * (a.Latitude - b.Latitude
 WHERE a.is_significant = 1 GROUP BY a.quake_id""", PRECISE, HOT)
     q["dbscan_precise"] = with_clean("SELECT quake_id, Cluster FROM labels", PRECISE,
                                      *dbscan_ctes("precise", TIGHT_EPS, TIGHT_MIN, ""), recursive=True)
+    groups = ", ".join(f"({k}, {_q(label)}, {_q(w)})" for k, (label, words) in enumerate(REGION_GROUPS) for w in words)
+    q["region_by_rule_table"] = with_clean("""
+SELECT q.quake_id, q.General_Location, coalesce(m.Region, 'Unknown') AS Region
+FROM quakes q LEFT JOIN (SELECT n.place, (min((r.priority, r.label)))[2] AS Region
+  FROM names n JOIN rules r ON contains(lower(n.place), lower(r.keyword)) GROUP BY n.place) m
+ON m.place = q.General_Location""",
+        "names AS (SELECT DISTINCT General_Location AS place FROM quakes WHERE General_Location IS NOT NULL)",
+        f"""rules AS (SELECT * FROM (VALUES {groups}) g(priority, label, keyword) UNION ALL
+             SELECT {len(REGION_GROUPS)} + length(place), 'Place ' || place, place FROM names)""")
     q["impute_mean"] = with_clean("""
 SELECT quake_id, round(coalesce(Latitude, avg(Latitude) OVER ()), 6) AS Latitude,
        round(coalesce(Magnitude, avg(Magnitude) OVER ()), 6) AS Magnitude,

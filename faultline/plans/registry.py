@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from faultline.constants import (
     DBSCAN_EPS, DBSCAN_MIN_SAMPLES, DEPTH_LABELS, QUERY_HIST_BINS,
-    QUERY_SAMPLE_ROWS, QUERY_TIGHT_EPS, QUERY_TIGHT_MIN_SAMPLES, REGIONS,
+    QUERY_SAMPLE_ROWS, QUERY_TIGHT_EPS, QUERY_TIGHT_MIN_SAMPLES, REGION_DEFAULT, REGION_GROUPS, REGIONS,
 )
 from faultline.operators import aggregates as A
 from faultline.operators import clean as C
@@ -23,6 +23,7 @@ from faultline.operators import features as M
 from faultline.operators import metrics as E
 from faultline.operators import model as ML
 from faultline.operators import profile as P
+from faultline.operators import rules as X
 from faultline.operators import sampling as D
 from faultline.operators import silhouette as S
 from faultline.operators import spatial as Z
@@ -144,6 +145,16 @@ def q_within_between(spark, sf_dir):
     return Z.within_distance_between(hot.where("is_significant = 1"), hot.where("is_significant = 0"), eps=TIGHT_EPS)
 
 
+def q_rule_table(spark, sf_dir):
+    """Regions by a table of rules: the keyword lists, then every name of the catalogue as a rule of its own."""
+    names = raw(spark, sf_dir).select(F.col("General_Location").alias("keyword")).distinct() \
+        .select((F.lit(len(REGION_GROUPS)) + F.length("keyword")).alias("priority"),
+                F.concat(F.lit("Place "), "keyword").alias("label"), "keyword")
+    rules = X.rule_table(spark, REGION_GROUPS).unionByName(names)
+    return X.classify_by_rules(raw(spark, sf_dir), "General_Location", rules, REGION_DEFAULT) \
+        .select("quake_id", "General_Location", "Region")
+
+
 def q_impute(spark, sf_dir):
     """Gaps of double columns and of an integral one."""
     r = raw(spark, sf_dir).withColumn("Depth", F.col("Depth_In_Km").try_cast("int"))
@@ -185,6 +196,7 @@ QUERIES.update({
     "sample_points": lambda s, d: D.sample_exact(clean_once(s, d), QUERY_SAMPLE_ROWS)
         .select("quake_id", "Longitude", "Latitude", "Magnitude"),
     "depth_magnitude_points": lambda s, d: chart_depth_magnitude(clean(s, d)),
+    "region_by_rule_table": q_rule_table,
     "impute_mean": q_impute,
     "csv_round_trip": q_csv,
     "one_hot_depth": lambda s, d: M.one_hot(clean(s, d), "Depth_Category", values=DEPTH_LABELS).select(

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 FAST = ["clean_catalog", "cleaning_audit", "column_info", "describe_numeric", "region_breakdown", "top_places",
         "region_significance", "magnitude_histogram_by_class", "split_assignment", "class_weight", "feature_table",
-        "classification_report", "sample_points", "within_distance_counts", "dbscan_labels_tight", "zone_profile", "impute_mean", "csv_round_trip", "one_hot_depth", "nearest_label",
+        "classification_report", "sample_points", "within_distance_counts", "dbscan_labels_tight", "zone_profile", "impute_mean", "region_by_rule_table", "csv_round_trip", "one_hot_depth", "nearest_label",
         "nearest_label_hot", "within_distance_hot", "within_distance_between", "within_distance_precise", "dbscan_precise", "silhouette_squared", "silhouette_score",
         "map_points"]
 
