@@ -425,6 +425,20 @@ FROM coerced c JOIN quakes q USING (quake_id)""")
              "report has its features"]
     q["model_checks"] = "SELECT * FROM (VALUES " + ", ".join(f"({_q(f)}, true)" for f in facts) + ") t(fact, holds)"
     q["summary_report"] = with_clean(REPORT_BODY, *zl, *REPORT_CTES, recursive=True)
+    q["report_round_trip"] = q["summary_report"]
+    histogram = _histogram(HIST_BINS, "is_significant")
+    q["chart_round_trip"] = with_clean(f"""
+SELECT 'regions' AS chart, Region AS mark, count(*) AS n FROM clean GROUP BY Region
+UNION ALL SELECT 'non_significant', Region, count(*) FILTER (WHERE is_significant = 0) FROM clean GROUP BY Region
+UNION ALL SELECT 'significant', Region, count(*) FILTER (WHERE is_significant = 1) FROM clean GROUP BY Region
+UNION ALL SELECT 'magnitude_by_class', bin || '/' || is_significant, n FROM ({histogram})""")
+    q["map_magnitude_points"] = with_clean("SELECT quake_id, Longitude, Latitude, Magnitude FROM clean")
+    q["run_summary_values"] = with_clean("""
+SELECT 'total_earthquakes' AS metric, CAST(count(*) AS VARCHAR) AS value FROM clean
+UNION ALL SELECT 'significant_earthquakes', CAST(sum(is_significant) AS VARCHAR) FROM clean
+UNION ALL SELECT 'accuracy', printf('%.2f', avg(CAST(is_significant = prediction AS INTEGER))) FROM ev
+UNION ALL SELECT 'clusters_identified', CAST(count(DISTINCT Cluster) AS VARCHAR) FROM zlabels""",
+        *SPLIT, EVAL, *dbscan_ctes("clean", DBSCAN_EPS, DBSCAN_MIN_SAMPLES, "z"), recursive=True)
     body, extra = _silhouette_sql("clean", "labels", "silhouette_squared")
     q["silhouette_squared"] = with_clean(body, *zl, *extra, recursive=True)
     q["silhouette_score"] = with_clean(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,10 +28,13 @@ from faultline.operators import rules as X
 from faultline.operators import sampling as D
 from faultline.operators import silhouette as S
 from faultline.operators import spatial as Z
-from faultline.operators.charts import chart_depth_magnitude, chart_map
+from faultline.operators.charts import (
+    chart_depth_magnitude, chart_magnitude_by_class, chart_map, chart_region_significance, chart_regions,
+)
 from faultline.operators.report import report_lines, run_summary
 from faultline.operators.zones import zone_profile
 from faultline.session import materialize, tables_dir
+from faultline.sources import sinks
 from faultline.sources.catalog import VIEW_CUTOFF, hot_view, precise_view, quake_view, quoted_view, read_catalog
 
 HIST_BINS = QUERY_HIST_BINS
@@ -295,6 +299,35 @@ def q_summary_report(spark, sf_dir):
     return report_lines(base, labelled(spark, sf_dir, base=base))
 
 
+def q_report_round_trip(spark, sf_dir):
+    """The summary report committed as a text file and read back."""
+    path = f"{tables_dir(spark)}/report-{uuid.uuid4().hex}"
+    sinks.write_report(q_summary_report(spark, sf_dir), path)
+    return sinks.read_report(spark, path)
+
+
+def q_chart_round_trip(spark, sf_dir):
+    """Three charts committed, read back against their manifests, and stacked: ``chart, mark, n``."""
+    base = clean_once(spark, sf_dir)
+    paths = sinks.write_chart_data(
+        {"regions": chart_regions(base), "region_significance": chart_region_significance(base),
+         "magnitude_by_class": chart_magnitude_by_class(base, HIST_BINS)},
+        f"{tables_dir(spark)}/charts-{uuid.uuid4().hex}")
+    t = {name: sinks.read_committed(spark, path, verify=True) for name, path in paths.items()}
+    marks = [t["regions"].select(F.lit("regions").alias("chart"), F.col("Region").alias("mark"), "n")]
+    marks += [t["region_significance"].select(F.lit(c).alias("chart"), F.col("Region").alias("mark"), F.col(c).alias("n"))
+              for c in ("non_significant", "significant")]
+    marks.append(t["magnitude_by_class"].select(
+        F.lit("magnitude_by_class").alias("chart"), F.concat_ws("/", "bin", "is_significant").alias("mark"), "n"))
+    return reduce(DataFrame.unionByName, marks)
+
+
+def q_summary_values(spark, sf_dir):
+    """The lines of the run summary that no model decides: totals, the rule's accuracy, the zones."""
+    base = clean_once(spark, sf_dir)
+    return run_summary(base, E.accuracy(evaluated(spark, sf_dir)), labelled(spark, sf_dir, base=base))
+
+
 def q_run_summary(spark, sf_dir):
     model, names, table = trained(spark, sf_dir)
     base = clean_once(spark, sf_dir)
@@ -305,6 +338,10 @@ def q_run_summary(spark, sf_dir):
 QUERIES.update({
     "map_points": q_map_points,
     "summary_report": q_summary_report,
+    "report_round_trip": q_report_round_trip,
+    "chart_round_trip": q_chart_round_trip,
+    "map_magnitude_points": lambda s, d: chart_map(clean(s, d), "Magnitude"),
+    "run_summary_values": q_summary_values,
     "run_summary": q_run_summary,
     "model_predictions": q_predictions,
     "model_test_rows": q_test_rows,
