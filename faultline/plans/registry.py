@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.constants import (
-    DBSCAN_EPS, DBSCAN_MIN_SAMPLES, DEPTH_LABELS, QUERY_HIST_BINS,
+    DBSCAN_EPS, DBSCAN_MIN_SAMPLES, DEPTH_LABELS, GBT_PARAMS, QUERY_HIST_BINS,
     QUERY_SAMPLE_ROWS, QUERY_TIGHT_EPS, QUERY_TIGHT_MIN_SAMPLES, REGION_DEFAULT, REGION_GROUPS, REGIONS,
 )
 from faultline.operators import aggregates as A
@@ -38,6 +38,8 @@ from faultline.sources import sinks
 from faultline.sources.catalog import VIEW_CUTOFF, hot_view, precise_view, quake_view, quoted_view, read_catalog
 
 HIST_BINS = QUERY_HIST_BINS
+#: Small trees: the view's classes differ by zone alone.
+QUERY_VALIDATED = {"maxDepth": 2, "minInstancesPerNode": 20, "validationTol": 1e-4}
 TIGHT_EPS, TIGHT_MIN = QUERY_TIGHT_EPS, QUERY_TIGHT_MIN_SAMPLES
 
 
@@ -280,6 +282,22 @@ def q_model_checks(spark, sf_dir):
     return out
 
 
+def q_model_learns(spark, sf_dir):
+    """Facts of a classifier that has learned: validated training, stopped once its loss has settled."""
+    sp = materialize(split(spark, sf_dir), "split")
+    table, names = M.feature_table(sp)
+    table = materialize(table.join(sp.select("quake_id", "is_test"), "quake_id"), "features")
+    train = materialize(ML.validation_rows(M.class_weight(table.where("NOT is_test"))), "train")
+    model = ML.train_classifier(train, names, validation="is_validation", **QUERY_VALIDATED)
+    losses = ML.loss_series(model, train.where("is_validation")).orderBy("trees").collect()  # a row for each tree
+    quality = ML.score_quality(scored(model, table)).first()
+    facts = [("log loss on the test rows is below the base rate's", quality["log_loss"] < quality["base_log_loss"]),
+             ("area under the curve is above one half", quality["auc"] > 0.5),
+             ("validation loss doesn't rise with the trees", losses[-1]["loss"] <= losses[0]["loss"]),
+             ("no trees once the loss has settled", 0 < len(losses) < GBT_PARAMS["maxIter"])]
+    return spark.createDataFrame([(f, bool(v)) for f, v in facts], "fact string, holds boolean")
+
+
 def q_top_features(spark, sf_dir):
     model, names, _ = trained(spark, sf_dir)
     return ML.top_features(ML.feature_importance(model, names), 10)
@@ -346,6 +364,7 @@ QUERIES.update({
     "model_predictions": q_predictions,
     "model_test_rows": q_test_rows,
     "model_checks": q_model_checks,
+    "model_learns": q_model_learns,
     "top_features": q_top_features,
     "model_report": q_model_report,
 })

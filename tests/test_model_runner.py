@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import features as M
@@ -27,6 +28,25 @@ def test_model_properties(spark, sf001):
     assert top == sorted(top, reverse=True) and len(top) == 5
 
 
+def test_validated_training_and_quality(spark):
+    """A learnable rule stops early and scores well; a label of chance doesn't."""
+    rows = [(k, float(k % 50), float(k * 7919 % 101), int(k % 50 > 30), int(k * 104729 % 7 == 0)) for k in range(2000)]
+    df = spark.createDataFrame(rows, "quake_id long, a double, b double, rule int, chance int")
+    q = {}
+    for label in ("rule", "chance"):
+        train = ML.validation_rows(M.class_weight(df.withColumnRenamed(label, "is_significant")))
+        assert {r[0]: r[1] for r in train.groupBy("is_significant").agg(F.avg(F.col("is_validation").cast("int"))).collect()} \
+            == pytest.approx({0: 0.1, 1: 0.1}, abs=0.01)
+        model = ML.train_classifier(train, ["a"], validation="is_validation", maxIter=30, maxDepth=2, stepSize=0.5)
+        losses = [r.loss for r in ML.loss_series(model, train.where("is_validation")).orderBy("trees").collect()]
+        assert len(losses) == model.stages[-1].getNumTrees <= 30
+        q[label] = ML.score_quality(ML.predict(model, train, ["is_significant"])).first()
+        if label == "rule":
+            assert losses[-1] < losses[0]
+    assert q["rule"].auc > 0.99 and q["rule"].log_loss < 0.2 < q["rule"].base_log_loss == pytest.approx(0.6931, abs=1e-4)
+    assert q["chance"].log_loss > 0.6 and q["rule"].n == 2000
+
+
 def test_runner_run_preset(spark, sf001, tmp_path):
     out = str(tmp_path / "res")
     res = run_analysis(spark, quake_view(spark, sf001), out, preset="run", cutoff=VIEW_CUTOFF,
