@@ -70,14 +70,14 @@ MAIN_NAMES = frozenset(["article", "content", "entry", "main", "post", "story"])
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
-    r"|<[!?/][^>]*>", re.S | re.I)
+    r"|<(/?)([a-zA-Z][^\s/>]*+)([^<>\"']*+(?:\"[^\"]*\"[^<>\"']*+|'[^']*'[^<>\"']*+)*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"
+    r"|<[!?/][^>]*+>", re.S | re.I)
 _SKIPPED = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     rf"|<(/?)({'|'.join(sorted(SKIPPED, key=len, reverse=True))})(?=[\s/>])"
-    r"((?:[^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*>)|[^>]*>)", re.S | re.I)
+    r"((?:[^<>\"']*+(?:\"[^\"]*\"[^<>\"']*+|'[^']*'[^<>\"']*+)*+>)|[^>]*+>)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=)|display\s*:\s*none", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
@@ -120,11 +120,11 @@ def _region(tag: str, attributes: str, inside: int, in_comments: bool) -> tuple[
     return inside, comments
 
 
-def _skipped(html: str) -> dict[int, int]:
+def _skipped(html: str, end: int) -> dict[int, int]:
     """Where elements whose content isn't read begin, and where their own end tags end."""
     opened: dict[str, list[int]] = {}
     out = {}
-    for m in _SKIPPED.finditer(html):
+    for m in _SKIPPED.finditer(html, 0, end):
         if name := (m[3] or "").lower():
             if m[2]:
                 if opened.get(name):
@@ -134,6 +134,13 @@ def _skipped(html: str) -> dict[int, int]:
     return out
 
 
+def _left_open(m: re.Match) -> bool:
+    """Whether a comment or a raw element reaches to the end of the page without an end of its own."""
+    if m[1]:
+        return re.search(rf"</{m[1]}\s*>\Z", m[0], re.I) is None
+    return m[0].startswith("<!--") and not m[0].endswith("-->", 4)
+
+
 def blocks_of(html: str) -> list[Block]:
     """The page's blocks with text, in order."""
     out: list[Block] = []
@@ -157,12 +164,17 @@ def blocks_of(html: str) -> list[Block]:
         if in_link:
             linked += len(" ".join(text.split()))
 
-    ends = _skipped(html)
+    # No tag ends after the last ">": what follows is text, unless a comment or a raw element is open.
+    end = html.rfind(">") + 1
+    ends = _skipped(html, end)
     last = 0
-    while m := _TAG.search(html, last):
+    while last < end and (m := _TAG.search(html, last, end)):
         if m.start() > last:
             add(html[last:m.start()])
         last = m.end()
+        if last == end and _left_open(m):
+            last = len(html)
+            break
         tag = (m[3] or m[6] or "").lower()
         if not tag:
             continue
@@ -201,8 +213,9 @@ def blocks_of(html: str) -> list[Block]:
                     stack.append((tag, BAD, stack[-1][2], 0))
             elif closing and len(stack) > 1 and stack[-1][0] == tag:
                 stack.pop()
+    comment = html.find("<!--", max(last, end))
     if last < len(html):
-        add(html[last:])
+        add(html[last:comment if comment >= 0 else len(html)])
     close()
     return out
 

@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -26,7 +28,7 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 #: Longest span in tokens (runs of letters and digits, runs of white space, single others).
 MAX_TOKENS = 16
-#: Rows whose islands the weights are fitted on: those of the smallest hash of their id.
+#: Rows whose islands the weights are fitted on: those of the smallest hash of id and text.
 #: A documented bound of the fit only; every text is searched whole.
 FIT_DOCUMENTS = 4000
 #: Islands of them, again by hash.
@@ -71,10 +73,11 @@ def _at_most_255(part: str) -> bool:
 
 
 _DIGIT = re.compile(r"[0-9]")
-#: Words with a digit or @, and spelled-out addresses, one or two blanks apart.
-_ISLAND = re.compile(
-    r"(?:\S+\s?[\[(]\s?at\s?[\])]\s?\S+(?:\s?[\[(]\s?dot\s?[\])]\s?\S+)+|\S*[0-9@]\S*)"
-    r"(?:\s{1,2}(?:\S+\s?[\[(]\s?at\s?[\])]\s?\S+(?:\s?[\[(]\s?dot\s?[\])]\s?\S+)+|\S*[0-9@]\S*))*", re.I)
+#: Words with a digit or @, and spelled-out addresses, one or two blanks apart.  A word is
+#: looked at from its beginning only, so a long run without blanks is passed once.
+_PART = (r"(?:\S+\s?[\[(]\s?at\s?[\])]\s?\S+(?:\s?[\[(]\s?dot\s?[\])]\s?\S+)+"
+         r"|[^\s0-9@]*+[0-9@]\S*+)")
+_ISLAND = re.compile(rf"(?<!\S){_PART}(?:\s{{1,2}}{_PART})*", re.I)
 _SPELLED = re.compile(r"[\[(]\s?at\s?[\])]", re.I)
 _TOKEN = re.compile(r"[^\W_]+|\s+|.", re.S)
 _AT_DOT = re.compile(r"[\w.+-]+\s?[\[(]\s?at\s?[\])]\s?[\w-]+(?:\s?[\[(]\s?dot\s?[\])]\s?[\w-]+)+", re.I | re.A)
@@ -283,13 +286,21 @@ def _labels(text: str) -> list[tuple[str, int, int]]:
                   and not any(a < m.end() and b > m.start() for _, a, b in out)]
 
 
+#: Hashes of rows are compared in so many bits with the part of them that the fit reads.
+_SHARE_BITS = 48
+
+
+def fit_share(n: int, fit_documents: int = FIT_DOCUMENTS) -> int:
+    """How many of the ``2^48`` hash values the fit reads, of ``n`` rows: never none."""
+    return 1 << _SHARE_BITS if n <= fit_documents else -(-(fit_documents << _SHARE_BITS) // n)
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_documents: int = FIT_DOCUMENTS,
         fit_islands: int = FIT_ISLANDS) -> np.ndarray:
     """Weights from the islands of about ``fit_documents`` rows, of which at most
     ``fit_islands`` (those of the smallest hash) reach the driver."""
-    n = docs.count()
-    share = 1 << 20 if n <= fit_documents else (fit_documents << 20) // n
-    bucket = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 20))
+    share = fit_share(docs.count(), fit_documents)
+    bucket = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")), F.lit(1 << _SHARE_BITS))
 
     def rows(texts):
         out = []
@@ -314,10 +325,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_doc
 def all_spans(text: str, weights: np.ndarray) -> tuple[list, list]:
     """Base spans; and those with what the field adds, none of which overlaps a base span."""
     base = base_spans(text)
+    starts = [x for _, x, _ in base]
+    reach = list(accumulate((y for _, _, y in base), max))  # the farthest end so far
     added = []
     for a, b in islands_of(text):
         for s in decode(Island(text, a, b), weights):
-            if not any(x < s[2] and y > s[1] for _, x, y in base):
+            before = bisect_left(starts, s[2])  # base spans that begin before its end
+            if not before or reach[before - 1] <= s[1]:
                 added.append(s)
     return base, sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0])))
 

@@ -94,3 +94,14 @@ def test_fixture_articles_without_their_tag(spark, sf001):
 ])
 def test_elements_are_skipped_only_to_their_own_end(body, text):
     assert H.main_text(f"<article>{body}</article>") == text
+
+
+def test_unclosed_marks_are_text_and_cost_one_pass():
+    """A megabyte of code or of one long name: quadratic work would take half an hour."""
+    code = "for i <n; " * 100_000
+    assert [len(b.text) for b in H.blocks_of(code)] == [len(code) - 1]
+    assert H.blocks_of("<" + "a" * 1_000_000)[0].text == "<" + "a" * 1_000_000
+    assert len(H.blocks_of("<p>x</p>" + "<b 'c " * 100_000)) == 2
+    assert [b.text for b in H.blocks_of("<p>a</p> tail <x <!-- hidden <p")] == ["a", "tail <x"]
+    assert [b.text for b in H.blocks_of("<p>a</p><!-- hidden <p>b</p> c")] == ["a"]
+    assert [b.text for b in H.blocks_of("<p>a</p><script>x <p>b</p> c")] == ["a"]

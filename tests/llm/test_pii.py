@@ -120,3 +120,20 @@ def test_odd_rows(spark):
 ])
 def test_mixed_runs_of_few_digits(text, kinds):
     assert [k for k, _, _ in P.all_spans(text, P.PRIOR)[1]] == kinds
+
+
+def test_long_runs_and_many_spans_cost_one_pass():
+    """Prose without blanks, and a log of a hundred thousand addresses."""
+    text = "字" * 300_000 + " 1 " + "x" * 300_000 + "@y.de " + "z" * 300_000
+    assert [text[a:b] for a, b in P.islands_of(text)] == ["1 " + "x" * 300_000 + "@y.de"]
+    log = "10.1.2.3 +49 30 1234567\n" * 30_000
+    base, every = P.all_spans(log, P.PRIOR)
+    assert len(base) == 60_000 and every == base
+    kinds = {k: [(a, b) for kind, a, b in every if kind == k] for k in ("ip", "phone")}
+    assert all(len(v) == 30_000 for v in kinds.values())
+
+
+@pytest.mark.parametrize("n", [1, 4000, 4001, 10**6, 4_194_304_001, 10**12, 10**15])
+def test_the_fit_reads_some_rows_of_any_number(n):
+    part = P.fit_share(n) / 2**48
+    assert part == 1 if n <= 4000 else 4000 <= part * n <= 4000 + n / 2**48 + 1
