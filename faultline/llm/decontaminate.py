@@ -11,13 +11,16 @@ several blocks, whose hits are put together per document.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline.llm.common import arrow_map, utf8
+from faultline.session import drop_tables, materialize, materialize_observed
 
 WINDOW = 10
 #: Most bytes of item text in one broadcast block.
@@ -33,57 +36,108 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
-def _window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit polynomial hash of every run of ``size`` word numbers."""
-    n = len(ids) - size + 1
-    out = np.zeros(max(n, 0), np.uint64)
+def _window_hashes(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit polynomial hash of the ``size`` word numbers from each place in ``at``."""
+    out = np.zeros(len(at), np.uint64)
     for k in range(size):
-        out = out * _BASE + ids[k:k + n].astype(np.uint64)
+        out = out * _BASE + ids[at + k].astype(np.uint64)
     return out
 
 
+class _Windows:
+    """The distinct windows of one length: sorted hashes, a place of each, and the items of each."""
+
+    def __init__(self, ids: np.ndarray, at: np.ndarray, item: np.ndarray, size: int):
+        self.ids, self.size = ids, size
+        h = _window_hashes(ids, at, size)
+        order = np.lexsort((item, h))
+        h, at, item = h[order], at[order], item[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+        like = np.ones(len(h), bool)  # the same words as the first of its hash
+        for k in range(size):
+            like &= ids[at + k] == ids[at[first][group] + k]
+        # windows of equal hash and other words, if there ever are any, are kept by their words
+        self.others: dict[bytes, set[int]] = {}
+        for k in np.flatnonzero(~like).tolist():
+            self.others.setdefault(self._words(at[k]), set()).add(int(item[k]))
+        self.hashes, self.place = h[first], at[first]
+        use = like & np.concatenate(([True], (group[1:] != group[:-1]) | (item[1:] != item[:-1])))
+        self.item = item[use]
+        self.edges = np.searchsorted(group[use], np.arange(len(first) + 1))
+
+    def _words(self, place: int) -> bytes:
+        return self.ids[place:place + self.size].tobytes()
+
+    def found(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, set[int]]:
+        """Which places of a text begin a window of an item, and the items."""
+        h = _window_hashes(ids, at, self.size)
+        k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        near = np.flatnonzero(self.hashes[k] == h)
+        at, k = at[near], k[near]
+        same = np.ones(len(at), bool)
+        for j in range(self.size):
+            same &= ids[at + j] == self.ids[self.place[k] + j]
+        items: set[int] = set()
+        for g in np.unique(k[same]).tolist():
+            items.update(self.item[self.edges[g]:self.edges[g + 1]].tolist())
+        if self.others:
+            for j, p in enumerate(at.tolist()):
+                if own := self.others.get(ids[p:p + self.size].tobytes()):
+                    same[j] = True
+                    items |= own
+        return at[same], items
+
+
 class WindowSet:
-    """The windows of some items, by length in words: sorted hashes, and the items of each window."""
+    """The windows of some items, by length in words."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        self.owners: dict[tuple[int, ...], list[str]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            size = min(window, len(ids))
-            for k in range(len(ids) - size + 1 if ids else 0):
-                own = self.owners.setdefault(tuple(ids[k:k + size]), [])
-                if item not in own:
-                    own.append(item)
-        by_size: dict[int, list[tuple[int, ...]]] = {}
-        for w in self.owners:
-            by_size.setdefault(len(w), []).append(w)
-        self.hashes = {
-            size: np.unique(np.concatenate([_window_hashes(np.array(w), size) for w in ws]))
-            for size, ws in by_size.items()}
+        number = self.vocabulary.setdefault
+        self.names = [i for i, _ in items]
+        parts = [[number(w, len(self.vocabulary) + 1) for w in words(t)] for _, t in items]
+        length = np.array([len(p) for p in parts], np.int64)
+        ids = np.fromiter((w for p in parts for w in p), np.int64, int(length.sum()))
+        begin = np.cumsum(length) - length
+        size = np.minimum(window, length)
+        self.windows: list[_Windows] = []
+        for s in np.unique(size[size > 0]).tolist():
+            of = np.flatnonzero(size == s)
+            many = length[of] - s + 1
+            item = np.repeat(of, many)
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            self.windows.append(_Windows(ids, np.repeat(begin[of], many) + step, item, s))
 
     def hits(self, text_words: list[bytes]) -> tuple[list[tuple[int, int]], list[str]]:
         """Word ranges (start, end) of the windows that occur, and the items they are of."""
         look = self.vocabulary.get
         ids = np.fromiter((look(w, 0) for w in text_words), np.int64, len(text_words))
         spans, items = [], set()
-        for size, known in self.hashes.items():
-            if len(ids) < size:
+        # only windows that lie wholly within known words can match
+        good = np.cumsum(np.concatenate(([0], ids > 0)))
+        for w in self.windows:
+            if len(ids) < w.size:
                 continue
-            # only windows that lie wholly within known words can match
-            good = np.cumsum(np.concatenate(([0], ids > 0)))
-            at = np.flatnonzero(good[size:] - good[:-size] == size)
+            at = np.flatnonzero(good[w.size:] - good[:-w.size] == w.size)
             if not len(at):
                 continue
-            h = np.zeros(len(at), np.uint64)
-            for k in range(size):
-                h = h * _BASE + ids[at + k].astype(np.uint64)
-            for p in at[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h].tolist():
-                own = self.owners.get(tuple(ids[p:p + size].tolist()))
-                if own:
-                    spans.append((p, p + size))
-                    items.update(own)
-        return _merged(spans), sorted(items)
+            at, own = w.found(ids, at)
+            spans += [(p, p + w.size) for p in at.tolist()]
+            items |= own
+        return _merged(spans), sorted({self.names[k] for k in items})
+
+
+#: The last set of windows made in this process, with the name of its block.
+_LAST: dict[str, WindowSet] = {}
+
+
+def _window_set(name: str, items: list[tuple[str, bytes | None]], window: int) -> WindowSet:
+    """The windows of a broadcast block, made once in each worker process."""
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = WindowSet(items, window)
+    return _LAST[name]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -136,7 +190,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                 w = words(t)
                 spans, items = found.hits(w)
                 yield [i], [len(w)], [items], [[{"start": a, "end": b} for a, b in spans]], *([r[k]] for r in rest)
-        return arrow_map(source, rows, schema + more, setup=lambda: WindowSet(held.value, window))
+        name = uuid.uuid4().hex
+        return arrow_map(source, rows, schema + more, setup=lambda: _window_set(name, held.value, window))
 
     d = docs.select(F.col(id_col), utf8(text_col).alias("_t"))
     blocks = _item_blocks(benchmark, item_col, item_text_col, block_bytes)
@@ -144,7 +199,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     if following is None:
         found = scanned(d, spark.sparkContext.broadcast(block))
     else:
-        from faultline.session import drop_tables, materialize
         d, found = materialize(d.withColumn("_row", F.monotonically_increasing_id()), "decontaminate"), None
         while block is not None:  # one block's broadcast at a time: its scan is written before the next
             held = spark.sparkContext.broadcast(block)
@@ -199,35 +253,51 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, mode: str = "doc
 
     ``mode="documents"`` drops each document with a hit; ``"spans"`` keeps every document
     and cuts the hit words out of its text.  One narrow pass per block of items: no shuffle;
-    of several blocks each pass is written before the next block is broadcast.
-    A null text stays as it is.
+    of several blocks each pass is written before the next block is broadcast, and spans are
+    cut again until no block has any in what is left.  A null text stays as it is.
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode is 'documents' or 'spans', not {mode!r}")
-    spark, out = docs.sparkSession, docs
+    spark, out, before = docs.sparkSession, docs, None
     k = docs.columns.index(text_col)
-    blocks = _item_blocks(benchmark, item_col, item_text_col, block_bytes)
-    block, following, before = next(blocks), next(blocks, None), None
-    while block is not None:
-        held = spark.sparkContext.broadcast(block)
-
-        def run(batches, held=held):
-            import pyarrow as pa
-            found = WindowSet(held.value, window)
-            for batch in batches:
-                texts = batch.column(k).to_pylist()
+    cut = T.StructType([*docs.schema.fields, T.StructField("_decontaminate_cut", T.BooleanType())])
+    while True:
+        blocks = _item_blocks(benchmark, item_col, item_text_col, block_bytes)
+        block, following, any_cut, several = next(blocks), next(blocks, None), False, False
+        while block is not None:
+            held, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+
+            def run(batches, held=held, name=name):
+                import pyarrow as pa
+                found = _window_set(name, held.value, window)
+                for batch in batches:
+                    texts = batch.column(k).to_pylist()
+                    if mode == "documents":
+                        yield batch.filter(pa.array([not found.hits(words((t or "").encode()))[0] for t in texts], pa.bool_()))
+                    else:
+                        new = [t if t is None else cut_spans(t, found) for t in texts]
+                        field = batch.schema.field(k)
+                        yield batch.set_column(k, field, pa.array(new, field.type)).append_column(
+                            "_decontaminate_cut", pa.array([a != b for a, b in zip(new, texts)], pa.bool_()))
+
+            several |= following is not None
+            if mode == "documents":
+                out = out.mapInArrow(run, docs.schema)
+            else:
+                out = out.mapInArrow(run, cut)
+            if several:  # one broadcast at a time, one table kept
                 if mode == "documents":
-                    yield batch.filter(pa.array([not found.hits(words((t or "").encode()))[0] for t in texts], pa.bool_()))
+                    out = materialize(out, "decontaminate")
                 else:
-                    new = pa.array([t if t is None else cut_spans(t, found) for t in texts], batch.schema.field(k).type)
-                    yield batch.set_column(k, batch.schema.field(k), new)
-
-        out = out.mapInArrow(run, out.schema)
-        block, following = following, next(blocks, None)
-        if block is not None or before is not None:  # one broadcast at a time, one table kept
-            from faultline.session import drop_tables, materialize
-            out = materialize(out, "decontaminate")
-            held.destroy()
-            drop_tables(before)
-            before = out
-    return out
+                    out, seen = materialize_observed(out, "decontaminate", docs.columns,
+                                                     n=F.count_if("_decontaminate_cut"))
+                    any_cut |= seen["n"] > 0
+                held.destroy()
+                drop_tables(before)
+                before = out
+            else:
+                out = out.select(*docs.columns)
+            block, following = following, next(blocks, None)
+        # with several blocks, a cut may have joined a window of another block
+        if not any_cut:
+            return out

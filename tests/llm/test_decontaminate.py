@@ -1,7 +1,9 @@
 """Decontamination against a brute-force scan."""
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 
@@ -89,3 +91,44 @@ def test_removal_in_blocks_releases_each_broadcast(spark, monkeypatch, mode):
     assert max(most) == 1
     monkeypatch.undo()
     assert sorted(got, key=str) == sorted(D.remove_contamination(docs, bench, mode=mode).collect(), key=str)
+
+
+def test_spans_of_all_blocks_are_cut_until_none_is_left(spark):
+    """A cut in one block joins a window of another, before or after it."""
+    w, v, u = ([f"{c}{k}" for k in range(10)] for c in "wvu")
+    docs = spark.createDataFrame([(1, " ".join(w[:5] + v + w[5:])), (2, " ".join(u[:3] + w[:4] + v + w[4:] + u[3:]) + " end"),
+                                  (3, "clean text")], "doc_id long, text string")
+    for order in ((w, v, u), (v, w, u), (u, w, v)):
+        bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(order)], "item_id long, text string")
+        for block_bytes in (1 << 20, 1):
+            cut = {r.doc_id: r.text.split() for r in
+                   D.remove_contamination(docs, bench, mode="spans", block_bytes=block_bytes).collect()}
+            assert cut == {1: [], 2: ["end"], 3: ["clean", "text"]}
+
+
+def test_a_window_of_many_items_and_a_large_block():
+    """Twenty thousand items with one prompt; setting up is array work, not a step per window and item."""
+    prompt = " ".join(f"p{k}" for k in range(12))
+    items = [(str(k), f"{prompt} answer {k} of item number {k}".encode()) for k in range(20_000)]
+    t = time.process_time()
+    found = D.WindowSet(items)
+    spans, own = found.hits(D.words(f"x {prompt} y".encode()))
+    assert time.process_time() - t < 10
+    assert spans == [(1, 13)] and own == sorted(i for i, _ in items)
+    assert found.hits(D.words(f"{prompt} answer 77 of item number 77".encode()))[1] == own
+    assert found.hits(D.words(b"p5 p6 p7 p8 p9 p10 p11 answer 77 of item number 77"))[1] == ["77"]
+
+
+@pytest.mark.parametrize("base", [0, 1])
+def test_windows_of_equal_hash(monkeypatch, base):
+    """With a poor hash many windows collide; words decide."""
+    monkeypatch.setattr(D, "_BASE", D.np.uint64(base))
+    rng = random.Random(5)
+    items = [(str(k), " ".join(rng.choice("abcd") for _ in range(rng.randint(1, 8))).encode()) for k in range(60)]
+    found = D.WindowSet(items, 4)
+    assert any(w.others for w in found.windows)
+    for _ in range(200):
+        text = " ".join(rng.choice("abcde") for _ in range(rng.randint(0, 25)))
+        n, hit, n_items, _, _ = brute(text, [(i, t.decode()) for i, t in items], 4)
+        spans, own = found.hits(D.words(text.encode()))
+        assert sum(b - a for a, b in spans) == hit and len(own) == n_items
