@@ -62,9 +62,10 @@ class _Windows:
         for k in np.flatnonzero(~like).tolist():
             self.others.setdefault(self._words(at[k]), set()).add(int(item[k]))
         self.hashes, self.place = h[first], at[first]
-        use = like & np.concatenate(([True], (group[1:] != group[:-1]) | (item[1:] != item[:-1])))
-        self.item = item[use]
-        self.edges = np.searchsorted(group[use], np.arange(len(first) + 1))
+        group, item = group[like], item[like]
+        new = np.concatenate(([True], (group[1:] != group[:-1]) | (item[1:] != item[:-1])))
+        self.item = item[new]
+        self.edges = np.searchsorted(group[new], np.arange(len(first) + 1))
 
     def _words(self, place: int) -> bytes:
         return self.ids[place:place + self.size].tobytes()
