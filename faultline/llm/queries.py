@@ -65,8 +65,8 @@ def op7_warc(spark, sf_dir) -> DataFrame:
     warc.write(pages, path)
     back = warc.read_pages(spark, path)
     kind = pages.schema["page_id"].dataType
-    return back.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
-                       F.col("refers_to").cast(kind).alias("refers_to"), "ok")
+    return back.select(F.col("page").try_cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                       F.col("refers_to").try_cast(kind).alias("refers_to"), "ok")
 
 
 def op8_simhash(spark, sf_dir) -> DataFrame:

@@ -1,7 +1,10 @@
 """WARC archives: segmented records with chunked payloads, written and read back by Spark.
 
 Writing: pages with equal payloads share one ``response`` record, that of the smallest page
-id; the others are ``revisit`` records that refer to it.  A payload is framed in HTTP chunks,
+id; the others are ``revisit`` records that refer to it.  A record id says the page, the
+payload's digest and, for the records of this writer, a number of the row's own, so rows
+that repeat an id keep their payloads and segments apart; a revisit refers by page and
+digest.  A payload is framed in HTTP chunks,
 and a record block longer than ``segment_bytes`` is cut into segments: the first is the
 record itself, the rest are ``continuation`` records that name the origin record, their
 number, and on the last one the total length.  Spark's text writer puts the records out, one
@@ -19,6 +22,7 @@ from __future__ import annotations
 import re
 from base64 import b32encode
 from hashlib import sha1
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,15 +81,28 @@ def _record(headers: list[tuple[bytes, bytes]], block: bytes) -> bytes:
     return CRLF.join(lines) + CRLF + CRLF + block
 
 
-def records_of(page: str, url: str, payload: bytes, refers_to: str | None, chunk: int, segment: int) -> list[bytes]:
+def _urn(page: str, digest: str, *numbers: int) -> bytes:
+    """A record id: page, digest and what tells the row's records apart."""
+    return f"<urn:page:{'#'.join([quote(page, safe=''), digest, *map(str, numbers)])}>".encode()
+
+
+def _named(urn: str | None) -> tuple[str, str | None]:
+    """Page and digest of a record id."""
+    page, *rest = (urn or "").removeprefix("<urn:page:").removesuffix(">").split("#")
+    return unquote(page), rest[0] if rest else None
+
+
+def records_of(page: str, url: str, payload: bytes, refers_to: str | None, chunk: int, segment: int,
+               number: int = 0) -> list[bytes]:
     """The records of one page: a revisit, or a response in segments."""
-    own = [(b"WARC-Record-ID", b"<urn:page:%b>" % page.encode()), (b"WARC-Target-URI", _clean(url)),
-           (b"WARC-Payload-Digest", b"sha1:" + payload_digest(payload).encode())]
+    digest = payload_digest(payload)
+    own = [(b"WARC-Record-ID", _urn(page, digest, number)), (b"WARC-Target-URI", _clean(url)),
+           (b"WARC-Payload-Digest", b"sha1:" + digest.encode())]
     if refers_to is not None:
         block = _HTTP.replace(b"Transfer-Encoding: chunked", b"Content-Length: %d" % len(payload))
         return [_record([(b"WARC-Type", b"revisit"), *own,
                          (b"WARC-Profile", b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-                         (b"WARC-Refers-To", b"<urn:page:%b>" % refers_to.encode()),
+                         (b"WARC-Refers-To", _urn(refers_to, digest)),
                          (b"Content-Type", b"application/http; msgtype=response")], block)]
     block = _HTTP + chunked(payload, chunk)
     edges = [*range(0, len(block), segment), len(block)]
@@ -93,7 +110,7 @@ def records_of(page: str, url: str, payload: bytes, refers_to: str | None, chunk
     out = []
     for k, (a, b) in enumerate(zip(edges, edges[1:])):
         head = [(b"WARC-Type", b"continuation" if k else b"response")]
-        head += own if k == 0 else [(b"WARC-Record-ID", b"<urn:page:%b:%d>" % (page.encode(), k + 1)), own[1]]
+        head += own if k == 0 else [(b"WARC-Record-ID", _urn(page, digest, number, k + 1)), own[1]]
         if n > 1:
             head.append((b"WARC-Segment-Number", b"%d" % (k + 1)))
         if k:
@@ -106,18 +123,26 @@ def records_of(page: str, url: str, payload: bytes, refers_to: str | None, chunk
     return out
 
 
-def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """``(_page, _refers_to)`` of each page that isn't the first of its payload.
+_PAYLOAD = ["_sha1", "_sha2", "_bytes"]
+
 
-    Payloads are equal if their SHA-1, SHA-256 and length are; a row per payload and task
-    leaves the map side, however many copies there are.  A null id comes after all others."""
+def _told(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """The pages with ``_page`` and what tells their payloads apart: SHA-1, SHA-256 and length."""
     body = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
-    d = pages.select(F.col(id_col).alias("_page"), F.sha1(body).alias("_sha1"), F.sha2(body, 256).alias("_sha2"),
-                     F.octet_length(body).alias("_bytes")).where(F.col("_bytes") >= min_bytes)
-    key = ["_sha1", "_sha2", "_bytes"]
-    first = d.groupBy(key).agg(F.min("_page").alias("_refers_to"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return d.join(first, key).where(~F.col("_page").eqNullSafe(F.col("_refers_to")) & F.col("_refers_to").isNotNull()) \
-        .select("_page", "_refers_to").distinct()
+    return pages.select("*", F.col(id_col).alias("_page"), F.sha1(body).alias("_sha1"), F.sha2(body, 256).alias("_sha2"),
+                        F.octet_length(body).alias("_bytes"))
+
+
+def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
+    """``(_page, _sha1, _sha2, _bytes, _refers_to)`` of each page and payload that isn't the
+    first page of the payload.
+
+    A row per payload and task leaves the map side, however many copies there are.  A null
+    id comes after all others, and nothing refers to it."""
+    d = _told(pages, id_col, html_col).where(F.col("_bytes") >= min_bytes).select("_page", *_PAYLOAD)
+    first = d.groupBy(_PAYLOAD).agg(F.min("_page").alias("_refers_to"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return d.join(first, _PAYLOAD).where(~F.col("_page").eqNullSafe(F.col("_refers_to")) & F.col("_refers_to").isNotNull()) \
+        .select("_page", *_PAYLOAD, "_refers_to").distinct()
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -126,20 +151,28 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     """Write one record for each row under ``path`` (its payload the html in UTF-8; null is empty).
 
     Of pages with equal payloads of at least ``min_bytes`` that with the smallest id is the
-    response, the others are revisits; rows that repeat an id are what that id is.  Ids and
-    urls are written as text, a null as nothing.  Only the ids of revisits are joined, a
-    table written first, so that its size is known and a small one is broadcast."""
+    response, the others are revisits.  Rows that repeat an id are decided each by its own
+    payload; equal rows are all responses or all revisits.  Ids and urls are written as
+    text, a null as nothing; rows without an id revisit as others do, but nothing refers to
+    them.  Only ids and hashes of revisits are joined, a table written first, so that its
+    size is known and a small one is broadcast."""
     first = materialize(revisits(pages, id_col, html_col, min_bytes), "warc-revisits")
-    d = pages.select(F.col(id_col).alias("_page"), F.col(url_col).cast("string").alias("_url"),
-                     F.col(html_col).cast("string").alias("_html")) \
-        .join(first.withColumnRenamed("_page", "_copy"), F.col("_page").eqNullSafe(F.col("_copy")), "left") \
-        .select(F.col("_page").cast("string"), "_url", "_html", F.col("_refers_to").cast("string"))
-
-    def rows(ids, urls, htmls, refers):
+    copies = first.select(*[F.col(c).alias("_copy" + c) for c in ("_page", *_PAYLOAD)], "_refers_to")
+    told = _told(pages, id_col, html_col).withColumns(
+        {"_url": F.col(url_col).cast("string"), "_html": F.col(html_col).cast("string")})
+    same = F.col("_page").eqNullSafe(F.col("_copy_page"))
+    for c in _PAYLOAD:
+        same = same & (F.col(c) == F.col("_copy" + c))
+    # unique within the files that are committed, which is all that it need be
+    d = told.select("_page", *_PAYLOAD, "_url", "_html").join(copies, same, "left").select(
+        F.col("_page").cast("string"), "_url", "_html", F.col("_refers_to").cast("string"),
+        F.monotonically_increasing_id().alias("_number"))
+
+    def rows(ids, urls, htmls, refers, numbers):
         for lo in range(0, len(ids), 64):
             out = []
-            for i, u, h, r in zip(*(c[lo:lo + 64] for c in (ids, urls, htmls, refers))):
-                out += records_of(i or "", u or "", (h or "").encode(), r, chunk_bytes, segment_bytes)
+            for i, u, h, r, n in zip(*(c[lo:lo + 64] for c in (ids, urls, htmls, refers, numbers))):
+                out += records_of(i or "", u or "", (h or "").encode(), r, chunk_bytes, segment_bytes, n)
             yield (out,)
 
     made = arrow_map(d, rows, "record binary")
@@ -205,7 +238,8 @@ def read_pages(spark, path: str) -> DataFrame:
     Records in one segment are decoded where they are read; only segments are shuffled, and
     a group is one page's.  ``ok`` is false, and the payload null, if a segment is missing,
     repeated or not whole, the total length is wrong, the chunk framing is broken, or the
-    digest differs.  Nothing is dropped; an orphan segment shows under its origin's page."""
+    digest differs; and for a revisit that refers to a record of another digest.  Nothing is
+    dropped; an orphan segment shows under its origin's page."""
     r = read_records(spark, path)
     alone = F.col("segment").isNull() & (F.col("type") != "continuation")
     one = r.where(alone).select("type", "record_id", "url", "digest", "refers_to", "block", F.col("whole").alias("whole"))
@@ -233,11 +267,11 @@ def read_pages(spark, path: str) -> DataFrame:
 
 def _page_of(kind, record_id, url, digest, refers_to, block, whole) -> tuple:
     head, _, body = (block or b"").partition(RECORD_END)
-    page = (record_id or "").removeprefix("<urn:page:").removesuffix(">")
+    page = _named(record_id)[0]
     if kind == "revisit":
         n = re.search(rb"(?im)^content-length:[ \t]*([0-9]+)", head)
-        other = (refers_to or "").removeprefix("<urn:page:").removesuffix(">")
-        return page, url, kind, None, int(n[1]) if n else None, digest, other, bool(whole and n)
+        other, of = _named(refers_to)
+        return page, url, kind, None, int(n[1]) if n else None, digest, other, bool(whole and n and of == digest)
     framed = re.search(rb"(?im)^transfer-encoding:[ \t]*chunked", head)
     payload = (unchunked(body) if framed else body) if whole else None
     ok = payload is not None and payload_digest(payload) == digest

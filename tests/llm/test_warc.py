@@ -91,3 +91,39 @@ def test_lost_segment_is_told(spark):
     assert [r[9] for r in W.walk(b"junk" + records[0][0][:-5])] == [False]
     got = {r.page: (r.ok, r.payload is None) for r in W.read_pages(spark, path).collect()}
     assert got == {"0": (True, False), "1": (False, True), "2": (False, True), "3": (False, False)}
+
+
+def test_rows_that_repeat_an_id_lose_nothing(spark):
+    """Equal rows of several segments, an id with two payloads, null ids: each row has its own record."""
+    path = f"{tables_dir(spark)}/warc-repeated"
+    big = "<p>much text</p>" * 7000
+    rows = [(5, "u", big), (5, "u", big), (0, "u", "same"), (1, "u", "same"), (1, "u", "other text"), (None, "u", "same"),
+            (None, "u", "alone"), (None, "u", "alone"), (None, "u", big), (7, "u", ""), (7, "u", None), (8, "u", None)]
+    W.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path)
+    got = W.read_pages(spark, path).collect()
+    assert all(r.ok for r in got)
+    key = lambda r: (r.page, r.record_type, r.refers_to or "", r.payload_bytes)
+    assert sorted(map(key, got)) == sorted([
+        ("5", "response", "", len(big)), ("5", "response", "", len(big)), ("0", "response", "", 4),
+        ("1", "revisit", "0", 4), ("1", "response", "", 10), ("", "revisit", "0", 4), ("", "response", "", 5),
+        ("", "response", "", 5), ("", "revisit", "5", len(big)), ("7", "response", "", 0), ("7", "response", "", 0),
+        ("8", "revisit", "7", 0)])
+    assert sorted(len(r.payload) for r in got if r.page == "5") == [len(big)] * 2
+
+
+def test_query_with_a_null_id(spark, tmp_path):
+    rows = [(None, "u", "a"), (3, "u", "a"), (None, "u", "b")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(((r.page_id or -1, r.record_type, r.refers_to, r.ok) for r in op7_warc(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(-1, "revisit", 3, True), (3, "response", None, True), (-1, "response", None, True)], key=str)
+
+
+def test_a_revisit_of_another_digest_isnt_ok(spark):
+    path = f"{tables_dir(spark)}/warc-wrong-digest"
+    good, = W.records_of("1", "u", b"same", "0", 64, 120)
+    bad = good.replace(b"sha1:", b"sha1:Z").replace(b"page:1#", b"page:2#")
+    ids = W.records_of("a#b <c>", "u", b"x", "d#e", 64, 120)[0]
+    spark.createDataFrame([(r.decode(),) for r in (good, bad, ids)], "value string") \
+        .write.option("lineSep", "\r\n\r\n").text(path)
+    assert sorted((r.page, r.refers_to, r.ok) for r in W.read_pages(spark, path).collect()) == \
+        [("1", "0", True), ("2", "0", False), ("a#b <c>", "d#e", True)]
