@@ -22,8 +22,11 @@ then line number) is kept, wherever else its members stand.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline.llm.common import SPACES, arrow_map
 from faultline.llm.simhash import spanning_forest
@@ -37,6 +40,7 @@ ROWS = 3
 #: Most lines of a group that are compared in one task row; two blocks meet for the rest.
 BLOCK = 256
 #: Largest filter of lines to read again, in bits (32 MB); what passes it falsely is joined away.
+#: Above about 10^8 shared lines more and more lines pass it: results stay exact, joins grow.
 MAX_FILTER_BITS = 1 << 28
 #: Lines remembered in a task, so that a copy in the same task needs no second signature.
 _SEEN = 1 << 17
@@ -45,7 +49,7 @@ _HASH_CHUNK = 1 << 16
 _SLICE = 1 << 21
 _COLUMNS = 4096
 #: Up to so many lines are compared as Python sets of shingles, which is quicker.
-_FEW = 4
+_FEW = 3
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Odd factors and masks of the MinHash permutations of 32-bit values.
@@ -55,15 +59,23 @@ _MASKS = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B9
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(_doc, _line_no, _line, _id, _id2)`` of every line that isn't blank: its number in the
-    text from 0, and two 64-bit hashes of different seeds, together its identity."""
-    d = docs.select(F.col(id_col).alias("_doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n"))
-                    .alias("_line_no", "_raw"))
+    """``(_doc, _text_id, _line_no, _line, _id, _id2)`` of every line that isn't blank: its
+    document's id and text hash, its number in the text from 0, and two 64-bit hashes of
+    different seeds, together its identity."""
+    text = F.col(text_col).cast("string")
+    # hashed here, as what is said beside a generator is worked out for each of its rows
+    d = docs.select(F.col(id_col).alias("_doc"), text_id(text).alias("_text_id"), text.alias("_text"))
+    d = d.select("_doc", "_text_id", F.posexplode(F.split("_text", "\n")).alias("_line_no", "_raw"))
     line = F.btrim("_raw", F.lit(" \t\n\x0b\x0c\r"))
-    d = d.select("_doc", F.col("_line_no").cast("long"), line.alias("_line")).where("_line <> ''")
+    d = d.select("_doc", "_text_id", F.col("_line_no").cast("long"), line.alias("_line")).where("_line <> ''")
     return d.select("*", F.xxhash64("_line").alias("_id"), F.xxhash64(F.lit(1), "_line").alias("_id2"))
 
 
+def text_id(text: Column) -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(F.lit(2), text)
+
+
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all shingles of all lines, and the first place of each line's."""
     size = np.array([len(x) for x in lines], np.int64)
@@ -114,22 +126,36 @@ def _chunks(lines: list[str]):
         yield lo, len(lines)
 
 
-def band_table(lines: DataFrame) -> DataFrame:
-    """``(id, bands)`` of each line that is new in its task."""
-    def rows(seen, ids, texts):
-        new_ids, new = [], []
-        if len(seen) > _SEEN:
-            seen.clear()
-        for i, x in zip(ids, texts):
-            if i not in seen:
-                seen.add(i)
-                new_ids.append(i)
-                new.append(x)
-        out = [signatures(new[a:b]) for a, b in _chunks(new)]
-        if out:
-            yield new_ids, list(np.concatenate(out))
-
-    return arrow_map(lines.select("_id", "_line"), rows, "id long, bands array<long>", setup=set)
+def banded_lines(lines: DataFrame) -> DataFrame:
+    """``(_doc, _text_id, _line_no, _id, _id2, _line, bands)`` of every line; its text and bands
+    only where it is new in its task, else null."""
+    lines = lines.select("_doc", "_text_id", "_line_no", "_id", "_id2", "_line")
+    out = T.StructType([*lines.schema.fields[:-1], T.StructField("_line", T.StringType()),
+                        T.StructField("bands", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+        schema = to_arrow_schema(out)
+        seen: set[int] = set()
+        for batch in batches:
+            if len(seen) > _SEEN:
+                seen.clear()
+            ids, texts = batch.column("_id").to_pylist(), batch.column("_line")
+            new = [k for k, i in enumerate(ids) if not (i in seen or seen.add(i))]
+            fresh = (texts.take(pa.array(new, pa.int64())) if len(new) < len(ids) else texts).to_pylist()
+            found = [signatures(fresh[a:b]) for a, b in _chunks(fresh)]
+            flat = np.concatenate(found).ravel() if found else np.zeros(0, np.int64)
+            size = np.zeros(len(ids), np.int64)
+            size[new] = BANDS
+            none = np.ones(len(ids), bool)
+            none[new] = False
+            bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()),
+                                             pa.array(flat), mask=pa.array(none))
+            columns = [batch.column(n) for n in schema.names[:-2]]
+            texts = pc.if_else(pa.array(none), pa.scalar(None, texts.type), texts).cast(schema.field("_line").type)
+            yield pa.RecordBatch.from_arrays([*columns, texts, bands.cast(schema.field("bands").type)], schema=schema)
+
+    return lines.mapInArrow(run, out)
 
 
 class Filter:
@@ -246,11 +272,11 @@ def _verified(tasks: DataFrame, threshold: float) -> DataFrame:
 
 
 def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+                  threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """``(node, component)``, structs of a line's two hashes, for lines that are like another
-    and not the smallest of their component."""
-    lines = lines_of(docs, id_col, text_col)
-    sigs = materialize(band_table(lines), "line-bands")
+    and not the smallest of their component; and the places of all lines, written once."""
+    places = materialize(banded_lines(lines_of(docs, id_col, text_col)), "line-places")
+    sigs = places.where("bands IS NOT NULL").select(F.col("_id").alias("id"), "bands")
     shared, seen = materialize_observed(
         sigs.select("id", F.explode("bands").alias("band")).groupBy("band")
         .agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("band", "pivot"),
@@ -266,7 +292,7 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members, seen = materialize_observed(
         arrow_map(sigs, banded, "id long, band long").join(shared, "band").select("pivot", "id").distinct(),
         "line-members", n=F.count(F.lit(1)))
-    drop_tables(sigs, shared)
+    drop_tables(shared)
     wanted = docs.sparkSession.sparkContext.broadcast(bloom(members.select("id").distinct(), seen["n"]))
 
     def again(seen, ids, ids2, texts):
@@ -276,7 +302,8 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         new = [k for k in hit.tolist() if not ((ids[k], ids2[k]) in seen or seen.add((ids[k], ids2[k])))]
         yield [ids[k] for k in new], [ids2[k] for k in new], [texts[k] for k in new]
 
-    found = arrow_map(lines.select("_id", "_id2", "_line"), again, "id long, id2 long, line string", setup=set)
+    again_from = places.where("bands IS NOT NULL").select("_id", "_id2", "_line")
+    found = arrow_map(again_from, again, "id long, id2 long, line string", setup=set)
     texts = materialize(found.repartition("id").dropDuplicates(["id", "id2"]), "line-texts")
 
     # the first blocks: each with its group's pivot
@@ -289,14 +316,14 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     member = F.struct("id", "id2", "line")
     tasks = placed.join(texts, "id").groupBy("pivot", "block").agg(F.collect_list(member).alias("members"))
     links = materialize(_verified(tasks, threshold), "line-links")
-    label = connected_components(links)
+    label = connected_components(links, local=True)
     if cut["n"]:
         more, found = _rest(members.join(size.where("blocks > 1"), "pivot"), texts, label, threshold, block)
         if found["n"]:
             stars = label.select(F.col("node").alias("u"), F.col("component").alias("v"))
-            label = connected_components(stars.unionByName(more))
+            label = connected_components(stars.unionByName(more), local=True)
     drop_tables(texts, members)
-    return label
+    return label, places
 
 
 def _rest(members: DataFrame, texts: DataFrame, label: DataFrame, threshold: float, block: int):
@@ -323,27 +350,58 @@ def _rest(members: DataFrame, texts: DataFrame, label: DataFrame, threshold: flo
     return materialize_observed(_verified(tasks, threshold), "line-links", n=F.count(F.lit(1)))
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """``(_doc, _line_no, _first, _many)`` of every line that isn't blank: the place
-    (doc, line_no) of the line that its component keeps, and whether the component has
-    another line.  The same place is a line's own if it is kept."""
-    label = similar_lines(docs, id_col, text_col, threshold, block)
+def _among(places: DataFrame, ids: Filter, inside: bool) -> DataFrame:
+    """The places whose line passes a filter, or those whose line doesn't."""
+    held = places.sparkSession.sparkContext.broadcast(ids)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(held.value(batch.column("_id").to_numpy()) == inside))
+
+    return places.mapInArrow(run, places.schema)
+
+
+def _firsts(places: DataFrame, label: DataFrame) -> tuple[DataFrame, int]:
+    """``(_id, _id2, _first)`` of every line whose component has another line, and their
+    number: ``_first`` is the place (doc, text_id, line_no) of the line that is kept."""
+    # null ids come last
+    place = F.struct(F.col("_doc").isNull().alias("none"), F.col("_doc").alias("doc"), F.col("_text_id").alias("text_id"),
+                     F.col("_line_no").alias("line_no"))
     label = label.select(F.col("node.id").alias("_id"), F.col("node.id2").alias("_id2"),
                          F.col("component.id").alias("_c"), F.col("component.id2").alias("_c2"))
-    every = lines_of(docs, id_col, text_col).select("_doc", "_line_no", "_id", "_id2")
-    every = every.join(label, ["_id", "_id2"], "left") \
-        .select("_doc", "_line_no", F.coalesce("_c", "_id").alias("_c"), F.coalesce("_c2", "_id2").alias("_c2"))
-    every = materialize(every, "line-classes")
-    # null ids come last
-    place = F.struct(F.col("_doc").isNull().alias("none"), F.col("_doc").alias("doc"), F.col("_line_no").alias("line_no"))
-    first = materialize(every.groupBy("_c", "_c2").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
-                        .where("_n > 1").drop("_n"), "line-firsts")
-    own = F.struct(F.col("_doc").alias("doc"), F.col("_line_no").alias("line_no"))
-    return every.join(first, ["_c", "_c2"], "left").select(
-        "_doc", "_line_no",
-        F.when(F.col("_first").isNull(), own).otherwise(F.struct("_first.doc", "_first.line_no")).alias("_first"),
-        F.col("_first").isNotNull().alias("_many"))
+    centres = label.select(F.col("_c").alias("_id"), F.col("_c2").alias("_id2"), "_c", "_c2").distinct()
+    # a row for each distinct line; only those that stand twice or are like another go on
+    every = places.groupBy("_id", "_id2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n")) \
+        .join(label.unionByName(centres), ["_id", "_id2"], "left").where("n > 1 OR _c IS NOT NULL")
+    every = materialize(every.select("_id", "_id2", F.coalesce("_c", "_id").alias("_c"), F.coalesce("_c2", "_id2").alias("_c2"),
+                                     "at"), "line-classes")
+    first = every.groupBy("_c", "_c2").agg(F.min("at").alias("_first"))
+    out, seen = materialize_observed(
+        every.join(first, ["_c", "_c2"]).select("_id", "_id2", F.struct(
+            "_first.doc", "_first.text_id", "_first.line_no").alias("_first")), "line-firsts", n=F.count(F.lit(1)))
+    drop_tables(every)
+    return out, seen["n"]
+
+
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """``(_doc, _text_id, _line_no, _first, _many, _kept)`` of every line that isn't blank: the
+    place (doc, line_no) of the line that its component keeps, whether the component has
+    another line, and whether it is this line that is kept.
+
+    Only lines of components with another line are joined, told by a filter that never
+    misses one; what passes it falsely finds no partner."""
+    label, places = similar_lines(docs, id_col, text_col, threshold, block)
+    places = places.drop("_line", "bands")
+    firsts, n = _firsts(places, label)
+    ids = bloom(firsts.select("_id"), n)
+    own = F.struct(F.col("_doc").alias("doc"), F.col("_text_id").alias("text_id"), F.col("_line_no").alias("line_no"))
+    met = _among(places, ids, True).join(firsts, ["_id", "_id2"], "left") \
+        .select("_doc", "_text_id", "_line_no", F.coalesce("_first", own).alias("_first"),
+                F.col("_first").isNotNull().alias("_many"))
+    alone = _among(places, ids, False).select("_doc", "_text_id", "_line_no", own.alias("_first"), F.lit(False).alias("_many"))
+    return met.unionByName(alone).select("_doc", "_text_id", "_line_no", F.col("_first").dropFields("text_id").alias("_first"),
+                                         "_many", F.col("_first").eqNullSafe(own).alias("_kept"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None,
@@ -351,21 +409,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents without the lines that their component keeps elsewhere, same columns.
 
     Blank lines stay.  A document that had a line and keeps none is dropped; a null, empty
-    or blank text stays as it is.  ``length_col`` gets the new code points.  Rows that repeat
-    an id are one document to this: a line number dropped from it is dropped from each of
-    them, and the rows stay.  Null ids keep all their lines.  Extra columns pass through.
-    An empty table gives no rows."""
-    lines = line_classes(docs, id_col, text_col, threshold, block)
-    lost = lines.where(~F.struct("_doc", "_line_no").eqNullSafe(F.struct("_first.doc", "_first.line_no")))
-    lost = lost.where("_doc IS NOT NULL").groupBy(F.col("_doc").alias("_dedup_id")) \
-        .agg(F.collect_set("_line_no").alias("_dedup_lost"))  # at most a document's lines
+    or blank text stays as it is.  ``length_col`` gets the new code points.  A row is its id
+    and its text: rows that share an id lose each their own lines, equal rows lose the same
+    and stay.  Null ids keep all their lines.  Extra columns pass through.  An empty table
+    gives no rows."""
+    label, places = similar_lines(docs, id_col, text_col, threshold, block)
+    places = places.drop("_line", "bands")
+    firsts, n = _firsts(places, label)
+    lost = _among(places, bloom(firsts.select("_id"), n), True).where("_doc IS NOT NULL").join(firsts, ["_id", "_id2"]) \
+        .where(~F.struct("_doc", "_text_id", "_line_no").eqNullSafe(
+            F.struct("_first.doc", "_first.text_id", "_first.line_no")))
+    lost = lost.groupBy(F.col("_doc").alias("_dedup_id"), F.col("_text_id").alias("_dedup_text_id")) \
+        .agg(F.collect_set("_line_no").alias("_dedup_lost"))  # at most a text's lines
     lost = materialize(lost, "line-lost")
+    drop_tables(firsts)
     text = F.col(text_col).cast("string")
     kept = F.filter(F.transform(F.split(text, "\n"), lambda x, k: F.struct(x.alias("x"), k.cast("long").alias("k"))),
                     lambda s: ~F.array_contains("_dedup_lost", s["k"]))
     new = F.when(F.col("_dedup_lost").isNull(), text).otherwise(F.concat_ws("\n", F.transform(kept, lambda s: s["x"])))
     # the lost lines grow with the documents, so they are never broadcast
-    out = docs.join(lost.hint("merge"), docs[id_col] == lost["_dedup_id"], "left").withColumn("_dedup_text", new) \
+    same = (docs[id_col] == lost["_dedup_id"]) & (text_id(docs[text_col].cast("string")) == lost["_dedup_text_id"])
+    out = docs.join(lost.hint("merge"), same, "left").withColumn("_dedup_text", new) \
         .where(F.col("_dedup_lost").isNull() | F.rlike("_dedup_text", F.lit(f"[^{SPACES}]")))
     columns = {text_col: F.col("_dedup_text")}
     if length_col:

@@ -55,8 +55,7 @@ def op6_line_dedup(spark, sf_dir) -> DataFrame:
     lines = line_dedup.line_classes(table(spark, sf_dir, "documents"))
     return lines.select(F.col("_doc").alias("doc_id"), F.col("_line_no").alias("line_no"),
                         F.col("_first.doc").alias("class_doc_id"), F.col("_first.line_no").alias("class_line_no"),
-                        ((F.col("_doc") == F.col("_first.doc")) & (F.col("_line_no") == F.col("_first.line_no")))
-                        .alias("kept"))
+                        F.col("_kept").alias("kept"))
 
 
 def op7_warc(spark, sf_dir) -> DataFrame:

@@ -142,3 +142,21 @@ def test_odd_rows(spark):
 def test_clashing_columns(spark, name):
     docs = spark.createDataFrame([(1, "one two three", 1), (2, "one two three", 2)], f"doc_id long, text string, {name} int")
     assert [r.doc_id for r in L.dedup_lines(docs).collect()] == [1]
+
+
+def test_rows_that_share_an_id_lose_only_their_own_lines(spark):
+    a, c = "the line that stands in another document as well.", "a clean line that stands nowhere else at all."
+    rows = [(1, a), (2, f"{a}\nown line of the second row."), (2, f"{c}\n{a}"), (2, c + " It is here too.")]
+    out = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.text for r in out.collect()) == sorted([a, "own line of the second row.", c, c + " It is here too."])
+
+
+def test_filters_that_let_everything_through_change_nothing(spark, sf001, monkeypatch):
+    docs = spark.read.parquet(f"{sf001}/documents.parquet")
+
+    def rows():
+        return sorted(map(tuple, L.line_classes(docs).select("_doc", "_line_no", "_first", "_many").collect()))
+
+    want = rows()
+    monkeypatch.setattr(L.Filter, "__call__", lambda self, values: np.ones(len(values), bool))
+    assert rows() == want
