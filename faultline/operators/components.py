@@ -31,17 +31,23 @@ def _spanning_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             parent[x], x = root, parent.get(x, x)
         return root
 
-    schema = None
+    schema, names = None, None
     for batch in batches:
         schema = batch.schema
-        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        sides = [batch.column(0).to_pylist(), batch.column(1).to_pylist()]
+        if pa.types.is_struct(schema.field(0).type):  # fields in order, as Spark compares them
+            names = [f.name for f in schema.field(0).type]
+            sides = [[tuple(x.values()) for x in side] for side in sides]
+        for u, v in zip(*sides, strict=True):
             u, v = find(u), find(v)
             if u != v:
                 parent[max(u, v)] = min(u, v)
     if parent:
         nodes = list(parent)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, schema.field(0).type),
-                                          pa.array([find(x) for x in nodes], schema.field(1).type)], schema=schema)
+        sides = [nodes, [find(x) for x in nodes]]
+        if names:
+            sides = [[dict(zip(names, x)) for x in side] for side in sides]
+        yield pa.RecordBatch.from_arrays([pa.array(side, f.type) for side, f in zip(sides, schema)], schema=schema)
 
 
 def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", local: bool = False) -> DataFrame:
@@ -58,7 +64,8 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", local
 
     ``local`` first replaces the edges of each task by stars of what they connect, which
     pays where tasks hold edges of the same neighbourhoods (or the graph is small): fewer
-    edges and rounds.  A task holds its own edges' nodes, integers or strings in code point order.
+    edges and rounds.  A task holds its own edges' nodes: integers, strings in code point order
+    or structs of them, without nulls inside.
     """
     start = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")) \
         .where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
