@@ -109,6 +109,7 @@ PRESETS = {
 
 # Parameters of the registered check queries (the quake view over ``events``)
 QUERY_SAMPLE_ROWS = 5_000         # rows of the sample operator's query
+QUERY_ZOOM = 10                   # finest zoom level of the map tiles
 QUERY_TIGHT_EPS = 0.055           # no distance on the view's 0.01 grid equals it (no float ties)
 QUERY_TIGHT_MIN_SAMPLES = 20
 QUERY_HIST_BINS = 30

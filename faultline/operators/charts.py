@@ -6,12 +6,15 @@ fewer points samples them (:func:`faultline.operators.sampling.sample_exact`).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.operators import aggregates as A
 from faultline.operators import metrics as E
 from faultline.operators.model import top_features
+from faultline.session import materialize
 
 
 def chart_magnitude(df: DataFrame, bins: int = 30) -> DataFrame:
@@ -60,3 +63,30 @@ def chart_confusion(pred: DataFrame, label: str = "is_significant", prediction:
 def chart_importance(importance: DataFrame, k: int = 10) -> DataFrame:
     """Top-k importance bars (V9)."""
     return top_features(importance, k)
+
+
+def map_tiles(df: DataFrame, label: str = "Cluster", zoom: int = 8, x: str = "Longitude", y: str = "Latitude") -> DataFrame:
+    """Map tiles (V4-V6 for any number of rows): per zoom level 0..``zoom`` and tile ``n`` rows, the
+    most frequent ``label`` (ties by the smaller one) and its ``label_n``.
+
+    At zoom ``z`` the globe is cut into ``2^z`` columns by longitude and as many rows by
+    latitude, from west and south.  Rows are counted per finest tile and label once, and all
+    coarser levels are summed from those counts, so what follows is bounded by the tiles, not
+    the rows.  Rows without coordinates are left out; a NULL label counts as a label of its
+    own, after all others."""
+    side = 1 << zoom
+
+    def tile(c: str, span: float):
+        t = F.floor((F.col(c) + F.lit(span / 2)) / F.lit(span) * F.lit(float(side))).cast("long")
+        return F.least(F.greatest(t, F.lit(0)), F.lit(side - 1))
+
+    inside = (F.abs(F.col(x)) < F.lit(math.inf)) & (F.abs(F.col(y)) < F.lit(math.inf))
+    fine = materialize(df.where(inside).groupBy(tile(x, 360.0).alias("tx"), tile(y, 180.0).alias("ty"), F.col(label).alias("label"))
+                       .agg(F.count(F.lit(1)).alias("n")), "tiles")
+    up = f"cast({zoom} - zoom as int)"
+    levels = fine.select("*", F.explode(F.sequence(F.lit(0), F.lit(zoom))).alias("zoom")).select(
+        "zoom", F.expr(f"shiftright(tx, {up})").alias("tx"), F.expr(f"shiftright(ty, {up})").alias("ty"), "label", "n")
+    by_label = levels.groupBy("zoom", "tx", "ty", "label").agg(F.sum("n").alias("n"))
+    most = F.min(F.struct((-F.col("n")).alias("n"), F.col("label").isNull().alias("none"), F.col("label").alias("label")))
+    return by_label.groupBy("zoom", "tx", "ty").agg(F.sum("n").alias("n"), most.alias("most")) \
+        .select("zoom", "tx", "ty", "n", F.col("most.label").alias(label), (-F.col("most.n")).alias("label_n"))

@@ -48,6 +48,28 @@ def time_parts(df: DataFrame, ts: str = "Date_Time_PH") -> DataFrame:
     })
 
 
+def time_layout_vote(raw: DataFrame, col: str, layouts: list[str]) -> DataFrame:
+    """``layout, n_parsed, n_only, chosen``, one row per candidate (C1): how many texts of ``col``
+    the layout parses, how many no other candidate does, and whether it is the one that
+    parses most (ties: the earlier candidate).  All texts are counted in one scan."""
+    col_of = {f"p{k}": F.try_to_timestamp(F.col(col), F.lit(x)).isNotNull() for k, x in enumerate(layouts)}
+    parsed = null_tokens(raw.select(col), [col]).select([c.alias(n) for n, c in col_of.items()])
+    hits = sum((F.col(n).cast("int") for n in col_of), F.lit(0))
+    counts = parsed.withColumn("hits", hits).agg(
+        *[F.count_if(n).alias(n) for n in col_of], *[F.count_if(F.col(n) & (F.col("hits") == 1)).alias(f"only_{n}") for n in col_of])
+    rows = F.array(*[F.struct(F.lit(x).alias("layout"), F.col(f"p{k}").alias("n_parsed"), F.col(f"only_p{k}").alias("n_only"),
+                              F.lit(k).alias("k")) for k, x in enumerate(layouts)])
+    most = F.greatest(*[F.col(n) for n in col_of], F.lit(0))
+    first = F.coalesce(*[F.when(F.col(n) == most, F.lit(k)) for k, n in enumerate(col_of)])
+    return counts.select(F.explode(rows).alias("r"), first.alias("first")) \
+        .select("r.layout", "r.n_parsed", "r.n_only", (F.col("first") == F.col("r.k")).alias("chosen"))
+
+
+def best_time_layout(raw: DataFrame, col: str, layouts: list[str]) -> str:
+    """The candidate that parses most texts of ``col`` (:func:`time_layout_vote`)."""
+    return time_layout_vote(raw, col, layouts).where("chosen").first()["layout"]
+
+
 def coerce(raw: DataFrame, formats: list[str] = DEFAULT_TIME_FORMATS) -> DataFrame:
     """Typed columns, before any row is dropped."""
     text = [c for c in TEXT_COLUMNS if c in raw.columns

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from faultline.constants import (
     DBSCAN_EPS, DBSCAN_MIN_SAMPLES, DEPTH_EDGES, DEPTH_LABELS, NA_TOKENS, QUERY_HIST_BINS, QUERY_SAMPLE_ROWS,
-    QUERY_TIGHT_EPS, QUERY_TIGHT_MIN_SAMPLES, REGION_GROUPS, SEED,
+    QUERY_TIGHT_EPS, QUERY_TIGHT_MIN_SAMPLES, QUERY_ZOOM, REGION_GROUPS, SEED,
 )
 from faultline.functions.columns import NUMBER_PATTERN
-from faultline.sources.catalog import VIEW_CUTOFF, VIEW_PLACES
+from faultline.sources.catalog import TIME_LAYOUTS, VIEW_CUTOFF, VIEW_PLACES
 
 
 def _q(s: str) -> str:
@@ -383,6 +383,26 @@ GROUP BY c.quake_id"""
     q["map_points"] = with_clean(
         "SELECT c.quake_id, c.Longitude, c.Latitude, l.Cluster FROM clean c JOIN labels l USING (quake_id)",
         *zl, recursive=True)
+    tile = f"CAST(least(greatest(floor(({{}} + {{}}) / {{}} * {2.0 ** QUERY_ZOOM}), 0), {2 ** QUERY_ZOOM - 1}) AS BIGINT)"
+    q["map_tiles"] = with_clean(f"""
+SELECT CAST(z AS INTEGER) AS zoom, tx, ty, CAST(sum(n) AS BIGINT) AS n, arg_max(Cluster, (n, -Cluster)) AS Cluster,
+       max(n) AS label_n
+FROM (SELECT z, tx >> ({QUERY_ZOOM} - z) AS tx, ty >> ({QUERY_ZOOM} - z) AS ty, Cluster, count(*) AS n
+      FROM (SELECT {tile.format('c.Longitude', 180.0, 360.0)} AS tx, {tile.format('c.Latitude', 90.0, 180.0)} AS ty, l.Cluster
+            FROM clean c JOIN labels l USING (quake_id)) p CROSS JOIN range({QUERY_ZOOM + 1}) g(z)
+      GROUP BY ALL) GROUP BY z, tx, ty""", *zl, recursive=True)
+    parsed = ", ".join(f"try_strptime(t, {_q(f)}) IS NOT NULL AS p{k}" for k, f in enumerate(TIME_LAYOUTS.values()))
+    every = " + ".join(f"CAST(p{k} AS INTEGER)" for k in range(len(TIME_LAYOUTS)))
+    votes = " UNION ALL ".join(f"SELECT {k} AS k, {_q(x)} AS layout, count(*) FILTER (WHERE p{k}) AS n_parsed, "
+                               f"count(*) FILTER (WHERE p{k} AND {every} = 1) AS n_only FROM v"
+                               for k, x in enumerate(TIME_LAYOUTS))
+    q["time_layout_vote"] = with_clean(
+        "SELECT layout, n_parsed, n_only, row_number() OVER (ORDER BY n_parsed DESC, k) = 1 AS chosen FROM votes",
+        """mixed AS (SELECT CASE WHEN length(coalesce(Date_Time_PH, '')) <> 19 THEN Date_Time_PH
+             WHEN quake_id % 3 = 0 THEN strftime(CAST(Date_Time_PH AS TIMESTAMP), '%d/%m/%Y %H:%M')
+             WHEN quake_id % 5 = 0 THEN strftime(CAST(Date_Time_PH AS TIMESTAMP), '%m/%d/%Y %H:%M')
+             ELSE Date_Time_PH END AS t FROM quakes)""",
+        f"v AS (SELECT {parsed} FROM mixed)", f"votes AS ({votes})")
     within = """
 SELECT a.quake_id, count(*) AS n_within FROM {points} a JOIN {points} b
 ON (a.Latitude - b.Latitude) * (a.Latitude - b.Latitude) + (a.Longitude - b.Longitude) * (a.Longitude - b.Longitude)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from faultline.constants import (
     DBSCAN_EPS, DBSCAN_MIN_SAMPLES, DEPTH_LABELS, GBT_PARAMS, QUERY_HIST_BINS,
-    QUERY_SAMPLE_ROWS, QUERY_TIGHT_EPS, QUERY_TIGHT_MIN_SAMPLES, REGION_DEFAULT, REGION_GROUPS, REGIONS,
+    QUERY_SAMPLE_ROWS, QUERY_TIGHT_EPS, QUERY_TIGHT_MIN_SAMPLES, QUERY_ZOOM, REGION_DEFAULT, REGION_GROUPS, REGIONS,
 )
 from faultline.operators import aggregates as A
 from faultline.operators import clean as C
@@ -29,13 +29,15 @@ from faultline.operators import sampling as D
 from faultline.operators import silhouette as S
 from faultline.operators import spatial as Z
 from faultline.operators.charts import (
-    chart_depth_magnitude, chart_magnitude_by_class, chart_map, chart_region_significance, chart_regions,
+    chart_depth_magnitude, chart_magnitude_by_class, chart_map, chart_region_significance, chart_regions, map_tiles,
 )
 from faultline.operators.report import report_lines, run_summary
 from faultline.operators.zones import zone_profile
 from faultline.session import materialize, tables_dir
 from faultline.sources import sinks
-from faultline.sources.catalog import VIEW_CUTOFF, hot_view, precise_view, quake_view, quoted_view, read_catalog
+from faultline.sources.catalog import (
+    TIME_LAYOUTS, VIEW_CUTOFF, hot_view, mixed_time_view, precise_view, quake_view, quoted_view, read_catalog,
+)
 
 HIST_BINS = QUERY_HIST_BINS
 #: Small trees: the view's classes differ by zone alone.
@@ -312,6 +314,15 @@ def q_map_points(spark, sf_dir):
     return chart_map(labelled(spark, sf_dir), "Cluster")
 
 
+def q_map_tiles(spark, sf_dir):
+    return map_tiles(labelled(spark, sf_dir), "Cluster", QUERY_ZOOM)
+
+
+def q_layout_vote(spark, sf_dir):
+    """Candidate layouts of the event times, a third of which are written day first and a fifth month first."""
+    return C.time_layout_vote(mixed_time_view(raw(spark, sf_dir)), "Date_Time_PH", list(TIME_LAYOUTS))
+
+
 def q_summary_report(spark, sf_dir):
     base = clean_once(spark, sf_dir)
     return report_lines(base, labelled(spark, sf_dir, base=base))
@@ -355,6 +366,8 @@ def q_run_summary(spark, sf_dir):
 
 QUERIES.update({
     "map_points": q_map_points,
+    "map_tiles": q_map_tiles,
+    "time_layout_vote": q_layout_vote,
     "summary_report": q_summary_report,
     "report_round_trip": q_report_round_trip,
     "chart_round_trip": q_chart_round_trip,

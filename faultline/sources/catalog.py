@@ -116,6 +116,19 @@ def hot_view(quakes: DataFrame) -> DataFrame:
                           "Longitude": F.when(hot, F.lit(122.125)).otherwise(F.col("Longitude"))})
 
 
+#: Layouts of event times and how DuckDB writes them.
+TIME_LAYOUTS = {"dd/MM/yyyy HH:mm": "%d/%m/%Y %H:%M", "MM/dd/yyyy HH:mm": "%m/%d/%Y %H:%M",
+                "yyyy-MM-dd HH:mm:ss": "%Y-%m-%d %H:%M:%S"}
+
+
+def mixed_time_view(quakes: DataFrame) -> DataFrame:
+    """The raw view with every third time written day first and every fifth of the others month first."""
+    e, t = F.col("quake_id"), F.col("Date_Time_PH")
+    day_first = F.regexp_replace(t, r"^(\d+)-(\d+)-(\d+) (\d+):(\d+):\d+$", "$3/$2/$1 $4:$5")
+    month_first = F.regexp_replace(t, r"^(\d+)-(\d+)-(\d+) (\d+):(\d+):\d+$", "$2/$3/$1 $4:$5")
+    return quakes.withColumn("Date_Time_PH", F.when(e % 3 == 0, day_first).when(e % 5 == 0, month_first).otherwise(t))
+
+
 def quoted_view(quakes: DataFrame) -> DataFrame:
     """The raw view with quotes, a comma and a line break in every location."""
     return quakes.withColumn("Location", F.concat(

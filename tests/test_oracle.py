@@ -11,7 +11,7 @@ FAST = ["clean_catalog", "cleaning_audit", "column_info", "describe_numeric", "r
         "region_significance", "magnitude_histogram_by_class", "split_assignment", "class_weight", "feature_table",
         "classification_report", "sample_points", "within_distance_counts", "dbscan_labels_tight", "zone_profile", "impute_mean", "region_by_rule_table", "csv_round_trip", "one_hot_depth", "nearest_label",
         "nearest_label_hot", "within_distance_hot", "within_distance_between", "within_distance_precise", "dbscan_precise", "silhouette_squared", "silhouette_score",
-        "map_points", "map_magnitude_points", "report_round_trip", "chart_round_trip", "run_summary_values"]
+        "map_points", "map_tiles", "time_layout_vote", "map_magnitude_points", "report_round_trip", "chart_round_trip", "run_summary_values"]
 
 
 def norm(v):
