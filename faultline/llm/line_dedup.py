@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,11 +126,10 @@ def _chunks(lines: list[str]):
 
 
 def banded_lines(lines: DataFrame) -> DataFrame:
-    """``(_doc, _text_id, _line_no, _id, _id2, _line, bands)`` of every line; its text and bands
-    only where it is new in its task, else null."""
+    """``(_doc, _text_id, _line_no, _id, _id2, bands)`` of every line; ``bands`` only where the
+    line is new in its task, else null."""
     lines = lines.select("_doc", "_text_id", "_line_no", "_id", "_id2", "_line")
-    out = T.StructType([*lines.schema.fields[:-1], T.StructField("_line", T.StringType()),
-                        T.StructField("bands", T.ArrayType(T.LongType()))])
+    out = T.StructType([*lines.schema.fields[:-1], T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -151,9 +149,8 @@ def banded_lines(lines: DataFrame) -> DataFrame:
             none[new] = False
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()),
                                              pa.array(flat), mask=pa.array(none))
-            columns = [batch.column(n) for n in schema.names[:-2]]
-            texts = pc.if_else(pa.array(none), pa.scalar(None, texts.type), texts).cast(schema.field("_line").type)
-            yield pa.RecordBatch.from_arrays([*columns, texts, bands.cast(schema.field("bands").type)], schema=schema)
+            columns = [batch.column(n) for n in schema.names[:-1]]
+            yield pa.RecordBatch.from_arrays([*columns, bands.cast(schema.field("bands").type)], schema=schema)
 
     return lines.mapInArrow(run, out)
 
@@ -275,7 +272,8 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """``(node, component)``, structs of a line's two hashes, for lines that are like another
     and not the smallest of their component; and the places of all lines, written once."""
-    places = materialize(banded_lines(lines_of(docs, id_col, text_col)), "line-places")
+    lines = lines_of(docs, id_col, text_col)
+    places = materialize(banded_lines(lines), "line-places")
     sigs = places.where("bands IS NOT NULL").select(F.col("_id").alias("id"), "bands")
     shared, seen = materialize_observed(
         sigs.select("id", F.explode("bands").alias("band")).groupBy("band")
@@ -283,27 +281,38 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "line-buckets", n=F.count(F.lit(1)))
     held = docs.sparkSession.sparkContext.broadcast(bloom(shared.select("band"), seen["n"]))
 
-    def banded(ids, bands):
-        b = np.array(bands, np.int64).reshape(-1, BANDS)
-        hit = held.value(b.ravel()).reshape(b.shape)
-        line, place = np.nonzero(hit)
-        yield np.array(ids, np.int64)[line], b[line, place]
+    pair = T.StructType([T.StructField("id", T.LongType()), T.StructField("band", T.LongType())])
+
+    def banded(batches):
+        for batch in batches:
+            b = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+            line, place = np.nonzero(held.value(b.ravel()).reshape(b.shape))
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("id").to_numpy()[line]), pa.array(b[line, place])],
+                                             names=["id", "band"])
 
     members, seen = materialize_observed(
-        arrow_map(sigs, banded, "id long, band long").join(shared, "band").select("pivot", "id").distinct(),
+        sigs.mapInArrow(banded, pair).join(shared, "band").select("pivot", "id").distinct(),
         "line-members", n=F.count(F.lit(1)))
     drop_tables(shared)
     wanted = docs.sparkSession.sparkContext.broadcast(bloom(members.select("id").distinct(), seen["n"]))
 
-    def again(seen, ids, ids2, texts):
-        hit = np.flatnonzero(wanted.value(np.array(ids, np.int64)))
-        if len(seen) > _SEEN:
-            seen.clear()
-        new = [k for k in hit.tolist() if not ((ids[k], ids2[k]) in seen or seen.add((ids[k], ids2[k])))]
-        yield [ids[k] for k in new], [ids2[k] for k in new], [texts[k] for k in new]
+    lines = lines.select("_id", "_id2", "_line")
+    text = T.StructType([T.StructField("id", T.LongType()), T.StructField("id2", T.LongType()),
+                         T.StructField("line", T.StringType())])
+
+    def again(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+        schema, seen = to_arrow_schema(text), set()
+        for batch in batches:
+            if len(seen) > _SEEN:
+                seen.clear()
+            batch = batch.filter(pa.array(wanted.value(batch.column("_id").to_numpy())))
+            own = zip(batch.column("_id").to_pylist(), batch.column("_id2").to_pylist())
+            new = [k for k, i in enumerate(own) if not (i in seen or seen.add(i))]
+            batch = batch.take(pa.array(new, pa.int64()))
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, schema)], schema=schema)
 
-    again_from = places.where("bands IS NOT NULL").select("_id", "_id2", "_line")
-    found = arrow_map(again_from, again, "id long, id2 long, line string", setup=set)
+    found = lines.mapInArrow(again, text)
     texts = materialize(found.repartition("id").dropDuplicates(["id", "id2"]), "line-texts")
 
     # the first blocks: each with its group's pivot
@@ -392,7 +401,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Only lines of components with another line are joined, told by a filter that never
     misses one; what passes it falsely finds no partner."""
     label, places = similar_lines(docs, id_col, text_col, threshold, block)
-    places = places.drop("_line", "bands")
+    places = places.drop("bands")
     firsts, n = _firsts(places, label)
     ids = bloom(firsts.select("_id"), n)
     own = F.struct(F.col("_doc").alias("doc"), F.col("_text_id").alias("text_id"), F.col("_line_no").alias("line_no"))
@@ -414,7 +423,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and stay.  Null ids keep all their lines.  Extra columns pass through.  An empty table
     gives no rows."""
     label, places = similar_lines(docs, id_col, text_col, threshold, block)
-    places = places.drop("_line", "bands")
+    places = places.drop("bands")
     firsts, n = _firsts(places, label)
     lost = _among(places, bloom(firsts.select("_id"), n), True).where("_doc IS NOT NULL").join(firsts, ["_id", "_id2"]) \
         .where(~F.struct("_doc", "_text_id", "_line_no").eqNullSafe(
