@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +18,9 @@ def _mins(edges: DataFrame):
     return materialize_observed(edges.groupBy("u").agg(F.min("v").alias("m")), "cc-min", n=F.count(F.lit(1)))
 
 
-def _spanning_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spanning_stars(batches: Iterator) -> Iterator:
     """Union-find over the edges of one task: each of its nodes linked to the smallest it reaches there."""
+    import pyarrow as pa
     parent: dict = {}
 
     def find(x):
