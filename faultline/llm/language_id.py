@@ -159,23 +159,23 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         fit_documents: int = FIT_DOCUMENTS) -> Model:
     """Learn from the rows that have a text and a language.
 
-    Of each language the ``fit_documents`` rows with the smallest hash of their id are used
-    (a count per hash bucket finds the bound, so nothing is sorted in one task).  Every
+    Of each language about ``fit_documents`` rows are used, those with the smallest hash of
+    id and text, so rows that share an id or have none are taken in part like others.  Every
     language is learned.  The driver takes the n-grams of one part of the languages after the
     other, fewer than 1 / MIN_SHARE each; the filter has 8 MB for each 64 languages."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"),
-        F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 16)).alias("b"))
+        F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")), F.lit(1 << 16)).alias("b"))
     size = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not size:
         return Model({})
     # rows are spread evenly over the buckets, so a language's bound is a share of them
     share = labelled.sparkSession.createDataFrame(
         [(r["lang"], min(1 << 16, -(-(fit_documents << 16) // r["count"]))) for r in size], "lang string, share long")
-    used = rows.join(F.broadcast(share), "lang").where("b < share")
+    used = rows.join(share, "lang").where("b < share")
     counts = gram_counts(used, "text", "lang")
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    frequent = counts.join(F.broadcast(total), "lang").where(F.col("n") >= MIN_SHARE * F.col("total"))
+    frequent = counts.join(total, "lang").where(F.col("n") >= MIN_SHARE * F.col("total"))
     grams = frequent.groupBy("lang").agg(F.collect_list("gram").alias("grams"))  # fewer than 1 / MIN_SHARE a language
     return Model(((r["lang"], r["grams"]) for r in grams.toLocalIterator()), [r["lang"] for r in size])
 

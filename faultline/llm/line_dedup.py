@@ -384,11 +384,12 @@ def _firsts(places: DataFrame, label: DataFrame) -> tuple[DataFrame, int]:
         .join(label.unionByName(centres), ["_id", "_id2"], "left").where("n > 1 OR _c IS NOT NULL")
     every = materialize(every.select("_id", "_id2", F.coalesce("_c", "_id").alias("_c"), F.coalesce("_c2", "_id2").alias("_c2"),
                                      "at"), "line-classes")
-    first = every.groupBy("_c", "_c2").agg(F.min("at").alias("_first"))
+    # written, so that the join back can split the lines of a large component
+    first = materialize(every.groupBy("_c", "_c2").agg(F.min("at").alias("_first")), "line-class-firsts")
     out, seen = materialize_observed(
         every.join(first, ["_c", "_c2"]).select("_id", "_id2", F.struct(
             "_first.doc", "_first.text_id", "_first.line_no").alias("_first")), "line-firsts", n=F.count(F.lit(1)))
-    drop_tables(every)
+    drop_tables(every, first)
     return out, seen["n"]
 
 

@@ -67,3 +67,14 @@ def test_more_languages_than_bits_of_a_word(spark):
     assert m.table.shape == (L.SLOTS, 3) and m.languages[0] == "l000" and m.languages[-1] == "l129"
     got = {r.doc_id: r.lang_pred for r in L.predict(docs, m).collect()}
     assert got == {i: lang for i, _, lang in rows}
+
+
+def test_rows_of_one_id_or_none_are_learned_in_part(spark):
+    """Every id of a language is the same, or null, beyond the rows that are used."""
+    for key in (None, *range(4)):
+        docs = spark.range(600).select(F.lit(key).cast("long").alias("doc_id"), F.concat(
+            F.lit("ein Satz mit Wort "), F.col("id").cast("string"), F.lit(" und noch mehr")).alias("text"), F.lit("de").alias("lang"))
+        docs = docs.unionByName(spark.range(10).select(F.col("id").alias("doc_id"), F.lit("the cat sat here").alias("text"),
+                                                       F.lit("en").alias("lang")))
+        got = L.predict(docs.where("lang = 'de'").limit(3), L.fit(docs, fit_documents=100)).collect()
+        assert {r.lang_pred for r in got} == {"de"}
