@@ -155,6 +155,10 @@ def _chunks(texts: list[str]):
         yield lo, len(texts), texts[lo:]
 
 
+#: A table of so many labels is broadcast in the fit.
+BROADCAST_LABELS = 10_000
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         fit_documents: int = FIT_DOCUMENTS) -> Model:
     """Learn from the rows that have a text and a language.
@@ -172,7 +176,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     # rows are spread evenly over the buckets, so a language's bound is a share of them
     share = labelled.sparkSession.createDataFrame(
         [(r["lang"], min(1 << 16, -(-(fit_documents << 16) // r["count"]))) for r in size], "lang string, share long")
-    used = rows.join(share, "lang").where("b < share")
+    # so few rows are broadcast, else the texts would be shuffled for them
+    used = rows.join(F.broadcast(share) if len(size) <= BROADCAST_LABELS else share, "lang").where("b < share")
     counts = gram_counts(used, "text", "lang")
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     frequent = counts.join(total, "lang").where(F.col("n") >= MIN_SHARE * F.col("total"))
