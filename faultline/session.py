@@ -53,8 +53,8 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where it is unset, a ``local[...]`` session, which is one process, takes a temporary
     folder; any other takes one under the session's warehouse, which Spark already shares
-    between driver and executors.  A ``file:`` folder is accepted only where driver and
-    executors share the machine (``local`` masters, tests).
+    between driver and executors.  A ``file:`` folder may be a mounted share: on a cluster it
+    is refused only if files that tasks write there don't reach the driver.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
@@ -63,12 +63,34 @@ def shared_dir(spark: SparkSession) -> str:
         else:
             configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     configured = configured.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") and _is_local(spark, configured):
-        raise ValueError(f"spark.checkpoint.dir is the machine-local folder {configured}; set a shared one")
+    if not spark.sparkContext.master.startswith("local") and _is_local(spark, configured):
+        tried = (spark.sparkContext.applicationId, configured)
+        if tried not in _SHARED:
+            if not _is_shared(spark, configured):
+                raise ValueError(f"{configured} isn't shared by driver and executors; set spark.checkpoint.dir to a folder that is")
+            _SHARED.add(tried)
     return configured
 
 
+#: Applications and ``file:`` folders that were found to be shared.
+_SHARED: set[tuple[str, str]] = set()
+
+
+def _write_parts(spark: SparkSession, path: str, n: int) -> None:
+    spark.range(0, n, 1, n).write.parquet(path)
+
+
+def _is_shared(spark: SparkSession, folder: str) -> bool:
+    """Whether the driver and the executors find what a task for each core writes to ``folder``."""
+    n, path = spark.sparkContext.defaultParallelism, f"{folder}/shared-{uuid.uuid4().hex}"
+    p, fs = _path(spark, path)
+    try:
+        _write_parts(spark, path, n)
+        return spark.read.schema("id long").parquet(path).count() == n
+    finally:
+        fs.delete(p, True)
+
+
 def _path(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
