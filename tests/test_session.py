@@ -48,3 +48,16 @@ def test_queries_run_on_a_mounted_share(cluster, tmp_path):
     train = QUERIES["class_counts"](cluster, str(tmp_path)).agg({"n": "sum"}).first()[0]
     test = QUERIES["accuracy"](cluster, str(tmp_path)).first()["n"]
     assert train + test == QUERIES["clean_catalog"](cluster, str(tmp_path)).count()
+
+
+def test_sinks_and_zones_run_on_a_mounted_share(cluster, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    cluster.createDataFrame([Row(event_id=i, ts=start + datetime.timedelta(hours=i), user_id=i % 40) for i in range(300)]) \
+        .write.parquet(f"{tmp_path}/events.parquet")
+    n = QUERIES["clean_catalog"](cluster, str(tmp_path)).count()
+    charts = QUERIES["chart_round_trip"](cluster, str(tmp_path))
+    assert charts.where("chart = 'regions'").agg({"n": "sum"}).first()[0] == n
+    lines = [r.line_no for r in QUERIES["report_round_trip"](cluster, str(tmp_path)).orderBy("line_no").collect()]
+    assert lines == list(range(1, len(lines) + 1)) and lines
+    for name in ("dbscan_precise", "nearest_label_hot", "map_points", "feature_table"):
+        assert QUERIES[name](cluster, str(tmp_path)).count() == n, name
