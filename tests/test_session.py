@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Row
 
 from faultline import session as S
+from faultline.constants import GBT_PARAMS
 from faultline.plans.registry import QUERIES
 
 
@@ -61,3 +62,37 @@ def test_sinks_and_zones_run_on_a_mounted_share(cluster, tmp_path):
     assert lines == list(range(1, len(lines) + 1)) and lines
     for name in ("dbscan_precise", "nearest_label_hot", "map_points", "feature_table"):
         assert QUERIES[name](cluster, str(tmp_path)).count() == n, name
+
+
+@pytest.fixture(scope="module")
+def quakes(spark, tmp_path_factory):
+    """A folder with events, the number of its clean rows and of those held out for a test."""
+    folder, start = str(tmp_path_factory.mktemp("quakes")), datetime.datetime(2024, 1, 1)
+    spark.createDataFrame([Row(event_id=i, ts=start + datetime.timedelta(hours=i), user_id=i % 40) for i in range(300)]) \
+        .write.parquet(f"{folder}/events.parquet")
+    return folder, QUERIES["clean_catalog"](spark, folder).count(), QUERIES["split_assignment"](spark, folder).where("is_test").count()
+
+
+@pytest.mark.parametrize("name, rows", [
+    ("class_weight", lambda n, test: 2),
+    ("classification_report", lambda n, test: 5),
+    ("confusion_cells", lambda n, test: 4),
+    ("confusion_matrix", lambda n, test: 2),
+    ("dbscan_labels", lambda n, test: n),
+    ("dbscan_labels_tight", lambda n, test: n),
+    ("map_tiles", lambda n, test: None),
+    ("model_checks", lambda n, test: 7),
+    ("model_predictions", lambda n, test: test),
+    ("model_learns", lambda n, test: 4),
+    ("model_report", lambda n, test: 5),
+    ("nearest_label", lambda n, test: n),
+    ("model_test_rows", lambda n, test: test),
+])
+def test_query_runs_on_a_mounted_share(quakes, cluster, monkeypatch, name, rows):
+    folder, n, test = quakes
+    monkeypatch.setitem(GBT_PARAMS, "maxIter", 3)
+    out = QUERIES[name](cluster, folder)
+    if name == "map_tiles":
+        assert out.where("zoom = 0").agg({"n": "sum"}).first()[0] == n
+    else:
+        assert out.count() == rows(n, test)
