@@ -20,6 +20,7 @@ from faultline.constants import DBSCAN_EPS, DBSCAN_MIN_SAMPLES
 from faultline.operators import boxes as B
 from faultline.operators.boxes import d2 as _d2
 from faultline.operators.components import connected_components
+from faultline.operators.tiles import sums_by_tile
 from faultline.session import drop_tables, materialize, materialize_observed
 
 _OFF = 1 << 30
@@ -103,10 +104,15 @@ def within_distance_between(a: DataFrame, b: DataFrame, x: str = "Latitude", y:
     """Per row of ``a``, the number of rows of ``b`` within ``eps`` (J3): ``key, n_within``.
 
     0 where there is none; NULL for a row without finite coordinates.  Rows of ``b``
-    without finite coordinates are near nothing."""
+    without finite coordinates are near nothing.  Positions are compared in tiles of the
+    plane (:func:`sums_by_tile`); those too dense for a tile meet by boxes (:func:`_merge_within`)."""
     pos = materialize(positions(b, x, y, key).select("px", "py", F.col("w").alias("val")), "within-pos")
-    probe = positions(a, x, y, key).select("px", "py")
-    counts = materialize(_merge_within(probe, pos, eps, eps / 4, 4, F.sum), "within-counts")
+    probe = pos if a is b else materialize(positions(a, x, y, key).select("px", "py"), "within-probes")
+    sums, dense = sums_by_tile(probe, pos, eps)
+    counts, _ = materialize_observed(sums, "within-cut", keep=["px", "py", "val"], n=F.sum("cut"))
+    if dense is not None:
+        counts = counts.unionByName(materialize(_merge_within(dense, pos, eps, eps / 4, 4, F.sum), "within-counts"))
+    drop_tables(pos, probe)
     found = _attach(a.select(key, x, y), counts, x, y)
     finite = (F.abs(F.col(x)) < F.lit(math.inf)) & (F.abs(F.col(y)) < F.lit(math.inf))
     return found.select(key, F.when(finite, F.coalesce("val", F.lit(0))).cast("bigint").alias(name))

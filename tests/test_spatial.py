@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from faultline.operators import boxes as B
 from faultline.operators import components
 from faultline.operators import spatial as Z
+from faultline.operators import tiles
 from faultline.operators.clean import clean_catalog
 from faultline.sources.catalog import VIEW_CUTOFF, quake_view
 
@@ -377,3 +378,75 @@ def test_local_stars_match_union_find(spark):
     plain = {r.node: r.component for r in components.connected_components(df).collect()}
     assert plain == {r.node: r.component for r in components.connected_components(df, local=True).collect()}
     assert components.connected_components(df.limit(0), local=True).count() == 0
+
+
+def shuffled(df):
+    """Records that the shuffles of a frame write when it is run."""
+    df.collect()
+
+    def of(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return of(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return of(node.plan())
+        own = node.metrics().get("shuffleRecordsWritten")
+        below = node.children()
+        return (own.get().value() if own.isDefined() else 0) + sum(of(below.apply(k)) for k in range(below.size()))
+
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_within_distance_shuffles_a_position_a_few_times(spark, monkeypatch):
+    """Not once for every box that its circle meets: disk grows with the rows."""
+    sent = []
+    for name in ("materialize", "materialize_observed"):
+        write = getattr(Z, name)
+        monkeypatch.setattr(Z, name, lambda df, *a, write=write, **k: sent.append(shuffled(df)) or write(df, *a, **k))
+    n = 8000
+    rng = np.random.default_rng(5)
+    df = pts(spark, [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(0, 0.6, (n, 2)))])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert Z.within_distance_counts(df, eps=0.1).count() == n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sum(sent) < 8 * n
+
+
+@pytest.mark.parametrize("most", [60, 400])
+def test_within_distance_by_cut_tiles(spark, monkeypatch, most):
+    """Tiles of several levels, and places too dense for any, in one table and between two."""
+    monkeypatch.setattr(tiles, "MOST", most)
+    rng = np.random.default_rng(7)
+    b = np.vstack([rng.normal(1, 0.03, (500, 2)), rng.uniform(0, 2, (300, 2)), rng.uniform(-3, -2, (40, 2)), [[1e200, 0.0]]])
+    a = np.vstack([rng.uniform(-0.5, 2.5, (150, 2)), b[::9], [[1e200, 0.0], [0.0, -1e200]]])
+    frame = [pts(spark, [(k, float(x), float(y)) for k, (x, y) in enumerate(xy)]) for xy in (a, b)]
+
+    def brute(p, q):
+        with np.errstate(over="ignore"):
+            dx, dy = p[:, None, 0] - q[None, :, 0], p[:, None, 1] - q[None, :, 1]
+            return dict(enumerate((dx * dx + dy * dy <= 0.1 * 0.1).sum(1).tolist()))
+
+    assert {r.quake_id: r.n_within for r in Z.within_distance_counts(frame[1], eps=0.1).collect()} == brute(b, b)
+    assert {r.quake_id: r.n_within for r in Z.within_distance_between(*frame, eps=0.1).collect()} == brute(a, b)
+
+
+@pytest.mark.parametrize("shift", [0.0, 122.0, -1e9])
+def test_near_sums_match_brute_force(monkeypatch, shift):
+    """Grids whose distances equal eps, lines, clusters an eps apart, and slices of a few places."""
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(tiles, "_FEW", 0)
+    for few in (False, True):
+        if few:
+            monkeypatch.setattr(tiles, "_PROBES", 7)
+            monkeypatch.setattr(tiles, "_SLICE", 11)
+        for q in (rng.uniform(0, 1, (500, 2)), np.round(rng.uniform(0, 1, (400, 2)), 1), rng.uniform(0, 1e-7, (300, 2)),
+                  np.column_stack([rng.uniform(0, 1, 300), np.full(300, 0.5)]), np.array([[0.5, 0.5]])):
+            for p in (rng.uniform(0, 1, (200, 2)), q[::2] + [0.0, 0.25], q[::3] + [0.25, 0.0], q):
+                p, places, val = p + shift, q + shift, rng.integers(1, 5, len(q))
+                dx, dy = p[:, None, 0] - places[None, :, 0], p[:, None, 1] - places[None, :, 1]
+                want = np.where(dx * dx + dy * dy <= 0.25 * 0.25, val, 0).sum(1)
+                got, _ = tiles.near_sums(*p.T, *places.T, val, 0.25)
+                assert got.tolist() == want.tolist()
