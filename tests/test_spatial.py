@@ -397,22 +397,34 @@ def shuffled(df):
     return of(df._jdf.queryExecution().executedPlan())
 
 
-def test_within_distance_shuffles_a_position_a_few_times(spark, monkeypatch):
-    """Not once for every box that its circle meets: disk grows with the rows."""
+def records_sent(spark, monkeypatch, xy):
+    """Records that the steps of a count of neighbours shuffle, without broadcasts."""
     sent = []
     for name in ("materialize", "materialize_observed"):
         write = getattr(Z, name)
         monkeypatch.setattr(Z, name, lambda df, *a, write=write, **k: sent.append(shuffled(df)) or write(df, *a, **k))
-    n = 8000
-    rng = np.random.default_rng(5)
-    df = pts(spark, [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(0, 0.6, (n, 2)))])
+    df = pts(spark, [(k, float(x), float(y)) for k, (x, y) in enumerate(xy)])
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert Z.within_distance_counts(df, eps=0.1).count() == n
+        assert Z.within_distance_counts(df, eps=0.1).count() == len(xy)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    assert sum(sent) < 8 * n
+    return sum(sent)
+
+
+def test_within_distance_shuffles_a_position_a_few_times(spark, monkeypatch):
+    """Not once for every box that its circle meets: disk grows with the rows."""
+    xy = np.random.default_rng(5).uniform(0, 0.6, (8000, 2))
+    assert records_sent(spark, monkeypatch, xy) < 8 * len(xy)
+
+
+def test_within_distance_of_a_hot_place_in_cut_tiles(spark, monkeypatch):
+    """A third of the rows at one place, and tiles that must be cut."""
+    monkeypatch.setattr(tiles, "MOST", 4000)
+    xy = np.random.default_rng(6).uniform(0, 0.6, (8000, 2))
+    xy[::3] = [0.25, 0.125]
+    assert records_sent(spark, monkeypatch, xy) < 8 * len(xy)
 
 
 @pytest.mark.parametrize("most", [60, 400])
