@@ -123,6 +123,29 @@ def test_filter_has_no_misses(spark):
     assert f(other).mean() < 0.05
 
 
+def rows_collected(spark, monkeypatch):
+    """Counts of the rows that the driver collects from now on."""
+    got, kind = [], type(spark.range(0))
+    for name in ("collect", "toPandas"):
+        def counted(self, *a, read=getattr(kind, name)):
+            out = read(self, *a)
+            got.append(len(out))
+            return out
+        monkeypatch.setattr(kind, name, counted)
+    return got
+
+
+def test_filter_reaches_the_driver_packed(spark, monkeypatch):
+    """Not as a row for each of its words, which filled the driver's memory."""
+    v = spark.range(100_000).select(F.xxhash64("id").alias("v")).persist()
+    values = np.array([r.v for r in v.collect()], np.int64)
+    got = rows_collected(spark, monkeypatch)
+    f = L.bloom(v, len(values))
+    assert len(f.words) == 1 << 15 and f(values).all()
+    assert sum(got) < 100
+    assert not L.bloom(v.limit(0), 0).words.any()
+
+
 def test_odd_rows(spark):
     long = "a line that stands in several documents and is long enough to be fuzzy, more or less."
     rows = [(5, f"{long}\n\nown five", 1), (3, f"x\n  {long} ", 2), (7, long + "!", 3), (8, None, 4), (9, "", 5), (10, " \n", 6),
