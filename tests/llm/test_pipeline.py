@@ -12,6 +12,7 @@ from faultline.llm import quality_rules as Q
 from faultline.session import materialize
 from tests.llm.test_decontaminate import brute as brute_hits
 from tests.llm.test_line_dedup import brute as brute_lines
+from tests.llm.test_line_dedup import rows_collected
 from tests.llm.test_quality_rules import brute as brute_counts
 from tests.llm.test_simhash import brute_components, brute_fp
 
@@ -107,3 +108,15 @@ def test_empty_documents(spark, sf001):
     for _, f in corpus_pipeline.STAGES:
         docs = f(spark, docs, sf001)
         assert docs.collect() == []
+
+
+def test_line_dedup_stage_collects_few_rows(spark, monkeypatch):
+    """What the second stage brings to the driver doesn't grow with the lines that are like others."""
+    rng = np.random.default_rng(4)
+    lines = ["".join(chr(97 + c) for c in rng.integers(0, 26, 60)) for _ in range(1500)]
+    docs = spark.createDataFrame([(2 * k + b, x[:-1] + "?!"[b], "en", "web", 60) for k, x in enumerate(lines) for b in (0, 1)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = rows_collected(spark, monkeypatch)
+    kept = corpus_pipeline.line_dedup_stage(spark, docs, "")
+    assert sum(got) < 200
+    assert 1500 <= kept.count() < 1530
